@@ -12,6 +12,7 @@ from .oracle_views import with_views
 _MODULES = (
     "citeflow.plans.recall_job",
     "citeflow.plans.label_job",
+    "citeflow.plans.search_job",
 )
 
 
