@@ -145,4 +145,7 @@ def with_views(body: str) -> str:
     if not order:
         return body.strip()
     ctes = ",\n".join(f"{n} AS ({VIEWS[n].strip()})" for n in order)
-    return f"WITH {ctes}\n{body.strip()}"
+    body = body.strip()
+    if body[:5].upper() == "WITH ":
+        return f"WITH {ctes},\n{body[5:]}"
+    return f"WITH {ctes}\n{body}"

@@ -13,6 +13,7 @@ _MODULES = (
     "citeflow.plans.recall_job",
     "citeflow.plans.label_job",
     "citeflow.plans.search_job",
+    "citeflow.plans.text_job",
 )
 
 
