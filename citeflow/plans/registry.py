@@ -14,6 +14,8 @@ _MODULES = (
     "citeflow.plans.label_job",
     "citeflow.plans.search_job",
     "citeflow.plans.text_job",
+    "citeflow.plans.io_job",
+    "citeflow.plans.stream_job",
 )
 
 
