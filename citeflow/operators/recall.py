@@ -26,7 +26,8 @@ from .. import config as C
 from ..functions.score import distance_from_score, score_int
 
 
-RANK_ORDER = (F.col("score").desc(), F.col("paper_id").asc(), F.col("author_id").asc())
+def rank_order():
+    return (F.col("score").desc(), F.col("paper_id").asc(), F.col("author_id").asc())
 
 
 def scholar_papers(authorship: DataFrame, pool: DataFrame) -> DataFrame:
@@ -47,7 +48,7 @@ def top_per_scholar(cands: DataFrame, n: int) -> DataFrame:
     ``row_number() <= n`` is planned as a WindowGroupLimit, so a partial
     top-n runs before the shuffle on ``author_id``.
     """
-    w = Window.partitionBy("author_id").orderBy(*RANK_ORDER)
+    w = Window.partitionBy("author_id").orderBy(*rank_order())
     return cands.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
@@ -60,7 +61,7 @@ def expand(edges: DataFrame, per_scholar: DataFrame, n: int) -> DataFrame:
     e = edges.select("f", F.col("t").alias("author_id")).distinct()
     c = per_scholar.select("author_id", "paper_id", "score", "n_citation")
     joined = e.join(c, "author_id")
-    w = Window.partitionBy("f").orderBy(*RANK_ORDER)
+    w = Window.partitionBy("f").orderBy(*rank_order())
     return joined.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
