@@ -180,15 +180,76 @@ def _top_k(scored: DataFrame, k: int, metric: str) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _exact_scores(metric: str, q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Row-wise scores of paired vectors, summed left to right (``cumsum``)
+    exactly like the JVM fold and the SQL oracle's list sum."""
+    if metric == "l2":
+        d = q - c
+        return np.cumsum(d * d, axis=1)[:, -1]
+    dots = np.cumsum(q * c, axis=1)[:, -1]
+    if metric == "dot":
+        return dots
+    nq = np.sqrt(np.cumsum(q * q, axis=1)[:, -1])
+    nc = np.sqrt(np.cumsum(c * c, axis=1)[:, -1])
+    return dots / (nq * nc)
+
+
 def _probe_join(q: DataFrame, corpus_cells: DataFrame, salts: int, metric: str,
-                exclude_self: bool) -> DataFrame:
-    """Queries with a ``cells`` array joined to the corpus on (cell, salt)."""
+                exclude_self: bool, k: int, block: int = 1024) -> DataFrame:
+    """Queries with a ``cells`` array against the corpus of those cells.
+
+    Query probes and corpus rows are co-grouped by ``(cell, salt)``; each
+    group is scored with numpy matrix products in query blocks and keeps
+    only its ``k + 2`` best candidates per query, whose scores are then
+    recomputed exactly. Output ``(qid, cid, score)``: at most
+    ``(k + 2) x probes x salts`` rows per query, never all pairs.
+    """
+    asc = V.ASCENDING[metric]
+    keep = k + 2
+
+    def best(qdf: pd.DataFrame, cdf: pd.DataFrame) -> pd.DataFrame:
+        empty = pd.DataFrame({"qid": pd.Series([], dtype="int64"),
+                              "cid": pd.Series([], dtype="int64"),
+                              "score": pd.Series([], dtype="float64")})
+        if len(qdf) == 0 or len(cdf) == 0:
+            return empty
+        cm = _stack(cdf["vec"])
+        cids = cdf["cid"].to_numpy(dtype=np.int64)
+        if metric == "cosine":
+            cn = np.linalg.norm(cm, axis=1)
+            cn[cn == 0] = 1.0
+            cmn = cm / cn[:, None]
+        c2 = np.einsum("ij,ij->i", cm, cm)
+        out = []
+        for s in range(0, len(qdf), block):
+            qb = qdf.iloc[s:s + block]
+            qm = _stack(qb["qvec"])
+            qids = qb["qid"].to_numpy(dtype=np.int64)
+            if metric == "l2":
+                key = np.einsum("ij,ij->i", qm, qm)[:, None] - 2.0 * (qm @ cm.T) + c2[None, :]
+            elif metric == "cosine":
+                qn = np.linalg.norm(qm, axis=1)
+                qn[qn == 0] = 1.0
+                key = -((qm / qn[:, None]) @ cmn.T)
+            else:
+                key = -(qm @ cm.T)
+            if exclude_self:
+                key[qids[:, None] == cids[None, :]] = np.inf
+            m = min(keep, key.shape[1])
+            part = np.argpartition(key, m - 1, axis=1)[:, :m]
+            rows = np.repeat(np.arange(len(qids)), m)
+            cols = part.ravel()
+            ok = np.isfinite(key[rows, cols])
+            rows, cols = rows[ok], cols[ok]
+            sc = _exact_scores(metric, qm[rows], cm[cols])
+            out.append(pd.DataFrame({"qid": qids[rows], "cid": cids[cols], "score": sc}))
+        return pd.concat(out, ignore_index=True) if out else empty
+
     qp = (q.select("qid", F.col("vec").alias("qvec"), F.explode("cells").alias("cell"))
           .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))))
-    j = qp.join(corpus_cells, ["cell", "salt"])
-    if exclude_self:
-        j = j.where(F.col("qid") != F.col("cid"))
-    return j.select("qid", "cid", V.score(metric, "qvec", "vec").alias("score"))
+    return (qp.groupBy("cell", "salt")
+            .cogroup(corpus_cells.groupBy("cell", "salt"))
+            .applyInPandas(best, "qid long, cid long, score double"))
 
 
 def knn(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "l2",
@@ -208,7 +269,7 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "l2",
         index.set_radii(assigned)
     corpus_cells = assigned.select("cell", "salt", "cid", "vec")
     q = queries.select("qid", "vec").withColumn("cells", index.probes(nprobe)("vec"))
-    first = _top_k(_probe_join(q, corpus_cells, salts, metric, exclude_self), k, metric)
+    first = _top_k(_probe_join(q, corpus_cells, salts, metric, exclude_self, k), k, metric)
     if not exact:
         return first.select("qid", "cid", "score", "rank")
     worst = F.max("score") if V.ASCENDING[metric] else F.min("score")
@@ -217,7 +278,7 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "l2",
     q2 = (q.join(tau, "qid", "left")
           .withColumn("cells", index.refine()("vec", "tau", "cells"))
           .where(F.size("cells") > 0))
-    second = _probe_join(q2, corpus_cells, salts, metric, exclude_self)
+    second = _probe_join(q2, corpus_cells, salts, metric, exclude_self, k)
     both = first.select("qid", "cid", "score").unionByName(second)
     return _top_k(both, k, metric).select("qid", "cid", "score", "rank")
 
