@@ -8,26 +8,23 @@ from pyspark.sql import Window
 
 from .. import config as C
 from . import knn as K
+from . import pairs as P
 
 
 def coauthor_edges(authorship: DataFrame, top: int = C.COAUTHOR_TOP,
-                   focus: DataFrame | None = None) -> DataFrame:
+                   focus: DataFrame | None = None, hot: int = P.DEFAULT_HOT) -> DataFrame:
     """Top collaborators per scholar -> (f, t, w, rk).
 
     ``w`` is the number of shared papers; the cut keeps ``top`` per ``f`` by
-    ``w desc, t``. With ``focus`` only those scholars' edges are built (the
-    left side of the self-join is semi-joined first). Pair counts are
-    aggregated map-side before the shuffle on ``(f, t)``.
+    ``w desc, t``. With ``focus`` only those scholars' edges are built.
+    Papers with more than ``hot`` authors never emit all their pairs (see
+    :mod:`citeflow.operators.pairs`).
     """
-    left = authorship.select("paper_id", F.col("author_id").alias("f"))
-    if focus is not None:
-        left = left.join(focus.select(F.col("author_id").alias("f")).distinct(), "f", "left_semi")
-    right = authorship.select("paper_id", F.col("author_id").alias("t"))
-    pairs = (left.join(right, "paper_id").where(F.col("f") != F.col("t"))
-             .groupBy("f", "t").agg(F.count(F.lit(1)).alias("w")))
-    w = Window.partitionBy("f").orderBy(F.col("w").desc(), F.col("t").asc())
-    return (pairs.withColumn("rk", F.row_number().over(w).cast("bigint"))
-            .where(F.col("rk") <= top))
+    m = authorship.select(F.col("paper_id").alias("g"), F.col("author_id").alias("m"))
+    fm = focus.select(F.col("author_id").alias("m")) if focus is not None else None
+    top_pairs = P.pair_topk(m, top, group_weight="one", hot=hot, focus=fm)
+    return top_pairs.select(F.col("a").alias("f"), F.col("b").alias("t"),
+                            F.col("W").cast("bigint").alias("w"), "rk")
 
 
 def similar_edges(scholar_vec: DataFrame, top: int = C.SIMILAR_TOP,
