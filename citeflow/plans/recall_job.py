@@ -71,9 +71,14 @@ def q_scholar_papers_scored(spark, sf):
 
 
 def _author_index(fx: Fixtures, pool: DataFrame) -> DataFrame:
-    """A1: author -> sorted set of pool papers."""
+    """Author -> set of pool papers, kept as an edge table.
+
+    One row per (author, paper) with the author's paper count; a prolific
+    author's set is never gathered into a single array (or task).
+    """
     pairs = recall.scholar_papers(fx.authorship(), pool)
-    return pairs.groupBy("author_id").agg(F.array_sort(F.collect_set("paper_id")).alias("papers"))
+    n = pairs.groupBy("author_id").agg(F.count(F.lit(1)).alias("n_papers"))
+    return pairs.join(n, "author_id")
 
 
 def q_author_index_high(spark, sf):
@@ -203,8 +208,12 @@ ORACLE = {
     "follow_of_active": "SELECT user_id, author_id FROM follow WHERE user_id IN (SELECT user_id FROM active)",
     "scholar_papers": "SELECT DISTINCT author_id, paper_id FROM authorship WHERE paper_id IN (SELECT paper_id FROM pool_high)",
     "scholar_papers_scored": "SELECT author_id, paper_id, score, n_citation FROM cand WHERE pool = 'latest'",
-    "author_index_high": "SELECT author_id, list_sort(list(DISTINCT paper_id)) AS papers FROM authorship WHERE paper_id IN (SELECT paper_id FROM pool_high) GROUP BY author_id",
-    "author_index_latest": "SELECT author_id, list_sort(list(DISTINCT paper_id)) AS papers FROM authorship WHERE paper_id IN (SELECT paper_id FROM pool_latest) GROUP BY author_id",
+    "author_index_high": """
+        SELECT author_id, paper_id, COUNT(*) OVER (PARTITION BY author_id) AS n_papers
+        FROM authorship WHERE paper_id IN (SELECT paper_id FROM pool_high)""",
+    "author_index_latest": """
+        SELECT author_id, paper_id, COUNT(*) OVER (PARTITION BY author_id) AS n_papers
+        FROM authorship WHERE paper_id IN (SELECT paper_id FROM pool_latest)""",
     "coauthor_edges": "SELECT f, t, w, rk FROM coauthor",
     "similar_edges": "SELECT f, t, ROUND(sim, 9) AS sim, rk FROM sim_edges",
     "recall_followed": f"SELECT {_FLAT.format(d=_D)} FROM lists_followed",
