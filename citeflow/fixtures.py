@@ -10,11 +10,9 @@ follow FIXTURES.md section 2, with the vector roles taken from the data
 from __future__ import annotations
 
 import datetime as _dt
-from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from . import config as C
 
@@ -126,19 +124,18 @@ class Fixtures:
         extra = self.spark.createDataFrame([("economy",)], "word string")
         return names.unionByName(extra).distinct()
 
-    def label_pool(self) -> DataFrame:
-        """label_pool(pool, paper_id): three pools of parts, overlaps kept."""
-        k = F.col("p_partkey")
-        p = self.table("part").select(k.alias("paper_id"))
-        return (p.where(k % 5 == 0).select(F.lit("high").alias("pool"), "paper_id")
-                .unionByName(p.where(k % 7 == 0).select(F.lit("latest").alias("pool"), "paper_id"))
-                .unionByName(p.where(k % 11 == 0).select(F.lit("scholar").alias("pool"), "paper_id")))
-
     # ---- vectors ----------------------------------------------------------------
-    def vec(self) -> DataFrame:
-        """vec(pid, embedding, ts, label): vectors stamped with their order date."""
+    def vec(self, since: _dt.date | None = None) -> DataFrame:
+        """vec(pid, embedding, ts, label): vectors stamped with their order date.
+
+        ``since`` keeps vectors stamped on or after that day; the predicate is
+        on the raw timestamp column, so it reaches the parquet scan.
+        """
         e = self.table("embeddings")
-        o = self.table("orders").select(
+        o = self.table("orders")
+        if since is not None:
+            o = o.where(F.col("o_orderdate") >= F.lit(since).cast("timestamp"))
+        o = o.select(
             F.col("o_orderkey").alias("pid"),
             F.unix_timestamp("o_orderdate").alias("ts"))
         return e.select(F.col("vec_id").alias("pid"), "embedding", "label").join(o, "pid")

@@ -30,9 +30,8 @@ def _since(as_of: _dt.date, days: int):
 
 def corpus(fx: Fixtures, recent_days: int | None = None) -> DataFrame:
     """``(cid, vec)``; with ``recent_days`` only vectors stamped in that span."""
-    v = fx.vec()
-    if recent_days is not None:
-        v = v.where(F.col("ts") >= _since(fx.as_of, recent_days))
+    since = None if recent_days is None else fx.as_of - _dt.timedelta(days=recent_days)
+    v = fx.vec(since)
     return v.select(F.col("pid").alias("cid"), F.col("embedding").alias("vec"))
 
 
