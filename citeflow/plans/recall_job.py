@@ -146,7 +146,9 @@ def q_followed_names(spark, sf):
 def recall_user_flat(fx: Fixtures, users: DataFrame | None = None) -> DataFrame:
     """B1 flat: active user -> followed scholar (named) -> enriched lists."""
     users = fx.active() if users is None else users
-    follows = recall.followed_names(fx.follow().join(users, "user_id", "left_semi"), fx.author())
+    # small (followed scholars of the users); reused by every branch of the plan
+    follows = recall.followed_names(fx.follow().join(users, "user_id", "left_semi"),
+                                    fx.author()).persist()
     focus = follows.select(F.col("followed_id").alias("author_id")).distinct()
     rows = _enriched(fx, focus)
     return follows.join(rows, "followed_id")

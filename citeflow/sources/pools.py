@@ -30,15 +30,18 @@ def _empty(spark: SparkSession, ddl: str) -> DataFrame:
 
 def _exists(spark: SparkSession, path: str) -> bool:
     """True when ``path`` can be listed (a missing pool is not an error)."""
+    return _load(spark, path) is not None
+
+
+def _load(spark: SparkSession, path: str, **options) -> DataFrame | None:
+    """The text scan of ``path`` (listed once), or None when it does not exist."""
     try:
-        spark.read.format("text").load(path).schema
-        return True
+        return spark.read.format("text").options(**options).load(path)
     except AnalysisException:
-        return False
+        return None
 
 
-def _text(spark: SparkSession, path: str, start=None, end=None) -> DataFrame:
-    df = spark.read.format("text").load(path)
+def _text(df: DataFrame, start=None, end=None) -> DataFrame:
     if "day" in df.columns and (start is not None or end is not None):
         day = F.col("day").cast("date")
         if start is not None:
@@ -51,9 +54,10 @@ def _text(spark: SparkSession, path: str, start=None, end=None) -> DataFrame:
 def read_latest(spark: SparkSession, path: str, start: _dt.date | None = None,
                 end: _dt.date | None = None) -> DataFrame:
     """S3: ``(paper_id, day)`` of the latest-paper pool; absent path -> empty."""
-    if not _exists(spark, path):
+    df = _load(spark, path)
+    if df is None:
         return _empty(spark, "paper_id string, day date")
-    t = _text(spark, path, start, end)
+    t = _text(df, start, end)
     rec = F.from_json("value", "pub_id string")
     return (t.select(rec["pub_id"].alias("paper_id"), F.col("day").cast("date").alias("day"))
             .where(F.col("paper_id").isNotNull()))
@@ -62,9 +66,10 @@ def read_latest(spark: SparkSession, path: str, start: _dt.date | None = None,
 def read_scholar(spark: SparkSession, path: str, start: _dt.date | None = None,
                  end: _dt.date | None = None) -> DataFrame:
     """``(scholar_id, paper_id, day)``; an event's id is ``pub_id`` or ``event_pub_id``."""
-    if not _exists(spark, path):
+    df = _load(spark, path)
+    if df is None:
         return _empty(spark, "scholar_id string, paper_id string, day date")
-    t = _text(spark, path, start, end)
+    t = _text(df, start, end)
     m = t.select(F.from_json("value", SCHOLAR_SCHEMA).alias("m"),
                  F.col("day").cast("date").alias("day"))
     ev = m.select(F.explode("m").alias("scholar_id", "evs"), "day") \
@@ -75,9 +80,9 @@ def read_scholar(spark: SparkSession, path: str, start: _dt.date | None = None,
 
 def read_high(spark: SparkSession, path: str) -> DataFrame:
     """``(paper_id)`` of the high-cited pool file; rows without ``_id`` skipped."""
-    if not _exists(spark, path):
+    t = _load(spark, path)
+    if t is None:
         return _empty(spark, "paper_id string")
-    t = spark.read.format("text").load(path)
     return (t.select(F.from_json("value", "`_id` string")["_id"].alias("paper_id"))
             .where(F.col("paper_id").isNotNull()))
 
