@@ -84,11 +84,15 @@ def recall_lists(authorship: DataFrame, paper: DataFrame, pools: dict[str, DataF
     if focus is not None:
         focus = focus.select(F.col("author_id").alias("f")).distinct()
         edge_sets = [(lab, e.join(focus, "f", "left_semi")) for lab, e in edge_sets]
+    # edge sets are small (at most 10 per scholar) and feed every pool and the
+    # scholar filter below: materialise them once (recomputable if lost)
+    edge_sets = [(lab, e.persist()) for lab, e in edge_sets]
+    if focus is not None:
         # scholars whose own cut list is needed: the focus and their expansions
         needed = focus.select(F.col("f").alias("author_id"))
         for _, e in edge_sets:
             needed = needed.unionByName(e.select(F.col("t").alias("author_id")))
-        needed = needed.distinct()
+        needed = needed.distinct().persist()
     else:
         needed = None
 
