@@ -15,12 +15,12 @@ from ..functions.vector import concat_vectors
 from ..operators import cf, incremental as INC
 from ..operators import tfidf as TF
 from ..operators.embed import HashingEmbedder
-from ..session import scratch_path
+from ..session import mark_ready, reusable_path, scratch_path
 from ..sinks.nested import write_recall_json
 from ..sources import papers as SP
 from . import label_job, recall_job, search_job, text_job
 
-_PAPERS: dict[tuple[int, str], str] = {}
+_PAPERS: dict[tuple[str, str], str] = {}
 
 
 def paper_records(fx: Fixtures) -> DataFrame:
@@ -47,11 +47,10 @@ def paper_files(spark: SparkSession, sf: str) -> str:
     first: papers of orders before 2000; second: the rest, plus the English
     papers of the first delivery sent again (they win as later records).
     """
-    key = (id(spark), sf)
-    if key in _PAPERS:
-        return _PAPERS[key]
+    root, ready = reusable_path(spark, f"papers-{sf}", _PAPERS)
+    if ready:
+        return root
     fx = Fixtures(spark, sf)
-    root = scratch_path(spark, "papers")
     rec = paper_records(fx).persist()
     cols = ["_id", "id_of_mysql", "ts", "title", "abstract", "keywords", "venue", "authors", "affiliations"]
     first = rec.where(F.col("year") < 2000)
@@ -63,7 +62,7 @@ def paper_files(spark: SparkSession, sf: str) -> str:
         F.expr("substring(to_json(struct(_id, id_of_mysql, ts)), 1, 20)").alias("value"))
     torn.write.mode("overwrite").text(f"{root}/3")
     rec.unpersist()
-    _PAPERS[key] = root
+    mark_ready(spark, root)
     return root
 
 

@@ -21,12 +21,12 @@ from .. import config as C
 from ..fixtures import Fixtures
 from ..functions.text import day_tag, format_keyword
 from ..operators import label as L
-from ..session import scratch_path
+from ..session import mark_ready, reusable_path, scratch_path
 from ..sources import pools as P
 from ..sources import vocab as VS
 
 RUN_TS = _dt.datetime(2001, 8, 1, 0, 0, 0)
-_WRITTEN: dict[tuple[int, str], str] = {}
+_WRITTEN: dict[tuple[str, str], str] = {}
 
 
 def part_day(fx: Fixtures) -> DataFrame:
@@ -40,11 +40,10 @@ def part_day(fx: Fixtures) -> DataFrame:
 
 def label_inputs(spark: SparkSession, sf: str) -> str:
     """Write the derived pool files, vocabulary and subject index; return their root."""
-    key = (id(spark), sf)
-    if key in _WRITTEN:
-        return _WRITTEN[key]
+    root, ready = reusable_path(spark, f"label-inputs-{sf}", _WRITTEN)
+    if ready:
+        return root
     fx = Fixtures(spark, sf)
-    root = scratch_path(spark, "label-inputs")
     part = fx.table("part")
     (part.where(F.col("p_size") >= 41)
      .select(F.to_json(F.struct(F.col("p_partkey").cast("string").alias("_id"),
@@ -70,7 +69,7 @@ def label_inputs(spark: SparkSession, sf: str) -> str:
     lines.repartition("day").write.mode("overwrite").partitionBy("day").text(f"{root}/scholar")
     VS.write_vocab(fx.vocab(), f"{root}/vocab")
     VS.write_subject_index(fx.subject(), f"{root}/subject_index")
-    _WRITTEN[key] = root
+    mark_ready(spark, root)
     return root
 
 

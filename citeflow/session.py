@@ -40,18 +40,24 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     return spark
 
 
+_LOCAL_FALLBACK: list[str] = []
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as
-    is. Only when it is unset (local tests) a fresh scratch folder is made.
+    is. Only when it is unset (local tests) one scratch folder per process is
+    made and reused by later sessions of the same process.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
     conf = spark.conf.get("spark.checkpoint.dir", None)
     path = current or conf
     if not path:
-        path = tempfile.mkdtemp(prefix="citeflow-ckpt-")
+        if not _LOCAL_FALLBACK:
+            _LOCAL_FALLBACK.append(tempfile.mkdtemp(prefix="citeflow-ckpt-"))
+        path = _LOCAL_FALLBACK[0]
         spark.conf.set("spark.checkpoint.dir", path)
     if not current:
         sc.setCheckpointDir(path)
@@ -66,6 +72,35 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
 
 
+def reusable_path(spark: SparkSession, name: str, written: dict) -> tuple[str, bool]:
+    """A derived-input folder keyed by (name, checkpoint folder).
+
+    Returns ``(path, ready)``; ``ready`` is True when an earlier call of this
+    process already wrote it completely (its marker folder is readable).
+    """
+    base = ensure_checkpoint_dir(spark)
+    key = (name, base)
+    if key in written and _is_ready(spark, written[key]):
+        return written[key], True
+    path = scratch_path(spark, name.replace("/", "_"))
+    written[key] = path
+    return path, False
+
+
+def _is_ready(spark: SparkSession, path: str) -> bool:
+    from pyspark.errors import AnalysisException
+    try:
+        return spark.read.text(f"{path}-ready").count() > 0
+    except AnalysisException:
+        return False
+
+
+def mark_ready(spark: SparkSession, path: str) -> None:
+    """Write the completion marker of ``path`` (a sibling folder, via Spark)."""
+    spark.createDataFrame([("ready",)], "value string").coalesce(1) \
+         .write.mode("overwrite").text(f"{path}-ready")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared folder (never a local checkpoint)."""
     ensure_checkpoint_dir(df.sparkSession)
