@@ -53,7 +53,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     current = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
     conf = spark.conf.get("spark.checkpoint.dir", None)
-    path = current or conf
+    # the configured folder, not the per-context subfolder setCheckpointDir adds
+    path = conf or current
     if not path:
         if not _LOCAL_FALLBACK:
             _LOCAL_FALLBACK.append(tempfile.mkdtemp(prefix="citeflow-ckpt-"))
