@@ -52,7 +52,10 @@ def label_inputs(spark: SparkSession, sf: str) -> str:
     latest = (part.where(F.col("p_type") == "PROMO").join(part_day(fx), "p_partkey")
               .select(F.to_json(F.struct(F.col("p_partkey").cast("string").alias("pub_id"),
                                          F.col("p_name").alias("title"))).alias("value"), "day"))
-    latest.repartition("day").write.mode("overwrite").partitionBy("day").text(f"{root}/latest")
+    # an explicit count keeps one writer per shuffle partition (AQE would
+    # otherwise coalesce this small shuffle into a single writing task)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    latest.repartition(n, "day").write.mode("overwrite").partitionBy("day").text(f"{root}/latest")
     li = fx.table("lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
     urgent = fx.table("orders").where(F.col("o_orderpriority") == "1-URGENT").select(
         F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").cast("string").alias("scholar"),
@@ -66,7 +69,7 @@ def label_inputs(spark: SparkSession, sf: str) -> str:
                              F.col("l_partkey").cast("string").alias("event_pub_id"))).alias("e"))
     lines = (ev.groupBy("scholar", "day").agg(F.collect_list("e").alias("evs"))
              .select(F.to_json(F.create_map("scholar", "evs")).alias("value"), "day"))
-    lines.repartition("day").write.mode("overwrite").partitionBy("day").text(f"{root}/scholar")
+    lines.repartition(n, "day").write.mode("overwrite").partitionBy("day").text(f"{root}/scholar")
     VS.write_vocab(fx.vocab(), f"{root}/vocab")
     VS.write_subject_index(fx.subject(), f"{root}/subject_index")
     mark_ready(spark, root)
