@@ -53,13 +53,19 @@ class Fixtures:
                 .distinct())
 
     def author(self) -> DataFrame:
-        """author(author_id, name_en, name_zh); some names absent."""
-        s = self.table("supplier")
-        k = F.col("s_suppkey")
-        return s.select(
-            k.alias("author_id"),
-            F.when(k % 7 != 0, F.col("s_name")).alias("name_en"),
-            F.when(k % 5 != 0, F.concat(F.lit("ZH-"), F.col("s_name"))).alias("name_zh"))
+        """author(author_id, name_en, name_zh): names present or absent by the data.
+
+        An English name for suppliers in good standing (``s_acctbal >= 0``), a
+        Chinese name for suppliers in the ASIA region; some have neither.
+        """
+        s = self.table("supplier").select("s_suppkey", "s_name", "s_acctbal", "s_nationkey")
+        n = self.table("nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_regionkey")
+        r = self.table("region").select(F.col("r_regionkey").alias("n_regionkey"), "r_name")
+        j = s.join(n, "s_nationkey", "left").join(r, "n_regionkey", "left")
+        return j.select(
+            F.col("s_suppkey").alias("author_id"),
+            F.when(F.col("s_acctbal") >= 0, F.col("s_name")).alias("name_en"),
+            F.when(F.col("r_name") == "ASIA", F.concat(F.lit("ZH-"), F.col("s_name"))).alias("name_zh"))
 
     def follow(self) -> DataFrame:
         """follow(user_id, author_id): sign-up events name a followed scholar."""

@@ -40,10 +40,11 @@ VIEWS: dict[str, str] = {
           ON o.o_orderkey = q.l_orderkey""",
     "authorship": "SELECT DISTINCT l_orderkey AS paper_id, l_suppkey AS author_id FROM lineitem",
     "author": """
-        SELECT s_suppkey AS author_id,
-               CASE WHEN s_suppkey % 7 <> 0 THEN s_name END AS name_en,
-               CASE WHEN s_suppkey % 5 <> 0 THEN 'ZH-' || s_name END AS name_zh
-        FROM supplier""",
+        SELECT s.s_suppkey AS author_id,
+               CASE WHEN s.s_acctbal >= 0 THEN s.s_name END AS name_en,
+               CASE WHEN r.r_name = 'ASIA' THEN 'ZH-' || s.s_name END AS name_zh
+        FROM supplier s LEFT JOIN nation n ON n.n_nationkey = s.s_nationkey
+        LEFT JOIN region r ON r.r_regionkey = n.n_regionkey""",
     "follow": """
         SELECT DISTINCT user_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS author_id
         FROM events

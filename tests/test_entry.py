@@ -17,7 +17,7 @@ def test_every_oracle_has_a_query():
 def test_oracle_runs_in_duckdb_for_a_sample():
     import duckdb
     con = duckdb.connect()
-    for t in ("supplier", "lineitem", "orders", "events", "part", "embeddings", "documents", "labels", "customer", "nation"):
+    for t in ("supplier", "lineitem", "orders", "events", "part", "embeddings", "documents", "labels", "customer", "nation", "region"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('/root/testdata/sf0.001/{t}.parquet')")
     o = E.oracle_sql()
     for name in ("recall_followed", "label_strong_match", "knn_multi", "tfidf_weights", "cf_topk"):
