@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from ..functions.vector import normalize
+from ..session import ship_package
 
 
 class Embedder:
@@ -68,6 +69,7 @@ class PandasEmbedder(Embedder):
         raise NotImplementedError
 
     def transform(self, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+        ship_package(df.sparkSession)
         id_type = df.schema[id_col].dataType.simpleString()
         plugin = self
 

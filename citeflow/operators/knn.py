@@ -32,6 +32,7 @@ from pyspark.sql import Window
 from pyspark.sql.functions import pandas_udf
 
 from ..functions import vector as V
+from ..session import ship_package
 
 _EPS = 1e-9
 
@@ -258,6 +259,7 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "l2",
         salts: int | None = None) -> DataFrame:
     """k nearest corpus vectors of every query -> (qid, cid, score, rank)."""
     spark = corpus.sparkSession
+    ship_package(spark)
     if salts is None:
         salts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
     corpus = corpus.select("cid", "vec")
@@ -295,6 +297,8 @@ def knn_lsh(queries: DataFrame, corpus: DataFrame, k: int, bucket_length: float
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
+    ship_package(corpus.sparkSession)
+
     cn = corpus.select("cid", V.normalize("vec").alias("nvec"))
     qn = queries.select("qid", V.normalize("vec").alias("nvec"))
     model = BucketedRandomProjectionLSH(inputCol="feat", outputCol="h",

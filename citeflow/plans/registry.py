@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import ship_package
 from .oracle_views import with_views
 
 _MODULES = (
@@ -19,10 +20,21 @@ _MODULES = (
 )
 
 
+def _shipped(fn: Callable) -> Callable:
+    """The query, with the package made importable in the Python workers first."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return fn(spark, sf_dir)
+    run.__name__ = getattr(fn, "__name__", "query")
+    run.__doc__ = fn.__doc__
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out: dict[str, Callable] = {}
     for m in _MODULES:
-        out.update(importlib.import_module(m).QUERIES)
+        for k, fn in importlib.import_module(m).QUERIES.items():
+            out[k] = _shipped(fn)
     return out
 
 

@@ -116,3 +116,36 @@ def fits(df: DataFrame, max_rows: int) -> bool:
     fixed by construction.
     """
     return df.limit(max_rows + 1).count() <= max_rows
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make the ``citeflow`` package importable in the Python workers.
+
+    Pandas UDFs and ``mapInPandas`` / ``applyInPandas`` functions refer to
+    package code; the package is zipped once per application and added with
+    ``SparkContext.addPyFile``, which distributes it to every executor (the
+    equivalent of ``--py-files`` when the job was not submitted with it).
+    """
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    import zipfile
+
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg_dir)
+    fd, path = tempfile.mkstemp(prefix="citeflow-pkg-", suffix=".zip")
+    os.close(fd)
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _, files in os.walk(pkg_dir):
+            if "__pycache__" in dirpath:
+                continue
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(path)
+    _SHIPPED.add(app)
