@@ -37,7 +37,9 @@ from . import common as C
 
 CAPACITY = 4096
 END = 1
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000       # about 200 bytes each
+WORD_END, RUN = "</w>", 2000     # the mark of a word's last id in the vocabulary; words per text
+_STOPS = frozenset(".,;:!?")
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, place long"
 
 
@@ -47,31 +49,74 @@ def default_vocabulary() -> str:
 
 
 class WordIds:
-    """Token ids of texts as bytes (little-endian, 4 bytes an id), by a bounded cache of words."""
+    """Token ids of texts as bytes (little-endian, 4 bytes an id), by a bounded cache of words.
+
+    The cache holds the first ``cache_words`` words that the worker met, which the
+    frequent ones are among, and outlives a task as the worker does.
+    """
 
     def __init__(self, vocabulary: str, cache_words: int = CACHE_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(vocabulary)
+        vocab = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends_word[[i for t, i in vocab.items() if t.endswith(WORD_END)]] = True
         self.cache: dict[bytes, bytes] = {}
         self.cache_words = cache_words
 
+    def _encoded(self, words: list[str]) -> list[bytes]:
+        got = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        return [np.asarray(g.ids, "<u4").tobytes() for g in got]
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Encodes new words. Words of letters, or letters and one stop, are encoded many in one text:
+        the tokenizer makes one and two parts of them, and the last id of a part is marked in the vocabulary."""
+        texts = [w.decode("utf-8", "replace") for w in words]
+        parts = [_parts(t) if self.ends_word.any() else 0 for t in texts]
+        plain = [k for k, n in enumerate(parts) if n]
+        runs = [plain[a:a + RUN] for a in range(0, len(plain), RUN)]
+        other = [k for k, n in enumerate(parts) if not n]
+        for some, raw in zip(runs, self._encoded([" ".join([texts[k] for k in some]) for some in runs])):
+            ends = np.flatnonzero(self.ends_word[np.frombuffer(raw, "<u4")]) + 1
+            last = np.cumsum([parts[k] for k in some])
+            if ends.size != last[-1]:                       # not as foreseen: one by one
+                other += some
+                continue
+            ends = (4 * ends[last - 1]).tolist()
+            self.cache.update((words[k], raw[x:y]) for k, x, y in zip(some, [0, *ends[:-1]], ends))
+        self.cache.update(zip([words[k] for k in other], self._encoded([texts[k] for k in other])))
+
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         words = [t.split() for t in texts]
-        if len(self.cache) > self.cache_words:
-            self.cache.clear()
         new = list(set().union(*words) - self.cache.keys()) if words else []
-        for k in range(0, len(new), 50_000):
-            some = new[k:k + 50_000]
-            got = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)
-            self.cache.update((w, np.asarray(g.ids, "<u4").tobytes()) for w, g in zip(some, got))
+        self._learn(new)
         find = self.cache.__getitem__
-        return [b"".join(map(find, w)) for w in words]
+        out = [b"".join(map(find, w)) for w in words]
+        for w in new[:max(0, len(self.cache) - self.cache_words)]:
+            del self.cache[w]
+        return out
+
+
+def _parts(word: str) -> int:
+    """1 for letters, 2 for letters and a stop, else 0 (also where lower case is no letter)."""
+    stop = word[-1:] in _STOPS
+    return (1 + stop) if (word[:-1] if stop else word).isalpha() and word.lower()[:len(word) - stop].isalpha() else 0
+
+
+_known: dict[str, WordIds] = {}
+
+
+def word_ids(vocabulary: str) -> WordIds:
+    """The worker's own encoder."""
+    if vocabulary not in _known:
+        _known[vocabulary] = WordIds(vocabulary)
+    return _known[vocabulary]
 
 
 def _pieces(vocabulary: str, capacity: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = WordIds(vocabulary)
+        ids_of = word_ids(vocabulary)
         tail = np.asarray([end], "<u4").tobytes()
         seen = np.zeros(capacity + 1, np.int64)
         task = TaskContext.get().partitionId()
