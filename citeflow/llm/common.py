@@ -163,3 +163,18 @@ def maybe_in(df: DataFrame, key: str, bits: DataFrame) -> DataFrame:
     out = df.withColumn("__at", block).withColumn("__bit", bit)
     return out.join(b, (F.col("__at") == F.col("__block"))
                     & (F.expr("__bits & shiftleft(1L, __bit)") != 0), "left_semi").select(*df.columns)
+
+
+# ---- labelled samples --------------------------------------------------------------
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold: int, held_out: int, rows: int,
+                    name: str) -> DataFrame:
+    """(label, text) of at most ``rows`` labelled documents outside the held-out fold, the first by
+    a hash of the id; the chosen ids are that many, so their broadcast is bounded."""
+    chosen = (pick(labels, doc_id="long", **{label: "int"})
+              .where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (crc_mod(F.col("doc_id"), fold) != held_out))
+              .select(F.col("doc_id").alias("id"), F.col(label).alias("label")).distinct()
+              .orderBy(F.md5(F.col("id").cast("string").cast("binary")), "id", "label").limit(rows))
+    chosen = scratch(chosen, name + "-ids")
+    d = pick(docs, doc_id="long", text="string")
+    return scratch(d.join(F.broadcast(chosen), F.col("doc_id") == F.col("id"))
+                    .select("label", F.coalesce("text", F.lit("")).alias("text")), name)

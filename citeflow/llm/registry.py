@@ -5,7 +5,8 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-_MODULES = ("language_id", "exact_dedup", "mixing", "packing", "minhash_dedup")
+_MODULES = ("language_id", "exact_dedup", "mixing", "packing", "toxicity", "quality", "lm_scoring", "minhash_dedup",
+            "order_minhash")
 
 
 def _modules():
