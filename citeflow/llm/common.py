@@ -45,6 +45,17 @@ def scratch(df: DataFrame, name: str, *parts: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, lengthened until the columns don't have them."""
+    have = {c.lower() for c in columns}
+    out = []
+    for n in names:
+        while n.lower() in have:
+            n += "_"
+        out.append(n)
+    return out
+
+
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; null ids count as the empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(n))

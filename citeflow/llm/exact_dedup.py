@@ -114,10 +114,11 @@ def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256,
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the rows of ``docs`` that exact deduplication keeps, all columns as they are."""
+    key, gone_id, gone_sha = C.unused(docs.columns, "key", "gone_id", "gone_sha")
     gone = exact_dedup(docs).where("not kept").select(
-        F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
-    return docs.withColumn("__key", sha256(normalised(F.col("text").cast("string")))).join(
-        gone, (F.col("doc_id") == F.col("__id")) & (F.col("__key") == F.col("__sha")), "left_anti").drop("__key")
+        F.col("doc_id").alias(gone_id), F.col("text_sha256").alias(gone_sha)).distinct()
+    return docs.withColumn(key, sha256(normalised(F.col("text").cast("string")))).join(
+        gone, (F.col("doc_id") == F.col(gone_id)) & (F.col(key) == F.col(gone_sha)), "left_anti").drop(key)
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

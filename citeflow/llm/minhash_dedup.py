@@ -372,9 +372,9 @@ def _open_families(star: DataFrame, comp: DataFrame) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each near-duplicate group stays (5 words, 0.8), with all columns."""
-    gone = near_duplicates(docs).where("not kept and doc_id is not null").select(
-        F.col("doc_id").alias("__id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__id"), "left_anti")
+    (gone_id,) = C.unused(docs.columns, "gone_id")
+    gone = near_duplicates(docs).where("not kept and doc_id is not null").select(F.col("doc_id").alias(gone_id)).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col(gone_id), "left_anti")
 
 
 def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
