@@ -34,14 +34,16 @@ def pick(docs: DataFrame, **types: str) -> DataFrame:
                          for c, t in types.items()])
 
 
-def scratch(df: DataFrame, name: str, *parts: str) -> DataFrame:
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh, unique path under the shared folder, with its scheme."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{scratch_path(spark, name).rpartition('/')[2]}"
+
+
+def scratch(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back."""
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    base = spark.conf.get("spark.checkpoint.dir")
-    path = f"{base.rstrip('/')}/{scratch_path(spark, name).rpartition('/')[2]}"
-    w = df.write.mode("overwrite")
-    (w.partitionBy(*parts) if parts else w).parquet(path)
+    path = shared_path(spark, name)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

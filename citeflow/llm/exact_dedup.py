@@ -26,7 +26,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir, scratch_path
 from . import common as C
 
 _STATE_CONF = {
@@ -81,14 +80,11 @@ def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256,
                 state_dir: str | None = None) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, locator (of the row kept)."""
     spark = docs.sparkSession
-    ensure_checkpoint_dir(spark)
-    base = spark.conf.get("spark.checkpoint.dir").rstrip("/")
-    fresh = lambda name: f"{base}/{scratch_path(spark, name).rpartition('/')[2]}"
-    feed_dir = fresh("exact-feed")
+    feed_dir = C.shared_path(spark, "exact-feed")
     hashed = _hashed(docs, digest)
     hashed.select("doc_id", "digest", "text_sha256", "locator").write.parquet(feed_dir)
     feed = spark.read.schema(FEED_SCHEMA).parquet(feed_dir)
-    state = run_state(spark, feed_dir, state_dir or fresh("exact-stream"))
+    state = run_state(spark, feed_dir, state_dir or C.shared_path(spark, "exact-stream"))
 
     hits = C.bitmap(state.where("group_size > 1"), "digest")
     at_hits = C.maybe_in(hashed, "digest", hits)

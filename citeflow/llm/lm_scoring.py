@@ -31,6 +31,7 @@ Without training text every probability is 1 / (V + 1) = 1, so scores are 0.
 from __future__ import annotations
 
 import os
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -40,7 +41,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir, scratch_path
 from . import common as C
 
 FOLD = 10
@@ -381,12 +381,10 @@ class Model:
 
 
 def _folder(spark: SparkSession) -> str:
-    base = ensure_checkpoint_dir(spark)
-    scheme, _, rest = base.rpartition("://")
-    if scheme not in ("", "file"):
-        raise ValueError(f"the model's files need a folder that all workers mount, not {base}: pass folder=")
-    path = scratch_path(spark, "kneser-ney")
-    return "/" + path.lstrip("/")
+    path = C.shared_path(spark, "kneser-ney")
+    if not re.match(r"file:|/", path):
+        raise ValueError(f"the model's files need a folder that all workers mount, not {path}: pass folder=")
+    return re.sub(r"^file:/*", "/", path)
 
 
 def train(texts: DataFrame, folder: str | None = None) -> Model:

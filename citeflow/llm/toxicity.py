@@ -3,6 +3,9 @@
 * Lexicon. Words that toxic training texts use far more than others do (smoothed
   log-odds of document frequencies, counted once per different text), from at most
   TRAIN labelled rows (a documented bound, chosen by a hash of the id).
+  Stems count as terms too (the first 4 to 6 letters of several longer words, written
+  with a ``*``), so that inflected and compound forms are found that no training text
+  has; a stem takes more evidence and no misspelling.
 * Automaton. The lexicon is a trie; a state is the set of (trie node, edits so far)
   that Levenshtein automata of all its terms can be in after a prefix, so reading a
   word once finds every term within its edit distance (1 from 5 letters, 2 from
@@ -38,6 +41,7 @@ TRAIN = 20_000
 MAX_TERMS = 5_000
 MIN_TEXTS = 3               # toxic training texts that use a term
 MIN_LOG_ODDS = 3.0
+STEMS, STEM_TEXTS, STEM_LOG_ODDS = (4, 5, 6), 5, 4.0
 THRESHOLD = 0.7
 WINDOW = 6
 QUOTED, MISSPELLED = 0.25, 0.7
@@ -61,13 +65,14 @@ class FuzzyLexicon:
     def __init__(self, terms: dict[str, float], exact_only: frozenset[str] = frozenset(), max_moves: int = 1 << 18):
         self.terms = list(terms)
         self.weights = [terms[t] for t in self.terms]
-        self.limit = [0 if t in exact_only else self.edits(t) for t in self.terms]
+        self.limit = [0 if t in exact_only or t[-1] == "*" else self.edits(t) for t in self.terms]
         self.children: list[dict[str, int]] = [{}]
         self.ends: list[int] = [-1]
+        self.stems: dict[int, int] = {}         # by node: the stem that ends there
         self.most: list[int] = [0]              # edits that some term below a node allows
         for i, t in enumerate(self.terms):
             node = 0
-            for ch in t:
+            for ch in t.rstrip("*"):
                 self.most[node] = max(self.most[node], self.limit[i])
                 if ch not in self.children[node]:
                     self.children[node][ch] = len(self.children)
@@ -75,7 +80,10 @@ class FuzzyLexicon:
                     self.ends.append(-1)
                     self.most.append(0)
                 node = self.children[node][ch]
-            self.ends[node] = i
+            if t[-1] == "*":
+                self.stems[node] = i
+            else:
+                self.ends[node] = i
             self.most[node] = max(self.most[node], self.limit[i])
         self.max_moves = max_moves
         self._reset()
@@ -120,12 +128,16 @@ class FuzzyLexicon:
         """(term, edits) of the closest term within its distance; the heavier of equals."""
         if len(self.moves) > self.max_moves:
             self._reset()
-        state = self.start
-        for ch in word:
-            state = self._move(state, ch)
-            if not state:
-                return None
-        hits = [(e, -self.weights[i], i) for node, e in state if (i := self.ends[node]) >= 0 and e <= self.limit[i]]
+        state, node, hits = self.start, 0, []
+        for at, ch in enumerate(word, 1):
+            node = self.children[node].get(ch, -1) if node >= 0 else -1
+            if node in self.stems and at < len(word):
+                hits.append((0, -self.weights[self.stems[node]], self.stems[node]))
+            if state:
+                state = self._move(state, ch)
+            elif node < 0:
+                break
+        hits += [(e, -self.weights[i], i) for n, e in state if (i := self.ends[n]) >= 0 and e <= self.limit[i]]
         return (min(hits)[2], min(hits)[0]) if hits else None
 
 
@@ -213,16 +225,23 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
     return b
 
 
+def _forms(text: str) -> set[str]:
+    """The different words of a text and their stems."""
+    words = {b for w in set(text.lower().split()) if len(b := bare(w)) >= 3}
+    return words | {w[:n] + "*" for w in words for n in STEMS if len(w) > n and w[:n].isalpha()}
+
+
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (label, word) of every different word of a text."""
+    """Rows (word, toxic, other): in how many texts of a slice, by label, a word or stem occurs."""
     for batch in batches:
         for part in C.slices(batch):
-            labels, words = [], []
+            found = Counter(), Counter()
             for y, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                own = {b for w in set(t.lower().split()) if len(b := bare(w)) >= 3}
-                labels += [y] * len(own)
-                words += own
-            yield pa.RecordBatch.from_arrays([pa.array(labels, pa.int32()), pa.array(words, pa.string())], names=["label", "word"])
+                found[y].update(_forms(t))
+            words = sorted(found[0].keys() | found[1].keys())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(words, pa.string()), *[pa.array([c[w] for w in words], pa.int64()) for c in found[::-1]]],
+                names=["word", "toxic", "other"])
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN) -> Model:
@@ -232,13 +251,26 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN) -> Model:
     different = sample.distinct()
     n = Counter({r.label: r["count"] for r in different.groupBy("label").count().collect()})
     odds = F.log((F.col("toxic") + 0.1) / (n[1] + 1.0)) - F.log((F.col("other") + 0.1) / (n[0] + 1.0))
-    lexicon = (different.mapInArrow(_words, "label int, word string").groupBy("word")
-                        .agg(F.sum(F.col("label").cast("long")).alias("toxic"), F.sum(1 - F.col("label")).alias("other"))
+    stem = F.col("word").endswith("*")
+    lexicon = (different.mapInArrow(_words, "word string, toxic long, other long").groupBy("word")
+                        .agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+                        .where(F.col("toxic") >= F.when(stem, F.lit(STEM_TEXTS)).otherwise(F.lit(max(2, min(MIN_TEXTS, n[1] // 10)))))
                         .withColumn("odds", odds)
-                        .where((F.col("toxic") >= F.lit(max(2, min(MIN_TEXTS, n[1] // 10))))
-                               & (F.col("odds") >= MIN_LOG_ODDS))
+                        .where(F.col("odds") >= F.when(stem, F.lit(STEM_LOG_ODDS)).otherwise(F.lit(MIN_LOG_ODDS)))
                         .orderBy(F.desc(F.col("toxic") * F.col("odds")), "word").limit(MAX_TERMS).collect())
-    terms = {r.word: float(r.odds) for r in lexicon}
+    # a stem must stand for several words: more texts have it than have its most frequent word
+    most = Counter()
+    for r in lexicon:
+        for k in STEMS:
+            most[r.word[:k] + "*"] = max(most[r.word[:k] + "*"], 0 if r.word[-1] == "*" else r.toxic)
+    # ... and no longer stem has nearly all of them
+    longer = Counter()
+    for r in lexicon:
+        if r.word[-1] == "*":
+            for k in range(min(STEMS), len(r.word) - 1):
+                longer[r.word[:k] + "*"] = max(longer[r.word[:k] + "*"], r.toxic)
+    terms = {r.word: float(r.odds) for r in lexicon
+             if r.word[-1] != "*" or r.toxic >= 1.5 * most[r.word] and longer[r.word] < 0.9 * r.toxic}
     texts = sample.select("label", "text").toPandas()           # at most ``rows`` rows
     texts = texts.sort_values(["text", "label"]).reset_index(drop=True)
     model = Model(terms, _ambiguous(terms, texts[texts.label == 0].text.tolist())).opened()
