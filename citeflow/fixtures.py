@@ -13,6 +13,7 @@ import datetime as _dt
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from . import config as C
 
@@ -171,8 +172,10 @@ class Fixtures:
             "embedding")
 
     def centroid(self) -> DataFrame:
-        """centroid(c, embedding): fixed cells for the probing search."""
-        return self.subject().select(F.col("subject_id").alias("c"), "embedding")
+        """centroid(c, embedding): fixed cells for the probing search, the first 8 vectors of each label."""
+        e = self.table("embeddings")
+        nth = F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))
+        return e.withColumn("nth", nth).where(F.col("nth") <= 8).select(F.col("vec_id").alias("c"), "embedding")
 
     # ---- documents ----------------------------------------------------------
     def doc(self) -> DataFrame:

@@ -31,8 +31,8 @@ def similar_edges(scholar_vec: DataFrame, top: int = C.SIMILAR_TOP,
                   focus: DataFrame | None = None) -> DataFrame:
     """Top similar scholars by cosine of their vectors -> (f, t, sim, rk).
 
-    ``scholar_vec(author_id, vec)``. Exact k-NN (cell probing with bounds),
-    the scholar itself excluded.
+    ``scholar_vec(author_id, vec)``. Exact k-NN in blocks of fixed size, the
+    scholar itself excluded.
     """
     corpus = scholar_vec.select(F.col("author_id").alias("cid"), "vec")
     q = scholar_vec

@@ -2,319 +2,305 @@
 
 Inputs are ``queries(qid, vec)`` and ``corpus(cid, vec)``; output is
 ``(qid, cid, score, rank)`` with ``rank`` 1..k ordered by the metric (smaller
-squared L2 first; larger cosine / dot first) and then by ``cid``.
-
-Plan (no cross join, no pair of every query with every vector):
-
-1. Cells. ``n_cells`` seed vectors are picked by hash order from the corpus
-   (a bounded top-n) and shipped to executors as a broadcast variable of
-   ``n_cells x dim`` doubles, a size fixed by the parameter. Each corpus
-   vector is assigned to its nearest seed by an Arrow-batched pandas UDF
-   (numpy matrix math); each cell keeps its radius.
-2. Probe. Each query probes its ``nprobe`` best cells: an equi-join on
-   ``(cell, salt)``; the salt spreads a crowded cell over many tasks.
-3. Refine (exact mode). The k-th best score of each query is a threshold; by
-   the triangle inequality a cell can only hold a better vector if its bound
-   passes the threshold, so only those cells are probed in a second round.
-   The result equals brute force; with ``exact=False`` step 3 is skipped and
-   the result is the approximate cell-probing search (V2).
+squared L2 first; larger cosine / dot first) and then by ``cid``. Rows with a
+null vector take no part; the cosine with a zero vector is 0; an empty side
+gives an empty result.
+
+Plans, chosen by the caller's arguments and never by a counted size:
+
+* ``small="queries"`` / ``small="corpus"``: that side is declared small (at most
+  ``SMALL`` rows, an error beyond). It is shipped once and the other side is
+  scored batch by batch where it lies: its vectors are never shuffled. With
+  small queries a task emits k rows per query; with a small corpus the rank is
+  final in the task.
+* both sides large, exact: a block join. Rows are dealt to blocks of about
+  ``BLOCK`` by a hash of their id, every query block meets every corpus block,
+  and a pair of blocks emits k rows per query. The work is that of an exact
+  search, the size of a group is a constant.
+* both sides large, approximate: the same block join inside cells (trained
+  centroids, ``nprobe`` per query) or inside LSH buckets (several sign bits per
+  table); a crowded cell or bucket is split into blocks on both sides.
+
+Inside a block a matrix product gives keys with a proven rounding bound; every
+candidate within the bound of the k-th key is scored again on differences, left
+to right, so ties and large offsets come out right. No candidate is capped.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 from pyspark.sql.functions import pandas_udf
 
+from .. import config
 from ..functions import vector as V
 from ..session import ship_package
 
-_EPS = 1e-9
+SMALL = 100_000          # rows of a side declared small
+BLOCK = 2048             # rows of a block, on average
+SAMPLE_PER_CELL = 64     # training vectors per centroid
+ROWS_AT_ONCE = 256       # query rows scored together
+PAIRS_AT_ONCE = 1 << 18  # candidate pairs scored together
 
+_HITS = "qid long, cid long, score double"
 
-def _stack(series: pd.Series) -> np.ndarray:
-    if len(series) == 0:
+
+# ---- scoring ----------------------------------------------------------------
+def _stack(values) -> np.ndarray:
+    """A list-like of vectors as a matrix of doubles."""
+    if len(values) == 0:
         return np.zeros((0, 0))
-    return np.vstack([np.asarray(x, dtype=np.float64) for x in series.values])
+    if isinstance(values, pa.Array):
+        flat = values.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        return flat.reshape(len(values), -1)
+    return np.vstack([np.asarray(x, dtype=np.float64) for x in values])
 
 
-def _space(metric: str, m: np.ndarray) -> np.ndarray:
-    """Vectors in the space where cells live: unit length for cosine."""
-    if metric != "cosine" or m.size == 0:
-        return m
+def _unit(m: np.ndarray) -> np.ndarray:
     n = np.linalg.norm(m, axis=1, keepdims=True)
     n[n == 0] = 1.0
     return m / n
 
 
-def _dists(x: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Euclidean distances rows(x) x rows(c), computed on differences."""
-    out = np.empty((x.shape[0], c.shape[0]))
-    for j in range(c.shape[0]):
-        d = x - c[j]
-        out[:, j] = np.sqrt(np.einsum("ij,ij->i", d, d))
-    return out
+def _exact_scores(metric: str, q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Row-wise scores of paired vectors, summed left to right (``cumsum``)
+    exactly like the JVM fold and the SQL oracle's list sum."""
+    if metric == "l2":
+        d = q - c
+        return np.cumsum(d * d, axis=1)[:, -1]
+    dots = np.cumsum(q * c, axis=1)[:, -1]
+    if metric == "dot":
+        return dots
+    size = np.sqrt(np.cumsum(q * q, axis=1)[:, -1]) * np.sqrt(np.cumsum(c * c, axis=1)[:, -1])
+    return np.divide(dots, size, out=np.zeros_like(dots), where=size > 0)
 
 
-class CellIndex:
-    """Seed vectors (cells) and their radii, held in broadcast variables."""
+def _keys(metric: str, q: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys that rise with the rank, and for each query a bound of their rounding error."""
+    d = q.shape[1]
+    unit = 16 * (d + 8) * np.finfo(np.float64).eps
+    if metric == "l2":
+        middle = c.mean(axis=0)
+        q, c = q - middle, c - middle            # one rounding per number, relative to the difference
+        q2, c2 = np.einsum("ij,ij->i", q, q), np.einsum("ij,ij->i", c, c)
+        return q2[:, None] - 2.0 * (q @ c.T) + c2[None, :], unit * (q2 + c2.max())
+    if metric == "cosine":
+        return -(_unit(q) @ _unit(c).T), np.full(len(q), unit)
+    return -(q @ c.T), unit * np.linalg.norm(q, axis=1) * np.linalg.norm(c, axis=1).max()
+
+
+def _best(qid, cid, score, k: int, metric: str):
+    """The k best rows of every query, by score and then cid."""
+    order = np.lexsort((cid, score if V.ASCENDING[metric] else -score, qid))
+    qid, cid, score = qid[order], cid[order], score[order]
+    first = np.flatnonzero(np.concatenate(([True], qid[1:] != qid[:-1]))) if qid.size else np.zeros(0, np.int64)
+    at = np.arange(qid.size) - np.repeat(first, np.diff(np.append(first, qid.size)))
+    keep = at < k
+    return qid[keep], cid[keep], score[keep]
+
+
+def rank_block(metric: str, qids, q: np.ndarray, cids, c: np.ndarray, k: int, exclude_self: bool):
+    """Exact top k of every query among the corpus rows given: (qid, cid, score) arrays."""
+    none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    if len(qids) == 0 or len(cids) == 0:
+        return none
+    out = [none]
+    for s in range(0, len(qids), ROWS_AT_ONCE):
+        qi, qm = qids[s:s + ROWS_AT_ONCE], q[s:s + ROWS_AT_ONCE]
+        key, error = _keys(metric, qm, c)
+        if exclude_self:
+            key[qi[:, None] == cids[None, :]] = np.inf
+        m = min(k, key.shape[1])
+        kth = np.partition(key, m - 1, axis=1)[:, m - 1]
+        rows, cols = np.nonzero((key <= (kth + 2 * error)[:, None]) & np.isfinite(key))
+        held = [none]
+        for a in range(0, rows.size, PAIRS_AT_ONCE):
+            r, x = rows[a:a + PAIRS_AT_ONCE], cols[a:a + PAIRS_AT_ONCE]
+            held.append(_best(qi[r], cids[x], _exact_scores(metric, qm[r], c[x]), k, metric))
+        out.append(_best(*(np.concatenate(p) for p in zip(*held)), k, metric))
+    return tuple(np.concatenate(p) for p in zip(*out))
 
-    def __init__(self, spark, ids: np.ndarray, seeds: np.ndarray, metric: str):
-        self.spark = spark
-        self.metric = metric
-        order = np.argsort(ids, kind="stable")
-        self.ids = ids[order].astype(np.int64)
-        self.seeds = seeds[order]
-        self.space_seeds = _space(metric, self.seeds)
-        self.b_seeds = spark.sparkContext.broadcast((self.ids, self.space_seeds))
-        self.b_radius = None
-
-    # ---- step 1 ---------------------------------------------------------------
-    def assign(self, corpus: DataFrame) -> DataFrame:
-        """Adds ``cell`` and ``cdist`` (distance to the seed, in cell space)."""
-        b = self.b_seeds
-        metric = self.metric
-
-        @pandas_udf("cell long, cdist double")
-        def nearest(v: pd.Series) -> pd.DataFrame:
-            ids, seeds = b.value
-            x = _space(metric, _stack(v))
-            if x.shape[0] == 0:
-                return pd.DataFrame({"cell": pd.Series([], dtype="int64"),
-                                     "cdist": pd.Series([], dtype="float64")})
-            d = _dists(x, seeds)
-            j = np.argmin(d, axis=1)
-            return pd.DataFrame({"cell": ids[j], "cdist": d[np.arange(len(j)), j]})
-
-        return corpus.withColumn("_a", nearest("vec")).select(
-            "*", F.col("_a.cell").alias("cell"), F.col("_a.cdist").alias("cdist")).drop("_a")
-
-    def set_radii(self, assigned: DataFrame) -> None:
-        rows = assigned.groupBy("cell").agg(F.max("cdist").alias("r")).collect()
-        r = {int(x["cell"]): float(x["r"]) for x in rows}
-        radius = np.array([r.get(int(i), -1.0) for i in self.ids])  # -1: empty cell
-        self.b_radius = self.spark.sparkContext.broadcast(radius)
-
-    # ---- step 2 and 3 -----------------------------------------------------------
-    def probes(self, nprobe: int):
-        b = self.b_seeds
-        metric = self.metric
 
-        @pandas_udf("array<long>")
-        def best_cells(v: pd.Series) -> pd.Series:
-            ids, seeds = b.value
-            x = _space(metric, _stack(v))
-            if x.shape[0] == 0:
-                return pd.Series([], dtype=object)
-            if metric == "l2":
-                key = _dists(x, seeds)
-            else:
-                key = -(x @ seeds.T)
-            order = np.argsort(key, axis=1, kind="stable")[:, :nprobe]
-            return pd.Series([ids[o].tolist() for o in order])
+def _top_k(scored: DataFrame, k: int, metric: str) -> DataFrame:
+    s = F.col("score").asc() if V.ASCENDING[metric] else F.col("score").desc()
+    w = Window.partitionBy("qid").orderBy(s, F.col("cid").asc())
+    return (scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+                  .select("qid", "cid", "score", "rank"))
 
-        return best_cells
 
-    def refine(self):
-        """UDF (vec, tau, probed) -> cells whose bound can still beat ``tau``."""
-        b, br = self.b_seeds, self.b_radius
-        metric = self.metric
+# ---- one side declared small ------------------------------------------------
+def _shipped(side: DataFrame, key: str):
+    """Ids and matrix of a side declared small, as a broadcast variable."""
+    rows = side.orderBy(key).limit(SMALL + 1).collect()
+    if len(rows) > SMALL:
+        raise ValueError(f"the side declared small has more than {SMALL} rows")
+    data = np.array([r[key] for r in rows], np.int64), _stack([r["vec"] for r in rows])
+    return side.sparkSession.sparkContext.broadcast(data)
 
-        @pandas_udf("array<long>")
-        def more_cells(v: pd.Series, tau: pd.Series, probed: pd.Series) -> pd.Series:
-            ids, seeds = b.value
-            radius = br.value
-            x = _space(metric, _stack(v))
-            if x.shape[0] == 0:
-                return pd.Series([], dtype=object)
-            live = radius >= 0
-            out = []
-            if metric == "l2":
-                d = _dists(x, seeds)
-                lb = np.maximum(d - radius[None, :], 0.0) ** 2
-            else:
-                qn = np.linalg.norm(x, axis=1)[:, None]
-                ub = x @ seeds.T + qn * radius[None, :]
-            for i in range(x.shape[0]):
-                t = tau.iloc[i]
-                seen = set(probed.iloc[i]) if probed.iloc[i] is not None else set()
-                if t is None or (isinstance(t, float) and math.isnan(t)):
-                    ok = live
-                elif metric == "l2":
-                    ok = live & (lb[i] <= t * (1 + _EPS) + _EPS)
-                else:
-                    ok = live & (ub[i] >= t - _EPS * (1 + abs(t)))
-                out.append([int(c) for c in ids[ok] if int(c) not in seen])
-            return pd.Series(out)
-
-        return more_cells
-
-
-def build_cells(corpus: DataFrame, metric: str, n_cells: int | None = None) -> CellIndex:
-    spark = corpus.sparkSession
-    if n_cells is None:
-        n = corpus.count()
-        n_cells = max(1, min(4096, int(math.sqrt(max(n, 1)))))
-    seeds = (corpus.orderBy(F.xxhash64("cid"), "cid").limit(n_cells)
-             .select("cid", "vec").collect())
-    ids = np.array([int(r["cid"]) for r in seeds], dtype=np.int64)
-    mat = np.vstack([np.asarray(r["vec"], dtype=np.float64) for r in seeds])
-    return CellIndex(spark, ids, mat, metric)
 
+def _hits(qid, cid, score) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(qid, pa.int64()), pa.array(cid, pa.int64()),
+                                       pa.array(score, pa.float64())], names=["qid", "cid", "score"])
 
-def cells_from_table(centroids: DataFrame, metric: str) -> CellIndex:
-    """Fixed cells given as ``(c, embedding)`` (bounded table, collected once)."""
-    rows = centroids.select("c", "embedding").collect()
-    ids = np.array([int(r["c"]) for r in rows], dtype=np.int64)
-    mat = np.vstack([np.asarray(r["embedding"], dtype=np.float64) for r in rows])
-    return CellIndex(centroids.sparkSession, ids, mat, metric)
 
+def _small_queries(queries: DataFrame, corpus: DataFrame, k: int, metric: str, exclude_self: bool) -> DataFrame:
+    shared = _shipped(queries, "qid")
 
-def _top_k(scored: DataFrame, k: int, metric: str) -> DataFrame:
-    s = F.col("score").asc() if V.ASCENDING[metric] else F.col("score").desc()
-    w = Window.partitionBy("qid").orderBy(s, F.col("cid").asc())
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qids, q = shared.value
+        best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        for b in batches:                       # the best so far of every query, k rows each
+            got = rank_block(metric, qids, q, b.column(0).to_numpy(), _stack(b.column(1)), k, exclude_self)
+            best = _best(*(np.concatenate(p) for p in zip(best, got)), k, metric)
+        yield _hits(*best)
+    return _top_k(corpus.select("cid", "vec").mapInArrow(run, _HITS), k, metric)
 
 
-def _exact_scores(metric: str, q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Row-wise scores of paired vectors, summed left to right (``cumsum``)
-    exactly like the JVM fold and the SQL oracle's list sum."""
-    if metric == "l2":
-        d = q - c
-        return np.cumsum(d * d, axis=1)[:, -1]
-    dots = np.cumsum(q * c, axis=1)[:, -1]
-    if metric == "dot":
-        return dots
-    nq = np.sqrt(np.cumsum(q * q, axis=1)[:, -1])
-    nc = np.sqrt(np.cumsum(c * c, axis=1)[:, -1])
-    return dots / (nq * nc)
+def _small_corpus(queries: DataFrame, corpus: DataFrame, k: int, metric: str, exclude_self: bool) -> DataFrame:
+    shared = _shipped(corpus, "cid")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cids, c = shared.value
+        for b in batches:
+            qids = b.column(0).to_numpy()
+            place, where = np.arange(len(qids)), _stack(b.column(1))    # repeated query ids rank apart
+            if exclude_self:
+                got = rank_block(metric, qids, where, cids, c, k, True)
+                qid = got[0]
+            else:
+                got = rank_block(metric, place, where, cids, c, k, False)
+                qid = qids[got[0]]
+            first = np.flatnonzero(np.concatenate(([True], got[0][1:] != got[0][:-1]))) if got[0].size else np.zeros(0, np.int64)
+            rank = np.arange(got[0].size) - np.repeat(first, np.diff(np.append(first, got[0].size))) + 1
+            yield pa.RecordBatch.from_arrays([*_hits(qid, got[1], got[2]).columns, pa.array(rank, pa.int32())],
+                                             names=["qid", "cid", "score", "rank"])
+    return queries.select("qid", "vec").mapInArrow(run, _HITS + ", rank int")
 
-def _probe_join(q: DataFrame, corpus_cells: DataFrame, salts: int, metric: str,
-                exclude_self: bool, k: int, block: int = 1024) -> DataFrame:
-    """Queries with a ``cells`` array against the corpus of those cells.
 
-    Query probes and corpus rows are co-grouped by ``(cell, salt)``; each
-    group is scored with numpy matrix products in query blocks and keeps
-    only its ``k + 2`` best candidates per query, whose scores are then
-    recomputed exactly. Output ``(qid, cid, score)``: at most
-    ``(k + 2) x probes x salts`` rows per query, never all pairs.
+# ---- both sides large: blocks -----------------------------------------------
+def _block_join(q: DataFrame, c: DataFrame, k: int, metric: str, exclude_self: bool, block: int) -> DataFrame:
+    """(qid, cid, score) of ``q(qid, vec, cell)`` against ``c(cid, vec, cell)`` of the same cell.
+
+    Both sides of a cell are split into blocks of about ``block`` rows; a group
+    is one pair of blocks and emits at most k rows per query.
     """
-    asc = V.ASCENDING[metric]
-    keep = k + 2
+    blocks = lambda df, n: df.groupBy("cell").agg(
+        F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias(n))
+    sizes = blocks(q, "qn").join(blocks(c, "cn"), "cell")
+    deal = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    qs = (q.join(sizes, "cell").withColumn("qb", deal("qid", "qn")).withColumn("cb", every("cn"))
+           .select(F.col("cell").alias("qcell"), "qb", "cb", "qid", F.col("vec").alias("qvec")))
+    cs = (c.join(sizes, "cell").withColumn("cb", deal("cid", "cn")).withColumn("qb", every("qn"))
+           .select("cell", "qb", "cb", "cid", "vec"))
 
     def best(qdf: pd.DataFrame, cdf: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"qid": pd.Series([], dtype="int64"),
-                              "cid": pd.Series([], dtype="int64"),
-                              "score": pd.Series([], dtype="float64")})
-        if len(qdf) == 0 or len(cdf) == 0:
-            return empty
-        cm = _stack(cdf["vec"])
-        cids = cdf["cid"].to_numpy(dtype=np.int64)
-        if metric == "cosine":
-            cn = np.linalg.norm(cm, axis=1)
-            cn[cn == 0] = 1.0
-            cmn = cm / cn[:, None]
-        c2 = np.einsum("ij,ij->i", cm, cm)
-        out = []
-        for s in range(0, len(qdf), block):
-            qb = qdf.iloc[s:s + block]
-            qm = _stack(qb["qvec"])
-            qids = qb["qid"].to_numpy(dtype=np.int64)
-            if metric == "l2":
-                key = np.einsum("ij,ij->i", qm, qm)[:, None] - 2.0 * (qm @ cm.T) + c2[None, :]
-            elif metric == "cosine":
-                qn = np.linalg.norm(qm, axis=1)
-                qn[qn == 0] = 1.0
-                key = -((qm / qn[:, None]) @ cmn.T)
+        got = rank_block(metric, qdf["qid"].to_numpy(np.int64), _stack(qdf["qvec"].values),
+                         cdf["cid"].to_numpy(np.int64), _stack(cdf["vec"].values), k, exclude_self)
+        return pd.DataFrame(dict(zip(("qid", "cid", "score"), got)))
+    return (qs.groupBy("qcell", "qb", "cb").cogroup(cs.groupBy("cell", "qb", "cb"))
+              .applyInPandas(best, _HITS))
+
+
+class CellIndex:
+    """Centroids (cells) in a broadcast variable; its size is fixed by their number."""
+
+    def __init__(self, spark, ids: np.ndarray, centres: np.ndarray, metric: str):
+        order = np.argsort(ids, kind="stable")
+        self.metric = metric
+        centres = centres[order]
+        self.shared = spark.sparkContext.broadcast(
+            (ids[order].astype(np.int64), _unit(centres) if metric == "cosine" and centres.size else centres))
+
+    def nearest(self, n: int):
+        """UDF: the ids of the n nearest cells of a vector, nearest first."""
+        shared, metric = self.shared, self.metric
+
+        @pandas_udf("array<long>")
+        def cells(v: pd.Series) -> pd.Series:
+            ids, centres = shared.value
+            x = _stack(v.values)
+            if x.shape[0] == 0 or ids.size == 0:
+                return pd.Series([[] for _ in range(len(v))], dtype=object)
+            if metric == "dot":
+                key = -(x @ centres.T)
             else:
-                key = -(qm @ cm.T)
-            if exclude_self:
-                key[qids[:, None] == cids[None, :]] = np.inf
-            m = min(keep, key.shape[1])
-            part = np.argpartition(key, m - 1, axis=1)[:, :m]
-            rows = np.repeat(np.arange(len(qids)), m)
-            cols = part.ravel()
-            ok = np.isfinite(key[rows, cols])
-            rows, cols = rows[ok], cols[ok]
-            sc = _exact_scores(metric, qm[rows], cm[cols])
-            out.append(pd.DataFrame({"qid": qids[rows], "cid": cids[cols], "score": sc}))
-        return pd.concat(out, ignore_index=True) if out else empty
-
-    qp = (q.select("qid", F.col("vec").alias("qvec"), F.explode("cells").alias("cell"))
-          .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))))
-    return (qp.groupBy("cell", "salt")
-            .cogroup(corpus_cells.groupBy("cell", "salt"))
-            .applyInPandas(best, "qid long, cid long, score double"))
-
-
-def knn(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "l2",
-        exclude_self: bool = False, exact: bool = True, nprobe: int = 2,
-        n_cells: int | None = None, cells: CellIndex | None = None,
-        salts: int | None = None) -> DataFrame:
+                x = _unit(x) if metric == "cosine" else x
+                key = np.stack([np.einsum("ij,ij->i", x - m, x - m) for m in centres], axis=1)
+            order = np.argsort(key, axis=1, kind="stable")[:, :n]
+            return pd.Series([ids[o].tolist() for o in order])
+        return cells
+
+
+def train_cells(corpus: DataFrame, metric: str, n_cells: int, rounds: int = 8) -> CellIndex:
+    """Centroids by Lloyd's rounds on a bounded sample (``SAMPLE_PER_CELL`` vectors per cell,
+    the first by a hash of the id)."""
+    rows = corpus.orderBy(F.xxhash64("cid"), "cid").limit(n_cells * SAMPLE_PER_CELL).select("cid", "vec").collect()
+    x = _stack([r["vec"] for r in rows])
+    x = _unit(x) if metric == "cosine" and x.size else x
+    centres = np.unique(x[:n_cells], axis=0) if x.size else x
+    for _ in range(rounds if x.size else 0):
+        near = np.stack([np.einsum("ij,ij->i", x - m, x - m) for m in centres], axis=1).argmin(axis=1)
+        centres = np.stack([x[near == j].mean(axis=0) if (near == j).any() else centres[j] for j in range(len(centres))])
+    return CellIndex(corpus.sparkSession, np.arange(len(centres)), centres, metric)
+
+
+def cells_from_table(centroids: DataFrame, metric: str) -> CellIndex:
+    """Fixed cells given as ``(c, embedding)``: a table declared small."""
+    rows = centroids.orderBy("c").limit(SMALL + 1).collect()
+    if len(rows) > SMALL:
+        raise ValueError(f"more than {SMALL} cells")
+    return CellIndex(centroids.sparkSession, np.array([r["c"] for r in rows], np.int64),
+                     _stack([r["embedding"] for r in rows]), metric)
+
+
+def knn(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "l2", exclude_self: bool = False,
+        exact: bool = True, nprobe: int = config.SEARCH_NPROBE, n_cells: int = 256,
+        cells: CellIndex | None = None, small: str | None = None, block: int = BLOCK) -> DataFrame:
     """k nearest corpus vectors of every query -> (qid, cid, score, rank)."""
-    spark = corpus.sparkSession
-    ship_package(spark)
-    if salts is None:
-        salts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
-    corpus = corpus.select("cid", "vec")
-    index = cells or build_cells(corpus, metric, n_cells)
-    assigned = index.assign(corpus).withColumn(
-        "salt", F.pmod(F.xxhash64("cid"), F.lit(salts)).cast("int"))
+    ship_package(corpus.sparkSession)
+    q = queries.select("qid", "vec").where("vec is not null")
+    c = corpus.select("cid", "vec").where("vec is not null")
+    if small == "queries":
+        return _small_queries(q, c, k, metric, exclude_self)
+    if small == "corpus":
+        return _small_corpus(q, c, k, metric, exclude_self)
     if exact:
-        assigned = assigned.persist()
-        index.set_radii(assigned)
-    corpus_cells = assigned.select("cell", "salt", "cid", "vec")
-    q = queries.select("qid", "vec").withColumn("cells", index.probes(nprobe)("vec"))
-    first = _top_k(_probe_join(q, corpus_cells, salts, metric, exclude_self, k), k, metric)
-    if not exact:
-        return first.select("qid", "cid", "score", "rank")
-    worst = F.max("score") if V.ASCENDING[metric] else F.min("score")
-    tau = first.groupBy("qid").agg(F.count(F.lit(1)).alias("n"), worst.alias("w")) \
-               .select("qid", F.when(F.col("n") >= k, F.col("w")).alias("tau"))
-    q2 = (q.join(tau, "qid", "left")
-          .withColumn("cells", index.refine()("vec", "tau", "cells"))
-          .where(F.size("cells") > 0))
-    second = _probe_join(q2, corpus_cells, salts, metric, exclude_self, k)
-    both = first.select("qid", "cid", "score").unionByName(second)
-    return _top_k(both, k, metric).select("qid", "cid", "score", "rank")
-
-
-def knn_lsh(queries: DataFrame, corpus: DataFrame, k: int, bucket_length: float = 0.5,
-            num_tables: int = 4, seed: int = 7, exclude_self: bool = False) -> DataFrame:
-    """V3: approximate cosine search by random-projection buckets.
-
-    Vectors are normalised; ``BucketedRandomProjectionLSH`` hashes both sides
-    into ``num_tables`` bucket ids; a query is compared only with corpus
-    vectors sharing a bucket (equi-join on ``(table, bucket)``), then the
-    exact cosine re-ranks the candidates.
-    """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+        q, c = q.withColumn("cell", F.lit(0).cast("long")), c.withColumn("cell", F.lit(0).cast("long"))
+    else:
+        index = cells or train_cells(c, metric, n_cells)
+        q = q.withColumn("cell", F.explode(index.nearest(nprobe)("vec")))
+        c = c.withColumn("cell", F.explode(index.nearest(1)("vec")))
+    return _top_k(_block_join(q, c, k, metric, exclude_self, block), k, metric)
 
+
+def knn_lsh(queries: DataFrame, corpus: DataFrame, k: int, num_tables: int = 12, bits: int = 7,
+            seed: int = 7, exclude_self: bool = False, block: int = BLOCK) -> DataFrame:
+    """V3: approximate cosine search by random hyperplanes.
+
+    A table's key is the signs of ``bits`` projections, so a bucket holds about
+    2^-bits of spread-out data; vectors meet inside a bucket only, in blocks, and
+    are ranked by their exact cosine.
+    """
     ship_package(corpus.sparkSession)
 
-    cn = corpus.select("cid", V.normalize("vec").alias("nvec"))
-    qn = queries.select("qid", V.normalize("vec").alias("nvec"))
-    model = BucketedRandomProjectionLSH(inputCol="feat", outputCol="h",
-                                        bucketLength=bucket_length,
-                                        numHashTables=num_tables, seed=seed) \
-        .fit(cn.select(array_to_vector("nvec").alias("feat")))
-
-    def keyed(df, idc):
-        h = model.transform(df.withColumn("feat", array_to_vector("nvec")))
-        return (h.select(idc, "nvec", F.posexplode("h").alias("tbl", "hv"))
-                .select(idc, "nvec", "tbl", vector_to_array("hv")[0].alias("bucket")))
-
-    cq = keyed(qn, "qid").withColumnRenamed("nvec", "qvec")
-    cc = keyed(cn, "cid")
-    j = cq.join(cc, ["tbl", "bucket"]).select("qid", "cid", "qvec", "nvec").distinct()
-    if exclude_self:
-        j = j.where(F.col("qid") != F.col("cid"))
-    scored = j.select("qid", "cid", V.dot("qvec", "nvec").alias("score"))
-    return _top_k(scored, k, "cosine").select("qid", "cid", "score", "rank")
+    @pandas_udf("array<long>")
+    def buckets(v: pd.Series) -> pd.Series:
+        x = _stack(v.values)
+        if x.shape[0] == 0:
+            return pd.Series([], dtype=object)
+        planes = np.random.default_rng(seed).normal(size=(x.shape[1], num_tables * bits))
+        sign = (x @ planes > 0).reshape(len(x), num_tables, bits)
+        key = sign @ (1 << np.arange(bits)) + (np.arange(num_tables) << bits)[None, :]
+        return pd.Series(key.tolist())
+
+    q = queries.select("qid", "vec").where("vec is not null").withColumn("cell", F.explode(buckets("vec")))
+    c = corpus.select("cid", "vec").where("vec is not null").withColumn("cell", F.explode(buckets("vec")))
+    hits = _block_join(q, c, k, "cosine", exclude_self, block).groupBy("qid", "cid").agg(F.first("score").alias("score"))
+    return _top_k(hits, k, "cosine")

@@ -43,12 +43,13 @@ def match_keywords(papers: DataFrame, vocab: DataFrame) -> DataFrame:
 def nearest_subjects(papers: DataFrame, subjects: DataFrame, k: int = C.LABEL_TOPK) -> DataFrame:
     """J9 + J12: the ``k`` nearest subjects of each paper by L2, nearest first.
 
+    The subjects are declared small: they are shipped, papers stay where they lie.
     ``papers(pub_id, vec)``, ``subjects(subject_id, word, embedding)`` ->
     ``(pub_id, labels)``.
     """
     q = papers.select(F.col("pub_id").alias("qid"), "vec")
     c = subjects.select(F.col("subject_id").alias("cid"), F.col("embedding").alias("vec"))
-    hits = K.knn(q, c, k, metric="l2")
+    hits = K.knn(q, c, k, metric="l2", small="corpus")
     named = hits.join(subjects.select(F.col("subject_id").alias("cid"), "word"), "cid")
     return (named.groupBy(F.col("qid").alias("pub_id"))
             .agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "word"))),

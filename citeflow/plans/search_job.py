@@ -47,7 +47,7 @@ def _out(hits: DataFrame) -> DataFrame:
 def q_knn_cosine(spark, sf):
     """Cosine top 10 of every topic."""
     fx = Fixtures(spark, sf)
-    return _out(K.knn(topics(fx), corpus(fx), C.SEARCH_TOPK, metric="cosine"))
+    return _out(K.knn(topics(fx), corpus(fx), C.SEARCH_TOPK, metric="cosine", small="queries"))
 
 
 def q_knn_dot(spark, sf):
@@ -55,7 +55,7 @@ def q_knn_dot(spark, sf):
     fx = Fixtures(spark, sf)
     q = topics(fx).select("qid", V.normalize("vec").alias("vec"))
     c = corpus(fx).select("cid", V.normalize("vec").alias("vec"))
-    return _out(K.knn(q, c, C.SEARCH_TOPK, metric="dot"))
+    return _out(K.knn(q, c, C.SEARCH_TOPK, metric="dot", small="queries"))
 
 
 def q_knn_topic(spark, sf):
@@ -63,7 +63,7 @@ def q_knn_topic(spark, sf):
     fx = Fixtures(spark, sf)
     t = topics(fx)
     one = t.orderBy(F.col("qid").desc()).limit(1)
-    return _out(K.knn(one, corpus(fx, C.SEARCH_SPAN_DAYS), C.SEARCH_TOPK, metric="l2"))
+    return _out(K.knn(one, corpus(fx, C.SEARCH_SPAN_DAYS), C.SEARCH_TOPK, metric="l2", small="queries"))
 
 
 def q_knn_multi(spark, sf):
@@ -77,13 +77,13 @@ def q_knn_multi(spark, sf):
 def q_knn_recent(spark, sf):
     """Topics against vectors of the last 365 days only (filter before ranking)."""
     fx = Fixtures(spark, sf)
-    return _out(K.knn(topics(fx), corpus(fx, C.SEARCH_SPAN_DAYS), C.SEARCH_TOPK, metric="l2"))
+    return _out(K.knn(topics(fx), corpus(fx, C.SEARCH_SPAN_DAYS), C.SEARCH_TOPK, metric="l2", small="queries"))
 
 
 def q_knn_mapped(spark, sf):
     """Map hits to paper ids after the top-k; unmapped hits drop out."""
     fx = Fixtures(spark, sf)
-    hits = K.knn(topics(fx), corpus(fx, C.SEARCH_SPAN_DAYS), C.SEARCH_TOPK, metric="l2")
+    hits = K.knn(topics(fx), corpus(fx, C.SEARCH_SPAN_DAYS), C.SEARCH_TOPK, metric="l2", small="queries")
     m = fx.vec_id_map().withColumnRenamed("pid", "cid")
     return hits.join(m, "cid").select(F.col("qid").alias("q"), "paper_id",
                                       F.round("score", R).alias("score"),
@@ -91,12 +91,12 @@ def q_knn_mapped(spark, sf):
 
 
 def q_knn_ivf(spark, sf):
-    """V2: approximate search probing the 3 nearest of the fixed cells, every vector a query."""
+    """V2: approximate search probing the 10 nearest of the fixed cells, every vector a query."""
     fx = Fixtures(spark, sf)
     c = corpus(fx)
     cells = K.cells_from_table(fx.centroid(), "l2")
     hits = K.knn(c.withColumnRenamed("cid", "qid"), c, C.SEARCH_TOPK, metric="l2",
-                 exact=False, nprobe=3, cells=cells)
+                 exact=False, nprobe=C.SEARCH_NPROBE, cells=cells)
     return _out(hits)
 
 
@@ -205,15 +205,19 @@ _V.update({
         SELECT CAST(e.label AS BIGINT) AS c, e.embedding
         FROM embeddings e JOIN (SELECT label, MIN(vec_id) AS m FROM embeddings GROUP BY label) r
           ON r.label = e.label AND r.m = e.vec_id""",
+    "probe_cell": """
+        SELECT vec_id AS c, embedding FROM (
+          SELECT vec_id, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS r FROM embeddings)
+        WHERE r <= 8""",
     "vq": "SELECT pid AS q, embedding FROM vec",
     "assign": f"""
         SELECT pid, c FROM (
           SELECT v.pid, cc.c, row_number() OVER (PARTITION BY v.pid ORDER BY {l2sql('v.embedding', 'cc.embedding')}, cc.c) AS r
-          FROM vec v JOIN cell cc ON TRUE) WHERE r = 1""",
+          FROM vec v JOIN probe_cell cc ON TRUE) WHERE r = 1""",
     "probe": f"""
         SELECT q, c FROM (
           SELECT v.pid AS q, cc.c, row_number() OVER (PARTITION BY v.pid ORDER BY {l2sql('v.embedding', 'cc.embedding')}, cc.c) AS r
-          FROM vec v JOIN cell cc ON TRUE) WHERE r <= 3""",
+          FROM vec v JOIN probe_cell cc ON TRUE) WHERE r <= 10""",
 })
 
 ORACLE = {
