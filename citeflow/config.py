@@ -46,25 +46,29 @@ LSA_COMPONENTS = 100
 W2V_VECTOR_SIZE = 300
 W2V_WINDOW = 5
 W2V_MIN_COUNT = 5
+W2V_PASSES = 5
+W2V_PARTITIONS = 8                   # part of the model: it decides the vectors
+MIXED_LSA_COMPONENTS = 200
 
 # Stop words of the keyword-vector cleaner, in their original order.
 STOPWORDS_EN = (
-    "i me my myself we our ours ourselves you your yours yourself "
-    "yourselves he him his himself she her hers herself it its itself "
-    "they them their theirs themselves what which who whom this that "
-    "these those am is are was were be been being have has had "
-    "having do does did doing a an the and but if or because as "
-    "until while of at by for with about against between into through "
-    "during before after above below to from up down in out on off "
-    "over under again further then once here there when where why how "
-    "all any both each few more most other some such no nor not "
-    "only own same so than too very s t can will just don should "
-    "now d ll m o re ve y ain aren couldn didn doesn hadn hasn "
-    "haven isn ma mightn mustn needn shan shouldn wasn weren won wouldn"
-).split()
+    "i", "me", "my", "myself", "we", "our", "ours", "ourselves", "you", "your", "yours", "yourself",
+    "yourselves", "he", "him", "his", "himself", "she", "her", "hers", "herself", "it", "its",
+    "itself", "they", "them", "their", "theirs", "themselves", "what", "which", "who", "whom",
+    "this", "that", "these", "those", "am", "is", "are", "was", "were", "be", "been", "being",
+    "have", "has", "had", "having", "do", "does", "did", "doing", "a", "an", "the", "and", "but",
+    "if", "or", "because", "as", "until", "while", "of", "at", "by", "for", "with", "about",
+    "against", "between", "into", "through", "during", "before", "after", "above", "below", "to",
+    "from", "up", "down", "in", "out", "on", "off", "over", "under", "again", "further", "then",
+    "once", "here", "there", "when", "where", "why", "how", "all", "any", "both", "each", "few",
+    "more", "most", "other", "some", "such", "no", "nor", "not", "only", "own", "same", "so",
+    "than", "too", "very", "s", "t", "can", "will", "just", "don", "should", "now", "d", "ll", "m",
+    "o", "re", "ve", "y", "ain", "aren", "couldn", "didn", "doesn", "hadn", "hasn", "haven", "isn",
+    "ma", "mightn", "mustn", "needn", "shan", "shouldn", "wasn", "weren", "won", "wouldn",
+)
 
 # --- fixture constants (FIXTURES.md section 2) ------------------------------
 AS_OF = _dt.date(2001, 8, 1)          # last order date = run date of the fixtures
 HIGH_MIN_CITATIONS = 180
-ACTIVE_START = _dt.date(2024, 1, 30)
 ACTIVE_END = _dt.date(2024, 1, 31)
+ACTIVE_START = ACTIVE_END - _dt.timedelta(days=ACTIVE_SPAN_DAYS)

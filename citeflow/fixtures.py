@@ -124,10 +124,8 @@ class Fixtures:
                     F.col("p_brand")).alias("keywords"))
 
     def vocab(self) -> DataFrame:
-        """vocab(word): subject words known to the labeller."""
-        names = (self.table("part")
-                 .select(F.lower("p_name").alias("word"))
-                 .where(F.col("word").startswith("red ") | F.col("word").startswith("blue ")))
+        """vocab(word): subject words known to the labeller, the names of all parts."""
+        names = self.table("part").select(F.lower("p_name").alias("word"))
         extra = self.spark.createDataFrame([("economy",)], "word string")
         return names.unionByName(extra).distinct()
 

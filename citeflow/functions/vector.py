@@ -56,9 +56,4 @@ def concat_vectors(first, second) -> Column:
     return F.concat(as_double(first), as_double(second))
 
 
-METRICS = {"l2": l2sq, "cosine": cosine, "dot": dot}
 ASCENDING = {"l2": True, "cosine": False, "dot": False}
-
-
-def score(metric: str, a, b) -> Column:
-    return METRICS[metric](a, b)

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from ..session import cut_lineage
 from ..sources.papers import last_wins
 
 
@@ -37,8 +38,8 @@ def dense_index(df: DataFrame, order_col: str, n_parts: int | None = None) -> Da
     """
     spark = df.sparkSession
     n = n_parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # persisted so both uses see the same partition number of every row
-    parted = df.repartitionByRange(n, order_col).withColumn("_p", F.spark_partition_id()).persist()
+    # written once, so both uses see the same partition number of every row
+    parted = cut_lineage(df.repartitionByRange(n, order_col).withColumn("_p", F.spark_partition_id()))
     local = parted.withColumn(
         "_l", F.row_number().over(Window.partitionBy("_p").orderBy(order_col)) - 1)
     counts = parted.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))

@@ -84,7 +84,7 @@ def q_scan_limit(spark, sf):
     """The first 100 kept records by numeric id (the earlier delivery first)."""
     good, _ = SP.split_corrupt(_raw(spark, sf))
     kept = SP.keep_identified(good)
-    first = kept.orderBy("id_of_mysql", "seq").limit(100)
+    first = SP.first_n(kept, 100, "id_of_mysql", "seq")
     return first.select("id_of_mysql", "_id", "ts")
 
 
@@ -143,18 +143,22 @@ def q_encode_papers(spark, sf):
 
 
 def q_mixed_vectors(spark, sf):
-    """M9: encoder vector followed by the LSA vector of the title."""
+    """M9: encoder vector followed by the 200-dimensional LSA vector of the cleaned title.
+
+    Vocabulary, IDF and components are fixed: fitted on the cleaned abstracts and
+    only applied to the titles.
+    """
     fx = Fixtures(spark, sf)
     enc = encode_papers(fx)
-    titles = fx.doc().select("doc_id", F.lower("title").alias("text"))
-    n = titles.count()
-    tf = TF.term_counts(titles, ["doc_id"], stopwords=C.STOPWORDS_EN)
-    vocab = TF.fit_vocabulary(tf, n, C.LSA_MIN_DF, C.LSA_MAX_DF, C.LSA_MAX_FEATURES)
-    w = TF.weights(tf, vocab, ["doc_id"])
-    idx, v = TF.lsa_fit(w, vocab, ["doc_id"], 16)
-    lsa = TF.lsa_transform(w, idx, v, ["doc_id"], normalise=False).withColumnRenamed("vec", "lvec")
-    return enc.join(lsa, "doc_id", "left").select(
-        "doc_id", concat_vectors("vec", F.coalesce("lvec", F.array_repeat(F.lit(0.0), 16))).alias("vec"))
+    cleaned = lambda col: fx.doc().select("doc_id", F.lower(T.clean_text(col)).alias("text"))
+    base = cleaned("abstract")
+    tf = TF.term_counts(base, ["doc_id"], stopwords=C.STOPWORDS_EN)
+    vocab = TF.fit_vocabulary(tf, base.count(), C.LSA_MIN_DF, C.LSA_MAX_DF, C.LSA_MAX_FEATURES)
+    idx, v = TF.lsa_fit(TF.weights(tf, vocab, ["doc_id"]), vocab, ["doc_id"], C.MIXED_LSA_COMPONENTS)
+    titles = cleaned("title")
+    w = TF.weights(TF.term_counts(titles, ["doc_id"], stopwords=C.STOPWORDS_EN), vocab, ["doc_id"])
+    lsa = TF.lsa_transform(w, idx, v, ["doc_id"], titles, normalise=False).withColumnRenamed("vec", "lvec")
+    return enc.join(lsa, "doc_id").select("doc_id", concat_vectors("vec", "lvec").alias("vec"))
 
 
 def q_word_vectors(spark, sf):
@@ -166,13 +170,15 @@ def q_word_vectors(spark, sf):
 
 
 def q_vector_append(spark, sf):
-    """K4: stored vectors, then the new papers' vectors appended."""
+    """K4: stored vectors, then the new papers' vectors appended with their record's time, one row per id."""
     fx = Fixtures(spark, sf)
     table = scratch_path(spark, "vectors")
-    INC.append_vectors(search_job.stored_vectors(fx), table, "hashing")
-    new_ids = search_job.q_incremental_new(spark, sf).select(F.col("pid").alias("doc_id"))
+    stored = search_job.stored_vectors(fx)
+    INC.append_vectors(stored, table, "hashing")
+    new_ids = (search_job.q_incremental_new(spark, sf).select("pid")
+               .join(stored.select("pid"), "pid", "left_anti").withColumnRenamed("pid", "doc_id"))
     enc = encode_papers(fx).join(new_ids, "doc_id", "left_semi")
-    ts = fx.vec().select("pid", "ts")
+    ts = fx.table("orders").select(F.col("o_orderkey").alias("pid"), F.unix_timestamp("o_orderdate").alias("ts"))
     add = enc.select(F.col("doc_id").alias("pid"), F.col("vec").alias("embedding")).join(ts, "pid", "left")
     INC.append_vectors(add, table, "hashing")
     return spark.read.parquet(table).select("pid", "ts", "model")
@@ -270,6 +276,13 @@ ORACLE = {
                (SELECT COUNT(*) FROM strong_labels) AS papers_labelled,
                (SELECT COUNT(*) FROM active) AS users_active""",
     "vector_save": "SELECT row_number() OVER (ORDER BY vec_id) - 1 AS idx, vec_id AS pid FROM embeddings",
+    "vector_append": """
+        SELECT pid, ts, 'hashing' AS model FROM vec
+        UNION ALL
+        SELECT d.doc_id, CAST(epoch(o.o_orderdate) AS BIGINT), 'hashing'
+        FROM documents d JOIN orders o ON o.o_orderkey = d.doc_id
+        WHERE d.doc_id IN (SELECT l_orderkey FROM lineitem) AND d.doc_id NOT IN (SELECT pid FROM vec)""",
+    "vector_reload": "SELECT vec_id AS pid, embedding FROM embeddings",
     "cf_topk": """
         WITH ui AS (SELECT DISTINCT o.o_custkey AS user_id, l.l_partkey AS item
                     FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey),

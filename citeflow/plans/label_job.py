@@ -287,7 +287,6 @@ _V.update({
                [upper(replace(p_name, ' ', '-')), ' ' || p_type || ' ', p_brand] AS keywords FROM part""",
     "vocab": """
         SELECT DISTINCT lower(p_name) AS word FROM part
-        WHERE lower(p_name) LIKE 'red %' OR lower(p_name) LIKE 'blue %'
         UNION SELECT 'economy'""",
     "label_papers": """
         SELECT CAST(paper_id AS VARCHAR) AS paper_id, keywords FROM paper_keywords

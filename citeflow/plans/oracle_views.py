@@ -52,7 +52,7 @@ VIEWS: dict[str, str] = {
           AND TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) IN (SELECT author_id FROM author)""",
     "active": """
         SELECT DISTINCT user_id FROM events
-        WHERE event_type = 'purchase' AND ts >= TIMESTAMP '2024-01-30' AND ts < TIMESTAMP '2024-01-31'""",
+        WHERE event_type = 'purchase' AND ts >= TIMESTAMP '2024-01-01' AND ts < TIMESTAMP '2024-01-31'""",
     "pool_high": "SELECT paper_id FROM paper WHERE n_citation >= 180",
     "pool_latest": "SELECT paper_id FROM paper WHERE ts > DATE '2001-08-01' - 90",
     "pool_newest": "SELECT paper_id FROM paper WHERE ts > DATE '2001-08-01' - 7",

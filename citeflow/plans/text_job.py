@@ -170,22 +170,23 @@ def q_tfidf_fixed_vocab(spark, sf):
 
 def q_lsa_embed(spark, sf, k: int = C.LSA_COMPONENTS):
     """M3: 100-dimensional normalised LSA vectors of every document part."""
-    _, tf, vocab, _ = _tfidf(Fixtures(spark, sf))
+    docs, tf, vocab, _ = _tfidf(Fixtures(spark, sf))
     w = TF.weights(tf, vocab, ["doc_id", "part"])
     idx, v = TF.lsa_fit(w, vocab, ["doc_id", "part"], k)
-    return TF.lsa_transform(w, idx, v, ["doc_id", "part"])
+    return TF.lsa_transform(w, idx, v, ["doc_id", "part"], docs)
 
 
 def q_lsa_refit(spark, sf):
-    """M4: refit on the new texts only (the original 'fine-tune' retrains)."""
+    """M4: refit on the new texts only (the original 'fine-tune' retrains); here those of one source."""
     fx = Fixtures(spark, sf)
-    docs = lsa_docs(fx).where(F.col("part") == 1)
+    new = fx.table("documents").where(F.col("source") == "src1").select("doc_id")
+    docs = lsa_docs(fx).join(new, "doc_id", "left_semi")
     n = docs.count()
     tf = TF.term_counts(docs, ["doc_id", "part"], stopwords=C.STOPWORDS_EN)
     vocab = TF.fit_vocabulary(tf, n, C.LSA_MIN_DF, C.LSA_MAX_DF, C.LSA_MAX_FEATURES)
     w = TF.weights(tf, vocab, ["doc_id", "part"])
     idx, v = TF.lsa_fit(w, vocab, ["doc_id", "part"], C.LSA_COMPONENTS)
-    return TF.lsa_transform(w, idx, v, ["doc_id", "part"])
+    return TF.lsa_transform(w, idx, v, ["doc_id", "part"], docs)
 
 
 # interactions: customers' line items split by order year into three files
@@ -252,7 +253,7 @@ def q_lsa_pretrain(spark, sf):
     vocab = TF.fit_vocabulary(tf, n)
     w = TF.weights(tf, vocab, ["doc"], vocab_bounded=False)
     idx, v = TF.lsa_fit(w, vocab, ["doc"], C.LSA_COMPONENTS)
-    return TF.lsa_transform(w, idx, v, ["doc"], normalise=False)
+    return TF.lsa_transform(w, idx, v, ["doc"], c, normalise=False)
 
 
 def q_word2vec_embed(spark, sf, vector_size: int = C.W2V_VECTOR_SIZE):
@@ -261,8 +262,8 @@ def q_word2vec_embed(spark, sf, vector_size: int = C.W2V_VECTOR_SIZE):
     from pyspark.ml.functions import vector_to_array
     docs = lsa_docs(Fixtures(spark, sf)).select("doc_id", "part", T.tokens("text").alias("words"))
     w2v = Word2Vec(vectorSize=vector_size, windowSize=C.W2V_WINDOW, minCount=C.W2V_MIN_COUNT,
-                   seed=42, maxIter=1, inputCol="words", outputCol="v",
-                   numPartitions=int(spark.conf.get("spark.sql.shuffle.partitions")))
+                   seed=42, maxIter=C.W2V_PASSES, inputCol="words", outputCol="v",
+                   numPartitions=C.W2V_PARTITIONS)
     model = w2v.fit(docs)
     return model.transform(docs).select("doc_id", "part", vector_to_array("v").alias("vec"))
 

@@ -56,6 +56,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     # the configured folder, not the per-context subfolder setCheckpointDir adds
     path = conf or current
     if not path:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _LOCAL_FALLBACK:
             _LOCAL_FALLBACK.append(tempfile.mkdtemp(prefix="citeflow-ckpt-"))
         path = _LOCAL_FALLBACK[0]
@@ -102,22 +104,24 @@ def mark_ready(spark: SparkSession, path: str) -> None:
          .write.mode("overwrite").text(f"{path}-ready")
 
 
+def read_or_none(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame | None:
+    """The parquet table at ``path``, or None if there is none yet; any other failure is raised."""
+    from pyspark.errors import AnalysisException
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    try:
+        return reader.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared folder (never a local checkpoint)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def fits(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` holds at most ``max_rows`` rows.
-
-    Runs a bounded job (``limit(max_rows + 1)``), so the check itself never
-    scans more than needed; used before broadcasting a side whose size is not
-    fixed by construction.
-    """
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
 _SHIPPED: set[str] = set()
 
 

@@ -15,12 +15,11 @@ re-running a whole upsert with the same input gives the same store.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.label import upsert
-from ..session import scratch_path
+from ..session import read_or_none, scratch_path
 
 STORE_SCHEMA = "pub_id string, labels array<string>, create_time timestamp_ntz, modify_time timestamp_ntz, bucket int"
 
@@ -35,10 +34,8 @@ def init_store(df: DataFrame, path: str, buckets: int) -> None:
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
-    try:
-        return spark.read.schema(STORE_SCHEMA).parquet(path)
-    except AnalysisException:
-        return spark.createDataFrame([], STORE_SCHEMA)
+    stored = read_or_none(spark, path, STORE_SCHEMA)
+    return spark.createDataFrame([], STORE_SCHEMA) if stored is None else stored
 
 
 def upsert_into(store: str, new: DataFrame, run_ts: Column, buckets: int) -> None:
@@ -51,10 +48,6 @@ def upsert_into(store: str, new: DataFrame, run_ts: Column, buckets: int) -> Non
     merged = upsert(old, new.drop("bucket"), run_ts).withColumn("bucket", bucket_of("pub_id", buckets))
     staging = scratch_path(spark, "label-staging")
     merged.write.mode("overwrite").partitionBy("bucket").parquet(staging)
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        (spark.read.parquet(staging).write.mode("overwrite")
-         .partitionBy("bucket").parquet(store))
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+    # an option of this write, so streams of one session don't meet in a setting
+    (spark.read.parquet(staging).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("bucket").parquet(store))

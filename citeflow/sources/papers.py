@@ -22,20 +22,20 @@ def read_papers_raw(spark: SparkSession, path: str) -> DataFrame:
     ``seq`` orders records by (file modification time, file, split offset,
     line order within the split): the last-wins order of D2, never a tie.
     """
-    df = (spark.read.schema(PAPER_SCHEMA)
-          .option("mode", "PERMISSIVE")
-          .option("columnNameOfCorruptRecord", "_corrupt_record")
-          .json(path))
-    return (df.withColumn("file", F.col("_metadata.file_path"))
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    # parsed as an expression: the corrupt column needs no cached scan
+    df = lines.withColumn("r", F.from_json("value", PAPER_SCHEMA, options))
+    return (df.select("r.*", F.col("_metadata.file_path").alias("file"), "_metadata")
             .withColumn("seq", F.struct(F.col("_metadata.file_modification_time").alias("t"),
                                         F.col("_metadata.file_path").alias("f"),
                                         F.col("_metadata.file_block_start").alias("b"),
-                                        F.monotonically_increasing_id().alias("i"))))
+                                        F.monotonically_increasing_id().alias("i")))
+              .drop("_metadata"))
 
 
 def split_corrupt(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(good rows, quarantined bad lines)."""
-    raw = raw.cache()  # the corrupt column may only be queried from a materialised scan
     bad = raw.where(F.col("_corrupt_record").isNotNull()).select("file", "_corrupt_record")
     good = raw.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
     return good, bad
@@ -54,11 +54,11 @@ def last_wins(papers: DataFrame, key: str = "id_of_mysql", seq: str = "seq") ->
     return latest.select(key, "r.*")
 
 
-def first_n(papers: DataFrame, n: int, order: str = "seq") -> DataFrame:
+def first_n(papers: DataFrame, n: int, *order: str) -> DataFrame:
     """The first ``n`` kept rows (``n = -1``: all) in a stable order."""
     if n is None or n < 0:
         return papers
-    return papers.orderBy(order).limit(n)
+    return papers.orderBy(*(order or ("seq",))).limit(n)
 
 
 def existing_ids(vectors: DataFrame) -> DataFrame:

@@ -15,8 +15,9 @@ directories are listed and read.
 from __future__ import annotations
 
 import datetime as _dt
+import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
@@ -111,37 +112,51 @@ def discover(spark: SparkSession, dirs: list[str]) -> DataFrame:
     present = [d for d in dirs if _exists(spark, d)]
     if not present:
         return _empty(spark, "file_path string, file_name string")
-    t = spark.read.format("text").option("recursiveFileLookup", "true").load(present)
-    return t.select(F.col("_metadata.file_path").alias("file_path"),
-                    F.col("_metadata.file_name").alias("file_name")).distinct()
+    # Spark's own listing: no file is opened, and empty files, which a scan leaves out, are in it
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(present).inputFiles()
+    t = spark.createDataFrame([(f,) for f in files], "file_path string")
+    return t.select("file_path", F.element_at(F.split("file_path", "/"), -1).alias("file_name"))
+
+
+def pool_kind(path: Column, roots: list[str]) -> Column:
+    """The pool a file belongs to: named by the file, or else by a folder below the pool directories given
+    (the last part of a directory counts, the folders above it don't)."""
+    base = path
+    for r in roots:
+        above = re.escape(r.rstrip("/").rpartition("/")[0])
+        base = F.regexp_replace(base, F.lit(f"^(?:[a-z]+:)?/*{above.lstrip('/') if above else ''}/"), F.lit(""))
+    name = F.element_at(F.split(base, "/"), -1)
+    of = lambda c: (F.when(c.contains("latest"), F.lit("latest")).when(c.contains("scholar"), F.lit("scholar"))
+                     .when(c.contains("high"), F.lit("high")))
+    return F.coalesce(of(name), of(base))
+
+
+def parse_pools(lines: DataFrame, roots: list[str]) -> DataFrame:
+    """(pool, paper_id, file_path) of ``lines`` (value, file_path), each parsed as its pool's format."""
+    t = (lines.select(F.regexp_replace("value", r"^\uFEFF", "").alias("value"), "file_path")
+              .withColumn("pool", pool_kind(F.col("file_path"), roots)).where(F.col("pool").isNotNull()))
+    latest = t.where(F.col("pool") == "latest").select(
+        "pool", F.from_json("value", "pub_id string")["pub_id"].alias("paper_id"), "file_path")
+    high = t.where(F.col("pool") == "high").select(
+        "pool", F.from_json("value", "`_id` string")["_id"].alias("paper_id"), "file_path")
+    sch = (t.where(F.col("pool") == "scholar")
+           .select("pool", "file_path", F.explode(F.from_json("value", SCHOLAR_SCHEMA)).alias("k", "evs"))
+           .select("pool", "file_path", F.explode("evs").alias("e"))
+           .select("pool", F.coalesce("e.pub_id", "e.event_pub_id").alias("paper_id"), "file_path"))
+    return latest.unionByName(sch).unionByName(high).where(F.col("paper_id").isNotNull())
 
 
 def route(spark: SparkSession, dirs: list[str]) -> DataFrame:
-    """Parse each file by the kind its path names; latest, then scholar, then high.
+    """Parse each file as the pool it belongs to; latest, then scholar, then high, others ignored.
 
-    Paths containing ``latest`` use the latest parser, else ``scholar`` the
-    scholar-pool parser, else ``high`` the high-pool parser; others ignored.
     Returns ``(pool, paper_id, file_path)``.
     """
     present = [d for d in dirs if _exists(spark, d)]
     if not present:
         return _empty(spark, "pool string, paper_id string, file_path string")
     t = (spark.read.format("text").option("recursiveFileLookup", "true").load(present)
-         .select(F.regexp_replace("value", r"^\uFEFF", "").alias("value"),
-                 F.col("_metadata.file_path").alias("file_path")))
-    kind = (F.when(F.col("file_path").contains("latest"), F.lit("latest"))
-            .when(F.col("file_path").contains("scholar"), F.lit("scholar"))
-            .when(F.col("file_path").contains("high"), F.lit("high")))
-    t = t.withColumn("pool", kind).where(F.col("pool").isNotNull())
-    latest = t.where(F.col("pool") == "latest").select(
-        "pool", F.from_json("value", "pub_id string")["pub_id"].alias("paper_id"), "file_path")
-    high = t.where(F.col("pool") == "high").select(
-        "pool", F.from_json("value", "`_id` string")["_id"].alias("paper_id"), "file_path")
-    sch = (t.where(F.col("pool") == "scholar")
-           .select("pool", "file_path", F.explode(F.from_json("value", SCHOLAR_SCHEMA)).alias("k", "evs"))
-           .select("pool", "file_path", F.explode("evs").alias("e"))
-           .select("pool", F.coalesce("e.pub_id", "e.event_pub_id").alias("paper_id"), "file_path"))
-    return latest.unionByName(sch).unionByName(high).where(F.col("paper_id").isNotNull())
+         .select("value", F.col("_metadata.file_path").alias("file_path")))
+    return parse_pools(t, present)
 
 
 def day_range(start: _dt.date, end: _dt.date, drop_last: bool = False):

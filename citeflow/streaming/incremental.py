@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from ..functions.text import paper_text, text_to_epoch
 from ..operators.embed import Embedder, HashingEmbedder
 from ..operators.incremental import append_vectors
+from ..session import read_or_none
 from ..sources.papers import PAPER_SCHEMA, keep_identified, last_wins
 
 STREAM_SCHEMA = PAPER_SCHEMA.replace(", _corrupt_record string", "")
@@ -31,11 +32,11 @@ def embed_new(batch: DataFrame, table: str, embedder: Embedder, model: str) -> D
     papers = keep_identified(batch).withColumn(
         "seq", F.struct(F.col("_metadata_t"), F.col("_metadata_f"), F.monotonically_increasing_id()))
     latest = last_wins(papers.drop("_metadata_t", "_metadata_f"), key="id_of_mysql", seq="seq")
-    try:
-        stored = spark.read.parquet(table).where(F.col("model") == model).select("pid")
-        new = latest.join(stored.withColumnRenamed("pid", "id_of_mysql"), "id_of_mysql", "left_anti")
-    except Exception:  # noqa: BLE001 - first run: no table yet
-        new = latest
+    stored = read_or_none(spark, table)
+    new = latest
+    if stored is not None:
+        ids = stored.where(F.col("model") == model).select(F.col("pid").alias("id_of_mysql"))
+        new = latest.join(ids, "id_of_mysql", "left_anti")
     texts = new.select(F.col("id_of_mysql").alias("pid"),
                        paper_text("title", "abstract").alias("text"),
                        text_to_epoch("ts").alias("ts"))

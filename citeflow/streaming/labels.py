@@ -15,25 +15,7 @@ from pyspark.sql import functions as F
 
 from ..operators import label as L
 from ..sinks.label_store import upsert_into
-from ..sources.pools import SCHOLAR_SCHEMA
-
-
-def _ids_of(batch: DataFrame) -> DataFrame:
-    t = batch.select(F.regexp_replace("value", r"^\uFEFF", "").alias("value"),
-                     F.col("_metadata.file_path").alias("file_path"))
-    kind = (F.when(F.col("file_path").contains("latest"), F.lit("latest"))
-            .when(F.col("file_path").contains("scholar"), F.lit("scholar"))
-            .when(F.col("file_path").contains("high"), F.lit("high")))
-    t = t.withColumn("pool", kind)
-    latest = t.where(F.col("pool") == "latest").select(
-        F.from_json("value", "pub_id string")["pub_id"].alias("paper_id"))
-    high = t.where(F.col("pool") == "high").select(
-        F.from_json("value", "`_id` string")["_id"].alias("paper_id"))
-    sch = (t.where(F.col("pool") == "scholar")
-           .select(F.explode(F.from_json("value", SCHOLAR_SCHEMA)).alias("k", "evs"))
-           .select(F.explode("evs").alias("e"))
-           .select(F.coalesce("e.pub_id", "e.event_pub_id").alias("paper_id")))
-    return latest.unionByName(sch).unionByName(high).where(F.col("paper_id").isNotNull())
+from ..sources.pools import parse_pools
 
 
 def run_label_stream(spark: SparkSession, dirs: list[str], papers: DataFrame, vocab: DataFrame,
@@ -44,7 +26,8 @@ def run_label_stream(spark: SparkSession, dirs: list[str], papers: DataFrame, vo
     ``papers(paper_id string, keywords)``; ``vocab(word)``.
     """
     def handle(batch: DataFrame, batch_id: int) -> None:
-        ids = _ids_of(batch)
+        lines = batch.select("value", F.col("_metadata.file_path").alias("file_path"))
+        ids = parse_pools(lines, dirs).select("paper_id")
         labels = L.match_keywords(L.lookup(ids, papers, ["keywords"]), vocab)
         upsert_into(store, labels, run_ts, buckets)
 
