@@ -66,23 +66,23 @@ def _upto(n: Column) -> Column:
 def _kmers(tokens: Column, k: int) -> Column:
     """The k-mers of a text, sorted by hash and then position."""
     n = F.greatest(F.size(tokens) - (k - 1), F.least(F.size(tokens), F.lit(1)))
-    return F.array_sort(F.transform(_upto(n), lambda i: _packed(F.xxhash64(*[F.get(tokens, i + j) for j in range(k)]), i)))
+    return F.sort_array(F.transform(_upto(n), lambda i: _packed(F.xxhash64(*[F.get(tokens, i + j) for j in range(k)]), i)))
 
 
 def _elements(kmers: Column) -> Column:
     """Elements (k-mer, occurrence), sorted by their place on the ring."""
     place = lambda x, nth: _packed(F.xxhash64(_upper(x), nth), _position(x))
-    first = lambda j: (j == 0) | (_upper(F.get(kmers, j - 1)) != _upper(F.get(kmers, j)))
+    again = lambda x, j: _upper(F.get(kmers, j - 1)) == _upper(x)
+    once = F.transform(F.filter(kmers, lambda x, j: (j == 0) | ~again(x, j)), lambda x: place(x, F.lit(0)))
 
-    def numbered(starts: Column) -> Column:
-        end = lambda r: F.coalesce(F.get(starts, r + 1), F.size(kmers))
-        runs = F.filter(F.transform(starts, lambda s, r: F.struct(s.alias("s"), (end(r) - s).alias("n"))),
-                        lambda x: x["n"] > 1)
-        return F.concat(
-            F.transform(starts, lambda s: place(F.get(kmers, s), F.lit(0))),
-            F.flatten(F.transform(runs, lambda x: F.transform(
-                F.sequence(F.lit(1), x["n"] - 1), lambda o: place(F.get(kmers, x["s"] + o), o)))))
-    return F.array_sort(let(F.filter(_upto(F.size(kmers)), first), numbered))
+    def repeated(at: Column) -> Column:
+        """Occurrences 1, 2, ... from the (few) indices of k-mers equal to the one before."""
+        starts = F.filter(_upto(F.size(at)), lambda r: (r == 0) | (F.get(at, r - 1) != F.get(at, r) - 1))
+        return let(starts, lambda s: F.flatten(F.transform(s, lambda r, i: F.transform(
+            F.sequence(r, F.coalesce(F.get(s, i + 1), F.size(at)) - 1),
+            lambda x: place(F.get(kmers, F.get(at, x)), x - r + 1)))))
+    indices = F.filter(_upto(F.size(kmers)), lambda j: (j > 0) & again(F.get(kmers, j), j))
+    return F.sort_array(F.concat(once, let(indices, repeated)))
 
 
 def _slots(e: Column, ell: int) -> Column:
@@ -94,7 +94,7 @@ def _slots(e: Column, ell: int) -> Column:
     def tuple_at(j: Column) -> Column:
         chosen = F.transform(_upto(F.least(F.lit(ell), n)), lambda q: let(
             F.get(e, F.pmod(j + q, n)), lambda x: F.struct(_position(x).alias("p"), _upper(x).alias("h"))))
-        return F.xxhash64(F.transform(F.array_sort(chosen), lambda s: s["h"]))
+        return F.xxhash64(F.transform(F.sort_array(chosen), lambda s: s["h"]))
 
     def from_first(first: Column) -> Column:
         # an empty bin takes what follows on the ring
@@ -150,14 +150,15 @@ def fingerprints(docs: DataFrame, k: int = K, ell: int = L) -> DataFrame:
     rows = C.scratch(texts.select("key", "doc_id", "sha", F.char_length("text").cast("long").alias("n_chars"),
                                   signature(F.col("text"), k, ell).alias("sig")), "omh-rows").dropDuplicates(["key"])
     ring = C.scratch(neighbours(rows).select(
-        "key", "n_chars", "sig", F.col("next.sig").alias("next_sig"), F.col("previous.key").alias("previous"),
+        "key", "doc_id", "n_chars", "sig", F.col("next.sig").alias("next_sig"), F.col("previous.key").alias("previous"),
         F.floor(F.col("previous.n_chars") / 4).cast("int").alias("wanted")), "omh-ring")
-    placed = texts.select("key", "doc_id", "text").repartition("key")
+    # both joins below read the same columns of this exchange, so the texts are shuffled once
+    placed = texts.select("key", "text").repartition("key")
     heads = (placed.join(ring.select("key", "previous", "wanted"), "key")
                    .select(F.col("previous").alias("key"), F.col("text").substr(F.lit(1), F.col("wanted")).alias("head"))
                    .dropDuplicates(["key"]))
     quarter = F.floor(F.col("n_chars") / 4)
-    edited = (placed.join(ring.select("key", "n_chars", "sig", "next_sig"), "key").join(heads, "key")
+    edited = (placed.join(ring.select("key", "doc_id", "n_chars", "sig", "next_sig"), "key").join(heads, "key")
                     .withColumn("edited", F.concat(F.col("text").substr(F.lit(1), (F.col("n_chars") - quarter).cast("int")), "head")))
     out = edited.select("doc_id", "n_chars", "sig", "next_sig", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
                         signature(F.col("edited"), k, ell).alias("edited_sig"))
