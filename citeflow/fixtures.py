@@ -31,18 +31,20 @@ class Fixtures:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     # ---- papers and authors -------------------------------------------------
-    def paper(self) -> DataFrame:
-        """paper(paper_id, ts date, n_citation bigint).
+    def _of(self, name: str, key: str, ids: DataFrame | None) -> DataFrame:
+        """A table, keyed by ``paper_id``; with ``ids`` only the rows of those papers."""
+        t = self.table(name).withColumn("paper_id", F.col(key))
+        return t if ids is None else t.join(ids.select("paper_id"), "paper_id", "left_semi")
+
+    def paper(self, ids: DataFrame | None = None) -> DataFrame:
+        """paper(paper_id, ts date, n_citation bigint), of all papers or of ``ids``.
 
         The line aggregate runs before the join (partial aggregation on the
         map side), so only one row per order reaches the join shuffle.
         """
-        qty = (self.table("lineitem")
-               .groupBy(F.col("l_orderkey").alias("paper_id"))
+        qty = (self._of("lineitem", "l_orderkey", ids).groupBy("paper_id")
                .agg(F.sum("l_quantity").alias("q")))
-        orders = self.table("orders").select(
-            F.col("o_orderkey").alias("paper_id"),
-            F.to_date("o_orderdate").alias("ts"))
+        orders = self._of("orders", "o_orderkey", ids).select("paper_id", F.to_date("o_orderdate").alias("ts"))
         return orders.join(qty, "paper_id").select(
             "paper_id", "ts", F.col("q").cast("bigint").alias("n_citation"))
 
@@ -85,31 +87,28 @@ class Fixtures:
         return active_users(self.table("events"), start, end)
 
     # ---- pools -----------------------------------------------------------------
-    def pool_high(self, min_citations: int = C.HIGH_MIN_CITATIONS) -> DataFrame:
-        return self.paper().where(F.col("n_citation") >= min_citations).select("paper_id")
+    def pool_high(self, min_citations: int = C.HIGH_MIN_CITATIONS, paper: DataFrame | None = None) -> DataFrame:
+        return (self.paper() if paper is None else paper).where(F.col("n_citation") >= min_citations).select("paper_id")
 
-    def pool_latest(self, days: int = C.LATEST_SPAN_DAYS) -> DataFrame:
-        return self.paper().where(
+    def pool_latest(self, days: int = C.LATEST_SPAN_DAYS, paper: DataFrame | None = None) -> DataFrame:
+        return (self.paper() if paper is None else paper).where(
             F.col("ts") > F.date_sub(F.lit(self.as_of), days)).select("paper_id")
 
-    def pool_newest(self, days: int = C.NEWEST_SPAN_DAYS) -> DataFrame:
-        return self.pool_latest(days)
+    def pool_newest(self, days: int = C.NEWEST_SPAN_DAYS, paper: DataFrame | None = None) -> DataFrame:
+        return self.pool_latest(days, paper)
 
     # ---- per-paper dimensions ---------------------------------------------
-    def paper_pv(self) -> DataFrame:
+    def paper_pv(self, ids: DataFrame | None = None) -> DataFrame:
         """paper_pv(paper_id, pv): line count of urgent orders."""
-        urgent = self.table("orders").where(F.col("o_orderpriority") == "1-URGENT") \
-                     .select(F.col("o_orderkey").alias("paper_id"))
-        lines = self.table("lineitem").select(F.col("l_orderkey").alias("paper_id"))
+        urgent = self._of("orders", "o_orderkey", ids).where(F.col("o_orderpriority") == "1-URGENT").select("paper_id")
+        lines = self._of("lineitem", "l_orderkey", ids).select("paper_id")
         return lines.join(urgent, "paper_id", "left_semi") \
                     .groupBy("paper_id").agg(F.count(F.lit(1)).alias("pv"))
 
-    def paper_zone(self) -> DataFrame:
+    def paper_zone(self, ids: DataFrame | None = None) -> DataFrame:
         """paper_zone(paper_id, zone): sorted distinct return flags of filled orders."""
-        filled = self.table("orders").where(F.col("o_orderstatus") == "F") \
-                     .select(F.col("o_orderkey").alias("paper_id"))
-        lines = self.table("lineitem").select(F.col("l_orderkey").alias("paper_id"),
-                                              "l_returnflag")
+        filled = self._of("orders", "o_orderkey", ids).where(F.col("o_orderstatus") == "F").select("paper_id")
+        lines = self._of("lineitem", "l_orderkey", ids).select("paper_id", "l_returnflag")
         return (lines.join(filled, "paper_id", "left_semi")
                 .groupBy("paper_id")
                 .agg(F.array_sort(F.collect_set("l_returnflag")).alias("zone")))

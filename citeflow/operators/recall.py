@@ -24,6 +24,7 @@ from pyspark.sql import Window
 
 from .. import config as C
 from ..functions.score import distance_from_score, score_int
+from ..session import cut_lineage
 
 
 def rank_order():
@@ -65,44 +66,47 @@ def expand(edges: DataFrame, per_scholar: DataFrame, n: int) -> DataFrame:
     return joined.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
+def edge_sets(coauthors: DataFrame | None, similar: DataFrame | None,
+              focus: DataFrame | None = None) -> list[tuple[str, DataFrame]]:
+    """The expansions of the focus scholars by label.
+
+    At most 10 rows per scholar, used by every pool and by ``needed``: written
+    once to the shared folder, nothing stays in memory.
+    """
+    out = [(lab, e.select("f", "t")) for lab, e in ((C.LABEL_COOPERATION, coauthors), (C.LABEL_SIMILAR, similar))
+           if e is not None]
+    if focus is not None:
+        f = focus.select(F.col("author_id").alias("f")).distinct()
+        out = [(lab, e.join(f, "f", "left_semi")) for lab, e in out]
+    return [(lab, cut_lineage(e)) for lab, e in out]
+
+
+def needed(focus: DataFrame, edges: list[tuple[str, DataFrame]]) -> DataFrame:
+    """Scholars whose own cut list is needed: the focus and its expansions."""
+    out = focus.select("author_id")
+    for _, e in edges:
+        out = out.unionByName(e.select(F.col("t").alias("author_id")))
+    return cut_lineage(out.distinct())
+
+
 def recall_lists(authorship: DataFrame, paper: DataFrame, pools: dict[str, DataFrame],
                  focus: DataFrame | None = None,
-                 coauthors: DataFrame | None = None,
-                 similar: DataFrame | None = None,
+                 edges: list[tuple[str, DataFrame]] = (),
                  sizes: dict[str, int] | None = None) -> DataFrame:
     """All recall lists of the focus scholars (all scholars when ``focus`` is None).
 
+    With a focus, ``authorship`` need only hold the ``needed`` scholars and
+    ``paper`` and the pools their papers.
     Returns ``(followed_id, pool, label, rank, paper_id, score, n_citation, author_id)``
     where ``author_id`` is the scholar the paper came from.
     """
     sizes = sizes or {C.POOL_HIGH: C.RECALL_HIGH, C.POOL_LATEST: C.RECALL_LATEST}
-    edge_sets = []
-    if coauthors is not None:
-        edge_sets.append((C.LABEL_COOPERATION, coauthors.select("f", "t")))
-    if similar is not None:
-        edge_sets.append((C.LABEL_SIMILAR, similar.select("f", "t")))
     if focus is not None:
         focus = focus.select(F.col("author_id").alias("f")).distinct()
-        edge_sets = [(lab, e.join(focus, "f", "left_semi")) for lab, e in edge_sets]
-    # edge sets are small (at most 10 per scholar) and feed every pool and the
-    # scholar filter below: materialise them once (recomputable if lost)
-    edge_sets = [(lab, e.persist()) for lab, e in edge_sets]
-    if focus is not None:
-        # scholars whose own cut list is needed: the focus and their expansions
-        needed = focus.select(F.col("f").alias("author_id"))
-        for _, e in edge_sets:
-            needed = needed.unionByName(e.select(F.col("t").alias("author_id")))
-        needed = needed.distinct().persist()
-    else:
-        needed = None
-
     out = []
     for pool_name, pool in pools.items():
         n = sizes[pool_name]
-        pairs = scholar_papers(authorship, pool)
-        if needed is not None:
-            pairs = pairs.join(needed, "author_id", "left_semi")
-        per_scholar = top_per_scholar(scored(pairs, paper), n)
+        per_scholar = top_per_scholar(scored(scholar_papers(authorship, pool), paper), n)
         own = per_scholar
         if focus is not None:
             own = own.join(focus.select(F.col("f").alias("author_id")), "author_id", "left_semi")
@@ -110,8 +114,8 @@ def recall_lists(authorship: DataFrame, paper: DataFrame, pools: dict[str, DataF
                               F.lit(pool_name).alias("pool"),
                               F.lit(C.LABEL_FOLLOWED).alias("label"),
                               "rank", "paper_id", "score", "n_citation", "author_id"))
-        for label, edges in edge_sets:
-            lst = expand(edges, per_scholar, n)
+        for label, e in edges:
+            lst = expand(e, per_scholar, n)
             out.append(lst.select(F.col("f").alias("followed_id"),
                                   F.lit(pool_name).alias("pool"),
                                   F.lit(label).alias("label"),

@@ -9,11 +9,12 @@ from .. import config as C
 from ..fixtures import Fixtures
 from ..functions.score import distance_from_score, score_int
 from ..operators import graph, recall
+from ..session import cut_lineage
 from ..sinks.nested import nest_recall
 
 
-def _pools(fx: Fixtures) -> dict[str, DataFrame]:
-    return {C.POOL_HIGH: fx.pool_high(), C.POOL_LATEST: fx.pool_latest()}
+def _pools(fx: Fixtures, paper: DataFrame) -> dict[str, DataFrame]:
+    return {C.POOL_HIGH: fx.pool_high(paper=paper), C.POOL_LATEST: fx.pool_latest(paper=paper)}
 
 
 def scholar_vectors(fx: Fixtures) -> DataFrame:
@@ -31,11 +32,20 @@ def _flat(lists: DataFrame) -> DataFrame:
 
 
 def lists_for(fx: Fixtures, focus: DataFrame | None, labels=("followed", "cooperation", "similar")):
-    authorship, paper = fx.authorship(), fx.paper()
+    """Recall lists; with a focus only the papers of the scholars involved are aggregated.
+
+    The paper aggregate is written once per job: both pools and the scores read it.
+    """
+    authorship = fx.authorship()
     co = graph.coauthor_edges(authorship, focus=focus) if "cooperation" in labels else None
     sim = graph.similar_edges(scholar_vectors(fx), focus=focus) if "similar" in labels else None
-    lists = recall.recall_lists(authorship, paper, _pools(fx), focus=focus,
-                                coauthors=co, similar=sim)
+    edges = recall.edge_sets(co, sim, focus)
+    ids = None
+    if focus is not None:
+        authorship = cut_lineage(authorship.join(recall.needed(focus, edges), "author_id", "left_semi"))
+        ids = authorship.select("paper_id").distinct()
+    paper = cut_lineage(fx.paper(ids))
+    lists = recall.recall_lists(authorship, paper, _pools(fx, paper), focus, edges)
     if "followed" not in labels:
         lists = lists.where(F.col("label") != C.LABEL_FOLLOWED)
     return lists
@@ -105,17 +115,11 @@ def q_recall_followed(spark, sf):
 
 
 def q_recall_coauthor(spark, sf):
-    fx = Fixtures(spark, sf)
-    lists = recall.recall_lists(fx.authorship(), fx.paper(), _pools(fx),
-                                coauthors=graph.coauthor_edges(fx.authorship()))
-    return _flat(lists.where(F.col("label") == C.LABEL_COOPERATION))
+    return _flat(lists_for(Fixtures(spark, sf), None, labels=("cooperation",)))
 
 
 def q_recall_similar(spark, sf):
-    fx = Fixtures(spark, sf)
-    lists = recall.recall_lists(fx.authorship(), fx.paper(), _pools(fx),
-                                similar=graph.similar_edges(scholar_vectors(fx)))
-    return _flat(lists.where(F.col("label") == C.LABEL_SIMILAR))
+    return _flat(lists_for(Fixtures(spark, sf), None, labels=("similar",)))
 
 
 def q_recall_all(spark, sf):
@@ -124,8 +128,10 @@ def q_recall_all(spark, sf):
 
 
 def _enriched(fx: Fixtures, focus: DataFrame | None) -> DataFrame:
-    lists = lists_for(fx, focus)
-    out = recall.enrich(lists, fx.author(), fx.pool_newest(), fx.paper_pv(), fx.paper_zone())
+    """The lists with their dimensions, which are aggregated for the recalled papers only."""
+    lists = cut_lineage(lists_for(fx, focus))
+    ids = cut_lineage(lists.select("paper_id").distinct())
+    out = recall.enrich(lists, fx.author(), fx.pool_newest(paper=fx.paper(ids)), fx.paper_pv(ids), fx.paper_zone(ids))
     return out.withColumn("rank", F.col("rank").cast("bigint"))
 
 
@@ -146,9 +152,8 @@ def q_followed_names(spark, sf):
 def recall_user_flat(fx: Fixtures, users: DataFrame | None = None) -> DataFrame:
     """B1 flat: active user -> followed scholar (named) -> enriched lists."""
     users = fx.active() if users is None else users
-    # small (followed scholars of the users); reused by every branch of the plan
-    follows = recall.followed_names(fx.follow().join(users, "user_id", "left_semi"),
-                                    fx.author()).persist()
+    # the followed scholars of the users, read by several branches of the plan
+    follows = cut_lineage(recall.followed_names(fx.follow().join(users, "user_id", "left_semi"), fx.author()))
     focus = follows.select(F.col("followed_id").alias("author_id")).distinct()
     rows = _enriched(fx, focus)
     return follows.join(rows, "followed_id")

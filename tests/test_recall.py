@@ -17,8 +17,8 @@ def test_repeat_through_two_collaborators_is_kept(spark):
     paper = spark.createDataFrame([(1, None, 5), (2, None, 3)], "paper_id long, ts date, n_citation long")
     pool = spark.createDataFrame([(1,), (2,)], "paper_id long")
     edges = spark.createDataFrame([(99, 10), (99, 11), (99, 12)], "f long, t long")
-    lists = recall.recall_lists(authorship, paper, {C.POOL_HIGH: pool}, coauthors=edges,
-                                sizes={C.POOL_HIGH: 25})
+    lists = recall.recall_lists(authorship, paper, {C.POOL_HIGH: pool},
+                                edges=recall.edge_sets(edges, None), sizes={C.POOL_HIGH: 25})
     co = lists.where(F.col("label") == C.LABEL_COOPERATION).orderBy("rank").collect()
     assert [(r["paper_id"], r["author_id"]) for r in co] == [(1, 10), (1, 11), (2, 12)]
 
@@ -43,3 +43,14 @@ def test_nested_output(spark):
             for lst in (p["highly_cited_papers"] or [], p["latest_papers"] or []):
                 order = [C.LABEL_ORDER[x["label"]] for x in lst]
                 assert order == sorted(order)
+
+
+def test_a_focus_reads_its_own_papers_only(spark):
+    """One user's job gives that user's part of all users' job, and leaves nothing persisted."""
+    from citeflow.plans.recall_job import q_recall_one_user, q_recall_user
+    before = set(spark.sparkContext._jsc.getPersistentRDDs())
+    one = q_recall_one_user(spark, SF_SMALL).collect()
+    user = one[0]["user_id"]
+    every = q_recall_user(spark, SF_SMALL).where(F.col("user_id") == user).collect()
+    assert sorted(map(str, one)) == sorted(map(str, every)) and one
+    assert set(spark.sparkContext._jsc.getPersistentRDDs()) == before
