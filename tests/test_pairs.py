@@ -41,3 +41,28 @@ def test_one_group_holding_everything(spark):
     want = rows(graph.coauthor_edges(a, top=4, hot=10**9), ["f", "t", "w", "rk"])
     got = rows(graph.coauthor_edges(a, top=4, hot=5), ["f", "t", "w", "rk"])
     assert got == want
+
+
+def test_hot_rows_stay_far_below_all_pairs(spark):
+    """Every item in its own set of users (distinct signatures): the hot part emits few rows per item."""
+    from citeflow.operators import pairs as P
+    ui = Fixtures(spark, SF_SMALL).user_item().select(F.col("user_id").alias("g"), F.col("item").alias("m"))
+    inc = ui.distinct()
+    size = inc.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    heavy = inc.join(size, "g").where("n > 5").withColumn("wg", F.lit(1.0) / F.col("n"))
+    deg = inc.groupBy("m").agg(F.count(F.lit(1)).alias("d"))
+    none = spark.createDataFrame([], "a bigint, b bigint, wl double")
+    made = P._with_hot_groups(none, heavy, deg, 5, None, 256)
+    members = heavy.select("m").distinct().count()
+    pairs = heavy.alias("x").join(heavy.alias("y"), "g").where("x.m <> y.m").select("x.m", "y.m").distinct().count()
+    assert made.count() <= 5 * members * -(-members // 256) and made.count() < 0.25 * pairs
+
+
+def test_many_ties_keep_the_smallest_ids(spark):
+    rows = [(0, m) for m in range(300)]
+    a = spark.createDataFrame(rows, "paper_id long, author_id long")
+    got = graph.coauthor_edges(a, top=3, hot=10).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.f, []).append((r.rk, r.t))
+    assert [t for _, t in sorted(by[0])] == [1, 2, 3] and [t for _, t in sorted(by[200])] == [0, 1, 2] and len(by) == 300
