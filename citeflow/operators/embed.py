@@ -106,4 +106,3 @@ class RandomProjectionEmbedder(PandasEmbedder):
         return out
 
 
-EMBEDDERS = {"hashing": HashingEmbedder, "projection": RandomProjectionEmbedder}

@@ -9,6 +9,8 @@ from pyspark.sql import Window
 from .. import config as C
 from ..functions.text import format_keyword
 from . import knn as K
+from .embed import Embedder, HashingEmbedder
+from .incremental import dense_index
 
 
 def lookup(ids: DataFrame, papers: DataFrame, columns: list[str]) -> DataFrame:
@@ -56,6 +58,35 @@ def nearest_subjects(papers: DataFrame, subjects: DataFrame, k: int = C.LABEL_TO
                              lambda x: x["word"]).alias("labels")))
 
 
+def titled(papers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(papers with a title, those without)."""
+    has = F.coalesce(F.length(F.trim("title")) > 0, F.lit(False))
+    return papers.where(has), papers.where(~has)
+
+
+def label_by(way: str, papers: DataFrame, words: DataFrame, embedder: Embedder | None = None) -> DataFrame:
+    """Labels of ``papers`` from the vocabulary ``words(word)``, by the given way.
+
+    ``strong``: keywords that are vocabulary words (``papers(paper_id, keywords)``).
+    ``nearest``: the words whose vectors lie nearest to the title's
+    (``papers(paper_id, title)``); untitled papers get no row.
+    """
+    if way == "strong":
+        return match_keywords(papers, words)
+    if way != "nearest":
+        raise ValueError(f"unknown way of labelling: {way}")
+    embedder = embedder or HashingEmbedder()
+    named = words.select("word").where(F.length("word") > 0).distinct()
+    subjects = dense_index(named, "word").select(F.col("idx").alias("subject_id"), "word")
+    vectors = embedder.transform(subjects, "subject_id", "word").withColumnRenamed("vec", "embedding")
+    have, _ = titled(papers)
+    numbered = dense_index(have.select("paper_id", "title").distinct(), "paper_id")
+    vecs = embedder.transform(numbered.select("idx", "title"), "idx", "title")
+    found = nearest_subjects(vecs.select(F.col("idx").alias("pub_id"), "vec"), subjects.join(vectors, "subject_id"))
+    return (found.withColumnRenamed("pub_id", "idx").join(numbered.select("idx", "paper_id"), "idx")
+                 .select(F.col("paper_id").alias("pub_id"), "labels"))
+
+
 def upsert(old: DataFrame, new: DataFrame, run_ts: Column) -> DataFrame:
     """K3: set labels and modify_time; create_time only on insert.
 

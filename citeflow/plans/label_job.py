@@ -21,6 +21,7 @@ from .. import config as C
 from ..fixtures import Fixtures
 from ..functions.text import day_tag, format_keyword
 from ..operators import label as L
+from ..operators.embed import RandomProjectionEmbedder
 from ..session import mark_ready, reusable_path, scratch_path
 from ..sources import pools as P
 from ..sources import vocab as VS
@@ -201,10 +202,31 @@ def q_label_knn(spark, sf):
 
 
 def q_label_candidates(spark, sf):
-    """Papers with a title are labelled; those without are counted and left out."""
-    d = Fixtures(spark, sf).doc()
-    has = F.length(F.trim(F.col("title"))) > 0
-    return d.where(has).select(F.col("doc_id").alias("pub_id"), "title")
+    """Papers with a title are labelled; those without are left out."""
+    have, _ = L.titled(Fixtures(spark, sf).doc())
+    return have.select(F.col("doc_id").alias("pub_id"), "title")
+
+
+def q_label_skipped(spark, sf):
+    """How many papers are labelled and how many have no title; German documents are taken as untitled."""
+    fx = Fixtures(spark, sf)
+    lang = fx.table("documents").select("doc_id", "lang")
+    d = fx.doc().join(lang, "doc_id").withColumn("title", F.when(F.col("lang") != "de", F.col("title")))
+    have, none = L.titled(d)
+    n = lambda df, c: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(c).alias("c"), "n")
+    both = n(have, "n_titled").unionByName(n(none, "n_untitled"))
+    return both.agg(*[F.max(F.when(F.col("c") == c, F.col("n"))).alias(c) for c in ("n_titled", "n_untitled")])
+
+
+def q_label_nearest_job(spark, sf):
+    """The whole job by nearest subject: pools, lookup, encoding (model plug-in), two nearest words, upsert."""
+    fx = Fixtures(spark, sf)
+    titles = fx.table("part").select(F.col("p_partkey").alias("paper_id"), F.col("p_name").alias("title"))
+    papers = L.lookup(_pools(spark, sf), titles, ["title"])
+    vocab = VS.read_vocab(spark, f"{label_inputs(spark, sf)}/vocab")
+    labels = L.label_by("nearest", papers, vocab, RandomProjectionEmbedder())
+    done = L.upsert(label_store_old(fx), labels, run_ts())
+    return done.select("pub_id", F.size("labels").cast("bigint").alias("n_labels"), "create_time", "modify_time")
 
 
 QUERIES = {
@@ -224,12 +246,28 @@ QUERIES = {
     "subject_index": q_subject_index,
     "label_knn": q_label_knn,
     "label_candidates": q_label_candidates,
+    "label_skipped": q_label_skipped,
+    "label_nearest_job": q_label_nearest_job,
 }
 
 _FMT = "lower(regexp_replace(replace({x}, '-', ' '), '^\\s+|\\s+$', '', 'g'))"
 
 ORACLE = {
     "vocab_scan": "SELECT word FROM vocab",
+    "label_candidates": "SELECT doc_id AS pub_id, title FROM doc WHERE length(trim(title)) > 0",
+    "label_skipped": """
+        SELECT count(*) FILTER (d.lang <> 'de' AND length(trim(x.title)) > 0) AS n_titled,
+               count(*) FILTER (NOT (d.lang <> 'de' AND length(trim(x.title)) > 0)) AS n_untitled
+        FROM doc x JOIN documents d ON d.doc_id = x.doc_id""",
+    "label_nearest_job": """
+        SELECT COALESCE(o.pub_id, n.pub_id) AS pub_id,
+               CASE WHEN n.pub_id IS NOT NULL THEN CAST(2 AS BIGINT) ELSE CAST(len(o.labels) AS BIGINT) END AS n_labels,
+               COALESCE(o.create_time, TIMESTAMP '2001-08-01 00:00:00') AS create_time,
+               CASE WHEN n.pub_id IS NOT NULL THEN TIMESTAMP '2001-08-01 00:00:00' ELSE o.modify_time END AS modify_time
+        FROM label_old o FULL OUTER JOIN (
+          SELECT DISTINCT paper_id AS pub_id FROM label_pool_ids
+          WHERE paper_id IN (SELECT CAST(p_partkey AS VARCHAR) FROM part WHERE length(trim(p_name)) > 0)) n
+          ON n.pub_id = o.pub_id""",
     "format_keywords": f"""
         SELECT paper_id, pos, raw, {_FMT.format(x='raw')} AS word FROM (
           SELECT paper_id, unnest(range(0, len(keywords))) AS pos, unnest(keywords) AS raw

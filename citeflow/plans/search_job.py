@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..fixtures import Fixtures
+from ..functions import text as T
 from ..functions import vector as V
 from ..operators import incremental as INC
+from ..operators.embed import HashingEmbedder
 from ..operators import knn as K
 from ..session import scratch_path
 from ..sources.papers import existing_ids, last_wins
@@ -90,6 +92,22 @@ def q_knn_mapped(spark, sf):
                                       F.col("rank").cast("bigint").alias("rank"))
 
 
+def q_topic_search(spark, sf):
+    """B8 from text: topics (missing ones fall back to ``unknown``) are encoded, searched among the encoded
+    papers of the last 365 days, and hits mapped to paper ids; hits without one drop out."""
+    from . import io_job, text_job
+    fx = Fixtures(spark, sf)
+    topic = text_job.paper_info(fx).select(T.topic_or_unknown("venue").alias("topic")).distinct()
+    qs = INC.dense_index(topic, "topic").select(F.col("idx").alias("qid"), "topic")
+    since = fx.as_of - _dt.timedelta(days=C.SEARCH_SPAN_DAYS)
+    recent = fx.table("orders").where(F.col("o_orderdate") >= F.lit(since).cast("timestamp")).select(F.col("o_orderkey").alias("doc_id"))
+    vecs = io_job.encode_papers(fx).join(recent, "doc_id", "left_semi").select(F.col("doc_id").alias("cid"), "vec")
+    hits = K.knn(HashingEmbedder().transform(qs, "qid", "topic"), vecs, C.SEARCH_TOPK, metric="cosine", small="queries")
+    ids = fx.vec_id_map().withColumnRenamed("pid", "cid")
+    return hits.join(ids, "cid").join(qs, "qid").select("topic", "paper_id", F.round("score", R).alias("score"),
+                                                        F.col("rank").cast("bigint").alias("rank"))
+
+
 def q_knn_ivf(spark, sf):
     """V2: approximate search probing the 10 nearest of the fixed cells, every vector a query."""
     fx = Fixtures(spark, sf)
@@ -165,6 +183,7 @@ QUERIES = {
     "knn_multi": q_knn_multi,
     "knn_recent": q_knn_recent,
     "knn_mapped": q_knn_mapped,
+    "topic_search": q_topic_search,
     "knn_ivf": q_knn_ivf,
     "knn_lsh": q_knn_lsh,
     "vec_normalise": q_vec_normalise,
