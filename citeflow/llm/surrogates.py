@@ -50,7 +50,12 @@ PATTERNS = {                    # in the order in which a mention is classified
     "card": r"(?<![\d\-])\d(?:[ \-]?\d){12,18}(?![\d\-])",
     "name": rf"(?<!\p{{L}}){_TITLE} \p{{Lu}}[\p{{L}}'’\-]*+(?: \p{{Lu}}[\p{{L}}'’\-]++)?",
 }
-MENTION = "|".join(f"(?:{p})" for p in PATTERNS.values())
+# no mention starts inside a lower-case word, which is where most characters are; the first test of
+# every alternative is on its first character
+_STARTS = {"ip": r"\d", "access_key": "A", "secret": "[pPsStTaA]", "iban": "[A-Z]", "ssn": r"\d", "phone": r"[\d+(]", "card": r"\d",
+           "name": "[MHFSDPг]"}
+MENTION = r"(?!(?<=[a-z])[a-z])(?:" + "|".join(
+    f"(?={_STARTS[k]})(?:{p})" if k in _STARTS else f"(?:{p})" for k, p in PATTERNS.items()) + ")"
 _LATIN = ("ba be bi bo da de di do fa fe ga ge ka ke ki ko la le li lo ma me mi mo na ne ni no pa pe ra re ri ro "
           "sa se si so ta te ti to va ve vi vo").split(" ")
 _CYRILLIC = "ба бе би бо да де ди до ка ке ки ко ла ле ли ло ма ме ми мо на не ни но ра ре ри ро са се си со та те ти то".split(" ")
