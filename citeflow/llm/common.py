@@ -20,7 +20,8 @@ from ..session import ensure_checkpoint_dir, scratch_path, ship_package
 
 SPACE = r"[\x20\x09-\x0D]"          # white space of the contracts, as a Java / RE2 class
 WORD = r"[^\x20\x09-\x0D]+"
-SLICE_BYTES = 4 << 20               # text handled at once inside a task
+SLICE_BYTES = 1 << 20               # text handled at once inside a task
+BATCH_ROWS = "1000"                 # of an Arrow batch: whole texts are long rows
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,6 +68,10 @@ def prepared(spark: SparkSession) -> None:
     """What every operator with Python tasks needs first."""
     ensure_checkpoint_dir(spark)
     ship_package(spark)
+    # documents are long rows: batches of the default size would hold tens of MB, twice per running task
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(rows)) > int(BATCH_ROWS):
+        spark.conf.set(rows, BATCH_ROWS)
 
 
 # ---- text kernels -----------------------------------------------------------------
@@ -104,14 +109,14 @@ def buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(texts.buffers()[2], np.uint8)[off[0]:off[-1]], off - off[0]
 
 
-def slices(batch: pa.RecordBatch, column: str = "text"):
-    """The batch in row slices of about SLICE_BYTES of text each (one row at least)."""
+def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES):
+    """The batch in row slices of about ``limit`` bytes of text each (one row at least)."""
     col = batch.column(batch.schema.get_field_index(column))
     size = np.cumsum(pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False))
     at = 0
     while at < batch.num_rows:
         base = size[at - 1] if at else 0
-        end = max(at + 1, int(np.searchsorted(size, base + SLICE_BYTES, "right")))
+        end = max(at + 1, int(np.searchsorted(size, base + limit, "right")))
         yield batch.slice(at, end - at)
         at = end
 

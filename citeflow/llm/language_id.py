@@ -38,6 +38,7 @@ ORDER = 4
 SAMPLE = 400                # documents of a language to learn from, and as many to calibrate on
 MAX_LANGUAGES = 200         # bounds the sample: languages x 2 x SAMPLE documents
 Z = 6.0
+SLICE = 1 << 19             # bytes of text scored at once (about 60 bytes of arrays for each)
 CERTAIN = 20                # characters of evidence that the score weighs
 UND = "und"
 _SPACE, _MARK = 0x20, 0
@@ -100,7 +101,7 @@ def _counts(order: int):
             langs = batch.column(0).to_pylist()
             for lang in sorted(set(langs)):
                 rows = pa.array([i for i, x in enumerate(langs) if x == lang])
-                for part in C.slices(pa.RecordBatch.from_arrays([batch.column(1).take(rows)], names=["text"])):
+                for part in C.slices(pa.RecordBatch.from_arrays([batch.column(1).take(rows)], names=["text"]), limit=SLICE):
                     s, _, _ = symbols(part.column(0), order)
                     keys = gram_keys(s, order)
                     for n in range(1, order + 1):
@@ -168,12 +169,13 @@ class Model:
         out[np.searchsorted(keys, k)] = v
         return out
 
-    def scores(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(cross-entropy per symbol [texts x languages], symbols, letters, squares): natural logarithms."""
+    def scores(self, texts: pa.Array, squares: bool = False) -> tuple[np.ndarray, ...]:
+        """(cross-entropy per symbol [texts x languages], symbols, letters[, mean squares]): natural logarithms."""
         s, starts, letters = symbols(texts, self.order)
         n = len(texts)
         if s.size == 0:
-            return np.zeros((n, len(self.langs))), np.zeros(n), letters, np.zeros((n, len(self.langs)))
+            none = np.zeros((n, len(self.langs)))
+            return (none, np.zeros(n), letters, none) if squares else (none, np.zeros(n), letters)
         keys = gram_keys(s, self.order)
         value = np.zeros((s.size, len(self.langs)), np.float32)
         todo = np.flatnonzero(s != _MARK)
@@ -199,8 +201,8 @@ class Model:
         np.cumsum(s != _MARK, out=marks[1:])
         bounds = np.append(starts, s.size)
         size = marks[bounds[1:]] - marks[bounds[:-1]]
-        return (-self._sums(value, bounds) / np.maximum(size, 1)[:, None], size, letters,
-                self._sums(value[:, :] ** 2, bounds) / np.maximum(size, 1)[:, None])
+        mean = lambda v: self._sums(v, bounds) / np.maximum(size, 1)[:, None]
+        return (-mean(value), size, letters, mean(value ** 2)) if squares else (-mean(value), size, letters)
 
     @staticmethod
     def _sums(value: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -211,7 +213,7 @@ class Model:
         n = len(texts)
         if not self.langs:
             return [UND] * n, np.zeros(n), np.zeros(n), np.zeros(n, bool)
-        h, size, letters, _ = self.scores(texts)
+        h, size, letters = self.scores(texts)
         best = h.argmin(axis=1)
         row = np.arange(n)
         low = h[row, best]
@@ -222,7 +224,9 @@ class Model:
         return [self.langs[b] if k else UND for b, k in zip(best, known)], score, np.where(known, low, 0.0), accepted
 
     def calibrate(self, langs: list[str], texts: pa.Array) -> None:
-        h, size, letters, squares = self.scores(texts)
+        parts = [self.scores(p.column(0), squares=True)
+                 for p in C.slices(pa.RecordBatch.from_arrays([texts], names=["text"]), limit=SLICE)]
+        h, size, letters, squares = (np.concatenate(x) for x in zip(*parts))
         for j, lang in enumerate(self.langs):
             own = np.array([x == lang for x in langs]) & (letters > 0)
             if not own.any():
@@ -268,7 +272,7 @@ def _predict(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            for part in C.slices(batch):
+            for part in C.slices(batch, limit=SLICE):
                 lang, score, h, ok = model.decide(part.column(2))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(lang, pa.string()), pa.array(score), pa.array(h), pa.array(ok)],
@@ -290,7 +294,7 @@ def _accepted(shared, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            for part in C.slices(batch):
+            for part in C.slices(batch, limit=SLICE):
                 texts = part.column(at)
                 yield part.filter(pa.array(model.decide(texts)[3]))
     return run
