@@ -206,12 +206,14 @@ def q_model_save_load(spark, sf):
     """K6: fitted vocabulary + IDF saved as a table, loaded, applied to new text."""
     fx = Fixtures(spark, sf)
     path = scratch_path(spark, "tfidf-model")
-    d = fx.doc().select("doc_id", F.lower("title").alias("text"))
-    vocab = TF.fit_vocabulary(TF.term_counts(d, ["doc_id"]), d.count())
+    source = fx.table("documents").select("doc_id", "source")
+    d = fx.doc().join(source, "doc_id").select("doc_id", "source", F.lower(F.concat("title", "abstract")).alias("text"))
+    old, new = d.where("source <> 'src1'"), d.where("source = 'src1'")
+    vocab = TF.fit_vocabulary(TF.term_counts(old, ["doc_id"]), old.count())
     vocab.write.mode("overwrite").parquet(path)
     loaded = spark.read.parquet(path)
-    a = fx.doc().select("doc_id", F.lower("abstract").alias("text"))
-    return TF.weights(TF.term_counts(a, ["doc_id"]), loaded, ["doc_id"], vocab_bounded=False)
+    w = TF.weights(TF.term_counts(new, ["doc_id"]), loaded, ["doc_id"], vocab_bounded=False)
+    return w.select("doc_id", "term", F.round("weight", 6).alias("weight"))
 
 
 def q_cf_topk(spark, sf):
@@ -282,6 +284,14 @@ ORACLE = {
         SELECT d.doc_id, CAST(epoch(o.o_orderdate) AS BIGINT), 'hashing'
         FROM documents d JOIN orders o ON o.o_orderkey = d.doc_id
         WHERE d.doc_id IN (SELECT l_orderkey FROM lineitem) AND d.doc_id NOT IN (SELECT pid FROM vec)""",
+    "model_save_load": f"""
+        WITH d AS (SELECT x.doc_id, s.source, lower(x.title || x.abstract) AS text FROM doc x JOIN documents s ON s.doc_id = x.doc_id),
+        tf AS (SELECT doc_id, source, term, COUNT(*) AS tf FROM (
+                 SELECT doc_id, source, unnest({text_job._TOK.format(x='text')}) AS term FROM d) GROUP BY ALL),
+        v AS (SELECT term, {text_job._IDF.format(n="(SELECT COUNT(*) FROM d WHERE source <> 'src1')")} AS idf FROM (
+                SELECT term, COUNT(*) AS df FROM tf WHERE source <> 'src1' GROUP BY term)),
+        w AS (SELECT tf.doc_id, tf.term, tf.tf * v.idf AS w FROM tf JOIN v ON v.term = tf.term WHERE tf.source = 'src1')
+        SELECT doc_id, term, ROUND(w / sqrt(SUM(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM w""",
     "vector_reload": "SELECT vec_id AS pid, embedding FROM embeddings",
     "cf_topk": """
         WITH ui AS (SELECT DISTINCT o.o_custkey AS user_id, l.l_partkey AS item

@@ -146,7 +146,7 @@ def q_pool_discover(spark, sf):
 
 
 def q_pool_route(spark, sf):
-    return P.route(spark, _pool_dirs(spark, sf))
+    return P.route(spark, _pool_dirs(spark, sf)).select("pool", "paper_id")
 
 
 def q_day_expand(spark, sf):
@@ -254,6 +254,7 @@ _FMT = "lower(regexp_replace(replace({x}, '-', ' '), '^\\s+|\\s+$', '', 'g'))"
 
 ORACLE = {
     "vocab_scan": "SELECT word FROM vocab",
+    "pool_route": "SELECT pool, paper_id FROM label_pool_ids",
     "label_candidates": "SELECT doc_id AS pub_id, title FROM doc WHERE length(trim(title)) > 0",
     "label_skipped": """
         SELECT count(*) FILTER (d.lang <> 'de' AND length(trim(x.title)) > 0) AS n_titled,

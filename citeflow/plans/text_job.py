@@ -208,18 +208,18 @@ def write_interactions(fx: Fixtures, root: str) -> None:
     it = interactions(fx)
     per_user = (it.groupBy("split", "user_id")
                 .agg(F.array_sort(F.collect_list(F.struct("seq", "item"))).alias("r"))
-                .select("split", F.to_json(F.transform("r", lambda x: F.struct(x["item"].alias("item"))))
-                        .alias("value")))
+                .select("split", F.to_json(F.transform("r", lambda x: F.struct(
+                    F.col("user_id").alias("user"), x["item"].alias("item")))).alias("value")))
     per_user.write.mode("overwrite").partitionBy("split").text(root)
 
 
 def read_interactions(spark: SparkSession, root: str) -> DataFrame:
     """``(split, user_no, pos, item)`` from the three split files."""
     t = spark.read.format("text").load(root)
-    recs = t.select("split", F.monotonically_increasing_id().alias("user_no"),
-                    F.from_json("value", "array<struct<item: string>>").alias("r"))
-    return recs.select("split", "user_no", F.posexplode("r").alias("pos", "rec")) \
-               .select("split", "user_no", "pos", F.col("rec.item").alias("item"))
+    recs = t.select("split", F.from_json("value", "array<struct<user: bigint, item: string>>").alias("r"))
+    return recs.select("split", F.posexplode("r").alias("pos", "rec")).select(
+        F.col("split").cast("bigint").alias("split"), F.col("rec.user").alias("user_no"),
+        F.col("pos").cast("bigint").alias("pos"), F.col("rec.item").alias("item"))
 
 
 def q_interactions_scan(spark, sf):
@@ -425,6 +425,11 @@ ORACLE = {
                   SELECT doc_id, unnest({_TOK.format(x='text')}) AS term FROM c) GROUP BY ALL),
         w AS (SELECT ctf.doc_id, ctf.term, ctf.tf * v.idf AS w FROM ctf JOIN v ON v.term = ctf.term)
         SELECT doc_id, term, ROUND(w / sqrt(SUM(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM w""",
+    "interactions_scan": """
+        SELECT split, user_no, row_number() OVER (PARTITION BY split, user_no ORDER BY d, k, n, p) - 1 AS pos, CAST(p AS VARCHAR) AS item
+        FROM (SELECT CAST(CASE WHEN year(o.o_orderdate) < 2000 THEN 0 WHEN year(o.o_orderdate) = 2000 THEN 1 ELSE 2 END AS BIGINT) AS split,
+                     CAST(o.o_custkey AS BIGINT) AS user_no, o.o_orderdate AS d, l.l_orderkey AS k, l.l_linenumber AS n, l.l_partkey AS p
+              FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey)""",
     "lsa_corpus": "SELECT idx, item, md5(text) AS h FROM lcorpus",
     "clean_nulls": """
         SELECT doc_id, COALESCE(abstract, '') AS abstract,
