@@ -47,6 +47,7 @@ FOLD = 10
 SHARDS_PER_PARTITION = 4
 MAX_SHARDS = 1 << 14
 HOT = 1 << 21                    # occurrences of a context per shard that it is dealt to
+BLOCK_BYTES = 4 << 20            # text scored at once: larger blocks look more words up in order
 FLUSH = 2 << 20                  # tokens that a task gathers before it sends a block
 START, END = C.mix(np.array([0x5354415254, 0x454E44], np.uint64)).tolist()
 _U = np.uint64
@@ -444,7 +445,7 @@ def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value.opened()
         for batch in batches:
-            for part in C.slices(batch):
+            for part in C.slices(batch, limit=BLOCK_BYTES):
                 n, known, base, score = model.score(part.column(2))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(n), pa.array(known),

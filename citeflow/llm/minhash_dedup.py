@@ -80,7 +80,7 @@ def _step(x: np.ndarray, j: int, slots: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def super_minhash(elements: np.ndarray, ends: np.ndarray, slots: int = SLOTS,
-                  chunk: int = 1 << 18) -> np.ndarray:
+                  chunk: int = 1 << 16) -> np.ndarray:
     """Signatures (texts x slots) of the sets; rows of empty sets are infinite."""
     n = len(ends) - 1
     sig = np.full((n, slots), np.inf)
