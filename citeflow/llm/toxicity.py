@@ -45,7 +45,7 @@ STEMS, STEM_TEXTS, STEM_LOG_ODDS = (4, 5, 6), 5, 4.0
 THRESHOLD = 0.7
 WINDOW = 6
 QUOTED, MISSPELLED = 0.25, 0.7
-KNOWN_WORDS = 500_000       # words a worker remembers
+KNOWN_WORDS = 400_000       # words a worker remembers
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 _OPEN, _CLOSE = "\"“„«‹'‘", "\"”“»›'’"
 # words of reporting, in the languages of the corpus
@@ -137,9 +137,22 @@ class FuzzyLexicon:
                 state = self._move(state, ch)
             elif node < 0:
                 break
-        hits += [(e, -self.weights[i], i) for n, e in state if (i := self.ends[n]) >= 0 and e <= self.limit[i]]
+        hits += self._ended(state)
         return (min(hits)[2], min(hits)[0]) if hits else None
 
+    def _ended(self, state: frozenset) -> list[tuple[int, float, int]]:
+        return [(e, -self.weights[i], i) for n, e in state if (i := self.ends[n]) >= 0 and e <= self.limit[i]]
+
+    def misspelled(self, word: str) -> list[int]:
+        """All terms that ``word`` would be a misspelling of; none if it is a term itself."""
+        state = self.start
+        for ch in word:
+            state = self._move(state, ch)
+            if not state:
+                return []
+        hits = self._ended(state)
+        return [] if any(e == 0 for e, _, _ in hits) else [i for _, _, i in hits]
+
 
 class Model:
     """The lexicon and the logistic function of what it finds."""
@@ -271,24 +284,38 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN) -> Model:
                 longer[r.word[:k] + "*"] = max(longer[r.word[:k] + "*"], r.toxic)
     terms = {r.word: float(r.odds) for r in lexicon
              if r.word[-1] != "*" or r.toxic >= 1.5 * most[r.word] and longer[r.word] < 0.9 * r.toxic}
-    texts = sample.select("label", "text").toPandas()           # at most ``rows`` rows
-    texts = texts.sort_values(["text", "label"]).reset_index(drop=True)
-    model = Model(terms, _ambiguous(terms, texts[texts.label == 0].text.tolist())).opened()
+    context = spark.sparkContext
+    bad = different.where("label = 0").mapInArrow(_confused(context.broadcast(terms)), "term string").distinct()
+    model = Model(terms, frozenset(r.term for r in bad.collect()))          # some of at most MAX_TERMS terms
     if terms:
-        model.coef = _logistic(model.evidence(texts.text.tolist()), texts.label.to_numpy())
+        x = sample.mapInArrow(_evidence(context.broadcast(model)), "label int, total double, most double, dense double")
+        x = x.toPandas().sort_values(["label", "total", "most", "dense"])   # at most ``rows`` rows of numbers
+        model.coef = _logistic(x[["total", "most", "dense"]].to_numpy(), x.label.to_numpy())
     return model
 
 
-def _ambiguous(terms: dict[str, float], clean: list[str]) -> frozenset[str]:
-    """Terms whose misspellings other texts contain as words of their own."""
-    lexicon = FuzzyLexicon(terms)
-    bad = set()
-    for w in sorted({bare(w) for t in clean for w in set(t.lower().split())}):
-        while (got := lexicon.find(w)) and got[1]:
-            term = lexicon.terms[got[0]]
-            bad.add(term)
-            lexicon = FuzzyLexicon(terms, frozenset(bad))
-    return frozenset(bad)
+def _confused(shared):
+    """The terms whose misspellings other texts contain as words of their own."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon = FuzzyLexicon(shared.value)
+        found: set[int] = set()
+        for batch in batches:
+            for part in C.slices(batch):
+                words = {bare(w) for t in part.column(1).to_pylist() for w in t.lower().split()}
+                found.update(i for w in words for i in lexicon.misspelled(w))
+        yield pa.RecordBatch.from_arrays([pa.array([lexicon.terms[i] for i in sorted(found)], pa.string())], names=["term"])
+    return run
+
+
+def _evidence(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value.opened()
+        for batch in batches:
+            for part in C.slices(batch):
+                x = model.evidence(part.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c) for c in x.T]],
+                                                 names=["label", "total", "most", "dense"])
+    return run
 
 
 def _score(shared, threshold: float):
