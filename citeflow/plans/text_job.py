@@ -17,7 +17,7 @@ from ..fixtures import Fixtures
 from ..functions import text as T
 from ..operators import tfidf as TF
 from ..operators.incremental import dense_index
-from ..session import scratch_path
+from ..session import cut_lineage, scratch_path
 
 R = 6
 
@@ -189,6 +189,28 @@ def q_lsa_refit(spark, sf):
     return TF.lsa_transform(w, idx, v, ["doc_id", "part"], docs)
 
 
+def q_lsa_model_reuse(spark, sf):
+    """K6/M4: a model is trained when none is stored, stored, loaded and applied; a refit on the texts of one
+    source becomes a new version, which the second application uses."""
+    fx = Fixtures(spark, sf)
+    path = scratch_path(spark, "lsa-model")
+    docs = lsa_docs(fx)
+    new = docs.join(fx.table("documents").where(F.col("source") == "src1").select("doc_id"), "doc_id", "left_semi")
+
+    def fit(d: DataFrame):
+        tf = TF.term_counts(d, ["doc_id", "part"], stopwords=C.STOPWORDS_EN)
+        vocab = TF.fit_vocabulary(tf, d.count(), C.LSA_MIN_DF, C.LSA_MAX_DF, C.LSA_MAX_FEATURES)
+        return vocab, *TF.lsa_fit(TF.weights(tf, vocab, ["doc_id", "part"]), vocab, ["doc_id", "part"], C.LSA_COMPONENTS)
+
+    def apply(step: int) -> DataFrame:
+        vocab, idx, v = TF.lsa_model(spark, path, lambda: fit(docs))
+        w = TF.weights(TF.term_counts(new, ["doc_id", "part"], stopwords=C.STOPWORDS_EN), vocab, ["doc_id", "part"])
+        return TF.lsa_transform(w, idx, v, ["doc_id", "part"], new).select(F.lit(step).alias("version"), "*")
+    first = cut_lineage(apply(0))
+    TF.save_lsa(path, *fit(new))
+    return first.unionByName(apply(1))
+
+
 # interactions: customers' line items split by order year into three files
 def interactions(fx: Fixtures) -> DataFrame:
     o = fx.table("orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderdate")
@@ -316,6 +338,7 @@ QUERIES = {
     "tfidf_fixed_vocab": q_tfidf_fixed_vocab,
     "lsa_embed": q_lsa_embed,
     "lsa_refit": q_lsa_refit,
+    "lsa_model_reuse": q_lsa_model_reuse,
     "interactions_scan": q_interactions_scan,
     "lsa_corpus": q_lsa_corpus,
     "lsa_pretrain": q_lsa_pretrain,
