@@ -10,6 +10,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -74,6 +76,18 @@ def prepared(spark: SparkSession) -> None:
         spark.conf.set(rows, BATCH_ROWS)
 
 
+def released(run):
+    """A batch function after which the worker, which lives on idle, gives free memory back to the system."""
+    def inner(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):       # no glibc
+            pass
+    return inner
+
+
 # ---- text kernels -----------------------------------------------------------------
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)

@@ -286,7 +286,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     C.prepared(spark)
     d = C.pick(docs, doc_id="long", text="string").select(
         "doc_id", (C.crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"), "text")
-    return d.mapInArrow(_predict(spark.sparkContext.broadcast(model)),
+    return d.mapInArrow(C.released(_predict(spark.sparkContext.broadcast(model))),
                         "doc_id long, held_out boolean, lang_pred string, score double, cross_entropy double, accepted boolean")
 
 
@@ -303,7 +303,7 @@ def _accepted(shared, at: int):
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the rows whose language is accepted, all columns as they are."""
     shared = spark.sparkContext.broadcast(train(docs))
-    return docs.mapInArrow(_accepted(shared, docs.columns.index("text")), docs.schema)
+    return docs.mapInArrow(C.released(_accepted(shared, docs.columns.index("text"))), docs.schema)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -325,7 +325,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, per_cent: int = PER_CEN
     spark = docs.sparkSession
     C.prepared(spark)
     docs = C.pick(docs, doc_id="long", text="string")
-    sigs = C.scratch(docs.mapInArrow(_signatures(width, slots, bands, rows), _SIG_SCHEMA), "near-sigs")
+    sigs = C.scratch(docs.mapInArrow(C.released(_signatures(width, slots, bands, rows)), _SIG_SCHEMA), "near-sigs")
 
     full = sigs.where("n_shingles > 0 and doc_id is not null")
     classes = full.groupBy("set_key").agg(F.min("doc_id").alias("rep"))

@@ -38,6 +38,7 @@ from . import common as C
 CAPACITY = 4096
 END = 1
 CACHE_WORDS = 600_000       # about 200 bytes each
+BLOCK_BYTES = 4 << 20       # text tokenised at once: new words are encoded once per block
 WORD_END, RUN = "</w>", 2000     # the mark of a word's last id in the vocabulary; words per text
 _STOPS = frozenset(".,;:!?")
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, place long"
@@ -52,7 +53,8 @@ class WordIds:
     """Token ids of texts as bytes (little-endian, 4 bytes an id), by a bounded cache of words.
 
     The cache holds the first ``cache_words`` words that the worker met, which the
-    frequent ones are among, and outlives a task as the worker does.
+    frequent ones are among, and outlives a task as the worker does. ASCII letters are
+    lower-cased first, as the (lower-casing) tokenizer does itself.
     """
 
     def __init__(self, vocabulary: str, cache_words: int = CACHE_WORDS):
@@ -88,7 +90,7 @@ class WordIds:
         self.cache.update(zip([words[k] for k in other], self._encoded([texts[k] for k in other])))
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
-        words = [t.split() for t in texts]
+        words = [(t.lower() if _lowers(t) else t).split() for t in texts]
         new = list(set().union(*words) - self.cache.keys()) if words else []
         self._learn(new)
         find = self.cache.__getitem__
@@ -98,6 +100,12 @@ class WordIds:
         return out
 
 
+def _lowers(text: bytes) -> bool:
+    """Whether lower-casing ASCII letters first leaves the ids as they are: the tokenizer looks for special
+    tokens before, and composes letters with combining marks (U+0300 to U+036F) before."""
+    return not (b"\xcc" in text or b"\xcd" in text or b"<|" in text)
+
+
 def _parts(word: str) -> int:
     """1 for letters, 2 for letters and a stop, else 0 (also where lower case is no letter)."""
     stop = word[-1:] in _STOPS
@@ -122,7 +130,7 @@ def _pieces(vocabulary: str, capacity: int, end: int):
         task = TaskContext.get().partitionId()
         size = 4 * capacity
         for batch in batches:
-            for part in C.slices(batch):
+            for part in C.slices(batch, limit=BLOCK_BYTES):
                 texts = pc.fill_null(part.column(1), "").cast(pa.binary()).to_pylist()
                 out = ([], [], [], [], [], [])
                 for doc, raw in zip(part.column(0).to_pylist(), ids_of(texts)):
@@ -222,7 +230,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACIT
     spark = docs.sparkSession
     C.prepared(spark)
     docs = C.pick(docs, doc_id="long", text="string")
-    pieces = C.scratch(docs.mapInArrow(_pieces(vocabulary or default_vocabulary(), capacity, end), PIECE_SCHEMA),
+    pieces = C.scratch(docs.mapInArrow(C.released(_pieces(vocabulary or default_vocabulary(), capacity, end)), PIECE_SCHEMA),
                        "pack-pieces")
     by_task = pieces.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n"))
     earlier = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
