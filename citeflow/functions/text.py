@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# --- fixed values: cleaning patterns that must equal the original's ----------
 # Java's "." does not match line terminators other than "\n" unless (?d);
 # with (?d) it matches like Python's "." (everything but "\n").
 _FORMULA = r"(?d)\$.*?\$"
