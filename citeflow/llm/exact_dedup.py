@@ -35,6 +35,7 @@ _STATE_CONF = {
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",       # many small state partitions
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",                # their native memory goes with the task
 }
 FEED_SCHEMA = "doc_id long, digest string, text_sha256 string, locator string"
 
