@@ -9,8 +9,9 @@
 * Automaton. The lexicon is a trie; a state is the set of (trie node, edits so far)
   that Levenshtein automata of all its terms can be in after a prefix, so reading a
   word once finds every term within its edit distance (1 from 5 letters, 2 from
-  10). States are made when first reached and kept in a bounded table. A term whose
-  misspellings also occur in other training texts takes exact matches only.
+  10). States are made when first reached and kept in a bounded table. A word that
+  other training texts use as a word of their own (its log-odds stay below those of a
+  term) never counts as a misspelling; its terms keep all their other misspellings.
 * Context. A match counts with its term's weight, less if misspelled, and less if
   it is quoted: inside quotation marks, or within ``window`` words of a word of
   reporting. The text's score is a logistic function of the sum, its sharpest match
@@ -62,10 +63,11 @@ def bare(word: str) -> str:
 class FuzzyLexicon:
     """Levenshtein automata of all terms, intersected with the trie of the terms."""
 
-    def __init__(self, terms: dict[str, float], exact_only: frozenset[str] = frozenset(), max_moves: int = 1 << 18):
+    def __init__(self, terms: dict[str, float], ordinary: frozenset[str] = frozenset(), max_moves: int = 1 << 18):
         self.terms = list(terms)
         self.weights = [terms[t] for t in self.terms]
-        self.limit = [0 if t in exact_only or t[-1] == "*" else self.edits(t) for t in self.terms]
+        self.ordinary = ordinary                # words that are no misspelling of any term
+        self.limit = [0 if t[-1] == "*" else self.edits(t) for t in self.terms]
         self.children: list[dict[str, int]] = [{}]
         self.ends: list[int] = [-1]
         self.stems: dict[int, int] = {}         # by node: the stem that ends there
@@ -85,16 +87,51 @@ class FuzzyLexicon:
             else:
                 self.ends[node] = i
             self.most[node] = max(self.most[node], self.limit[i])
+        self.pieces: dict[int, dict[tuple[int, int], set[str]]] = {}
+        for t, limit in zip(self.terms, self.limit):
+            if limit:
+                self._add_pieces(t, limit)
+        self.places = {n: [(a, b, s) for (a, b), s in at.items()] for n, at in self.pieces.items()}
         self.max_moves = max_moves
         self._reset()
 
+    def _add_pieces(self, t: str, limit: int) -> None:
+        """Of a term in ``limit + 1`` pieces, an edited form keeps one: as its start, its end, or between one edit each."""
+        n, q = len(t), len(t) // (limit + 1)
+        for size in range(n - limit, n + limit + 1):
+            at = self.pieces.setdefault(size, {})
+            kept = [(0, t[:q]), (size - (n - limit * q), t[limit * q:])]
+            if limit == 2:
+                kept += [(q + shift, t[q:2 * q]) for shift in (-1, 0, 1)]
+            for a, piece in kept:
+                if a >= 0:
+                    at.setdefault((a, a + len(piece)), set()).add(piece)
+
+    def _maybe(self, word: str) -> bool:
+        """False if no term can be within its distance of ``word``; spares the automata most words."""
+        for a, b, pieces in self.places.get(len(word), ()):
+            if word[a:b] in pieces:
+                return True
+        return False
+
     @staticmethod
     def edits(term: str) -> int:
         return 0 if len(term) < 5 else 1 if len(term) < 10 else 2
 
     def _reset(self) -> None:
-        self.moves: dict[tuple[frozenset, str], frozenset] = {}
-        self.start = self._closed({0: 0})
+        self.states: list[frozenset] = [frozenset()]        # by number; 0 is the dead state
+        self.numbers: dict[frozenset, int] = {frozenset(): 0}
+        self.moves: list[dict[str, int]] = [{}]             # by state: the next one by letter, "" for all that no term has there
+        self.found: dict[int, list[tuple[int, float, int]]] = {}
+        self.made = 0
+        self.start = self._number(self._closed({0: 0}))
+
+    def _number(self, state: frozenset) -> int:
+        got = self.numbers.setdefault(state, len(self.states))
+        if got == len(self.states):
+            self.states.append(state)
+            self.moves.append({})
+        return got
 
     def _closed(self, best: dict[int, int]) -> frozenset:
         """Adds what skipping letters of a term reaches."""
@@ -109,60 +146,76 @@ class FuzzyLexicon:
                     stack.append((child, e + 1))
         return frozenset(best.items())
 
-    def _move(self, state: frozenset, ch: str) -> frozenset:
-        got = self.moves.get((state, ch))
+    def _move(self, number: int, ch: str) -> int:
+        state, moves = self.states[number], self.moves[number]
+        if not any(ch in self.children[node] for node, _ in state):
+            if "" in moves:
+                moves[ch] = moves[""]
+                return moves[""]
+        best: dict[int, int] = {}
+        known = False
+        for node, e in state:
+            if e + 1 <= self.most[node] and best.get(node, 99) > e + 1:             # a letter too many
+                best[node] = e + 1
+            for c, child in self.children[node].items():
+                known |= c == ch
+                now = e if c == ch else e + 1                                       # right or wrong letter
+                if now <= self.most[child] and best.get(child, 99) > now:
+                    best[child] = now
+        moves[ch] = got = self._number(self._closed(best))
+        if not known:
+            moves[""] = got
+        self.made += 1
+        return got
+
+    def _run(self, word: str) -> list[tuple[int, float, int]]:
+        """(edits, -weight, term) of every term whose automaton accepts ``word``."""
+        if not self._maybe(word):
+            return []
+        if self.made > self.max_moves:
+            self._reset()
+        at, moves = self.start, self.moves
+        for ch in word:
+            to = moves[at].get(ch)
+            at = self._move(at, ch) if to is None else to
+            if not at:
+                return []
+        got = self.found.get(at)
         if got is None:
-            best: dict[int, int] = {}
-
-            def reach(node: int, e: int) -> None:
-                if e <= self.most[node] and best.get(node, 99) > e:
-                    best[node] = e
-            for node, e in state:
-                reach(node, e + 1)                                  # a letter too many
-                for c, child in self.children[node].items():
-                    reach(child, e if c == ch else e + 1)           # right or wrong letter
-            got = self.moves[(state, ch)] = self._closed(best)
+            got = self.found[at] = [(e, -self.weights[i], i) for n, e in self.states[at]
+                                    if (i := self.ends[n]) >= 0 and e <= self.limit[i]]
         return got
 
     def find(self, word: str) -> tuple[int, int] | None:
         """(term, edits) of the closest term within its distance; the heavier of equals."""
-        if len(self.moves) > self.max_moves:
-            self._reset()
-        state, node, hits = self.start, 0, []
+        node, hits = 0, []
         for at, ch in enumerate(word, 1):
-            node = self.children[node].get(ch, -1) if node >= 0 else -1
+            node = self.children[node].get(ch, -1)
+            if node < 0:
+                break
             if node in self.stems and at < len(word):
                 hits.append((0, -self.weights[self.stems[node]], self.stems[node]))
-            if state:
-                state = self._move(state, ch)
-            elif node < 0:
-                break
-        hits += self._ended(state)
+        if node >= 0 and (i := self.ends[node]) >= 0:               # the word as written
+            hits.append((0, -self.weights[i], i))
+        if not hits and word not in self.ordinary:                  # misspelled, if at all
+            hits = self._run(word)
         return (min(hits)[2], min(hits)[0]) if hits else None
 
-    def _ended(self, state: frozenset) -> list[tuple[int, float, int]]:
-        return [(e, -self.weights[i], i) for n, e in state if (i := self.ends[n]) >= 0 and e <= self.limit[i]]
-
     def misspelled(self, word: str) -> list[int]:
         """All terms that ``word`` would be a misspelling of; none if it is a term itself."""
-        state = self.start
-        for ch in word:
-            state = self._move(state, ch)
-            if not state:
-                return []
-        hits = self._ended(state)
+        hits = self._run(word)
         return [] if any(e == 0 for e, _, _ in hits) else [i for _, _, i in hits]
 
 
 class Model:
     """The lexicon and the logistic function of what it finds."""
 
-    def __init__(self, terms: dict[str, float], exact_only: frozenset[str], window: int = WINDOW):
-        self.terms, self.exact_only, self.window = terms, exact_only, window
+    def __init__(self, terms: dict[str, float], ordinary: frozenset[str], window: int = WINDOW):
+        self.terms, self.ordinary, self.window = terms, ordinary, window
         self.coef: np.ndarray | None = None
 
     def opened(self) -> Model:
-        self.lexicon = FuzzyLexicon(self.terms, self.exact_only)
+        self.lexicon = FuzzyLexicon(self.terms, self.ordinary)
         self.known: dict[str, tuple[int, int] | None] = {}
         self.hits: set[str] = set()
         return self
@@ -285,8 +338,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN) -> Model:
     terms = {r.word: float(r.odds) for r in lexicon
              if r.word[-1] != "*" or r.toxic >= 1.5 * most[r.word] and longer[r.word] < 0.9 * r.toxic}
     context = spark.sparkContext
-    bad = different.where("label = 0").mapInArrow(_confused(context.broadcast(terms)), "term string").distinct()
-    model = Model(terms, frozenset(r.term for r in bad.collect()))          # some of at most MAX_TERMS terms
+    near = (different.mapInArrow(_confused(context.broadcast(terms)), "word string, toxic long, other long").groupBy("word")
+                     .agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")))
+    # words of at most ``rows`` texts that lie within the distance of a term
+    model = Model(terms, frozenset(r.word for r in near.where("other > 0").where(odds < MIN_LOG_ODDS).select("word").collect()))
     if terms:
         x = sample.mapInArrow(_evidence(context.broadcast(model)), "label int, total double, most double, dense double")
         x = x.toPandas().sort_values(["label", "total", "most", "dense"])   # at most ``rows`` rows of numbers
@@ -295,15 +350,19 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN) -> Model:
 
 
 def _confused(shared):
-    """The terms whose misspellings other texts contain as words of their own."""
+    """Rows (word, toxic, other): in how many texts of a slice, by label, a word occurs that a term could be misspelled as."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = FuzzyLexicon(shared.value)
-        found: set[int] = set()
         for batch in batches:
             for part in C.slices(batch):
-                words = {bare(w) for t in part.column(1).to_pylist() for w in t.lower().split()}
-                found.update(i for w in words for i in lexicon.misspelled(w))
-        yield pa.RecordBatch.from_arrays([pa.array([lexicon.terms[i] for i in sorted(found)], pa.string())], names=["term"])
+                texts = [{bare(w) for w in t.lower().split()} for t in part.column(1).to_pylist()]
+                near = {w for w in set().union(*texts) if lexicon.misspelled(w)}
+                found = Counter(), Counter()
+                for y, words in zip(part.column(0).to_pylist(), texts):
+                    found[y].update(words & near)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(sorted(near), pa.string()), *[pa.array([c[w] for w in sorted(near)], pa.int64()) for c in found[::-1]]],
+                    names=["word", "toxic", "other"])
     return run
 
 

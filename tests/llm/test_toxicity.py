@@ -63,3 +63,15 @@ def test_awkward_rows(spark):
     none = X.train(docs, labels.where("toxic = 0"))
     assert {r.score for r in X.toxicity(docs, none).collect()} == {0.0}
     assert X.toxicity(awkward.empty(spark), X.train(awkward.empty(spark), labels)).count() == 0
+
+
+def test_an_ordinary_word_near_a_term_leaves_its_misspellings(spark):
+    """'oron' is a word of clean texts; 'moron' still takes all its other misspellings, whatever the sample's size."""
+    for copies in (1, 10):
+        rows = [(i, f"text {i} you moron {i}" if i % 2 else f"the oron of day {i} was fine") for i in range(60 * copies)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+        lexicon = X.train(docs, labels).opened().lexicon
+        found = {w: lexicon.find(w) for w in ("moron", "m0ron", "morron", "moro", "oron")}
+        assert found["oron"] is None and found["moron"][1] == 0
+        assert all(lexicon.terms[found[w][0]] == "moron" and found[w][1] == 1 for w in ("m0ron", "morron", "moro"))
