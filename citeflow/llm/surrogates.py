@@ -2,7 +2,8 @@
 
 * Detection. One pattern finds e-mail addresses, telephone, card, account (IBAN) and
   social security numbers, IPv4 addresses, access keys, named secrets and names
-  after a title. A mention has a type and a canonical value (digits only, lower
+  after one or more titles (initials and any number of words, the last of them the
+  family name; names without a title are not looked for). A mention has a type and a canonical value (digits only, lower
   case, ...), so differently written mentions of one entity are one entity.
 * Surrogate. Keyed by SHA-512 of (secret key, type, value, attempt): digits become
   digits and letters letters of the same case; a card keeps its issuer digit and a
@@ -10,8 +11,9 @@
   number its country code, an address four octets; social security numbers get an
   area that is never issued, e-mail hosts a reserved domain (one per real host).
   Names are built from syllables of the mention's script with an ending of the
-  title's gender; given name and family name are entities of their own, so
-  ``Mr J Smith`` and ``Mr Smith`` stay the same person.
+  title's gender; every given name and the family name are entities of their own,
+  so ``Mr J. Smith`` and ``Mr Smith`` stay the same person. An initial becomes a
+  whole name.
 * Collisions. Candidates of all distinct entities are grouped by surrogate; of those
   that clash with each other all but one, and every one that equals an entity of the
   input, get a further attempt, until none clashes. Distinct entities therefore stay
@@ -38,6 +40,10 @@ MAX_ROUNDS = 64
 _MALE = "Mr|Herr|Monsieur|Señor|Sr|г-н"
 _FEMALE = "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|г-жа"
 _TITLE = f"(?:(?:{_FEMALE}|{_MALE}|Dr|Prof)\\.?)"
+_TITLES = f"{_TITLE}(?: {_TITLE}(?= ))*+"
+_WOMAN = f"^(?:{_TITLE} )*?(?:{_FEMALE})(?![\\p{{L}}])"
+_MAN = f"^(?:{_TITLE} )*?(?:{_MALE})(?![\\p{{L}}])"
+_NAME_WORD = rf"(?!{_TITLE}(?![\p{{L}}'’\-]))\p{{Lu}}[\p{{L}}'’\-]*+"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 PATTERNS = {                    # in the order in which a mention is classified
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9][A-Za-z0-9._%+\-]*+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}",
@@ -46,9 +52,12 @@ PATTERNS = {                    # in the order in which a mention is classified
     "secret": r"(?<![A-Za-z])(?i:password|passwd|pwd|secret|token|api[_\-]?key)[ \t]{0,3}[=:][ \t]{0,3}[\"']?[A-Za-z0-9/+_\-.]{8,}[\"']?",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
-    "phone": r"(?<![\d+(])(?:\+\d{1,3}[ .\-]?\(?\d{1,4}\)?(?:[ .\-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .\-]\d{4}|\d{3}[.\-]\d{3}[.\-]\d{4})(?!\d)",
+    "phone": r"(?<![\d+(])(?:\+\d{1,3}[ .\-]?\(?\d{1,4}\)?(?:[ .\-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .\-]\d{4}|\d{3}[.\-]\d{3}[.\-]\d{4}"
+             # national numbers; never a part of a longer row of digits
+             r"|(?<!\d[ .\-/])(?<![A-Za-z.])(?:\d{3} \d{3}[ .\-]\d{4}|[2-9]\d{9}|0[1-9]\d{7,10}|0\d{1,4}[ /\-]\d{5,8}"
+             r"|0\d{1,4}(?:[ .\-/]\d{2,4}){2,4})(?![ .\-/]?\d|[A-Za-z]))(?!\d)",
     "card": r"(?<![\d\-])\d(?:[ \-]?\d){12,18}(?![\d\-])",
-    "name": rf"(?<!\p{{L}}){_TITLE} \p{{Lu}}[\p{{L}}'’\-]*+(?: \p{{Lu}}[\p{{L}}'’\-]++)?",
+    "name": rf"(?<!\p{{L}}){_TITLES}(?:(?: (?:\p{{Lu}}\.-?)+)* {_NAME_WORD})++",
 }
 # no mention starts inside a lower-case word, which is where most characters are; the first test of
 # every alternative is on its first character
@@ -79,8 +88,12 @@ def _kind(m: Column) -> Column:
 
 
 def _parts(m: Column) -> Column:
-    """The words of a name mention, title first."""
-    return F.split(m, " ")
+    """The words of a name mention without its titles, the family name last."""
+    return F.split(F.regexp_replace(m, F.lit(f"^{_TITLES} "), F.lit("")), " ")
+
+
+def _plain(word: Column) -> Column:
+    return F.replace(word, F.lit("."), F.lit(""))
 
 
 def _secret(m: Column) -> Column:
@@ -90,16 +103,16 @@ def _secret(m: Column) -> Column:
 def _units(m: Column) -> Column:
     """The entities of a mention: array of (type, canonical value)."""
     one = lambda t, v: F.array(F.struct(F.lit(t).alias("type"), v.alias("value")))
-    gender = F.when(m.rlike(rf"^(?:{_FEMALE})\b"), "given_f").when(m.rlike(rf"^(?:{_MALE})\b"), "given_m").otherwise("given")
+    gender = F.when(m.rlike(_WOMAN), "given_f").when(m.rlike(_MAN), "given_m").otherwise("given")
     words = _parts(m)
     family = F.lower(F.element_at(words, -1))
     last = F.struct(F.lit("family").alias("type"), F.when(gender == "given_f", F.regexp_replace(family, "(ов|ев|ин)а$", "$1"))
                     .otherwise(family).alias("value"))
-    first = F.struct(gender.alias("type"), F.lower(F.element_at(words, 2)).alias("value"))
-    name = F.when(F.size(words) > 2, F.array(first, last)).otherwise(F.array(last))
+    name = F.concat(F.transform(F.slice(words, F.lit(1), F.size(words) - 1), lambda w: F.struct(
+        gender.alias("type"), F.lower(_plain(w)).alias("value"))), F.array(last))
     kind = _kind(m)
     return (F.when(kind == "email", one("email", F.lower(m)))
-             .when(kind == "phone", one("phone", F.right(_digits(m), F.lit(10))))
+             .when(kind == "phone", one("phone", F.right(F.regexp_replace(_digits(m), "^0+", ""), F.lit(10))))
              .when(kind.isin("ssn", "card"), F.array(F.struct(kind.alias("type"), _digits(m).alias("value"))))
              .when(kind == "iban", one("iban", F.replace(m, F.lit(" "), F.lit(""))))
              .when(kind == "secret", one("secret", _secret(m)))
@@ -222,11 +235,12 @@ def _rendered(m: Column, of) -> Column:
         first = of(F.element_at(u, 1))
         kind = _kind(m)
         words = _parts(m)
-        woman = m.rlike(rf"^(?:{_FEMALE})\b") & F.element_at(words, -1).rlike("(ов|ев|ин)а$")
+        woman = m.rlike(_WOMAN) & F.element_at(words, -1).rlike("(ов|ев|ин)а$")
         last = of(F.element_at(u, -1))
         last = _cased(F.when(woman, F.concat(last, F.lit("а"))).otherwise(last), F.element_at(words, -1))
-        name = F.when(F.size(words) > 2, F.concat_ws(" ", F.element_at(words, 1), _cased(first, F.element_at(words, 2)), last)) \
-                .otherwise(F.concat_ws(" ", F.element_at(words, 1), last))
+        given = F.transform(F.slice(words, F.lit(1), F.size(words) - 1), lambda w, i: F.when(
+            F.contains(w, F.lit(".")), F.initcap(of(F.element_at(u, i + 1)))).otherwise(_cased(of(F.element_at(u, i + 1)), w)))
+        name = F.concat_ws(" ", F.regexp_extract(m, f"^{_TITLES}(?= )", 0), given, last)
         iban = F.when(F.contains(m, F.lit(" ")), F.trim(F.regexp_replace(first, F.lit("(.{4})"), F.lit("$1 ")))).otherwise(first)
         return (F.when(kind == "email", F.when(F.upper(m) == m, F.upper(first)).otherwise(first))
                  .when(kind.isin("phone", "ssn", "card"), _laid_out(m, first))

@@ -68,3 +68,29 @@ def test_hot_entity_and_repeated_rows(spark):
     rows = [(i % 50, f"text {i % 50} me@mail.org x") for i in range(400)]
     got = X.replace(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(got) == 400 and len({re.search(r"\S+@\S+", r.text).group() for r in got}) == 1
+
+
+def test_titles_initials_and_name_words(spark):
+    rows = ["Mr John Michael Smith spoke.", "then Mr J. Smith left", "by Dr. Anna M. Bell, who", "Prof. Dr. Smith and Frau Dr. Weber met",
+            "Frau Weber Herr Weber", "Mr J.R. Smith, Mr Smith.", "Mr Drake"]
+    got = out(spark, list(enumerate(rows)))
+    for name in ("John", "Michael", "Smith", " J.", "Anna", " M.", "Bell", "Weber", "Drake"):
+        assert not any(name in t for t in got.values()), (name, got)
+    whole = [r"Mr \w+rd \w+rd (\w+nd) spoke\.", r"then Mr \w+rd (\w+nd) left", r"by Dr\. \w+s \w+s (\w+nd), who",
+             r"Prof\. Dr\. (\w+nd) and Frau Dr\. (\w+nd) met", r"Frau (\w+nd) Herr (\w+nd)", r"Mr \w+rd (\w+nd), Mr (\w+nd)\.", r"Mr (\w+nd)"]
+    m = [re.fullmatch(p, got[i]) for i, p in enumerate(whole)]
+    assert all(m), got
+    assert m[0][1] == m[1][1] == m[3][1] == m[5][1] == m[5][2] and m[3][2] == m[4][1] == m[4][2] != m[0][1]
+
+
+def test_national_telephone_numbers(spark):
+    rows = ["call 555 123 4567 or 5551234567.", "mobil 0171 1234567, +49 171 1234567", "tel 030/123456", "le 01 23 45 67 89.", "ring 020 7946 0958"]
+    got = out(spark, list(enumerate(rows)))
+    m = re.fullmatch(r"call (\d{3}) (\d{3}) (\d{4}) or (\d{10})\.", got[0])
+    assert m and m[1] + m[2] + m[3] == m[4] != "5551234567"
+    m = re.fullmatch(r"mobil 0(\d{3}) (\d{7}), \+49 (\d{3}) (\d{7})", got[1])
+    assert m and m[1] + m[2] == m[3] + m[4] != "1711234567"
+    for i, form in ((2, r"tel 0\d\d/\d{6}"), (3, r"le 0\d( \d\d){4}\."), (4, r"ring 0\d\d \d{4} \d{4}")):
+        assert re.fullmatch(form, got[i]) and got[i] != rows[i]
+    same = ["at 1700000000 s", "of 12 345 678", "id x5551234567", "v 2024-01-01 0.12345678", "1 555 123 4567 8"]
+    assert out(spark, list(enumerate(same))) == dict(enumerate(same))
