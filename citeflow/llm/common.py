@@ -15,7 +15,8 @@ import ctypes
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir, scratch_path, ship_package
@@ -50,6 +51,37 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame, column: str, name: str = "rows") -> DataFrame:
+    """``docs`` with a long in ``column`` that is the row's own: its place in the Parquet files.
+
+    The place does not change when the plan is run again; what is not a table of Parquet
+    files is written once. The window runs over one row per file.
+    """
+    file, at, path, turn = unused([*docs.columns, column], "file", "at", "path", "turn")
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    placed = None
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation":
+        try:
+            placed = docs.select(*own, F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(at))
+        except AnalysisException:       # another format
+            pass
+    if placed is None:
+        return numbered(scratch(docs, name), column)
+    files = scratch(placed.select(F.col(file).alias(path)).distinct().withColumn(
+        turn, F.row_number().over(Window.orderBy(path)).cast("long")), name + "-files")
+    return placed.join(F.broadcast(files), F.col(file) == F.col(path)).select(
+        *own, (F.shiftleft(F.col(turn), 40) + F.col(at)).alias(column))
+
+
+def with_schema(df: DataFrame, schema) -> DataFrame:
+    """``df`` with the schema of the table it came from: columns read back from files have lost their "not null"."""
+    if df.schema == schema:
+        return df
+    spark = df.sparkSession
+    session = spark._jsparkSession
+    return DataFrame(session.createDataFrame(df._jdf.toJavaRDD(), session.parseDataType(schema.json())), spark)
+
+
 def unused(columns: list[str], *names: str) -> list[str]:
     """The names, lengthened until the columns don't have them."""
     have = {c.lower() for c in columns}

@@ -48,9 +48,10 @@ def sha256(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
-def _hashed(docs: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
-    d = C.pick(docs, doc_id="long", text="string").select(
-        "doc_id", normalised(F.col("text")).alias("norm"), F.input_file_name().alias("locator"))
+def _hashed(docs: DataFrame, digest: Callable[[Column], Column], locator: str | None) -> DataFrame:
+    types = {"doc_id": "long", "text": "string"} | ({locator: "string"} if locator else {})
+    d = C.pick(docs, **types).select("doc_id", normalised(F.col("text")).alias("norm"),
+                                     (F.col(locator) if locator else F.input_file_name()).alias("locator"))
     return d.withColumn("text_sha256", sha256(F.col("norm"))).withColumn("digest", digest(F.col("norm")))
 
 
@@ -78,11 +79,14 @@ def run_state(spark: SparkSession, feed_dir: str, state_dir: str) -> DataFrame:
 
 
 def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256,
-                state_dir: str | None = None) -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, locator (of the row kept)."""
+                state_dir: str | None = None, locator: str | None = None) -> DataFrame:
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, locator (of the row kept), own (the row's).
+
+    ``locator`` names a column that tells rows apart; by default it is the row's file.
+    """
     spark = docs.sparkSession
     feed_dir = C.shared_path(spark, "exact-feed")
-    hashed = _hashed(docs, digest)
+    hashed = _hashed(docs, digest, locator)
     hashed.select("doc_id", "digest", "text_sha256", "locator").write.parquet(feed_dir)
     feed = spark.read.schema(FEED_SCHEMA).parquet(feed_dir)
     state = run_state(spark, feed_dir, state_dir or C.shared_path(spark, "exact-stream"))
@@ -94,32 +98,31 @@ def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256,
                .groupBy("digest").agg(F.count(F.lit(1)).alias("texts"))
                .where("texts > 1").select("digest"), "exact-collided")
 
-    cols = ["doc_id", "keep_id", "group_size", "text_sha256", "locator"]
-    out = feed.drop("locator").join(state, "digest")
+    cols = ["doc_id", "keep_id", "group_size", "text_sha256", "locator", "own"]
+    out = feed.withColumnRenamed("locator", "own").join(state, "digest")
     if not collided.isEmpty():
         rows = hashed.join(collided, "digest", "left_semi")
         by_text = rows.groupBy("digest", "norm").agg(
             F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "locator")).alias("first"),
             F.count(F.lit(1)).alias("group_size"))
-        fixed = rows.drop("locator").join(by_text, ["digest", "norm"]).select(
+        fixed = rows.withColumnRenamed("locator", "own").join(by_text, ["digest", "norm"]).select(
             "doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", "text_sha256",
-            F.col("first.locator").alias("locator"))
+            F.col("first.locator").alias("locator"), "own")
         out = out.join(collided, "digest", "left_anti").select(*cols).unionByName(fixed.select(*cols))
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
-                      "text_sha256", "locator")
+                      "text_sha256", "locator", "own")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the rows of ``docs`` that exact deduplication keeps, all columns as they are."""
-    key, gone_id, gone_sha = C.unused(docs.columns, "key", "gone_id", "gone_sha")
-    gone = exact_dedup(docs).where("not kept").select(
-        F.col("doc_id").alias(gone_id), F.col("text_sha256").alias(gone_sha)).distinct()
-    return docs.withColumn(key, sha256(normalised(F.col("text").cast("string")))).join(
-        gone, (F.col("doc_id") == F.col(gone_id)) & (F.col(key) == F.col(gone_sha)), "left_anti").drop(key)
+    """Pipeline stage: of each text the one row with the smallest (id, nulls last, place), all columns as they are."""
+    row, gone_row = C.unused([*docs.columns, "doc_id", "text"], "row", "gone_row")
+    rows = C.numbered(docs, row)
+    gone = exact_dedup(rows, locator=row).where("own <> locator").select(F.col("own").cast("long").alias(gone_row))
+    return C.with_schema(rows.join(gone, F.col(row) == F.col(gone_row), "left_anti").drop(row), docs.schema)
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup(C.documents(spark, sf_dir)).drop("locator")
+    return exact_dedup(C.documents(spark, sf_dir)).drop("locator", "own")
 
 
 QUERIES = {"op3_exact_dedup": op3_exact_dedup}

@@ -371,10 +371,22 @@ def _open_families(star: DataFrame, comp: DataFrame) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each near-duplicate group stays (5 words, 0.8), with all columns."""
-    (gone_id,) = C.unused(docs.columns, "gone_id")
-    gone = near_duplicates(docs).where("not kept and doc_id is not null").select(F.col("doc_id").alias(gone_id)).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col(gone_id), "left_anti")
+    """Pipeline stage: one row of each near-duplicate group stays (5 words, 0.8), with all columns.
+
+    Rows are grouped by their place, so null and repeated ids are rows of their own;
+    the one with the smallest (id, nulls last, place) stays.
+    """
+    row, gone_row = C.unused([*docs.columns, "doc_id", "text"], "row", "gone_row")
+    rows = C.numbered(docs, row)
+    d = C.pick(rows, **{"doc_id": "long", "text": "string", row: "long"}).withColumnRenamed(row, "place")
+    found = C.scratch(near_duplicates(d.select(F.col("place").alias("doc_id"), "text"))
+                      .where("not kept").select(F.col("doc_id").alias("place"), "component_id"), "near-copies")
+    group = found.unionByName(found.select(F.col("component_id").alias("place"), "component_id").distinct())
+    group = group.join(d.select("place", "doc_id"), "place")
+    first = group.groupBy("component_id").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "place")).alias("first"))
+    gone = group.join(first, "component_id").where("place <> first.place").select(F.col("place").alias(gone_row))
+    return C.with_schema(rows.join(gone, F.col(row) == F.col(gone_row), "left_anti").drop(row), docs.schema)
 
 
 def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

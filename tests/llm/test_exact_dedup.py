@@ -52,3 +52,11 @@ def test_stage_keeps_columns(spark):
     assert out.schema == docs.schema
     assert sorted(r.doc_id for r in out.where("doc_id is not null").collect()) == sorted(
         [1, 2, 4, 5, 7, 8, 9, 10, 11, 13, 14, *range(20, 60)])
+
+
+def test_stage_keeps_one_of_repeated_rows_and_null_ids(spark):
+    rows = [(3, "a b", "x"), (3, "a b", "x"), (None, "a  b", "y"), (5, "c", "x"), (None, "c", "x"), (None, "d", "x"), (None, "d", "x"),
+            (6, "e", "x"), (6, "f", "x"), (None, None, "x"), (None, "", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = [(r.doc_id, (r.text or "").split()) for r in X.drop_copies(spark, docs, "").collect()]
+    assert sorted(got, key=str) == sorted([(3, ["a", "b"]), (5, ["c"]), (None, ["d"]), (6, ["e"]), (6, ["f"]), (None, [])], key=str)

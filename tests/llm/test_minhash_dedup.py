@@ -110,3 +110,12 @@ def test_shingle_hashes_tell_texts_apart():
     elements, ends = X.shingle_sets(pa.array(["a b c", "A  b\tc", "ab c", None, "", "b a c"]), 2)
     sets = [set(elements[ends[i]:ends[i + 1]].tolist()) for i in range(6)]
     assert sets[0] == sets[1] and not sets[0] & sets[2] and not sets[3] and not sets[4] and not sets[0] & sets[5]
+
+
+def test_stage_keeps_one_of_repeated_rows_and_null_ids(spark):
+    text = lambda k, n=60: " ".join(f"{k}{i}" for i in range(n))
+    rows = [(9, text("a")), (9, text("a")), (None, text("a") + " more"), (4, text("a") + " end"),
+            (None, text("b")), (None, text("b") + " more"), (7, text("c")), (7, text("d")), (None, text("d") + " end"), (None, text("e"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [(r.doc_id, r.text[0]) for r in X.drop_near_copies(spark, docs, "").collect()]
+    assert sorted(got, key=str) == sorted([(4, "a"), (None, "b"), (7, "c"), (7, "d"), (None, "e")], key=str)
