@@ -3,7 +3,6 @@ from pyspark.sql import functions as F
 
 from citeflow.fixtures import Fixtures
 from citeflow.operators import cf, graph
-from conftest import SF_SMALL
 
 
 def rows(df, cols):
@@ -11,15 +10,15 @@ def rows(df, cols):
 
 
 @pytest.mark.parametrize("hot", [1, 2, 3])
-def test_coauthor_hot_groups_exact(spark, hot):
-    a = Fixtures(spark, SF_SMALL).authorship()
+def test_coauthor_hot_groups_exact(spark, sf_small, hot):
+    a = Fixtures(spark, sf_small).authorship()
     want = rows(graph.coauthor_edges(a, hot=10**9), ["f", "t", "w", "rk"])
     got = rows(graph.coauthor_edges(a, hot=hot), ["f", "t", "w", "rk"])
     assert got == want
 
 
-def test_coauthor_hot_groups_with_focus(spark):
-    fx = Fixtures(spark, SF_SMALL)
+def test_coauthor_hot_groups_with_focus(spark, sf_small):
+    fx = Fixtures(spark, sf_small)
     focus = spark.createDataFrame([(1,), (4,)], "author_id long")
     want = rows(graph.coauthor_edges(fx.authorship(), hot=10**9, focus=focus), ["f", "t", "w", "rk"])
     got = rows(graph.coauthor_edges(fx.authorship(), hot=2, focus=focus), ["f", "t", "w", "rk"])
@@ -27,8 +26,8 @@ def test_coauthor_hot_groups_with_focus(spark):
 
 
 @pytest.mark.parametrize("hot", [3, 10])
-def test_cf_hot_users_exact(spark, hot):
-    ui = Fixtures(spark, SF_SMALL).user_item()
+def test_cf_hot_users_exact(spark, sf_small, hot):
+    ui = Fixtures(spark, sf_small).user_item()
     want = rows(cf.item_topk(ui, 5, hot=10**9), ["i", "j", "score", "rk"])
     got = rows(cf.item_topk(ui, 5, hot=hot), ["i", "j", "score", "rk"])
     assert got == want
@@ -43,10 +42,10 @@ def test_one_group_holding_everything(spark):
     assert got == want
 
 
-def test_hot_rows_stay_far_below_all_pairs(spark):
+def test_hot_rows_stay_far_below_all_pairs(spark, sf_small):
     """Every item in its own set of users (distinct signatures): the hot part emits few rows per item."""
     from citeflow.operators import pairs as P
-    ui = Fixtures(spark, SF_SMALL).user_item().select(F.col("user_id").alias("g"), F.col("item").alias("m"))
+    ui = Fixtures(spark, sf_small).user_item().select(F.col("user_id").alias("g"), F.col("item").alias("m"))
     inc = ui.distinct()
     size = inc.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
     heavy = inc.join(size, "g").where("n > 5").withColumn("wg", F.lit(1.0) / F.col("n"))

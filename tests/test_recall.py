@@ -2,12 +2,11 @@ from pyspark.sql import functions as F
 
 from citeflow import config as C
 from citeflow.operators import recall
-from conftest import SF_SMALL
 
 
-def test_lists_are_cut_and_ordered(spark):
+def test_lists_are_cut_and_ordered(spark, sf_small):
     from citeflow.plans.recall_job import q_recall_all
-    df = q_recall_all(spark, SF_SMALL)
+    df = q_recall_all(spark, sf_small)
     sizes = df.groupBy("followed_id", "pool", "label").agg(F.max("rank").alias("m"), F.count("*").alias("n")).collect()
     assert sizes and all(r["m"] == r["n"] <= 25 for r in sizes)
 
@@ -32,9 +31,9 @@ def test_followed_names_fallback(spark):
     assert got == {5: ("En", "En"), 6: ("Zh", "Zh"), 8: ("E", "Z")}
 
 
-def test_nested_output(spark):
+def test_nested_output(spark, sf_small):
     from citeflow.plans.recall_job import q_recall_nested
-    rows = q_recall_nested(spark, SF_SMALL).collect()
+    rows = q_recall_nested(spark, sf_small).collect()
     assert rows
     for r in rows:
         for f in r["followed"]:
@@ -45,12 +44,12 @@ def test_nested_output(spark):
                 assert order == sorted(order)
 
 
-def test_a_focus_reads_its_own_papers_only(spark):
+def test_a_focus_reads_its_own_papers_only(spark, sf_small):
     """One user's job gives that user's part of all users' job, and leaves nothing persisted."""
     from citeflow.plans.recall_job import q_recall_one_user, q_recall_user
     before = set(spark.sparkContext._jsc.getPersistentRDDs())
-    one = q_recall_one_user(spark, SF_SMALL).collect()
+    one = q_recall_one_user(spark, sf_small).collect()
     user = one[0]["user_id"]
-    every = q_recall_user(spark, SF_SMALL).where(F.col("user_id") == user).collect()
+    every = q_recall_user(spark, sf_small).where(F.col("user_id") == user).collect()
     assert sorted(map(str, one)) == sorted(map(str, every)) and one
     assert set(spark.sparkContext._jsc.getPersistentRDDs()) == before
