@@ -6,7 +6,7 @@ import importlib
 from collections.abc import Callable
 
 _MODULES = ("language_id", "exact_dedup", "mixing", "packing", "toxicity", "quality", "lm_scoring", "minhash_dedup",
-            "order_minhash", "surrogates", "line_dedup", "fill_in_middle")
+            "order_minhash", "surrogates", "line_dedup", "phrase_mining", "fill_in_middle")
 
 
 def _modules():
