@@ -108,15 +108,20 @@ def prepared(spark: SparkSession) -> None:
         spark.conf.set(rows, BATCH_ROWS)
 
 
+def give_back() -> None:
+    """Free memory of this worker goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):       # no glibc
+        pass
+
+
 def released(run):
     """A batch function after which the worker, which lives on idle, gives free memory back to the system."""
     def inner(batches):
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (AttributeError, OSError):       # no glibc
-            pass
+        give_back()
     return inner
 
 

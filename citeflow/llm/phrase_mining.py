@@ -2,10 +2,11 @@
 
 1. Shards. Texts (A-Z lower-cased) are split at ``.,;:!?`` and line ends into pieces
    and these into words. A task gathers the word ids of one language, with a separator
-   between pieces, into shards of about ``SHARD_WORDS`` words; a piece is never cut. A
-   shard is one row: its ids, its words and their counts.
-2. Words. Counts are summed over shards; words seen ``min_count`` times or more get a
-   number. In a shard all others become separators, as no frequent phrase holds them.
+   between pieces, into shards of about ``SHARD_WORDS`` words; a piece is never cut.
+2. Words. A shard sends its words and counts in blocks to buckets by a hash of the word.
+   A bucket sums them over the shards, numbers the words seen ``min_count`` times or more
+   and answers each shard which of its words these are. In a shard all others become
+   separators, as no frequent phrase holds them.
 3. Index. Of a shard's sequence and of its reverse the Burrows-Wheeler transform is
    taken, with rotations sorted as far as ``max_words`` words (patterns are not longer).
    The interval of a phrase P in one transform and that of its reverse in the other are
@@ -13,12 +14,11 @@
    counts the counts of the longer phrases; a rank query gives the new interval there,
    the sum over smaller symbols the one in the other transform.
 4. Levels. All words are extended to the left, which gives the pairs, and pairs to the
-   right up to ``max_words``. A shard sends the counts of a level as sorted blocks to
-   buckets by a hash of the phrase; a bucket sums them over the shards, numbers the
-   phrases that reach ``min_count`` and answers each shard which of its phrases these
-   are; only they are extended further, and only by a word that follows their last one
-   often enough. So nothing frequent is lost, and no phrase is a row before it is known
-   to be frequent. A phrase stands as (number of all but its last word, last word).
+   right up to ``max_words``. The counts of a level go through buckets like those of the
+   words; a phrase stands as (number of all but its last word, number of the last word).
+   Only frequent phrases are extended further, and only by a word that follows their
+   last one often enough. So nothing frequent is lost, and no phrase is a row of its own
+   before it is known to be frequent. Buckets follow the number of input partitions.
 5. Scores. Every frequent phrase finds the numbers of its first and last words by joins
    on these numbers. It is dropped if one with a word more, to its left or right, has
    ``contained`` per cent of its count: what lies inside a longer phrase lies inside
@@ -33,25 +33,26 @@ handled whole, of any length; no word or phrase is capped.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.incremental import dense_index
 from . import common as C
 from .lm_scoring import planes, squeeze, unplanes, unsqueeze
 
 MAX_WORDS, MIN_COUNT, CONTAINED, TOP = 3, 10, 50, 2000
 SHARD_WORDS = 1 << 20
-BUCKET_WORDS = 1 << 20           # words of the corpus per bucket that sums counts
+BUCKETS_PER_PARTITION = 4
 SLICES = 16                      # of a language, for the first cut to ``top``
 _U = np.uint64
-_POSITION_BITS = 40              # a phrase's number: bucket, then its place there
+_PLACE_BITS = 40                 # a number of a word or phrase: bucket, then its place there
 
 _CLEAN = bytearray(range(256))
 _CLEAN[65:91] = bytes(range(97, 123))
@@ -90,49 +91,114 @@ def _cut(seq: np.ndarray, size: int):
         at = end
 
 
-_SHARD = "lang string, shard long, size long, ids binary, words array<string>, counts array<long>"
+def _packed(raw: bytes) -> bytes:
+    return zstandard.compress(raw, 1)
 
 
-def _shards(size: int):
+def _ints(packed: bytes) -> np.ndarray:
+    return unplanes(zstandard.decompress(packed)).astype(np.int64)
+
+
+def _sorted_ints(packed: bytes) -> np.ndarray:
+    return unsqueeze(zstandard.decompress(packed)).astype(np.int64)
+
+
+def _of_ints(a: np.ndarray) -> bytes:
+    return _packed(planes(a))
+
+
+def _of_sorted_ints(a: np.ndarray) -> bytes:
+    return _packed(squeeze(a))
+
+
+def _table(rows: list[tuple], types: dict[str, pa.DataType]) -> pa.Table:
+    columns = zip(*rows) if rows else [()] * len(types)
+    return pa.table([pa.array(c, t) for c, t in zip(columns, types.values())], names=list(types))
+
+
+# a row is the sequence of a shard (bucket -1) or a block of words for a bucket
+_SHARD = "lang string, shard long, bucket int, size long, ids binary, words binary, counts binary"
+_SHARD_TYPES = dict(zip(("lang", "shard", "bucket", "size", "ids", "words", "counts"),
+                        (pa.string(), pa.int64(), pa.int32(), pa.int64(), *[pa.binary()] * 3)))
+
+
+def _shards(size: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers: dict[str, _Ids] = {}
         held: dict[str, list[np.ndarray]] = {}
-        total, made = 0, TaskContext.get().partitionId() << 32
+        sizes: dict[str, int] = {}
+        made = TaskContext.get().partitionId() << 32
 
         def sent(lang: str):
+            """The shards of a language, their words numbered in the order of buckets and then of the words."""
             nonlocal made
-            words = np.array([b"", *list(numbers[lang])[2:]], object)
-            for part in _cut(np.concatenate(held[lang]), size):
-                counts = np.bincount(part, minlength=words.size)
-                counts[0] = 0
-                there = np.flatnonzero(counts)
-                own = np.zeros(words.size, np.uint32)
-                own[there] = np.arange(1, there.size + 1)
+            words = [b"", *list(numbers.pop(lang))[2:]]
+            sequence = np.concatenate(held.pop(lang))
+            del sizes[lang]
+            keys = sorted((zlib.crc32(w) % buckets, w, i) for i, w in enumerate(words) if i)
+            order = np.array([i for _, _, i in keys], np.int64)
+            bucket = np.array([b for b, _, _ in keys], np.int64)
+            for part in _cut(sequence, size):
+                counts = np.bincount(part, minlength=len(words))
+                there = np.flatnonzero(counts[order])
+                own = np.zeros(len(words), np.uint32)
+                own[order[there]] = np.arange(1, there.size + 1)
                 made += 1
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang]), pa.array([made]), pa.array([int(counts.sum())]), pa.array([own[part].tobytes()], pa.binary()),
-                     pa.array([[w.decode("utf-8", "replace") for w in words[there]]], pa.list_(pa.string())),
-                     pa.array([counts[there].tolist()], pa.list_(pa.int64()))],
-                    names=["lang", "shard", "size", "ids", "words", "counts"])
+                rows = [(lang, made, -1, int(counts[order].sum()), _of_ints(own[part]), None, None)]
+                cut = np.searchsorted(bucket[there], np.arange(buckets + 1))
+                for b in np.flatnonzero(np.diff(cut)).tolist():
+                    some = there[cut[b]:cut[b + 1]]
+                    rows.append((lang, made, b, None, None, _packed(b"\n".join([keys[i][1] for i in some.tolist()])),
+                                 _of_ints(counts[order[some]])))
+                yield from _table(rows, _SHARD_TYPES).to_batches()
         for batch in batches:
             for part in C.slices(batch):
                 texts = pc.fill_null(part.column(1), "").cast(pa.binary()).to_pylist()
                 for lang, text in zip(part.column(0).to_pylist(), texts):
                     a = word_ids(text + b"\n", numbers.setdefault(lang, _Ids()))
                     held.setdefault(lang, []).append(a)
-                    total += a.size
-                largest = max(held, key=lambda x: sum(a.size for a in held[x]))
-                if total >= 2 * size or sum(a.size for a in held[largest]) >= size:
-                    # a language with enough words makes its shard; many small ones make theirs together
-                    for lang in [largest] if total < 2 * size else list(held):
-                        yield from sent(lang)
-                        total -= sum(a.size for a in held.pop(lang))
-                        del numbers[lang]
-        for lang in held:
+                    sizes[lang] = sizes.get(lang, 0) + a.size
+                # a language with enough words makes its shard; many small ones make theirs together
+                full = list(sizes) if sum(sizes.values()) >= 2 * size else [x for x, n in sizes.items() if n >= size]
+                for lang in full:
+                    yield from sent(lang)
+        for lang in list(held):
             yield from sent(lang)
     return run
 
 
+_WORDS = "bucket int, shard long, places binary, lang string, words array<string>, counts array<long>"
+_WORDS_TYPES = dict(zip(("bucket", "shard", "places", "lang", "words", "counts"),
+                        (pa.int32(), pa.int64(), pa.binary(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int64()))))
+
+
+def _merge_words(min_count: int):
+    """Sums a bucket's blocks: per language the frequent words (shard null), and for each shard the places of its words, from 1."""
+    def run(key: tuple, blocks: pa.Table) -> pa.Table:
+        bucket, used, rows = key[0].as_py(), 0, []
+        by_lang: dict[str, list[tuple]] = {}
+        for row in zip(*[blocks.column(c).to_pylist() for c in ("lang", "shard", "words", "counts")]):
+            by_lang.setdefault(row[0], []).append(row[1:])
+        for lang in sorted(by_lang):
+            own = [zstandard.decompress(w).split(b"\n") for _, w, _ in by_lang[lang]]
+            coded = pa.array([w for x in own for w in x], pa.binary()).dictionary_encode()
+            code = coded.indices.to_numpy()
+            counts = np.concatenate([_ints(c) for _, _, c in by_lang[lang]])
+            total = np.zeros(len(coded.dictionary), np.int64)
+            np.add.at(total, code, counts)
+            frequent = total >= min_count
+            place = np.where(frequent, np.cumsum(frequent) + used, 0)
+            rows.append((bucket, None, None, lang,
+                         [w.decode("utf-8", "replace") for w in coded.dictionary.filter(pa.array(frequent)).to_pylist()], total[frequent]))
+            ends = np.cumsum([len(x) for x in own])
+            rows += [(bucket, s, _of_ints(x), None, None, None)
+                     for (s, _, _), x in zip(by_lang[lang], np.split(place[code], ends[:-1]))]
+            used += int(frequent.sum())
+        C.give_back()
+        return _table(rows, _WORDS_TYPES)
+    return run
+
+
 # ---- the index ---------------------------------------------------------------------
 def rotations(s: np.ndarray, depth: int) -> np.ndarray:
     """Starts of the rotations of ``s``, sorted by their first ``depth`` symbols."""
@@ -182,20 +248,19 @@ def extend(index: Transform, here: np.ndarray, there: np.ndarray, n: np.ndarray)
 
 # ---- levels ------------------------------------------------------------------------
 # a row is the state of a shard (bucket -1) or a block of phrases for a bucket
-_LEVEL = ("shard long, bucket int, bwt binary, numbers binary, here binary, n binary, first binary, last binary, "
-          "parents binary, lasts binary, counts binary")
-_NAMES = [x.split()[0] for x in _LEVEL.split(", ")]
-_TYPES = [pa.int64(), pa.int32(), *[pa.binary()] * 9]
+_LEVEL = "shard long, bucket int, state array<binary>, parents binary, lasts binary, counts binary"
+_LEVEL_TYPES = dict(zip(("shard", "bucket", "state", "parents", "lasts", "counts"),
+                        (pa.int64(), pa.int32(), pa.list_(pa.binary()), *[pa.binary()] * 3)))
 
 
-def _rows(shard: int, state: tuple, buckets: int, parents: np.ndarray, lasts: np.ndarray, counts: np.ndarray):
-    """The state and the blocks, which the caller has put into the order of ``_bucket_order``."""
+def _rows(shard: int, state: list[bytes], buckets: int, parents: np.ndarray, lasts: np.ndarray, counts: np.ndarray) -> pa.Table:
+    """The state, and the blocks of phrases that the caller has put into the order of ``_bucket_order``."""
     cut = np.searchsorted(_bucket(parents, lasts, buckets), np.arange(buckets + 1))
-    rows = [(shard, -1, *state, None, None, None)]
+    rows = [(shard, -1, state, None, None, None)]
     for b in np.flatnonzero(np.diff(cut)).tolist():
         some = slice(cut[b], cut[b + 1])
-        rows.append((shard, b, *[None] * 6, squeeze(parents[some]), planes(lasts[some]), planes(counts[some])))
-    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)], names=_NAMES)
+        rows.append((shard, b, None, _of_sorted_ints(parents[some]), _of_ints(lasts[some]), _of_ints(counts[some])))
+    return _table(rows, _LEVEL_TYPES)
 
 
 def _bucket(parents: np.ndarray, lasts: np.ndarray, buckets: int) -> np.ndarray:
@@ -207,69 +272,81 @@ def _bucket_order(parents: np.ndarray, lasts: np.ndarray, buckets: int) -> np.nd
     return np.lexsort((lasts, parents, _bucket(parents, lasts, buckets)))
 
 
+def _numbers(answers: pa.Table) -> np.ndarray:
+    """The number, or -1 if it isn't frequent, of each word or phrase that a shard has sent."""
+    answers = answers.sort_by("bucket")
+    place = [_ints(b) for b in answers.column("places").to_pylist()]
+    bucket = np.repeat(answers.column("bucket").to_numpy().astype(np.int64), [p.size for p in place])
+    place = np.concatenate(place)
+    return np.where(place > 0, bucket << _PLACE_BITS | place - 1, -1)
+
+
 def _first_level(max_words: int, buckets: int):
     """Builds a shard's index and extends all words to the left."""
-    def run(key: tuple, shard: pa.Table, words: pa.Table) -> pa.Table:
-        if not shard.num_rows or not words.num_rows:
-            return pa.table([pa.array([], t) for t in _TYPES], names=_NAMES)
-        own, number = words.column("own").to_numpy(), words.column("number").to_numpy()
-        order = np.argsort(number)
-        numbers = np.concatenate(([-1], number[order]))
-        ids = np.frombuffer(shard.column("ids")[0].as_py(), np.uint32)
-        symbol = np.zeros(int(max(ids.max(), own.max())) + 1, np.uint32)
-        symbol[own[order]] = np.arange(1, own.size + 1)
+    def index(ids: np.ndarray, number: np.ndarray) -> tuple[Transform, Transform, np.ndarray]:
+        own = np.flatnonzero(number >= 0)
+        own = own[np.argsort(number[own])]
+        symbol = np.zeros(number.size + 1, np.uint32)
+        symbol[own + 1] = np.arange(1, own.size + 1)
         s = np.concatenate((np.zeros(1, np.uint32), symbol[ids], np.zeros(1, np.uint32)))
         s = s[np.concatenate(([True], (s[1:] > 0) | (s[:-1] > 0)))]         # one separator is as good as many
-        left, right = (Transform.of(x, numbers.size, max_words) for x in (s, s[::-1].copy()))
+        return (*[Transform.of(x, own.size + 1, max_words) for x in (s, s[::-1].copy())], np.concatenate(([-1], number[own])))
+
+    def run(key: tuple, shard: pa.Table, answers: pa.Table) -> pa.Table:
+        if not shard.num_rows or not answers.num_rows:
+            return _table([], _LEVEL_TYPES)
+        left, right, numbers = index(_ints(shard.column("ids")[0].as_py()), _numbers(answers))
         n = np.diff(left.first)[1:]
         last, first, _, here, n = extend(left, left.first[1:-1], right.first[1:-1], n)
-        last = last + 1
+        last += 1
         order = _bucket_order(numbers[first], numbers[last], buckets)
         first, last, here, n = (x[order] for x in (first, last, here, n))
-        state = (right.bwt.tobytes(), squeeze(numbers[1:]), planes(here), planes(n), planes(first), planes(last))
-        return _rows(key[0].as_py(), state, buckets, numbers[first], numbers[last], n)
+        state = [_of_ints(right.bwt), _of_sorted_ints(numbers[1:]), *map(_of_ints, (here, n, first, last))]
+        del left, right
+        out = _rows(key[0].as_py(), state, buckets, numbers[first], numbers[last], n)
+        C.give_back()
+        return out
     return run
 
 
 def _next_level(level: int, buckets: int):
     """Extends the frequent phrases of a shard to the right."""
-    def run(key: tuple, state: pa.Table, answers: pa.Table) -> pa.Table:
-        if not state.num_rows or not answers.num_rows:
-            return pa.table([pa.array([], t) for t in _TYPES], names=_NAMES)
-        row = state.slice(0, 1).to_pylist()[0]
-        numbers = np.concatenate(([-1], unsqueeze(row["numbers"]).astype(np.int64)))
-        right = Transform(np.frombuffer(row["bwt"], np.uint32), numbers.size)
-        here, n, first, last = (unplanes(row[c]).astype(np.int64) for c in ("here", "n", "first", "last"))
-        answers = answers.sort_by("bucket")
-        place = [unplanes(b).astype(np.int64) for b in answers.column("places").to_pylist()]
-        bucket = np.repeat(answers.column("bucket").to_numpy(), [p.size for p in place])
-        place = np.concatenate(place)
-        keep = place > 0
-        parents = bucket[keep].astype(np.int64) << _POSITION_BITS | place[keep] - 1
-        here, n, last = here[keep], n[keep], last[keep]
-        # pairs that are frequent: known from the answers at the first level, handed on from then
-        pairs = np.sort((first[keep] << 32) | last) if level == 3 else first
+    def run(key: tuple, shard: pa.Table, answers: pa.Table) -> pa.Table:
+        if not shard.num_rows or not answers.num_rows:
+            return _table([], _LEVEL_TYPES)
+        state = shard.column("state")[0].as_py()
+        numbers = np.concatenate(([-1], _sorted_ints(state[1])))
+        right = Transform(_ints(state[0]).astype(np.uint32), numbers.size)
+        here, n, first, last = map(_ints, state[2:])
+        parents = _numbers(answers)
+        keep = parents >= 0
+        # the frequent pairs: known from the answers at the first level, handed on from then
+        pairs = np.sort(first[keep] << 32 | last[keep]) if level == 3 else first
+        parents, here, n, last = (x[keep] for x in (parents, here, n, last))
         phrase, word, here, _, n = extend(right, here, np.zeros_like(here), n)
         pair = last[phrase] << 32 | word
-        at = np.minimum(np.searchsorted(pairs, pair), pairs.size - 1)
-        good = pairs[at] == pair if pairs.size else np.zeros(0, bool)
+        good = pairs[np.minimum(np.searchsorted(pairs, pair), pairs.size - 1)] == pair if pairs.size else pair < 0
         phrase, word, here, n = (x[good] for x in (phrase, word, here, n))
         order = _bucket_order(parents[phrase], numbers[word], buckets)
         phrase, word, here, n = (x[order] for x in (phrase, word, here, n))
-        state = (row["bwt"], row["numbers"], planes(here), planes(n), planes(pairs), planes(word))
-        return _rows(key[0].as_py(), state, buckets, parents[phrase], numbers[word], n)
+        state = [*state[:2], *map(_of_ints, (here, n, pairs, word))]
+        out = _rows(key[0].as_py(), state, buckets, parents[phrase], numbers[word], n)
+        C.give_back()
+        return out
     return run
 
 
 _MERGED = "bucket int, shard long, places binary, parents array<long>, lasts array<long>, counts array<long>"
+_MERGED_TYPES = dict(zip(("bucket", "shard", "places", "parents", "lasts", "counts"),
+                         (pa.int32(), pa.int64(), pa.binary(), *[pa.list_(pa.int64())] * 3)))
 
 
 def _merge(min_count: int):
     """Sums a bucket's blocks: the frequent phrases (shard null), and for each shard the places of its phrases, from 1."""
     def run(key: tuple, blocks: pa.Table) -> pa.Table:
         cols = [[f(b) for b in blocks.column(c).to_pylist()] for c, f in
-                (("parents", unsqueeze), ("lasts", unplanes), ("counts", unplanes))]
-        parents, lasts, counts = (np.concatenate(c).astype(np.int64) for c in cols)
+                (("parents", _sorted_ints), ("lasts", _ints), ("counts", _ints))]
+        parents, lasts, counts = (np.concatenate(c) for c in cols)
         order = np.lexsort((lasts, parents))
         new = np.ones(order.size, bool)
         p, w = parents[order], lasts[order]
@@ -280,50 +357,48 @@ def _merge(min_count: int):
         place = np.empty(order.size, np.int64)
         place[order] = np.where(frequent, np.cumsum(frequent), 0)[np.cumsum(new) - 1]
         ends = np.cumsum([c.size for c in cols[0]])
-        rows = [(s, planes(x), None, None, None) for s, x in zip(blocks.column("shard").to_pylist(), np.split(place, ends[:-1]))]
-        rows.append((None, None, p[at][frequent], w[at][frequent], total[frequent]))
-        types = (pa.int64(), pa.binary(), *[pa.list_(pa.int64())] * 3)
-        return pa.table([pa.array([key[0].as_py()] * len(rows), pa.int32()), *[pa.array(c, t) for c, t in zip(zip(*rows), types)]],
-                        names=["bucket", "shard", "places", "parents", "lasts", "counts"])
+        bucket = key[0].as_py()
+        rows = [(bucket, s, _of_ints(x), None, None, None)
+                for s, x in zip(blocks.column("shard").to_pylist(), np.split(place, ends[:-1]))]
+        rows.append((bucket, None, None, p[at][frequent], w[at][frequent], total[frequent]))
+        C.give_back()
+        return _table(rows, _MERGED_TYPES)
     return run
 
 
 def frequent_phrases(docs: DataFrame, max_words: int = MAX_WORDS, min_count: int = MIN_COUNT,
-                     shard_words: int = SHARD_WORDS, bucket_words: int = BUCKET_WORDS) -> tuple[DataFrame, list[DataFrame]]:
+                     shard_words: int = SHARD_WORDS, buckets: int | None = None) -> tuple[DataFrame, list[DataFrame]]:
     """(lang, n): all word occurrences; and by length 1 to ``max_words`` the phrases seen ``min_count`` times:
     lang, id, parent, last, tail (ids of all but the last word, the last, all but the first), words, f, and the
     counts of all shorter beginnings (``before``) and of what follows them (``after``), by length of the beginning."""
-    spark = docs.sparkSession
-    C.prepared(spark)
+    C.prepared(docs.sparkSession)
     texts = C.pick(docs, lang="string", text="string").select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
-    shards = C.scratch(texts.mapInArrow(C.released(_shards(shard_words)), _SHARD), "phrase-shards")
-    totals = C.scratch(shards.groupBy("lang").agg(F.sum("size").alias("n")), "phrase-totals")
-    buckets = max(1, int(totals.agg(F.sum("n")).first()[0] or 0) // bucket_words)
-
-    own = (shards.select("lang", "shard", F.posexplode(F.arrays_zip("words", "counts")).alias("pos", "w"))
-                 .select("lang", "shard", (F.col("pos") + 1).cast("long").alias("own"), F.col("w.words").alias("word"),
-                         F.col("w.counts").alias("count")))
-    known = own.groupBy("lang", "word").agg(F.sum("count").alias("f")).where(F.col("f") >= min_count)
-    words = C.scratch(dense_index(known, "word").withColumnRenamed("idx", "id"), "phrase-words")
-    if (words.agg(F.max("id")).first()[0] or 0) >= 1 << 32:
-        raise ValueError("more than 2^32 frequent words")
-    own = own.join(words.select("lang", "word", F.col("id").alias("number")), ["lang", "word"]).select(
-        F.col("shard").alias("shard"), "own", "number")          # a column of its own: both sides come from the shards
-
+    buckets = buckets or BUCKETS_PER_PARTITION * max(1, texts.rdd.getNumPartitions())
+    number = lambda place: F.shiftleft(F.col("bucket").cast("long"), _PLACE_BITS) + place
     nothing = F.array().cast("array<bigint>")
-    levels = [words.select("lang", "id", F.array("word").alias("words"), "f", nothing.alias("before"), nothing.alias("after"))]
-    state = C.scratch(shards.select("shard", "ids").groupBy("shard").cogroup(own.groupBy("shard"))
+
+    shards = C.scratch(texts.mapInArrow(C.released(_shards(shard_words, buckets)), _SHARD), "phrase-shards")
+    totals = shards.where("bucket < 0").groupBy("lang").agg(F.sum("size").alias("n"))
+    merged = C.scratch(shards.where("bucket >= 0").select("bucket", "lang", "shard", "words", "counts")
+                             .groupBy("bucket").applyInArrow(_merge_words(min_count), _WORDS), "phrase-words")
+    # of several languages in a bucket, the words of the later ones come after those of the earlier ones
+    earlier = Window.partitionBy("bucket").orderBy("lang").rowsBetween(Window.unboundedPreceding, -1)
+    words = merged.where("shard is null").withColumn("used", F.coalesce(F.sum(F.size("words")).over(earlier), F.lit(0)))
+    words = words.select("lang", "bucket", "used", F.posexplode(F.arrays_zip("words", "counts")).alias("pos", "w"))
+    levels = [C.scratch(words.select("lang", number(F.col("used") + F.col("pos")).alias("id"), F.array("w.words").alias("words"),
+                                     F.col("w.counts").alias("f"), nothing.alias("before"), nothing.alias("after")), "phrase-grams")]
+    answered = lambda m: m.where("shard is not null").select("shard", "bucket", "places").groupBy("shard")
+    state = C.scratch(shards.where("bucket < 0").select("shard", "ids").groupBy("shard").cogroup(answered(merged))
                             .applyInArrow(_first_level(max_words, buckets), _LEVEL), "phrase-level")
     for level in range(2, max_words + 1):
         merged = C.scratch(state.where("bucket >= 0").select("bucket", "shard", "parents", "lasts", "counts")
                                 .groupBy("bucket").applyInArrow(_merge(min_count), _MERGED), "phrase-merged")
         sums = merged.where("shard is null").select("bucket", F.posexplode(F.arrays_zip("parents", "lasts", "counts")).alias("pos", "x"))
-        sums = sums.select((F.shiftleft(F.col("bucket").cast("long"), _POSITION_BITS) + F.col("pos")).alias("id"),
-                           F.col("x.parents").alias("parent"), F.col("x.lasts").alias("last"), F.col("x.counts").alias("f"))
+        sums = sums.select(number(F.col("pos")).alias("id"), F.col("x.parents").alias("parent"), F.col("x.lasts").alias("last"),
+                           F.col("x.counts").alias("f"))
         levels.append(C.scratch(_linked(sums, levels), "phrase-grams"))
         if level < max_words:
-            answers = merged.where("shard is not null").select("shard", "bucket", "places")
-            state = C.scratch(state.where("bucket < 0").groupBy("shard").cogroup(answers.groupBy("shard"))
+            state = C.scratch(state.where("bucket < 0").select("shard", "state").groupBy("shard").cogroup(answered(merged))
                                    .applyInArrow(_next_level(level + 1, buckets), _LEVEL), "phrase-level")
     return totals, levels
 

@@ -56,12 +56,12 @@ def rows_of(df):
     return sorted(tuple(r) for r in df.collect())
 
 
-@pytest.mark.parametrize("args", [{}, {"shard_words": 300, "bucket_words": 500}, {"max_words": 5, "shard_words": 2000, "bucket_words": 4000},
+@pytest.mark.parametrize("args", [{}, {"shard_words": 300, "buckets": 7}, {"max_words": 5, "shard_words": 2000, "buckets": 2},
                                   {"max_words": 2, "min_count": 3, "contained": 80, "top": 7}])
 def test_rows_match_brute_force(spark, args):
     docs = documents(spark)
     rows = [(r.lang, r.text) for r in docs.collect()]
-    want = brute(rows, **{k: v for k, v in args.items() if not k.endswith("_words") or k == "max_words"})
+    want = brute(rows, **{k: v for k, v in args.items() if k not in ("shard_words", "buckets")})
     got = rows_of(X.collocations(docs, **args))
     assert got == want and {len(r[2].split(" ")) for r in got} >= ({2, 3} if args.get("max_words") != 2 else {2})
 
@@ -86,7 +86,7 @@ def test_empty_tables(spark):
 
 def test_a_hot_pair_is_one_row_per_shard(spark):
     docs = spark.range(3000).select(F.lit("en").alias("lang"), F.concat(F.lit("hot pair. w"), F.col("id") % 100).alias("text"))
-    got = rows_of(X.collocations(docs, shard_words=1000, bucket_words=1000))
+    got = rows_of(X.collocations(docs, shard_words=1000))
     assert got == [("en", 1, "hot pair", 3000, 3000, 3000, 9000, 1_000_000)]
 
 
