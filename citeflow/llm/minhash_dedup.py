@@ -8,8 +8,8 @@
   a slot keeps its minimum. Values of step j lie in [j, j + 1), so once every slot
   of a document holds a value below j + 1 later steps cannot change it and the
   document stops. All documents of a batch take each step together in numpy.
-* Documents with equal sets form a class at once (similarity 1); only the class
-  representative (smallest id) goes on.
+* Documents with equal sets form a class at once (similarity 1); a class is one node of
+  the graph, whose text is that of its smallest id.
 * Banding: ``bands`` x ``rows`` slots. At similarity 0.8 a pair misses all of
   32 x 4 with probability (1 - 0.8^4)^32 = 5e-8.
 * Verification and union-find. In every bucket members are paired with a hub, the
@@ -18,13 +18,15 @@
   with their square. Pairs are checked on full sets, links joined by union-find.
   A bucket mate that its hub does not link can still be similar to another mate;
   such pairs are found through the edits they share against the hub, with an exact
-  bound (``edit_pairs``), and checked too. No partner or candidate is capped.
+  bound (``edit_entries``), and checked too, in rounds: a group that shares an edit is
+  paired with a few of its members, then with more, each time only across components
+  (``across``). No partner or candidate is capped.
 * Texts behind candidate pairs are fetched by a bitmap of fixed size, hashed
   again, and joined to the pairs.
 
-Rows: null ids take part under a null id (``kept`` false); rows repeating an id
-are one document whose set is the union of their sets; an empty table gives an
-empty result.
+Rows: null ids take part under a null id (``kept`` false); rows repeating an id are
+one document, which has the links of each of its texts (``n_shingles`` is the row's
+own); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -145,8 +147,7 @@ def _signatures(width: int, slots: int, bands: int, rows: int):
                 elements, ends = shingle_sets(part.column(1), width)
                 b = band_hashes(super_minhash(elements, ends, slots), bands, rows)
                 size = np.diff(ends)
-                keys = [hashlib.blake2b(elements[ends[i]:ends[i + 1]].tobytes(), digest_size=16).digest()
-                        for i in range(len(size))]
+                keys = [_set_key(elements[ends[i]:ends[i + 1]]) for i in range(len(size))]
                 offs = np.concatenate([[0], np.cumsum(np.where(size > 0, bands, 0))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(size), pa.array(keys, pa.binary()),
@@ -156,15 +157,20 @@ def _signatures(width: int, slots: int, bands: int, rows: int):
 
 
 # ---- verification ------------------------------------------------------------------
+def _set_key(elements: np.ndarray) -> bytes:
+    return hashlib.blake2b(elements.tobytes(), digest_size=16).digest()
+
+
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in C.slices(batch):
                 elements, ends = shingle_sets(part.column(1), width)
-                raw = elements.tobytes()
+                own = [elements[a:b] for a, b in zip(ends[:-1], ends[1:])]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([raw[8 * a:8 * b] for a, b in zip(ends[:-1], ends[1:])], pa.binary())],
-                    names=["doc_id", "elements"])
+                    [part.column(0), pa.array([_set_key(x) for x in own], pa.binary()),
+                     pa.array([x.tobytes() for x in own], pa.binary())],
+                    names=["doc_id", "set_key", "elements"])
     return run
 
 
@@ -183,24 +189,25 @@ def _links(per_cent: int):
     return run
 
 
-def sets_of(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, elements) of every document in the (a, b) pairs, hashed again from its whole text."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+def sets_of(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """(node, elements) of every node in the (a, b) pairs, hashed again from the whole text of its smallest id."""
+    some = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    some = C.scratch(nodes.join(some, "node", "left_semi").select("node", F.col("rep").alias("doc_id"), "set_key"), "near-some")
+    ids = some.select("doc_id").distinct()
     texts = C.maybe_in(docs, "doc_id", C.bitmap(ids, "doc_id")).join(ids, "doc_id", "left_semi")
-    # rows that repeat an id: the signature came from one of their texts, so any of them will do
-    return C.scratch(texts.mapInArrow(_sets(width), "doc_id long, elements binary")
-                          .groupBy("doc_id").agg(F.max("elements").alias("elements")), "near-sets")
+    sets = texts.mapInArrow(C.released(_sets(width)), "doc_id long, set_key binary, elements binary")
+    return C.scratch(sets.join(some, ["doc_id", "set_key"]).groupBy("node").agg(F.max("elements").alias("elements")), "near-sets")
 
 
 def _both(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    return (pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("elements").alias("y")), "b")
-                 .join(sets.select(F.col("doc_id").alias("a"), F.col("elements").alias("x")), "a")
+    return (pairs.join(sets.select(F.col("node").alias("b"), F.col("elements").alias("y")), "b")
+                 .join(sets.select(F.col("node").alias("a"), F.col("elements").alias("x")), "a")
                  .select("a", "b", "x", "y"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
     """Those of the (a, b) pairs whose full sets reach the similarity."""
-    return _both(pairs, sets).mapInArrow(_links(per_cent), "a long, b long")
+    return _both(pairs, sets).mapInArrow(C.released(_links(per_cent)), "a long, b long")
 
 
 # ---- what a star cannot see: links between bucket mates that the hub does not link ---
@@ -229,40 +236,77 @@ def _edits(per_cent: int):
     return run
 
 
-def edit_pairs(family: DataFrame, sets: DataFrame, comp: DataFrame, per_cent: int) -> DataFrame:
-    """(a, b): every pair of one hub's family that may be similar though it lies in two components.
+def edit_entries(family: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
+    """The edits under which a member of a hub's family can meet a similar one that the hub doesn't link:
+    hub, edit, doc, weight, over, size, at (the edit's place among the member's, rarest first), is_x, is_y.
 
     Let x lack ``a`` and add ``b`` elements against the hub (H elements), and let
     o be the number of edits that x and y share. Then similarity(x, y) >= p % is
     the same as  (100 + p) o >= weight(x) + weight(y) - (100 - p) H  with
     weight = 100 a + p b, and x itself is linked to the hub just when
-    weight(x) <= (100 - p) H. So for an x that the hub does not link, a partner y
-    must share at least  need(y) = ceil((weight(y) + 1) / (100 + p))  of its own
-    edits with x, about half of them, and x needs
-    ceil((weight(x) - (100 - p) H) / (100 + p)) of its own. By the prefix
-    principle two sets that share t elements meet within the rarest |set| - t + 1
-    of each: only those edits are joined, and they are mostly the document's own.
-    Nothing is lost, and no group is paired with itself.
+    over(x) = weight(x) - (100 - p) H <= 0. So for an x that the hub does not link, a
+    partner y must share at least  need(y) = ceil((weight(y) + 1) / (100 + p))  of its
+    own edits with x, about half of them, and x needs ceil(over(x) / (100 + p)) of its
+    own. By the prefix principle two sets that share t elements meet within the rarest
+    |set| - t + 1 of each: only those edits are entries (is_x, is_y by the role). The
+    first edit that x and y share, at places i and j, leaves at most
+    1 + min(|x| - i, |y| - j) shared ones, which must reach
+    ceil((over(x) + weight(y)) / (100 + p)): ``_reach``. Nothing is lost.
     """
     per = 100 + per_cent
-    raw = _both(family, sets).mapInArrow(
-        _edits(per_cent), "hub long, doc long, weight long, over long, size long, edit long")
-    rows = C.scratch(raw, "near-edits")
+    rows = C.scratch(_both(family, sets).mapInArrow(
+        C.released(_edits(per_cent)), "hub long, doc long, weight long, over long, size long, edit long"), "near-edits")
     seen = rows.groupBy("hub", "edit").agg(F.count(F.lit(1)).alias("seen")).where("seen > 1")
     # an edit that only one document has can meet no other; it still fills a place of the prefix
     rare = Window.partitionBy("hub", "doc").orderBy(F.col("seen"), F.col("edit"))
-    ranked = (rows.join(seen, ["hub", "edit"], "left").withColumn("seen", F.coalesce("seen", F.lit(1)))
-                  .withColumn("at", F.row_number().over(rare)).where("seen > 1")
-                  .join(comp, F.col("doc") == F.col("id"), "left")
-                  .withColumn("comp", F.coalesce("component", "doc")))
     need_y = F.ceil((F.col("weight") + 1) / F.lit(per))
     need_x = F.greatest(F.lit(1), F.ceil(F.col("over") / F.lit(per)))
-    y = ranked.where(F.col("at") <= F.col("size") - need_y + 1).select(
-        "hub", "edit", F.col("doc").alias("y"), F.col("comp").alias("cy"))
-    x = ranked.where((F.col("over") > 0) & (F.col("at") <= F.col("size") - need_x + 1)).select(
-        "hub", "edit", F.col("doc").alias("x"), F.col("comp").alias("cx"))
-    return (x.join(y, ["hub", "edit"]).where("cx <> cy and x <> y")
-             .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    return (rows.join(seen, ["hub", "edit"], "left").withColumn("seen", F.coalesce("seen", F.lit(1)))
+                .withColumn("at", F.row_number().over(rare)).where("seen > 1").drop("seen")
+                .withColumn("is_x", (F.col("over") > 0) & (F.col("at") <= F.col("size") - need_x + 1))
+                .withColumn("is_y", F.col("at") <= F.col("size") - need_y + 1).where("is_x or is_y"))
+
+
+def _reach(per_cent: int):
+    """Whether x and y, of which an edit is the first shared one, can share enough."""
+    need = F.ceil((F.col("x.over") + F.col("weight")) / F.lit(100 + per_cent))
+    return F.least(F.col("x.size") - F.col("x.at"), F.col("size") - F.col("at")) + 1 >= need
+
+
+def across(entries: DataFrame, links: DataFrame, sets: DataFrame, per_cent: int, first: int = 16) -> DataFrame:
+    """The links, with those between members of a family that lie in two components.
+
+    Each round pairs a group (hub, edit) with ``first`` of its x (one per slot of a hash),
+    the next with ``first`` times as many of those not yet taken, so a round's pairs grow
+    with the rows of a group and not with their square while links still join its
+    components. Done when every x of a group with two components was taken.
+    """
+    comp = components(links)
+    taken, slots = None, first
+
+    def placed(comp: DataFrame) -> DataFrame:
+        """The entries of groups that have an x and two components."""
+        e = entries.join(comp, F.col("doc") == F.col("id"), "left").withColumn("comp", F.coalesce("component", "doc")).drop("id", "component")
+        two = e.groupBy("hub", "edit").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("is_x").alias("any_x"))
+        return C.scratch(e.join(two.where("lo <> hi and any_x").select("hub", "edit"), ["hub", "edit"], "left_semi"), "near-groups")
+    group = placed(comp)
+    while True:
+        left = group.where("is_x")
+        if taken is not None:
+            left = left.join(taken, ["hub", "edit", "doc"], "left_anti")
+        x = (left.withColumn("slot", F.pmod(F.xxhash64("doc"), F.lit(slots))).groupBy("hub", "edit", "slot")
+                 .agg(F.min(F.struct("over", "doc", "size", "at", "comp")).alias("x")).drop("slot"))
+        x = C.scratch(x, "near-taken")
+        if x.isEmpty():
+            return links
+        pairs = (x.join(group.where("is_y"), ["hub", "edit"]).where(F.col("x.comp") != F.col("comp")).where(_reach(per_cent))
+                  .select(F.least("x.doc", "doc").alias("a"), F.greatest("x.doc", "doc").alias("b")).distinct())
+        new = C.scratch(verified(C.scratch(pairs, "near-pairs"), sets, per_cent), "near-links")
+        taken = x.select("hub", "edit", "x.doc") if taken is None else taken.unionByName(x.select("hub", "edit", "x.doc"))
+        slots *= first
+        if not new.isEmpty():
+            links = links.unionByName(new)
+            group = placed(components(links))
 
 
 # ---- union-find --------------------------------------------------------------------
@@ -328,38 +372,45 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, per_cent: int = PER_CEN
     sigs = C.scratch(docs.mapInArrow(C.released(_signatures(width, slots, bands, rows)), _SIG_SCHEMA), "near-sigs")
 
     full = sigs.where("n_shingles > 0 and doc_id is not null")
-    classes = full.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    members = full.select("set_key", "doc_id").join(classes, "set_key").select("doc_id", "rep").distinct()
-    # equal rows of one id give the same bands; max_by takes any of them
-    by_class = full.groupBy("set_key").agg(F.min_by("bands", "doc_id").alias("bands"), F.min("doc_id").alias("rep"))
-    keys = by_class.select("rep", F.posexplode("bands").alias("band", "h"))
+    # a node per distinct set; its number is fixed by writing it
+    nodes = C.scratch(full.groupBy("set_key").agg(F.min_by("bands", "doc_id").alias("bands"), F.min("doc_id").alias("rep"))
+                          .withColumn("node", F.monotonically_increasing_id()), "near-nodes")
+    keys = nodes.select("node", F.posexplode("bands").alias("band", "h"))
+    nodes = nodes.drop("bands")
     sizes = keys.groupBy("band", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     buckets = C.scratch(keys.join(sizes, ["band", "h"]), "near-buckets")
-    mates = buckets.groupBy("rep").agg(F.sum("n").alias("mates"))
-    left = C.scratch(buckets.drop("n").join(mates, "rep"), "near-mates")
+    mates = buckets.groupBy("node").agg(F.sum("n").alias("mates"))
+    left = C.scratch(buckets.drop("n").join(mates, "node"), "near-mates")
 
     star = C.scratch(_hub_pairs(left), "near-star")
-    sets = sets_of(star, docs, width)
+    sets = sets_of(star, nodes, docs, width)
     links = C.scratch(verified(star, sets, per_cent), "near-links")
-    comp = components(links)
-    family = _open_families(star, comp)
-    pairs = C.scratch(edit_pairs(family, sets, comp, per_cent), "near-pairs")
-    links = links.unionByName(C.scratch(verified(pairs, sets, per_cent), "near-links"))
-
-    ids = members.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    comp = components(ids.unionByName(links))
-    # rows that repeat an id may differ in their text; the id has one component and the set of all its rows
+    family = _open_families(star, components(links))
+    links = across(C.scratch(edit_entries(family, sets, per_cent), "near-entries"), links, sets, per_cent)
+
+    members = full.select("set_key", "doc_id").join(nodes, "set_key").select("doc_id", "node", "rep").distinct()
+    members = C.scratch(members, "near-members")
+    # the texts of an id that has several are one document
+    several = members.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b")
+    same = members.join(several.select("doc_id", "a"), "doc_id").where("node <> a").select("a", F.col("node").alias("b"))
+    comp = C.scratch(components(links.unionByName(same)), "near-components")
+    comp = comp.unionByName(comp.select(F.col("component").alias("id"), "component").distinct())
+    lowest = (comp.join(nodes, F.col("id") == F.col("node")).groupBy("component").agg(F.min("rep").alias("low")))
+    lowest = comp.join(lowest, "component").select(F.col("id").alias("node"), "low")
+    moved = (members.join(lowest, "node", "left").select(F.col("doc_id").alias("id"), F.coalesce("low", "rep").alias("component"))
+                    .where("id <> component").distinct())
+    # rows that repeat an id may differ in their text; the id has one component
     return (sigs.select("doc_id", "n_shingles")
-                .join(comp, F.col("doc_id") == F.col("id"), "left")
+                .join(moved, F.col("doc_id") == F.col("id"), "left")
                 .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
                 .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))))
 
 
 def _hub_pairs(left: DataFrame) -> DataFrame:
     """(a, b): the hub a of a bucket with every other member b; linear in the bucket's rows."""
-    best = F.max(F.struct(F.col("mates"), (-F.col("rep")).alias("low")))
+    best = F.max(F.struct(F.col("mates"), (-F.col("node")).alias("low")))
     hubs = left.groupBy("band", "h").agg((-best["low"]).alias("a"))
-    return left.join(hubs, ["band", "h"]).where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
+    return left.join(hubs, ["band", "h"]).where("node <> a").select("a", F.col("node").alias("b")).distinct()
 
 
 def _open_families(star: DataFrame, comp: DataFrame) -> DataFrame:

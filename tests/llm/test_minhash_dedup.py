@@ -119,3 +119,33 @@ def test_stage_keeps_one_of_repeated_rows_and_null_ids(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = [(r.doc_id, r.text[0]) for r in X.drop_near_copies(spark, docs, "").collect()]
     assert sorted(got, key=str) == sorted([(4, "a"), (None, "b"), (7, "c"), (7, "d"), (None, "e")], key=str)
+
+
+def test_each_text_of_a_repeated_id_links(spark):
+    text = lambda k, n=60: " ".join(f"{k}{i}" for i in range(n))
+    rows = [(1, text("a")), (1, text("b")), (2, text("a") + " end"), (3, text("b") + " end"), (4, text("c")), (5, text("c")), (5, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in X.near_duplicates(df, 2, 80).collect())
+    assert got == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True), (5, 4, False), (5, 4, False)]
+
+
+def test_a_large_group_with_shared_edits_makes_few_pairs(spark, monkeypatch):
+    """Many texts share an edit against the hub, are not linked to it, and mostly not to each other."""
+    r = np.random.default_rng(9)
+    base = [f"w{i}" for i in range(100)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 301):
+        w = base[:60] + [f"p{j}" for j in range(6)] + base[60:]            # a passage they all share
+        for at in r.choice(len(w), 12 if i % 3 else 5, replace=False):
+            w[at] = f"e{i}_{at}"
+        rows.append((i, " ".join(w)))
+    made = []
+    verified = X.verified
+
+    def counted(pairs, sets, per_cent):
+        made.append(pairs.count())
+        return verified(pairs, sets, per_cent)
+    monkeypatch.setattr(X, "verified", counted)
+    check(spark, rows)
+    star, *rounds = made
+    assert rounds and sum(rounds) < 20 * len(rows) < 0.2 * len(rows) ** 2
