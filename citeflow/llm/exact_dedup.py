@@ -7,12 +7,14 @@
    Its state lives in RocksDB (on disk) and has no watermark, so nothing expires;
    for each digest it retains the smallest id with that row's locator and the
    number of copies. Map-side partial aggregation sends one row per digest and
-   task, however large a group of copies is. A later run over the same folders
-   (``state_dir``) reads only new feed files and goes on from the state.
+   task, however large a group of copies is. A later call with the same ``state_dir``
+   appends its rows to the feed there, reads only these and goes on from the state:
+   copies of documents of earlier calls are found without reading those again.
 3. Bytes. A digest seen more than once is a hit. The texts behind hits, pruned by
    a bitmap of fixed size, are grouped by (digest, whole text); a digest with
    more than one text is a collision, and its rows are then grouped by the whole
-   text itself. The group-by also collapses copies map-side.
+   text itself. The group-by also collapses copies map-side. Texts of earlier calls
+   are read from the files that the locators of their feed rows name.
 
 Rows: null text counts as empty; rows that repeat a doc_id and its text all get
 that document's result; a null doc_id never is the keeper of a group that has a
@@ -22,10 +24,12 @@ real id (if all are null, all stay). An empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Callable
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import read_or_none
 from . import common as C
 
 _STATE_CONF = {
@@ -33,7 +37,7 @@ _STATE_CONF = {
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "64",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",       # many small state partitions
     "spark.sql.streaming.stateStore.unloadOnCommit": "true",                # their native memory goes with the task
 }
@@ -78,21 +82,39 @@ def run_state(spark: SparkSession, feed_dir: str, state_dir: str) -> DataFrame:
                                   first["locator"].alias("locator"), n.alias("group_size")), "exact-state")
 
 
+def _files(rows: DataFrame) -> list[str]:
+    """The files that locators name (a row per file)."""
+    return sorted(unquote(r.locator) for r in rows.select("locator").distinct().collect())
+
+
 def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256,
                 state_dir: str | None = None, locator: str | None = None) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, locator (of the row kept), own (the row's).
 
     ``locator`` names a column that tells rows apart; by default it is the row's file.
+    With ``state_dir`` the groups go over all calls with that folder, which must be in a place that
+    all workers reach; the documents must be files, which stay where they are.
     """
     spark = docs.sparkSession
-    feed_dir = C.shared_path(spark, "exact-feed")
+    if state_dir and locator:
+        raise ValueError("with state_dir the locator is the row's file")
     hashed = _hashed(docs, digest, locator)
-    hashed.select("doc_id", "digest", "text_sha256", "locator").write.parquet(feed_dir)
-    feed = spark.read.schema(FEED_SCHEMA).parquet(feed_dir)
-    state = run_state(spark, feed_dir, state_dir or C.shared_path(spark, "exact-stream"))
+    feed = C.scratch(hashed.select("doc_id", "digest", "text_sha256", "locator"), "exact-rows")
+    feed_dir = f"{state_dir}/feed" if state_dir else C.shared_path(spark, "exact-feed")
+    earlier = read_or_none(spark, feed_dir, FEED_SCHEMA) if state_dir else None      # the files there now
+    if state_dir and not feed.where("locator = ''").isEmpty():
+        raise ValueError("with state_dir the documents must be read from files")
+    feed.write.mode("append").parquet(feed_dir)
+    state = run_state(spark, feed_dir, f"{state_dir}/stream" if state_dir else C.shared_path(spark, "exact-stream"))
 
     hits = C.bitmap(state.where("group_size > 1"), "digest")
-    at_hits = C.maybe_in(hashed, "digest", hits)
+    at_hits = C.maybe_in(hashed, "digest", hits).select("digest", "norm")
+    before = None
+    if earlier is not None:
+        met = C.scratch(earlier.join(feed.select("digest").distinct(), "digest", "left_semi"), "exact-met")
+        if files := _files(met):
+            before = _hashed(spark.read.parquet(*files), digest, None).join(met.select("digest").distinct(), "digest", "left_semi")
+            at_hits = at_hits.unionByName(before.select("digest", "norm"))
     collided = C.scratch(
         at_hits.groupBy("digest", "norm").agg(F.lit(1).alias("one"))
                .groupBy("digest").agg(F.count(F.lit(1)).alias("texts"))
@@ -102,7 +124,8 @@ def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256,
     out = feed.withColumnRenamed("locator", "own").join(state, "digest")
     if not collided.isEmpty():
         rows = hashed.join(collided, "digest", "left_semi")
-        by_text = rows.groupBy("digest", "norm").agg(
+        every = rows if before is None else rows.unionByName(before.join(collided, "digest", "left_semi"))
+        by_text = every.groupBy("digest", "norm").agg(
             F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "locator")).alias("first"),
             F.count(F.lit(1)).alias("group_size"))
         fixed = rows.withColumnRenamed("locator", "own").join(by_text, ["digest", "norm"]).select(

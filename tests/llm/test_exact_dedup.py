@@ -2,6 +2,7 @@ import hashlib
 import re
 
 import awkward
+import pytest
 from pyspark.sql import functions as F
 
 from citeflow.llm import exact_dedup as X
@@ -60,3 +61,22 @@ def test_stage_keeps_one_of_repeated_rows_and_null_ids(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
     got = [(r.doc_id, (r.text or "").split()) for r in X.drop_copies(spark, docs, "").collect()]
     assert sorted(got, key=str) == sorted([(3, ["a", "b"]), (5, ["c"]), (None, ["d"]), (6, ["e"]), (6, ["f"]), (None, [])], key=str)
+
+
+@pytest.mark.parametrize("weak", [False, True])
+def test_two_calls_on_one_state(spark, tmp_dir, weak):
+    """Groups go over both calls; with digests that collide, texts of the first call are compared, too."""
+    digest = (lambda c: F.substring(X.sha256(c), 1, 1)) if weak else X.sha256
+    first = [(5, "a b"), (6, "c"), (7, "d"), (7, "d"), *[(100 + i, f"text {i}") for i in range(40)]]
+    second = [(3, "a  b"), (9, "c"), (10, "e"), (None, "d"), (11, None), *[(200 + i, f"text {i // 2}") for i in range(40)]]
+    keep = ("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    seen = []
+    for k, rows in enumerate((first, second)):
+        path = f"{tmp_dir}/docs {k}"
+        spark.createDataFrame(rows, "doc_id long, text string").repartition(2).write.parquet(path)
+        got = X.exact_dedup(spark.read.parquet(path), digest=digest, state_dir=f"{tmp_dir}/state").select(*keep).collect()
+        seen += rows
+        sha = lambda text: hashlib.sha256(re.sub("[ ]+", " ", text or "").encode()).hexdigest()
+        own = {(r[0], sha(r[1])) for r in rows}
+        want = {w for w in brute(seen) if (w[0], w[4]) in own}
+        assert {tuple(g) for g in got} == want and len(got) == len(rows)
