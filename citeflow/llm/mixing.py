@@ -7,12 +7,14 @@
 * Queue. Every document enters its source's queue ``max_repeats`` times, pass by
   pass, in an order shuffled by a hash of its id. Its virtual finish time is the
   source's cumulative words divided by the source's target, so at time 1 every
-  source has been served its target. The copy on which a source reaches its target
-  is cut there (only its first words are taken) and so finishes at time 1.
+  source has been served its target. Documents are taken whole: the copy on which a
+  source reaches its target is in the mix if the source then ends nearer to its
+  target than without it (just when half of the copy lies before the target), so a
+  source misses its target by at most half of that document.
 * Schedule. The copies are range-sorted globally by finish time. Up to the total
-  budget, which is the sum of the targets, that order holds the copies that finish
-  by time 1 and no others, so the truncation is a comparison and needs no running
-  sum over all rows.
+  budget, which is the sum of the targets, that order holds the copies that end by
+  time 1, give or take the one of each source that time 1 falls into, so the
+  truncation is a comparison per copy and needs no running sum over all rows.
 
 Cumulative words are prefix sums in two levels (hash ranges of a source, then rows
 of a range), so a source with a third of all rows is spread over BUCKETS windows.
@@ -69,11 +71,11 @@ def targets(sizes: DataFrame, weights=WEIGHTS, budget: float = BUDGET, max_repea
          .otherwise(F.least(cap.cast("double"), F.col("water") * F.col("weight"))).alias("target"))
 
 
-def _keyed(docs: DataFrame, seed: str) -> DataFrame:
-    """``doc`` (the row as it is) and what the queue needs of it."""
+def _keyed(docs: DataFrame, seed: str, keep: list[str]) -> DataFrame:
+    """``doc`` (the columns to keep) and what the queue needs of a row."""
     at = lambda c, t: F.col(f"`{c}`").cast(t) if c in docs.columns else F.lit(None).cast(t)
     turn = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(at("doc_id", "string"), F.lit(""))).cast("binary"))
-    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"),
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("doc"),
                     at("doc_id", "long").alias("doc_id"), at("source", "string").alias("source"),
                     n_words(at("text", "string")).alias("size"), turn.alias("turn"))
     # a key that is never null, so that windows and joins share one partitioning
@@ -82,11 +84,11 @@ def _keyed(docs: DataFrame, seed: str) -> DataFrame:
 
 
 def queued(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, max_repeats: int = MAX_REPEATS,
-           seed: str = SEED) -> DataFrame:
-    """One row per document with its place in its source's queue: doc (struct of its columns), doc_id,
-    source, size, turn, start (words ahead of it in one pass), source_size, target."""
+           seed: str = SEED, keep: list[str] | None = None) -> DataFrame:
+    """One row per document with its place in its source's queue: doc (struct of its columns, or those in
+    ``keep``), doc_id, source, size, turn, start (words ahead of it in one pass), source_size, target."""
     C.ensure_checkpoint_dir(docs.sparkSession)
-    rows = _keyed(docs, seed)
+    rows = _keyed(docs, seed, docs.columns if keep is None else keep)
     part = rows.groupBy("queue", "source", "bucket").agg(F.sum("size").alias("words"))
     part = C.scratch(part, "mix-parts")
     goal = targets(part.groupBy("queue", "source").agg(F.sum("words").alias("source_size")),
@@ -103,9 +105,9 @@ def queued(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, max_repeats
 
 
 def _words(n: int):
-    """Words taken of the copy of pass ``n``."""
+    """Words taken of the copy of pass ``n``: all, or none."""
     begin = F.col("start") + F.lit(n) * F.col("source_size")
-    return F.greatest(F.lit(0), F.least(F.col("size"), F.floor("target") - begin)).cast("long")
+    return F.when(2 * begin + F.col("size") <= 2 * F.floor("target"), F.col("size")).otherwise(F.lit(0)).cast("long")
 
 
 def schedule(q: DataFrame, max_repeats: int = MAX_REPEATS) -> DataFrame:
@@ -113,28 +115,31 @@ def schedule(q: DataFrame, max_repeats: int = MAX_REPEATS) -> DataFrame:
     passes = F.array(*[F.struct(F.lit(n).alias("pass"), _words(n).alias("words")) for n in range(max_repeats)])
     c = q.withColumn("copy", F.explode(passes)).select("*", "copy.pass", "copy.words").drop("copy").where("words > 0")
     served = F.col("start") + F.col("pass") * F.col("source_size") + F.col("words")
-    return (c.withColumn("finish", served / F.floor("target")).where("finish <= 1")
-             .orderBy("finish", "turn", "pass", "doc_id"))
+    return c.withColumn("finish", served / F.floor("target")).orderBy("finish", "turn", "pass", "doc_id")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the mix in schedule order, with the columns of ``docs``.
 
-    A document taken twice is two rows. The copy on which its source reaches the
-    target keeps its first words only; documents without words are in no mix.
+    A document taken twice is two rows; documents without words are in no mix.
     """
     c = schedule(queued(docs))
-    head = F.array_join(F.slice(F.regexp_extract_all("doc.text", F.lit(C.SPACE + "*" + C.WORD), 0),
-                                F.lit(1), F.col("words").cast("int")), "")
-    text = F.when(F.col("words") < F.col("size"), head).otherwise(F.col("doc.text"))
-    return c.select(*[(text if x == "text" else F.col(f"doc.`{x}`")).alias(x) for x in docs.columns])
+    return c.select(*[F.col(f"doc.`{x}`").alias(x) for x in docs.columns])
+
+
+def taken(docs: DataFrame) -> DataFrame:
+    """One row per document, from the schedule: doc_id, size, source_size, target, taken, finish (of its last copy)."""
+    row, = C.unused(docs.columns, "row")
+    q = queued(C.numbered(docs, row), keep=[row]).withColumn("row", F.col(f"doc.`{row}`")).drop("doc")
+    q = C.scratch(q, "mix-queue")
+    mix = C.scratch(schedule(q).select("row", "words", "finish"), "mix-schedule")
+    copies = mix.groupBy("row").agg(F.sum("words").alias("taken"), F.max("finish").alias("finish"))
+    return q.join(copies, "row", "left").select("doc_id", "size", "source_size", "target",
+                                                F.coalesce("taken", F.lit(0)).alias("taken"), "finish")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = C.documents(spark, sf_dir)
-    q = queued(docs.select("doc_id", "source", "text"))
-    taken = sum((_words(n) for n in range(1, MAX_REPEATS)), _words(0))
-    return q.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+    return taken(C.documents(spark, sf_dir)).drop("finish")
 
 
 QUERIES = {"op4_mixing": op4_mixing}
@@ -166,5 +171,6 @@ q AS (
                                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begin
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
-       CAST(greatest(0, least(size, floor(target) - begin)) + greatest(0, least(size, floor(target) - begin - source_size)) AS BIGINT) AS taken
+       CAST(CASE WHEN 2 * begin + size <= 2 * floor(target) THEN size ELSE 0 END
+            + CASE WHEN 2 * (begin + source_size) + size <= 2 * floor(target) THEN size ELSE 0 END AS BIGINT) AS taken
 FROM q"""}

@@ -13,8 +13,7 @@ def oracle(docs):
 
 
 def result(docs):
-    q = X.queued(docs)
-    return [tuple(r) for r in q.select("doc_id", "size", "source_size", "target", (X._words(0) + X._words(1)).alias("taken")).collect()]
+    return [tuple(r) for r in X.taken(docs).drop("finish").collect()]
 
 
 def test_awkward_rows_match_sql(spark):
@@ -26,10 +25,12 @@ def test_reruns_agree_and_targets_are_met(spark):
     docs = awkward.documents(spark)
     a, b = result(docs), result(docs.repartition(5))
     assert sorted(a, key=str) == sorted(b, key=str)
-    got = X.queued(docs).withColumn("taken", X._words(0) + X._words(1)).groupBy("source").agg(
-        F.sum("taken").alias("taken"), F.max("target").alias("target"), F.max("source_size").alias("size")).collect()
+    q = X.queued(docs).withColumn("taken", X._words(0) + X._words(1))
+    got = q.groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target"), F.max("source_size").alias("size"),
+                                  F.max("size").alias("longest")).collect()
     for r in got:
-        assert abs(r.taken - r.target) <= 1 and r.target <= 2 * r["size"]
+        assert abs(r.taken - r.target) <= r.longest / 2 + 1 and r.target <= 2 * r["size"]
+    assert all(r.taken in (0, r["size"], 2 * r["size"]) for r in q.collect())
     total = sum(r["size"] for r in got)
     assert abs(sum(r.target for r in got) - min(1.5 * total, sum(2 * r["size"] for r in got))) < 1e-6 * total + 1
 
@@ -40,6 +41,8 @@ def test_stage_takes_the_scheduled_words(spark):
     assert out.schema.names == docs.schema.names
     want = sum(r[4] for r in result(docs))
     assert out.select(F.sum(X.n_words(F.col("text")))).first()[0] == want
+    whole = {r.text for r in docs.collect()}
+    assert all(r.text in whole for r in out.collect())
 
 
 def test_empty_table(spark):
@@ -52,3 +55,5 @@ def test_one_source_and_no_words(spark):
     assert sorted(result(docs)) == [(1, 0, 0, 0.0, 0), (2, 0, 0, 0.0, 0)]
     docs = spark.createDataFrame([(i, "a b c", "s") for i in range(10)], "doc_id long, text string, source string")
     assert sum(r[4] for r in result(docs)) == 45
+    mix = X.schedule(X.queued(docs)).collect()
+    assert [r.finish for r in mix] == sorted(r.finish for r in mix) and mix[-1].finish == 1.0
