@@ -127,7 +127,7 @@ def rank_block(metric: str, qids, q: np.ndarray, cids, c: np.ndarray, k: int, ex
     return tuple(np.concatenate(p) for p in zip(*out))
 
 
-def _top_k(scored: DataFrame, k: int, metric: str) -> DataFrame:
+def top_k(scored: DataFrame, k: int, metric: str) -> DataFrame:
     s = F.col("score").asc() if V.ASCENDING[metric] else F.col("score").desc()
     w = Window.partitionBy("qid").orderBy(s, F.col("cid").asc())
     return (scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
@@ -159,7 +159,7 @@ def _small_queries(queries: DataFrame, corpus: DataFrame, k: int, metric: str, e
             got = rank_block(metric, qids, q, b.column(0).to_numpy(), _stack(b.column(1)), k, exclude_self)
             best = _best(*(np.concatenate(p) for p in zip(best, got)), k, metric)
         yield _hits(*best)
-    return _top_k(corpus.select("cid", "vec").mapInArrow(run, _HITS), k, metric)
+    return top_k(corpus.select("cid", "vec").mapInArrow(run, _HITS), k, metric)
 
 
 def _small_corpus(queries: DataFrame, corpus: DataFrame, k: int, metric: str, exclude_self: bool) -> DataFrame:
@@ -184,23 +184,28 @@ def _small_corpus(queries: DataFrame, corpus: DataFrame, k: int, metric: str, ex
 
 
 # ---- both sides large: blocks -----------------------------------------------
-def _block_join(q: DataFrame, c: DataFrame, k: int, metric: str, exclude_self: bool, block: int) -> DataFrame:
+def block_join(q: DataFrame, c: DataFrame, k: int, metric: str, exclude_self: bool, block: int = BLOCK,
+               keep=None) -> DataFrame:
     """(qid, cid, score) of ``q(qid, vec, cell)`` against ``c(cid, vec, cell)`` of the same cell.
 
     Both sides of a cell are split into blocks of about ``block`` rows; a group
-    is one pair of blocks and emits at most k rows per query.
+    is one pair of blocks and emits at most k rows per query. ``keep(queries, rows)``
+    says which rows of a block may matter to its queries (frames with all columns given).
     """
+    q_more, c_more = ([x for x in df.columns if x not in ("qid", "cid", "vec", "cell")] for df in (q, c))
     blocks = lambda df, n: df.groupBy("cell").agg(
         F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias(n))
     sizes = blocks(q, "qn").join(blocks(c, "cn"), "cell")
     deal = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     qs = (q.join(sizes, "cell").withColumn("qb", deal("qid", "qn")).withColumn("cb", every("cn"))
-           .select(F.col("cell").alias("qcell"), "qb", "cb", "qid", F.col("vec").alias("qvec")))
+           .select(F.col("cell").alias("qcell"), "qb", "cb", "qid", F.col("vec").alias("qvec"), *q_more))
     cs = (c.join(sizes, "cell").withColumn("cb", deal("cid", "cn")).withColumn("qb", every("qn"))
-           .select("cell", "qb", "cb", "cid", "vec"))
+           .select("cell", "qb", "cb", "cid", "vec", *c_more))
 
     def best(qdf: pd.DataFrame, cdf: pd.DataFrame) -> pd.DataFrame:
+        if keep is not None and len(qdf) and len(cdf):
+            cdf = cdf[keep(qdf, cdf)]
         got = rank_block(metric, qdf["qid"].to_numpy(np.int64), _stack(qdf["qvec"].values),
                          cdf["cid"].to_numpy(np.int64), _stack(cdf["vec"].values), k, exclude_self)
         return pd.DataFrame(dict(zip(("qid", "cid", "score"), got)))
@@ -277,7 +282,7 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "l2", exclu
         index = cells or train_cells(c, metric, n_cells)
         q = q.withColumn("cell", F.explode(index.nearest(nprobe)("vec")))
         c = c.withColumn("cell", F.explode(index.nearest(1)("vec")))
-    return _top_k(_block_join(q, c, k, metric, exclude_self, block), k, metric)
+    return top_k(block_join(q, c, k, metric, exclude_self, block), k, metric)
 
 
 def knn_lsh(queries: DataFrame, corpus: DataFrame, k: int, num_tables: int = 12, bits: int = 7,
@@ -302,5 +307,5 @@ def knn_lsh(queries: DataFrame, corpus: DataFrame, k: int, num_tables: int = 12,
 
     q = queries.select("qid", "vec").where("vec is not null").withColumn("cell", F.explode(buckets("vec")))
     c = corpus.select("cid", "vec").where("vec is not null").withColumn("cell", F.explode(buckets("vec")))
-    hits = _block_join(q, c, k, "cosine", exclude_self, block).groupBy("qid", "cid").agg(F.first("score").alias("score"))
-    return _top_k(hits, k, "cosine")
+    hits = block_join(q, c, k, "cosine", exclude_self, block).groupBy("qid", "cid").agg(F.first("score").alias("score"))
+    return top_k(hits, k, "cosine")

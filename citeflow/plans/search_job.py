@@ -20,6 +20,7 @@ from ..functions import vector as V
 from ..operators import incremental as INC
 from ..operators.embed import HashingEmbedder
 from ..operators import knn as K
+from ..operators.cell_store import CellStore
 from ..session import scratch_path
 from ..sources.papers import existing_ids, last_wins
 
@@ -118,6 +119,39 @@ def q_knn_ivf(spark, sf):
     return _out(hits)
 
 
+def vector_store(spark, sf: str) -> CellStore:
+    """The stored cell index over the dated vectors, with the fixed cells: built from the vectors older
+    than the search span, the newer ones appended (twice: the second time adds nothing)."""
+    fx = Fixtures(spark, sf)
+    since = _since(fx.as_of, C.SEARCH_SPAN_DAYS)
+    rows = fx.vec().select(F.col("pid").alias("cid"), F.col("embedding").alias("vec"), "ts")
+    store = CellStore(spark, scratch_path(spark, "cell-index"))
+    store.build(rows.where(F.col("ts") < since), "l2", cells=fx.centroid())
+    for _ in range(2):
+        store.append(rows.where(F.col("ts") >= since))
+    return store
+
+
+def q_cell_index_lists(spark, sf):
+    """V2/K4: the inverted lists after a build, an append and its replay."""
+    return vector_store(spark, sf).lists().select(F.col("cid").alias("pid"), "cell", "ts", F.round("far", R).alias("far"))
+
+
+def q_cell_index_search(spark, sf):
+    """Topics against the stored index, vectors of the last 365 days in the 10 nearest cells."""
+    fx = Fixtures(spark, sf)
+    recent = F.col("ts") >= _since(fx.as_of, C.SEARCH_SPAN_DAYS)
+    return _out(vector_store(spark, sf).search(topics(fx), C.SEARCH_TOPK, C.SEARCH_NPROBE, where=recent, small="queries"))
+
+
+def q_knn_pruned(spark, sf):
+    """Every vector's 10 nearest others by L2, exact, from an index with trained cells and their radii."""
+    fx = Fixtures(spark, sf)
+    store = CellStore(spark, scratch_path(spark, "cell-index"))
+    store.build(corpus(fx), "l2")
+    return _out(store.search_exact(corpus(fx).withColumnRenamed("cid", "qid"), C.SEARCH_TOPK, exclude_self=True))
+
+
 def q_knn_lsh(spark, sf):
     """V3: approximate cosine neighbours by random-projection buckets."""
     fx = Fixtures(spark, sf)
@@ -185,6 +219,9 @@ QUERIES = {
     "knn_mapped": q_knn_mapped,
     "topic_search": q_topic_search,
     "knn_ivf": q_knn_ivf,
+    "cell_index_lists": q_cell_index_lists,
+    "cell_index_search": q_cell_index_search,
+    "knn_pruned": q_knn_pruned,
     "knn_lsh": q_knn_lsh,
     "vec_normalise": q_vec_normalise,
     "vec_concat": q_vec_concat,
@@ -257,6 +294,20 @@ ORACLE = {
                 FROM probe p JOIN assign a ON a.c = p.c
                 JOIN vec t ON t.pid = p.q JOIN vec c ON c.pid = a.pid))
         WHERE rank <= 10""",
+    "cell_index_lists": f"""
+        SELECT a.pid, a.c AS cell, v.ts, ROUND(sqrt({l2sql('v.embedding', 'cc.embedding')}), 9) AS far
+        FROM assign a JOIN vec v ON v.pid = a.pid JOIN probe_cell cc ON cc.c = a.c""",
+    "cell_index_search": f"""
+        WITH pr AS (
+          SELECT q, c, embedding FROM (
+            SELECT t.q, cc.c, t.embedding,
+                   row_number() OVER (PARTITION BY t.q ORDER BY {l2sql('t.embedding', 'cc.embedding')}, cc.c) AS r
+            FROM topic t JOIN probe_cell cc ON TRUE) WHERE r <= 10)
+        SELECT q, pid, ROUND(score, 9) AS score, rank FROM (
+          SELECT q, pid, score, row_number() OVER (PARTITION BY q ORDER BY score, pid) AS rank
+          FROM (SELECT t.q, a.pid, {l2sql('t.embedding', 'c.embedding')} AS score
+                FROM pr t JOIN assign a ON a.c = t.c JOIN vec c ON c.pid = a.pid AND {_RECENT}))
+        WHERE rank <= 10""",
     "vec_normalise": f"SELECT vec_id, list_transform({_nrm('embedding')}, lambda x: ROUND(x, 9)) AS vec FROM embeddings",
     "vec_concat": """
         SELECT e.vec_id, list_transform(list_concat(CAST(e.embedding AS DOUBLE[]), CAST(s.embedding AS DOUBLE[])),
@@ -273,3 +324,4 @@ ORACLE = {
           SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_shipdate DESC, l_quantity DESC, l_returnflag DESC) AS r FROM lineitem)
         WHERE r = 1 AND l_orderkey NOT IN (SELECT pid FROM vec WHERE pid > 0)""",
 }
+ORACLE["knn_pruned"] = ORACLE["knn_multi"]
