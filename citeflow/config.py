@@ -35,6 +35,7 @@ SEARCH_SPAN_DAYS = 365
 
 # --- fixed values: search and labelling -------------------------------------
 SEARCH_TOPK = 10
+DATA_KINDS = ("paper", "topic", "report")    # of recommended data
 SEARCH_NPROBE = 10
 LABEL_TOPK = 2
 

@@ -193,3 +193,13 @@ class Fixtures:
         li = self.table("lineitem").select(F.col("l_orderkey").alias("k"),
                                            F.col("l_partkey").alias("item"))
         return o.join(li, "k").select("user_id", "item").distinct()
+
+    def clicks(self) -> DataFrame:
+        """clicks(user_id, kind, item): ordered parts as papers, their sizes as topics, suppliers as reports."""
+        o = self.table("orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("user_id"))
+        li = self.table("lineitem").select(F.col("l_orderkey").alias("k"), "l_partkey", "l_suppkey")
+        size = self.table("part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_size").cast("bigint").alias("size"))
+        item = lambda kind, c: F.struct(F.lit(kind).alias("kind"), F.col(c).cast("bigint").alias("item"))
+        kinds = F.array(item("paper", "l_partkey"), item("topic", "size"), item("report", "l_suppkey"))
+        return (o.join(li, "k").join(size, "l_partkey").select("user_id", F.explode(kinds).alias("x"))
+                 .select("user_id", "x.kind", "x.item").distinct())

@@ -222,6 +222,15 @@ def q_cf_topk(spark, sf):
     return t.select("i", "j", F.round("score", 9).alias("score"), "rk")
 
 
+def q_cf_topk_kinds(spark, sf):
+    """Five most related items of every paper, topic and report, each from its own kind."""
+    clicks = Fixtures(spark, sf).clicks()
+    path = scratch_path(spark, "clicks")
+    clicks.write.partitionBy("kind").parquet(path)          # a kind reads its own folder
+    t = cf.item_topk_by_kind(spark.read.parquet(path), k=5)
+    return t.select("kind", "i", "j", F.round("score", 9).alias("score"), "rk")
+
+
 QUERIES = {
     "scan_papers": q_scan_papers,
     "scan_corrupt_split": q_scan_corrupt_split,
@@ -239,8 +248,22 @@ QUERIES = {
     "vector_reload": q_vector_reload,
     "model_save_load": q_model_save_load,
     "cf_topk": q_cf_topk,
+    "cf_topk_kinds": q_cf_topk_kinds,
 }
 
+_CF = """
+        WITH ui AS ({ui}),
+        du AS (SELECT kind, user_id, COUNT(*) AS du FROM ui GROUP BY ALL),
+        di AS (SELECT kind, item, COUNT(*) AS di FROM ui GROUP BY ALL),
+        pr AS (SELECT a.kind, a.item AS i, b.item AS j, SUM(CAST(1.0 AS DOUBLE) / d.du) AS co
+               FROM ui a JOIN ui b ON a.kind = b.kind AND a.user_id = b.user_id AND a.item <> b.item
+               JOIN du d ON d.kind = a.kind AND d.user_id = a.user_id GROUP BY ALL),
+        sc AS (SELECT pr.kind, pr.i, pr.j, pr.co / sqrt(x.di * y.di) AS score
+               FROM pr JOIN di x ON x.kind = pr.kind AND x.item = pr.i JOIN di y ON y.kind = pr.kind AND y.item = pr.j)
+        SELECT {kind}i, j, ROUND(score, 9) AS score, rk FROM (
+          SELECT *, row_number() OVER (PARTITION BY kind, i ORDER BY score DESC, j) AS rk FROM sc)
+        WHERE rk <= 5"""
+
 ORACLE = {
     "scan_limit": """
         SELECT id_of_mysql, _id, ts FROM (
@@ -293,17 +316,10 @@ ORACLE = {
         w AS (SELECT tf.doc_id, tf.term, tf.tf * v.idf AS w FROM tf JOIN v ON v.term = tf.term WHERE tf.source = 'src1')
         SELECT doc_id, term, ROUND(w / sqrt(SUM(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM w""",
     "vector_reload": "SELECT vec_id AS pid, embedding FROM embeddings",
-    "cf_topk": """
-        WITH ui AS (SELECT DISTINCT o.o_custkey AS user_id, l.l_partkey AS item
-                    FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey),
-        du AS (SELECT user_id, COUNT(*) AS du FROM ui GROUP BY user_id),
-        di AS (SELECT item, COUNT(*) AS di FROM ui GROUP BY item),
-        pr AS (SELECT a.item AS i, b.item AS j, SUM(CAST(1.0 AS DOUBLE) / d.du) AS co
-               FROM ui a JOIN ui b ON a.user_id = b.user_id AND a.item <> b.item
-               JOIN du d ON d.user_id = a.user_id GROUP BY 1, 2),
-        sc AS (SELECT pr.i, pr.j, pr.co / sqrt(x.di * y.di) AS score
-               FROM pr JOIN di x ON x.item = pr.i JOIN di y ON y.item = pr.j)
-        SELECT i, j, ROUND(score, 9) AS score, rk FROM (
-          SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, j) AS rk FROM sc)
-        WHERE rk <= 5""",
+    "cf_topk": _CF.format(kind="", ui="SELECT DISTINCT '' AS kind, o.o_custkey AS user_id, l.l_partkey AS item "
+                               "FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey"),
+    "cf_topk_kinds": _CF.format(kind="kind, ", ui="""
+        SELECT DISTINCT o.o_custkey AS user_id, unnest(['paper', 'topic', 'report']) AS kind,
+               unnest([l.l_partkey, p.p_size, l.l_suppkey]) AS item
+        FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey JOIN part p ON p.p_partkey = l.l_partkey"""),
 }

@@ -65,3 +65,25 @@ def test_many_ties_keep_the_smallest_ids(spark):
     for r in got:
         by.setdefault(r.f, []).append((r.rk, r.t))
     assert [t for _, t in sorted(by[0])] == [1, 2, 3] and [t for _, t in sorted(by[200])] == [0, 1, 2] and len(by) == 300
+
+
+def test_blocks_meet_only_where_they_share_a_group(spark):
+    """Large groups without common members: the rows are members x k, whatever the number of blocks."""
+    data = [(g, 1000 * g + m) for g in range(30) for m in range(60)]
+    a = spark.createDataFrame(data, "paper_id long, author_id long")
+    m = a.select(F.col("paper_id").alias("g"), F.col("author_id").alias("m"))
+    from citeflow.operators import pairs as P
+    got = P.pair_topk(m, 3, hot=10, block=16)
+    assert got.count() == 3 * len(data)
+    assert {(r.a // 1000) == (r.b // 1000) for r in got.collect()} == {True}
+
+
+@pytest.mark.parametrize("block", [4, 64])
+def test_light_and_hot_weights_add_up(spark, block):
+    """Members that share small and large groups, in few and many blocks."""
+    data = [(0, m) for m in range(50)] + [(1, m) for m in range(25, 60)] + [(g, m) for g in range(2, 40) for m in (g % 7, g % 11 + 20, g)]
+    m = spark.createDataFrame(data, "g long, m long").distinct()
+    from citeflow.operators import pairs as P
+    cols = ["a", "b", "W", "score", "rk"]
+    want = rows(P.pair_topk(m, 6, "inverse_size", True, hot=10**9), cols)
+    assert rows(P.pair_topk(m, 6, "inverse_size", True, hot=8, block=block), cols) == want
