@@ -20,6 +20,7 @@ from ..functions import vector as V
 from ..operators import incremental as INC
 from ..operators.embed import HashingEmbedder
 from ..operators import knn as K
+from ..operators import knn_graph as G
 from ..operators.cell_store import CellStore
 from ..session import scratch_path
 from ..sources.papers import existing_ids, last_wins
@@ -159,6 +160,40 @@ def q_knn_lsh(spark, sf):
     return _out(K.knn_lsh(c.withColumnRenamed("cid", "qid"), c, C.SEARCH_TOPK, exclude_self=True))
 
 
+def q_knn_graph(spark, sf):
+    """V3: every vector's 10 nearest others by cosine, from the neighbour graph."""
+    return _out(G.neighbours(G.build(corpus(Fixtures(spark, sf))), C.SEARCH_TOPK))
+
+
+def q_knn_graph_topics(spark, sf):
+    """Topics, which the graph doesn't hold as queries, by beam search."""
+    fx = Fixtures(spark, sf)
+    return _out(G.search(G.build(corpus(fx)), topics(fx), C.SEARCH_TOPK))
+
+
+def q_knn_graph_recall(spark, sf):
+    """V3: recall@10 of the graph, the beam search and the sign buckets against the exact search, and for the
+    graph the pairs scored for each vector (the exact search scores as many as there are vectors)."""
+    fx = Fixtures(spark, sf)
+    c = corpus(fx)
+    graph = G.build(c)
+    own = c.withColumnRenamed("cid", "qid")
+    exact = K.knn(own, c, C.SEARCH_TOPK, metric="cosine", exclude_self=True)
+    exact_topics = K.knn(topics(fx), c, C.SEARCH_TOPK, metric="cosine", small="queries")
+    work = F.lit(round(graph.scored / max(1, graph.rows), 1))
+    parts = [("graph", G.neighbours(graph, C.SEARCH_TOPK), exact, work),
+             ("beam", G.search(graph, topics(fx), C.SEARCH_TOPK), exact_topics, F.lit(None).cast("double")),
+             ("sign buckets", K.knn_lsh(own, c, C.SEARCH_TOPK, exclude_self=True), exact, F.lit(None).cast("double"))]
+    out = None
+    for name, hits, truth, pairs in parts:
+        found = truth.select("qid", "cid").join(hits.select("qid", "cid", F.lit(1).alias("hit")), ["qid", "cid"], "left")
+        row = found.agg(F.count(F.lit(1)).alias("wanted"), F.count("hit").alias("found")).select(
+            F.lit(name).alias("method"), "wanted", F.round(F.col("found") / F.col("wanted"), 4).alias("recall"),
+            pairs.alias("pairs_per_row"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def q_vec_normalise(spark, sf):
     e = Fixtures(spark, sf).table("embeddings")
     return e.select("vec_id", F.transform(V.normalize("embedding"), lambda x: F.round(x, R)).alias("vec"))
@@ -223,6 +258,9 @@ QUERIES = {
     "cell_index_search": q_cell_index_search,
     "knn_pruned": q_knn_pruned,
     "knn_lsh": q_knn_lsh,
+    "knn_graph": q_knn_graph,
+    "knn_graph_topics": q_knn_graph_topics,
+    "knn_graph_recall": q_knn_graph_recall,
     "vec_normalise": q_vec_normalise,
     "vec_concat": q_vec_concat,
     "vector_index": q_vector_index,
