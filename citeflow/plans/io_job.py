@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config as C
@@ -16,6 +16,7 @@ from ..operators import cf, incremental as INC
 from ..operators import tfidf as TF
 from ..operators.embed import HashingEmbedder
 from ..session import mark_ready, reusable_path, scratch_path
+from ..sinks import files as FS
 from ..sinks.nested import write_recall_json
 from ..sources import papers as SP
 from . import label_job, recall_job, search_job, text_job
@@ -117,19 +118,38 @@ def q_retention_plan(spark, sf):
     return days.select("day", T.day_tag("day").alias("tag"), keep.alias("keep"))
 
 
+def q_retention_apply(spark, sf):
+    """K7: an output folder for each of the last ten order days, the old ones deleted; what is left."""
+    fx = Fixtures(spark, sf)
+    root = scratch_path(spark, "dated-outputs")
+    day = F.to_date("o_orderdate")
+    orders = fx.table("orders").where((day > F.date_sub(F.lit(C.AS_OF), 10)) & (day <= F.lit(C.AS_OF)))
+    # one write for all days: the folder of a day is its tag
+    staged = f"{root}-staged"
+    orders.select("o_orderkey", T.day_tag(day).alias("tag")).write.partitionBy("tag").parquet(staged)
+    for name in FS.names(spark, staged):
+        if name.startswith("tag="):
+            spark.read.parquet(f"{staged}/{name}").write.parquet(f"{root}/{name.removeprefix('tag=')}")
+    spark.range(1).write.parquet(f"{root}/models")          # not dated: none of its business
+    FS.apply_retention(spark, root, C.AS_OF, C.RETENTION_DAYS)
+    left = [n for n in FS.names(spark, root) if not n.startswith(".")]
+    return spark.createDataFrame([(n,) for n in left], "name string")
+
+
 def q_run_counters(spark, sf):
-    """One summary row of the run counters (read, new, labelled, active)."""
+    """One summary row of the run counters (read, new, labelled, active), observed while the jobs write
+    their results: each job runs once."""
     fx = Fixtures(spark, sf)
-    parts = [("papers_read", fx.table("documents")),
-             ("papers_new", search_job.q_incremental_new(spark, sf)),
-             ("papers_labelled", label_job.strong_match(spark, sf)),
-             ("users_active", fx.active())]
-    counts = None
-    for name, df in parts:
-        c = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n")
-        counts = c if counts is None else counts.unionByName(c)
-    # four one-row counts folded into one row (a global aggregate, no join)
-    return counts.agg(*[F.max(F.when(F.col("name") == n, F.col("n"))).alias(n) for n, _ in parts])
+    jobs = [("papers_read", fx.table("documents").select("doc_id")),
+            ("papers_new", search_job.q_incremental_new(spark, sf)),
+            ("papers_labelled", label_job.strong_match(spark, sf)),
+            ("users_active", fx.active())]
+    counts = {}
+    for name, job in jobs:
+        seen = Observation(name)
+        job.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(scratch_path(spark, f"run-{name}"))
+        counts[name] = seen.get["n"]
+    return spark.createDataFrame([tuple(counts.values())], ", ".join(f"{n} long" for n in counts))
 
 
 def encode_papers(fx: Fixtures) -> DataFrame:
@@ -239,6 +259,7 @@ QUERIES = {
     "topic_fallback": q_topic_fallback,
     "recall_json": q_recall_json,
     "retention_plan": q_retention_plan,
+    "retention_apply": q_retention_apply,
     "run_counters": q_run_counters,
     "encode_papers": q_encode_papers,
     "mixed_vectors": q_mixed_vectors,
@@ -293,6 +314,9 @@ ORACLE = {
         SELECT day, strftime(day, '%Y_%m_%d') AS tag, day > DATE '2001-08-01' - 3 AS keep FROM (
           SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders
           WHERE CAST(o_orderdate AS DATE) > DATE '2001-08-01' - 7)""",
+    "retention_apply": """
+        SELECT strftime(day, '%Y_%m_%d') AS name FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders)
+        WHERE day > DATE '2001-08-01' - 3 AND day <= DATE '2001-08-01' UNION ALL SELECT 'models'""",
     "run_counters": """
         SELECT (SELECT COUNT(*) FROM documents) AS papers_read,
                (SELECT COUNT(*) FROM (

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from ..fixtures import Fixtures
 from ..operators.incremental import append_vectors
 from ..session import scratch_path
-from ..sinks.label_store import init_store, read_store
+from ..sinks.label_store import compact, init_store, read_store, vacuum
 from ..sources import vocab as VS
-from ..streaming.incremental import run_incremental
+from ..streaming.incremental import read_quarantine, run_incremental
 from ..streaming.labels import run_label_stream
 from . import io_job, label_job, search_job
 
@@ -43,6 +43,15 @@ def q_stream_incremental(spark: SparkSession, sf: str):
     return spark.read.parquet(table).select("pid", "ts", "model")
 
 
+def q_stream_quarantine(spark: SparkSession, sf: str):
+    """The paper files with the torn one as a stream, run twice: each bad line is quarantined once."""
+    root = io_job.paper_files(spark, sf)
+    at = scratch_path(spark, "quarantine")
+    for _ in range(2):
+        run_incremental(spark, f"{root}/*", f"{at}/table", f"{at}/ckpt", quarantine=f"{at}/bad")
+    return read_quarantine(spark, f"{at}/bad").select("_corrupt_record")
+
+
 def _label_stream(spark, sf, dirs, max_files):
     fx = Fixtures(spark, sf)
     root = label_job.label_inputs(spark, sf)
@@ -51,21 +60,25 @@ def _label_stream(spark, sf, dirs, max_files):
     vocab = VS.read_vocab(spark, f"{root}/vocab")
     run_label_stream(spark, [f"{root}/{d}" for d in dirs], label_job._papers(fx), vocab, store,
                      scratch_path(spark, "label-ckpt"), label_job.run_ts(), 16, max_files)
-    return read_store(spark, store).drop("bucket")
+    return store
 
 
 def q_stream_labels(spark, sf):
     """Newly arrived latest and scholar pool files labelled into the store."""
-    return _label_stream(spark, sf, ["latest", "scholar"], COLD_START_FILES)
+    return read_store(spark, _label_stream(spark, sf, ["latest", "scholar"], COLD_START_FILES)).drop("bucket")
 
 
 def q_label_cold_start(spark, sf):
-    """Every pool file of the history, in file batches, upserted into the store."""
-    return _label_stream(spark, sf, ["latest", "scholar", "high"], COLD_START_FILES)
+    """Every pool file of the history, in file batches, upserted into the store, which is then compacted."""
+    store = _label_stream(spark, sf, ["latest", "scholar", "high"], COLD_START_FILES)
+    compact(spark, store)
+    vacuum(spark, store)
+    return read_store(spark, store).drop("bucket")
 
 
 QUERIES = {
     "stream_incremental": q_stream_incremental,
+    "stream_quarantine": q_stream_quarantine,
     "stream_labels": q_stream_labels,
     "label_cold_start": q_label_cold_start,
 }

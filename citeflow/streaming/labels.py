@@ -4,12 +4,14 @@ A file stream over the pool folders (``maxFilesPerTrigger`` files a batch;
 10 for the cold start over all history) feeds ``foreachBatch``: each batch's
 files are parsed by the kind their path names (S13), the papers are looked
 up once each (S11), labelled by exact keyword match (J8) and upserted into
-the bucketed label store (K3). Upserting the same labels twice changes only
-``modify_time`` to the same run time, so a replayed batch is harmless.
+the label store (K3), which writes the batch's rows only. The upsert carries
+the stream's and the batch's id, so a replayed batch changes nothing.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,8 +31,10 @@ def run_label_stream(spark: SparkSession, dirs: list[str], papers: DataFrame, vo
         lines = batch.select("value", F.col("_metadata.file_path").alias("file_path"))
         ids = parse_pools(lines, dirs).select("paper_id")
         labels = L.match_keywords(L.lookup(ids, papers, ["keywords"]), vocab)
-        upsert_into(store, labels, run_ts, buckets)
+        upsert_into(store, labels, run_ts, buckets, batch=f"{stream}-{batch_id}")
 
+    # the same for every run with this checkpoint
+    stream = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
     streams = [spark.readStream.format("text").option("recursiveFileLookup", "true")
                .option("maxFilesPerTrigger", max_files).load(d)
                .select("value", "_metadata") for d in dirs]
