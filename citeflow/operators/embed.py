@@ -3,9 +3,15 @@
 ``Embedder.transform(df, id_col, text_col) -> (id, vec array<double>)``.
 
 * :class:`HashingEmbedder` (default, no model weights needed): signed feature
-  hashing of the vectorizer tokens into ``dim`` slots, L2-normalised. Built
-  from JVM expressions; the per-(document, slot) sums are combined map-side,
-  so a 20 000-word text never travels as one group.
+  hashing of the vectorizer tokens into ``dim`` slots, L2-normalised. Tokens are
+  made by JVM expressions; the rows stay where they are (no shuffle), an Arrow
+  batch at a time is hashed once per distinct token and added up. Rows are
+  encoded one by one, also where they share an id.
+* :class:`StructuredEmbedder`: the same over the fields of a paper (title,
+  abstract, concepts, venue, authors, affiliations). A token counts as a feature
+  of its field and as one of its field and position (the place of the author,
+  affiliation or concept, the window of a text), so equal words in other fields
+  and places move the vector differently.
 * :class:`PandasEmbedder`: base for neural plug-ins. ``load()`` runs once per
   partition inside ``mapInPandas`` (never once per row, never shipped with
   every task) and ``encode(texts) -> ndarray`` works on Arrow batches.
@@ -13,15 +19,17 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from ..functions.text import tokens
-from ..functions.vector import normalize
 from ..session import ship_package
 
 
@@ -38,23 +46,78 @@ class HashingEmbedder(Embedder):
         self.seed = seed
 
     def transform(self, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-        t = df.select(F.col(id_col).alias("id"), F.explode(tokens(text_col)).alias("tok"))
-        h = F.xxhash64(F.col("tok"), F.lit(self.seed))
-        slot = F.pmod(h, F.lit(self.dim)).cast("int")
-        sign = F.when(F.pmod(F.xxhash64(F.col("tok"), F.lit(self.seed + 1)), F.lit(2)) == 0,
-                      F.lit(1.0)).otherwise(F.lit(-1.0))
-        cells = t.groupBy("id", slot.alias("slot")).agg(F.sum(sign).alias("v"))
-        dense = (cells.groupBy("id")
-                 .agg(F.map_from_entries(F.collect_list(F.struct("slot", "v"))).alias("m"))
-                 .select("id", F.transform(F.sequence(F.lit(0), F.lit(self.dim - 1)),
-                                           lambda i: F.coalesce(F.col("m")[i], F.lit(0.0)))
-                         .alias("raw")))
-        # documents without tokens get the zero vector
-        ids = df.select(F.col(id_col).alias("id")).distinct()
-        zero = F.array_repeat(F.lit(0.0), self.dim)
-        return (ids.join(dense, "id", "left")
-                .select(F.col("id").alias(id_col),
-                        normalize(F.coalesce("raw", zero)).alias("vec")))
+        words = F.coalesce(tokens(text_col), F.array().cast("array<string>"))
+        return self.encode(df.select(id_col, words.alias("features"), F.array_repeat(F.lit(1.0), F.size(words)).alias("weights")))
+
+    def encode(self, rows: DataFrame) -> DataFrame:
+        """(id, vec) of rows (id, features array<string>, weights array<double>); without features the zero vector."""
+        ship_package(rows.sparkSession)
+        dim, seed, id_field = self.dim, self.seed, rows.schema.fields[0]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                lists = b.column(1)
+                row = np.repeat(np.arange(b.num_rows), lists.value_lengths().to_numpy())
+                coded = lists.flatten().dictionary_encode()
+                slot, sign = hashed_features(coded.dictionary.to_pylist(), dim, seed)
+                code = coded.indices.to_numpy()
+                out = np.zeros((b.num_rows, dim))
+                np.add.at(out, (row, slot[code]), sign[code] * b.column(2).flatten().to_numpy())
+                size = np.linalg.norm(out, axis=1, keepdims=True)
+                out /= np.where(size > 0, size, 1.0)
+                vec = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, dim), pa.int32()), pa.array(out.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([b.column(0), vec], names=[id_field.name, "vec"])
+        return rows.mapInArrow(run, StructType([id_field, StructField("vec", ArrayType(DoubleType()))]))
+
+
+def hashed_features(features: list[str], dim: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Slot and sign of each feature, from the md5 of ``seed:feature`` (which SQL engines have, too)."""
+    digests = [hashlib.md5(f"{seed}:{f}".encode()).hexdigest() for f in features]
+    return (np.array([int(d[:8], 16) % dim for d in digests], np.int64),
+            np.array([1.0 if d[8] < "8" else -1.0 for d in digests]))
+
+
+# name of a field -> whether it is a list (a position is a place in it) or a text (a window of WINDOW tokens)
+PAPER_FIELDS = {"title": False, "abstract": False, "concepts": True, "venue": False, "authors": True, "affiliations": True}
+WINDOW = 64
+PLACED = 0.5            # weight of a token at its position, beside 1 for the token in its field
+
+
+class StructuredEmbedder(HashingEmbedder):
+    """``caps`` bounds the tokens that a field contributes (none by default: whole texts)."""
+
+    def __init__(self, dim: int = 64, seed: int = 42, caps: dict[str, int] | None = None):
+        super().__init__(dim, seed)
+        self.caps = caps or {}
+
+    def transform_papers(self, papers: DataFrame, id_col: str) -> DataFrame:
+        """(id, vec) of papers with the columns of PAPER_FIELDS; a missing or null field adds nothing."""
+        features, weights = [], []
+        for name, is_list in PAPER_FIELDS.items():
+            if name not in papers.columns:
+                continue
+            own = self._list(name) if is_list else self._text(name)
+            if name in self.caps:
+                own = F.slice(own, 1, self.caps[name])
+            own = F.coalesce(own, F.array().cast("array<struct<tok:string,pos:int>>"))
+            features += self._features(name, own)
+            weights += [F.array_repeat(F.lit(1.0), F.size(own)), F.array_repeat(F.lit(PLACED), F.size(own))]
+        none = F.array().cast("array<string>"), F.array().cast("array<double>")
+        return self.encode(papers.select(id_col, F.concat(*features, none[0]).alias("features"), F.concat(*weights, none[1]).alias("weights")))
+
+    @staticmethod
+    def _features(name: str, own) -> list:
+        return [F.transform(own, lambda x: F.concat(F.lit(name + ":"), x["tok"])),
+                F.transform(own, lambda x: F.concat(F.lit(name + "#"), x["pos"].cast("string"), F.lit(":"), x["tok"]))]
+
+    @staticmethod
+    def _text(name: str):
+        return F.transform(tokens(name), lambda t, i: F.struct(t.alias("tok"), F.floor(i / WINDOW).cast("int").alias("pos")))
+
+    @staticmethod
+    def _list(name: str):
+        place = lambda x, i: F.transform(tokens(F.coalesce(x, F.lit(""))), lambda t: F.struct(t.alias("tok"), i.alias("pos")))
+        return F.flatten(F.transform(F.col(name), place))
 
 
 class PandasEmbedder(Embedder):

@@ -14,7 +14,7 @@ from ..functions import text as T
 from ..functions.vector import concat_vectors
 from ..operators import cf, incremental as INC
 from ..operators import tfidf as TF
-from ..operators.embed import HashingEmbedder
+from ..operators.embed import HashingEmbedder, StructuredEmbedder
 from ..session import mark_ready, reusable_path, scratch_path
 from ..sinks import files as FS
 from ..sinks.nested import write_recall_json
@@ -78,7 +78,7 @@ def q_scan_papers(spark, sf):
 
 def q_scan_corrupt_split(spark, sf):
     _, bad = SP.split_corrupt(_raw(spark, sf))
-    return bad
+    return bad.select(F.regexp_extract("file", "/([0-9]+)/[^/]*$", 1).alias("delivery"), "_corrupt_record")
 
 
 def q_scan_limit(spark, sf):
@@ -162,6 +162,15 @@ def q_encode_papers(spark, sf):
     return encode_papers(Fixtures(spark, sf))
 
 
+def q_encode_structured(spark, sf):
+    """M7: encoder vectors of the papers from all six fields."""
+    p = text_job.paper_info(Fixtures(spark, sf))
+    p = p.select("doc_id", "title", "abstract", F.col("keywords").alias("concepts"), "venue",
+                 F.transform("authors", lambda a: a["name"]).alias("authors"),
+                 F.transform("authors", lambda a: a["org"]).alias("affiliations"))
+    return StructuredEmbedder().transform_papers(p, "doc_id")
+
+
 def q_mixed_vectors(spark, sf):
     """M9: encoder vector followed by the 200-dimensional LSA vector of the cleaned title.
 
@@ -262,6 +271,7 @@ QUERIES = {
     "retention_apply": q_retention_apply,
     "run_counters": q_run_counters,
     "encode_papers": q_encode_papers,
+    "encode_structured": q_encode_structured,
     "mixed_vectors": q_mixed_vectors,
     "word_vectors": q_word_vectors,
     "vector_append": q_vector_append,
@@ -285,7 +295,74 @@ _CF = """
           SELECT *, row_number() OVER (PARTITION BY kind, i ORDER BY score DESC, j) AS rk FROM sc)
         WHERE rk <= 5"""
 
+_TS = """CASE WHEN o.o_orderstatus = 'P' THEN 'pending' ELSE strftime(o.o_orderdate, '%Y-%m-%d %H:%M:%S') END"""
+_TOKENS = r"regexp_extract_all(lower({x}), '([\p{{L}}\p{{N}}_]{{2,}})', 1)"
+
+
+def _encoded(features: str) -> str:
+    """(id, vec) from SQL that gives (id, feature, weight); ids without features have a null one."""
+    return f"""
+        SELECT id, list_transform(raw, lambda x: CASE WHEN size > 0 THEN x / size ELSE 0.0 END) AS vec FROM (
+          SELECT id, raw, sqrt(list_sum(list_transform(raw, lambda x: x * x))) AS size FROM (
+            SELECT i.id, list(coalesce(c.v, 0.0) ORDER BY i.slot) AS raw
+            FROM (SELECT DISTINCT id, unnest(range(64)) AS slot FROM ({features})) i
+            LEFT JOIN (SELECT id, CAST('0x' || substr(md5('42:' || feature), 1, 8) AS BIGINT) % 64 AS slot,
+                              SUM(CASE WHEN substr(md5('42:' || feature), 9, 1) < '8' THEN weight ELSE -weight END) AS v
+                       FROM ({features}) WHERE feature IS NOT NULL GROUP BY ALL) c ON c.id = i.id AND c.slot = i.slot
+            GROUP BY i.id))"""
+
+
+def _text_features(source: str) -> str:
+    """Tokens of (id, text) rows; a row without tokens has a null one."""
+    return f"""SELECT id, unnest(CASE WHEN len(t) > 0 THEN t ELSE [NULL] END) AS feature, 1.0 AS weight
+               FROM (SELECT id, {_TOKENS.format(x='text')} AS t FROM ({source}))"""
+
+
+_PAPER = """
+    SELECT d.doc_id, d.title, nullif(d.abstract, '') AS abstract, p.keywords, v.c_mktsegment AS venue, a.authors, a.orgs
+    FROM doc d LEFT JOIN (SELECT p_partkey, string_split(p_name, ' ') AS keywords FROM part) p ON p.p_partkey = d.doc_id
+    LEFT JOIN (SELECT o.o_orderkey, c.c_mktsegment FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey) v ON v.o_orderkey = d.doc_id
+    LEFT JOIN (SELECT l.l_orderkey, list(a.name_en ORDER BY l.l_linenumber, l.l_suppkey, a.name_en NULLS FIRST, n.n_name) AS authors,
+                      list(n.n_name ORDER BY l.l_linenumber, l.l_suppkey, a.name_en NULLS FIRST, n.n_name) AS orgs
+               FROM lineitem l LEFT JOIN author a ON a.author_id = l.l_suppkey LEFT JOIN supplier s ON s.s_suppkey = l.l_suppkey
+               LEFT JOIN nation n ON n.n_nationkey = s.s_nationkey GROUP BY 1) a ON a.l_orderkey = d.doc_id"""
+
+
+def _field_features(name: str, column: str, is_list: bool) -> str:
+    entry = (f"SELECT doc_id, unnest(x) AS item, unnest(range(len(x))) AS place FROM (SELECT doc_id, {column} AS x FROM paper_fields)"
+             if is_list else f"SELECT doc_id, {column} AS item, 0 AS place FROM paper_fields")
+    token = f"""SELECT doc_id, place, unnest(t) AS tok, unnest(range(len(t))) AS nth
+                FROM (SELECT doc_id, place, {_TOKENS.format(x='item')} AS t FROM ({entry}) WHERE item IS NOT NULL)"""
+    pos = "place" if is_list else "nth // 64"
+    return f"""SELECT doc_id AS id, '{name}:' || tok AS feature, 1.0 AS weight FROM ({token}) UNION ALL
+               SELECT doc_id, '{name}#' || CAST({pos} AS VARCHAR) || ':' || tok, 0.5 FROM ({token})"""
+
+
+_STRUCTURED = " UNION ALL ".join([
+    "SELECT doc_id AS id, NULL AS feature, 0.0 AS weight FROM paper_fields",
+    *[_field_features(n, c, x) for n, c, x in (("title", "title", False), ("abstract", "abstract", False), ("concepts", "keywords", True),
+                                               ("venue", "venue", False), ("authors", "authors", True), ("affiliations", "orgs", True))]])
+_ENCODED = _encoded(_text_features("SELECT doc_id AS id, title || abstract AS text FROM doc"))
+_TORN = f"""
+        SELECT substr('{{' || CASE WHEN d.lang <> 'de' THEN '"_id":"p' || CAST(d.doc_id AS VARCHAR) || '",' ELSE '' END
+                      || '"id_of_mysql":' || CAST(d.doc_id AS VARCHAR) || coalesce(',"ts":"' || {_TS} || '"', '') || '}}', 1, 20)
+               AS _corrupt_record
+        FROM documents d LEFT JOIN orders o ON o.o_orderkey = d.doc_id WHERE d.doc_id = (SELECT MIN(doc_id) FROM documents)"""
+
 ORACLE = {
+    "scan_papers": f"""
+        WITH rec AS (
+          SELECT 'p' || CAST(p.doc_id AS VARCHAR) AS _id, p.doc_id AS id_of_mysql, {_TS} AS ts, p.title, p.abstract, p.keywords, p.venue,
+                 p.authors, p.orgs AS affiliations, CAST(NULL AS VARCHAR[]) AS tags, year(o.o_orderdate) AS y, s.lang
+          FROM ({_PAPER}) p JOIN documents s ON s.doc_id = p.doc_id LEFT JOIN orders o ON o.o_orderkey = p.doc_id WHERE s.lang <> 'de')
+        SELECT * EXCLUDE (y, lang) FROM rec
+        UNION ALL SELECT * EXCLUDE (y, lang) FROM rec WHERE y < 2000 AND lang = 'en'""",
+    "scan_corrupt_split": f"SELECT '3' AS delivery, _corrupt_record FROM ({_TORN})",
+    "encode_papers": f"SELECT id AS doc_id, vec FROM ({_ENCODED})",
+    "encode_structured": f"WITH paper_fields AS ({_PAPER}) SELECT id AS doc_id, vec FROM ({_encoded(_STRUCTURED)})",
+    "word_vectors": f"""
+        SELECT row_number() OVER (ORDER BY id) - 1 AS idx, id AS word, vec FROM ({_encoded(_text_features(
+            "SELECT word AS id, word AS text FROM vocab"))})""",
     "scan_limit": """
         SELECT id_of_mysql, _id, ts FROM (
           SELECT r.*, row_number() OVER (ORDER BY id_of_mysql, batch) AS n FROM (

@@ -99,6 +99,7 @@ ORACLE = {
                'hashing' AS model
         FROM documents d LEFT JOIN orders o ON o.o_orderkey = d.doc_id
         WHERE d.lang <> 'de' AND d.doc_id NOT IN (SELECT pid FROM vec)""",
+    "stream_quarantine": io_job._TORN,
     "stream_labels": _UPSERT.format(new="""
         SELECT s.* FROM strong_labels s WHERE s.pub_id IN (
           SELECT paper_id FROM label_pool_ids WHERE pool IN ('latest', 'scholar'))"""),
