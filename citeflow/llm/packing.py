@@ -37,7 +37,8 @@ from . import common as C
 
 CAPACITY = 4096
 END = 1
-CACHE_WORDS = 300_000       # about 200 bytes each; an idle worker keeps them
+CACHE_WORDS = 150_000       # about 200 bytes each; an idle worker keeps them
+MET = 1 << 21               # bytes that mark words met before
 BLOCK_BYTES = 4 << 20       # text tokenised at once: new words are encoded once per block
 WORD_END, RUN = "</w>", 2000     # the mark of a word's last id in the vocabulary; words per text
 _STOPS = frozenset(".,;:!?")
@@ -52,8 +53,9 @@ def default_vocabulary() -> str:
 class WordIds:
     """Token ids of texts as bytes (little-endian, 4 bytes an id), by a bounded cache of words.
 
-    The cache holds the first ``cache_words`` words that the worker met, which the
-    frequent ones are among, and outlives a task as the worker does. ASCII letters are
+    The cache takes all words until it is half full, and then those that an earlier block
+    had, too (marked by a hash; one taken for another does no harm), so that words that
+    occur once don't fill it. It outlives a task as the worker does. ASCII letters are
     lower-cased first, as the (lower-casing) tokenizer does itself.
     """
 
@@ -66,6 +68,7 @@ class WordIds:
         self.ends_word[[i for t, i in vocab.items() if t.endswith(WORD_END)]] = True
         self.cache: dict[bytes, bytes] = {}
         self.cache_words = cache_words
+        self.met = bytearray(MET)
 
     def _encoded(self, words: list[str]) -> list[bytes]:
         got = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
@@ -95,8 +98,15 @@ class WordIds:
         self._learn(new)
         find = self.cache.__getitem__
         out = [b"".join(map(find, w)) for w in words]
-        for w in new[:max(0, len(self.cache) - self.cache_words)]:
-            del self.cache[w]
+        room = self.cache_words - len(self.cache) + len(new)
+        if len(self.cache) > self.cache_words // 2:
+            for w in new:
+                at = hash(w) & MET - 1
+                if self.met[at] and room > 0:
+                    room -= 1
+                else:
+                    self.met[at] = 1
+                    del self.cache[w]
         return out
 
 
