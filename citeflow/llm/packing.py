@@ -37,7 +37,7 @@ from . import common as C
 
 CAPACITY = 4096
 END = 1
-CACHE_WORDS = 150_000       # about 200 bytes each; an idle worker keeps them
+CACHE_WORDS = 350_000       # about 200 bytes each; an idle worker keeps them
 MET = 1 << 21               # bytes that mark words met before
 BLOCK_BYTES = 4 << 20       # text tokenised at once: new words are encoded once per block
 WORD_END, RUN = "</w>", 2000     # the mark of a word's last id in the vocabulary; words per text
