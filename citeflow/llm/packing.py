@@ -38,6 +38,7 @@ from . import common as C
 CAPACITY = 4096
 END = 1
 CACHE_WORDS = 350_000       # about 200 bytes each; an idle worker keeps them
+STAGE_CACHE_WORDS = 150_000
 MET = 1 << 21               # bytes that mark words met before
 BLOCK_BYTES = 4 << 20       # text tokenised at once: new words are encoded once per block
 WORD_END, RUN = "</w>", 2000     # the mark of a word's last id in the vocabulary; words per text
@@ -122,19 +123,20 @@ def _parts(word: str) -> int:
     return (1 + stop) if (word[:-1] if stop else word).isalpha() and word.lower()[:len(word) - stop].isalpha() else 0
 
 
-_known: dict[str, WordIds] = {}
+_known: dict[tuple[str, int], WordIds] = {}
 
 
-def word_ids(vocabulary: str) -> WordIds:
+def word_ids(vocabulary: str, cache_words: int) -> WordIds:
     """The worker's own encoder."""
-    if vocabulary not in _known:
-        _known[vocabulary] = WordIds(vocabulary)
-    return _known[vocabulary]
+    key = vocabulary, cache_words
+    if key not in _known:
+        _known[key] = WordIds(vocabulary, cache_words)
+    return _known[key]
 
 
-def _pieces(vocabulary: str, capacity: int, end: int):
+def _pieces(vocabulary: str, capacity: int, end: int, cache_words: int = CACHE_WORDS):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = word_ids(vocabulary)
+        ids_of = word_ids(vocabulary, cache_words)
         tail = np.asarray([end], "<u4").tobytes()
         seen = np.zeros(capacity + 1, np.int64)
         task = TaskContext.get().partitionId()
@@ -235,12 +237,13 @@ def _placed(shared):
     return run
 
 
-def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, end: int = END) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, end: int = END,
+         cache_words: int = CACHE_WORDS) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     spark = docs.sparkSession
     C.prepared(spark)
     docs = C.pick(docs, doc_id="long", text="string")
-    pieces = C.scratch(docs.mapInArrow(C.released(_pieces(vocabulary or default_vocabulary(), capacity, end)), PIECE_SCHEMA),
+    pieces = C.scratch(docs.mapInArrow(C.released(_pieces(vocabulary or default_vocabulary(), capacity, end, cache_words)), PIECE_SCHEMA),
                        "pack-pieces")
     by_task = pieces.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n"))
     earlier = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
@@ -256,8 +259,9 @@ def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACIT
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage (the last): the pieces of ``docs`` with their sequences."""
-    return pack(docs)
+    """Pipeline stage (the last): the pieces of ``docs`` with their sequences. Its workers serve the other
+    stages, too, so their cache is smaller."""
+    return pack(docs, cache_words=STAGE_CACHE_WORDS)
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
