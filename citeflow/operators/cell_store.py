@@ -200,7 +200,7 @@ class CellStore:
             q = self._staged(q, "cell-probes")
             cells = [r.cell for r in q.select("cell").distinct().collect()]             # at most the cells there are
             rows = rows.where(F.col("cell").isin(cells))
-        hits = K.block_join(q, rows.select("cid", "vec", "cell"), k, now.metric, exclude_self, block)
+        hits = K._block_join(q, rows.select("cid", "vec", "cell"), k, now.metric, exclude_self, block)
         return K.top_k(hits, k, now.metric)
 
     def search_exact(self, queries: DataFrame, k: int, exclude_self: bool = False, where: Column | str | None = None,
@@ -227,12 +227,12 @@ class CellStore:
         queries = queries.select("qid", "vec").where("vec is not null")
         need = k + exclude_self
         first = self._staged(queries.mapInArrow(_nearest_cells(shared, metric, need), _with(queries, "cell long")), "exact-first")
-        near = self._staged(K.block_join(first.select("qid", "vec", "cell"), rows.select("cid", "vec", "cell"), k, metric, exclude_self, block), "exact-near")
+        near = self._staged(K._block_join(first.select("qid", "vec", "cell"), rows.select("cid", "vec", "cell"), k, metric, exclude_self, block), "exact-near")
         kth = K.top_k(near, k, metric).where(F.col("rank") == k).select(F.col("qid").alias("id"), F.col("score").alias("kth"))
         bounded = queries.join(kth, F.col("qid") == F.col("id"), "left").select("qid", "vec", "kth")
         more = self._staged(bounded.mapInArrow(_reached_cells(shared, metric, need), "qid long, vec array<double>, cell long, far double, reach double")
                       .withColumnRenamed("far", "own"), "exact-more")
-        rest = K.block_join(more, rows, k, metric, exclude_self, block, keep=_within_reach)
+        rest = K._block_join(more, rows, k, metric, exclude_self, block, keep=_within_reach)
         return near.unionByName(rest), [first.select("qid", "cell"), more.select("qid", "cell")]
 
     def pairs_met(self, passes: list[DataFrame]) -> int:

@@ -184,7 +184,7 @@ def _small_corpus(queries: DataFrame, corpus: DataFrame, k: int, metric: str, ex
 
 
 # ---- both sides large: blocks -----------------------------------------------
-def block_join(q: DataFrame, c: DataFrame, k: int, metric: str, exclude_self: bool, block: int = BLOCK,
+def _block_join(q: DataFrame, c: DataFrame, k: int, metric: str, exclude_self: bool, block: int = BLOCK,
                keep=None) -> DataFrame:
     """(qid, cid, score) of ``q(qid, vec, cell)`` against ``c(cid, vec, cell)`` of the same cell.
 
@@ -282,7 +282,7 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "l2", exclu
         index = cells or train_cells(c, metric, n_cells)
         q = q.withColumn("cell", F.explode(index.nearest(nprobe)("vec")))
         c = c.withColumn("cell", F.explode(index.nearest(1)("vec")))
-    return top_k(block_join(q, c, k, metric, exclude_self, block), k, metric)
+    return top_k(_block_join(q, c, k, metric, exclude_self, block), k, metric)
 
 
 def knn_lsh(queries: DataFrame, corpus: DataFrame, k: int, num_tables: int = 12, bits: int = 7,
@@ -307,5 +307,5 @@ def knn_lsh(queries: DataFrame, corpus: DataFrame, k: int, num_tables: int = 12,
 
     q = queries.select("qid", "vec").where("vec is not null").withColumn("cell", F.explode(buckets("vec")))
     c = corpus.select("cid", "vec").where("vec is not null").withColumn("cell", F.explode(buckets("vec")))
-    hits = block_join(q, c, k, "cosine", exclude_self, block).groupBy("qid", "cid").agg(F.first("score").alias("score"))
+    hits = _block_join(q, c, k, "cosine", exclude_self, block).groupBy("qid", "cid").agg(F.first("score").alias("score"))
     return top_k(hits, k, "cosine")
