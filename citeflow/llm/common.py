@@ -237,13 +237,18 @@ def maybe_in(df: DataFrame, key: str, bits: DataFrame) -> DataFrame:
 # ---- labelled samples --------------------------------------------------------------
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold: int, held_out: int, rows: int,
                     name: str) -> DataFrame:
-    """(label, text) of at most ``rows`` labelled documents outside the held-out fold, the first by
-    a hash of the id; the chosen ids are that many, so their broadcast is bounded."""
+    """(label, text) of at most ``rows`` labelled rows outside the held-out fold, the first by a hash of
+    the id, then of the text; rows that repeat id and text are one. Only keys, at most ``rows``, are broadcast."""
     chosen = (pick(labels, doc_id="long", **{label: "int"})
               .where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (crc_mod(F.col("doc_id"), fold) != held_out))
               .select(F.col("doc_id").alias("id"), F.col(label).alias("label")).distinct()
               .orderBy(F.md5(F.col("id").cast("string").cast("binary")), "id", "label").limit(rows))
     chosen = scratch(chosen, name + "-ids")
     d = pick(docs, doc_id="long", text="string")
-    return scratch(d.join(F.broadcast(chosen), F.col("doc_id") == F.col("id"))
-                    .select("label", F.coalesce("text", F.lit("")).alias("text")), name)
+    text = F.coalesce("text", F.lit(""))
+    found = scratch(d.join(F.broadcast(chosen), F.col("doc_id") == F.col("id"))
+                     .groupBy("id", "label", F.md5(text.cast("binary")).alias("sha")).agg(F.first(text).alias("text")),
+                    name + "-rows")
+    keys = ["id", "label", "sha"]                               # an id may stand for many texts
+    first = found.select(*keys).orderBy(F.md5(F.col("id").cast("string").cast("binary")), *keys).limit(rows)
+    return scratch(found.join(F.broadcast(first), keys, "left_semi").select("label", "text"), name)

@@ -3,7 +3,8 @@
 * Text. Lower-cased letters; every run of other characters is one space. Each
   text starts with ORDER - 1 marks that are never predicted.
 * Model. Per language, n-grams of 1 to ORDER characters from a bounded sample
-  (``sample`` documents of each language, the first by a hash of the id). The
+  (``sample`` rows of each language, the first by a hash of the id; more than
+  ``languages`` languages are an error). The
   highest order uses counts, lower orders continuation counts, each with its own
   absolute discount, interpolated down to a uniform distribution. All languages
   share one sorted array of 64-bit n-gram hashes per order; a matrix beside it
@@ -19,7 +20,8 @@
 
 Rows: ``und`` and score 0 if the text is null or has no letter; such rows are not
 accepted. Null ids count as the empty text for the fold. Rows that repeat an id
-are scored one by one. Without any labelled text every row is ``und``.
+are scored one by one, and each is a row of the sample. Without any labelled text
+(or without a column ``text``) every row is ``und``.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ from . import common as C
 
 ORDER = 4
 SAMPLE = 400                # documents of a language to learn from, and as many to calibrate on
-MAX_LANGUAGES = 200         # bounds the sample: languages x 2 x SAMPLE documents
+MAX_LANGUAGES = 200         # bounds the sample: at most this many languages x 2 x SAMPLE rows, an error beyond
 Z = 6.0
 SLICE = 1 << 19             # bytes of text scored at once (about 60 bytes of arrays for each)
 CERTAIN = 20                # characters of evidence that the score weighs
@@ -240,19 +242,31 @@ class Model:
             self.limit[j] = middle + max(far, 0.5)
 
 
-def train(docs: DataFrame, order: int = ORDER, sample: int = SAMPLE) -> Model:
+def _sample(d: DataFrame, rows: int, languages: int) -> DataFrame:
+    """(lang, text, nth): the first ``rows`` rows of each language by a hash of the id, then of the text."""
+    ids = d.where((C.crc_mod(F.col("doc_id"), 3) != 1) & F.col("lang").isNotNull()).select(
+        "doc_id", "lang", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("turn"))
+    found = [r.lang for r in ids.select("lang").distinct().limit(languages + 1).collect()]
+    if len(found) > languages:
+        raise ValueError(f"more than {languages} values of lang: pass languages=")
+
+    def first(df: DataFrame, keys: list, *order) -> DataFrame:
+        return df.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("nth") <= rows)
+    # a language is ranked by parts of the order first, so no task meets more than 256 x rows of its ids
+    part = first(ids.withColumn("part", F.substring("turn", 1, 2)), ["lang", "part"], "turn", "doc_id")
+    chosen = (first(part, ["lang"], "turn", "doc_id").groupBy("lang", "doc_id").agg(F.min("nth").alias("turn"))
+              .select(F.col("doc_id").alias("id"), F.col("lang").alias("l"), "turn"))
+    # at most languages x rows ids, so the broadcast is bounded; ids may repeat, so their rows are ranked again
+    texts = d.join(F.broadcast(chosen), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("lang") == F.col("l")))
+    return first(texts.withColumn("sha", F.md5(F.coalesce("text", F.lit("")).cast("binary"))), ["lang"], "turn", "sha") \
+        .select("lang", "text", "nth")
+
+
+def train(docs: DataFrame, order: int = ORDER, sample: int = SAMPLE, languages: int = MAX_LANGUAGES) -> Model:
     """Learns from text and non-null lang of the documents whose crc32 of the id, mod 3, is not 1."""
     C.prepared(docs.sparkSession)
     d = C.pick(docs, doc_id="long", lang="string", text="string")
-    ids = d.where((C.crc_mod(F.col("doc_id"), 3) != 1) & F.col("lang").isNotNull()).select(
-        "doc_id", "lang", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("turn"))
-    langs = [r[0] for r in ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
-    turn = F.row_number().over(Window.partitionBy("lang").orderBy("turn", "doc_id"))
-    chosen = (ids.where(F.col("lang").isin(langs)).withColumn("nth", turn).where(F.col("nth") <= 2 * sample)
-                 .select(F.col("doc_id").alias("id"), F.col("lang").alias("l"), "nth"))
-    # at most MAX_LANGUAGES x 2 x sample rows, so the broadcast is bounded
-    texts = C.scratch(d.join(F.broadcast(chosen), (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("l")))
-                       .select("lang", "text", "nth"), "lid-sample")
+    texts = C.scratch(_sample(d, 2 * sample, languages), "lid-sample")
     learn = texts.where(F.col("nth") % 2 == 1).select("lang", "text")
     counts = (learn.mapInArrow(_counts(order), "lang string, n int, gram long, shorter long, context long, count long")
                    .groupBy("lang", "n", "gram").agg(F.first("shorter").alias("shorter"),
@@ -301,7 +315,9 @@ def _accepted(shared, at: int):
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the rows whose language is accepted, all columns as they are."""
+    """Pipeline stage: the rows whose language is accepted, all columns as they are (none without a column text)."""
+    if "text" not in docs.columns:
+        return docs.where(F.lit(False))
     shared = spark.sparkContext.broadcast(train(docs))
     return docs.mapInArrow(C.released(_accepted(shared, docs.columns.index("text"))), docs.schema)
 

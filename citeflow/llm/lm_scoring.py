@@ -45,7 +45,6 @@ from . import common as C
 
 FOLD = 10
 SHARDS_PER_PARTITION = 4
-MAX_SHARDS = 1 << 14
 HOT = 1 << 21                    # occurrences of a context per shard that it is dealt to
 BLOCK_BYTES = 4 << 20            # text scored at once: larger blocks look more words up in order
 FLUSH = 2 << 20                  # tokens that a task gathers before it sends a block
@@ -395,7 +394,7 @@ def train(texts: DataFrame, folder: str | None = None) -> Model:
     folder = folder or _folder(spark)
     os.makedirs(folder, exist_ok=True)
     parts = max(1, texts.rdd.getNumPartitions())
-    bits = min(MAX_SHARDS, parts * SHARDS_PER_PARTITION).bit_length()
+    bits = (parts * SHARDS_PER_PARTITION).bit_length()
     shards = 1 << bits
 
     got = (texts.mapInArrow(_word_blocks(bits), _BLOCK).groupBy("shard")

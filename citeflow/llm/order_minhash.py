@@ -4,7 +4,7 @@
   white space (so text without white space has tokens too). Each K consecutive
   tokens are a k-mer (a shorter text is one k-mer); equal k-mers are numbered by
   their occurrence, so an element is (k-mer, occurrence), and elements are distinct.
-* Selection. Elements get a random 44-bit place on a ring. The i-th permutation
+* Selection. Elements get a random 64-bit place on a ring. The i-th permutation
   starts the ring at the i-th of SLOTS evenly spaced points, which is again a random
   order of the elements; its L minimal elements are the first L from there on. Only
   the sorted places are needed, one sort for all permutations.
@@ -36,7 +36,6 @@ from . import common as C
 
 TOKEN, K, L, SLOTS_BITS = 8, 2, 2, 5
 SLOTS = 1 << SLOTS_BITS
-_POSITION_BITS = 20
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -44,18 +43,9 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _packed(h: Column, position: Column) -> Column:
-    """The upper bits of a hash with a position below them."""
-    return F.shiftleft(F.shiftright(h, _POSITION_BITS), _POSITION_BITS).bitwiseOR(
-        position.cast("long").bitwiseAND(F.lit((1 << _POSITION_BITS) - 1)))
-
-
-def _upper(x: Column) -> Column:
-    return F.shiftright(x, _POSITION_BITS)
-
-
-def _position(x: Column) -> Column:
-    return x.bitwiseAND(F.lit((1 << _POSITION_BITS) - 1))
+def _at(h: Column, position: Column) -> Column:
+    """A hash with its place in the text; sorted by hash, then place."""
+    return F.struct(h.alias("h"), position.alias("p"))
 
 
 def _upto(n: Column) -> Column:
@@ -66,13 +56,13 @@ def _upto(n: Column) -> Column:
 def _kmers(tokens: Column, k: int) -> Column:
     """The k-mers of a text, sorted by hash and then position."""
     n = F.greatest(F.size(tokens) - (k - 1), F.least(F.size(tokens), F.lit(1)))
-    return F.sort_array(F.transform(_upto(n), lambda i: _packed(F.xxhash64(*[F.get(tokens, i + j) for j in range(k)]), i)))
+    return F.sort_array(F.transform(_upto(n), lambda i: _at(F.xxhash64(*[F.get(tokens, i + j) for j in range(k)]), i)))
 
 
 def _elements(kmers: Column) -> Column:
     """Elements (k-mer, occurrence), sorted by their place on the ring."""
-    place = lambda x, nth: _packed(F.xxhash64(_upper(x), nth), _position(x))
-    again = lambda x, j: _upper(F.get(kmers, j - 1)) == _upper(x)
+    place = lambda x, nth: _at(F.xxhash64(x["h"], nth), x["p"])
+    again = lambda x, j: F.get(kmers, j - 1)["h"] == x["h"]
     once = F.transform(F.filter(kmers, lambda x, j: (j == 0) | ~again(x, j)), lambda x: place(x, F.lit(0)))
 
     def repeated(at: Column) -> Column:
@@ -88,12 +78,12 @@ def _elements(kmers: Column) -> Column:
 def _slots(e: Column, ell: int) -> Column:
     """The hashed tuple of every slot."""
     n = F.size(e)
-    bins = F.transform(e, lambda x: (F.shiftright(x, 64 - SLOTS_BITS) + SLOTS // 2).cast("int"))
+    bins = F.transform(e, lambda x: (F.shiftright(x["h"], 64 - SLOTS_BITS) + SLOTS // 2).cast("int"))
     every = F.sequence(F.lit(0), F.lit(SLOTS - 1))
 
     def tuple_at(j: Column) -> Column:
         chosen = F.transform(_upto(F.least(F.lit(ell), n)), lambda q: let(
-            F.get(e, F.pmod(j + q, n)), lambda x: F.struct(_position(x).alias("p"), _upper(x).alias("h"))))
+            F.get(e, F.pmod(j + q, n)), lambda x: F.struct(x["p"], x["h"])))
         return F.xxhash64(F.transform(F.sort_array(chosen), lambda s: s["h"]))
 
     def from_first(first: Column) -> Column:

@@ -13,7 +13,8 @@
   other training texts use as a word of their own (its log-odds stay below those of a
   term) never counts as a misspelling; its terms keep all their other misspellings.
 * Context. A match counts with its term's weight, less if misspelled, and less if
-  it is quoted: inside quotation marks, or within ``window`` words of a word of
+  it is quoted: inside quotation marks (at most ``quotation`` words after the opening
+  one, as an apostrophe may look like it), or within ``window`` words of a word of
   reporting. The text's score is a logistic function of the sum, its sharpest match
   and its density, fitted on the sample.
 
@@ -39,12 +40,11 @@ from . import common as C
 
 FOLD, HELD_OUT = 3, 1
 TRAIN = 20_000
-MAX_TERMS = 5_000
 MIN_TEXTS = 3               # toxic training texts that use a term
 MIN_LOG_ODDS = 3.0
 STEMS, STEM_TEXTS, STEM_LOG_ODDS = (4, 5, 6), 5, 4.0
 THRESHOLD = 0.7
-WINDOW = 6
+WINDOW, QUOTATION = 6, 40
 QUOTED, MISSPELLED = 0.25, 0.7
 KNOWN_WORDS = 400_000       # words a worker remembers
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
@@ -210,8 +210,8 @@ class FuzzyLexicon:
 class Model:
     """The lexicon and the logistic function of what it finds."""
 
-    def __init__(self, terms: dict[str, float], ordinary: frozenset[str], window: int = WINDOW):
-        self.terms, self.ordinary, self.window = terms, ordinary, window
+    def __init__(self, terms: dict[str, float], ordinary: frozenset[str], window: int = WINDOW, quotation: int = QUOTATION):
+        self.terms, self.ordinary, self.window, self.quotation = terms, ordinary, window, quotation
         self.coef: np.ndarray | None = None
 
     def opened(self) -> Model:
@@ -242,9 +242,9 @@ class Model:
 
     def _matches(self, ws: list[str]) -> list[float]:
         quoted, inside = [], False
-        for w in ws:                                # inside quotation marks, up to their end or 40 words
+        for w in ws:                                # inside quotation marks, up to their end or the longest quotation
             opens, closes = w[0] in _OPEN, w[-1] in _CLOSE or bare(w) and w.rstrip(".,;:!?")[-1:] in _CLOSE
-            inside = (inside or opens) and (not quoted or quoted[-1] < 40)
+            inside = (inside or opens) and (not quoted or quoted[-1] < self.quotation)
             quoted.append((quoted[-1] if quoted and inside else 0) + 1 if inside else 0)
             if closes and (len(w) > 1 or not opens or quoted[-1] > 1):
                 inside = False
@@ -323,7 +323,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN) -> Model:
                         .where(F.col("toxic") >= F.when(stem, F.lit(STEM_TEXTS)).otherwise(F.lit(max(2, min(MIN_TEXTS, n[1] // 10)))))
                         .withColumn("odds", odds)
                         .where(F.col("odds") >= F.when(stem, F.lit(STEM_LOG_ODDS)).otherwise(F.lit(MIN_LOG_ODDS)))
-                        .orderBy(F.desc(F.col("toxic") * F.col("odds")), "word").limit(MAX_TERMS).collect())
+                        .orderBy(F.desc(F.col("toxic") * F.col("odds")), "word").collect())    # words of at most ``rows`` texts
     # a stem must stand for several words: more texts have it than have its most frequent word
     most = Counter()
     for r in lexicon:

@@ -109,3 +109,18 @@ def test_fold_uses_no_label_of_held_out_rows(spark):
     docs = spark.createDataFrame([(i, "abc def", "yy" if zlib.crc32(str(i).encode()) % 3 == 1 else "xx") for i in range(30)],
                                  "doc_id long, text string, lang string")
     assert {r.lang_pred for r in X.identify(docs, X.train(docs)).select(F.col("lang_pred")).collect()} == {"xx"}
+
+
+def test_the_sample_is_bounded_by_rows(spark):
+    import pytest
+    known = next(i for i in range(9) if zlib.crc32(str(i).encode()) % 3 != 1)
+    rows = [(known, f"text number {'abcdefgh'[i % 8] * (i % 50)}", "xx") for i in range(1500)] + [(None, "without id", "yy")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    got = X._sample(docs, 20, 2).groupBy("lang").agg(F.count("*").alias("n"), F.max("nth").alias("last")).collect()
+    assert sorted(tuple(r) for r in got) == [("xx", 20, 20), ("yy", 1, 1)]          # null ids are learnt from
+    with pytest.raises(ValueError):
+        X.train(docs, languages=1)
+
+
+def test_stage_without_texts_keeps_nothing(spark):
+    assert X.keep_known_languages(spark, spark.createDataFrame([(1, "en")], "doc_id long, lang string"), "").count() == 0

@@ -1,3 +1,4 @@
+import bisect
 import hashlib
 import re
 
@@ -6,8 +7,6 @@ import xxhash
 
 from citeflow.llm import order_minhash as X
 
-MASK = (1 << X._POSITION_BITS) - 1
-
 
 def signed(x):
     return x - (1 << 64) if x >> 63 else x
@@ -29,26 +28,22 @@ def long_hash(*values):
     return signed(seed)
 
 
-def pack(h, at):
-    return (h >> X._POSITION_BITS << X._POSITION_BITS) | (at & MASK)
-
-
 def signature(text):
     tokens = re.findall(r"[^\x20\x09-\x0D]{1,8}", text)
     n = max(len(tokens) - X.K + 1, min(len(tokens), 1))
     seen, elements = {}, []
     for i in range(n):
-        h = string_hash(*tokens[i:i + X.K]) >> X._POSITION_BITS
+        h = string_hash(*tokens[i:i + X.K])
         seen[h] = seen.get(h, -1) + 1
-        elements.append(pack(long_hash((h, 8), (seen[h], 4)), i))
+        elements.append((long_hash((h, 8), (seen[h], 4)), i))
     if not elements:
         return [0] * X.SLOTS
     elements.sort()
     out = []
     for slot in range(X.SLOTS):
         start = -(1 << 63) + slot * (1 << 64) // X.SLOTS
-        ring = [e for e in elements if e >= start] + [e for e in elements if e < start]
-        chosen = sorted((e & MASK, e >> X._POSITION_BITS) for e in ring[:X.L])
+        first = bisect.bisect_left(elements, (start,))
+        chosen = sorted((p, h) for h, p in (elements[first:first + X.L] + elements)[:min(X.L, len(elements))])
         out.append(long_hash(*[(h, 8) for _, h in chosen]) >> 32)
     return out
 
@@ -99,3 +94,12 @@ def test_order_counts_not_only_elements(spark):
     sig = df.select(*[X.signature(F.col(c)).alias(c) for c in "abc"])
     ab, ac = sig.select(X.likeness(F.col("a"), F.col("b")), X.likeness(F.col("a"), F.col("c"))).first()
     assert 0 < ab < 0.9 and 0.4 < ac < 1
+
+
+def test_text_order_holds_beyond_a_million_tokens(spark):
+    from pyspark.sql import functions as F
+    n = (1 << 20) + 5000
+    text = " ".join(f"{i % 700_000:x}" for i in range(n))
+    got = spark.range(1).select(X.signature(F.array_join(F.transform(
+        F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.lower(F.hex(i % 700_000))), " ")).alias("s")).first().s
+    assert [v & 0xFFFFFFFF for v in got] == [v & 0xFFFFFFFF for v in signature(text)]

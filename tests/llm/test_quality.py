@@ -50,3 +50,12 @@ def test_awkward_rows(spark):
     one = X.fit(docs, labels.where("quality = 1 and doc_id between 21 and 40"))
     assert {r.score for r in X.classify(docs, one).collect()} == {1.0}
     assert X.classify(awkward.empty(spark), none).count() == 0
+
+
+def test_the_labelled_sample_is_bounded_by_rows(spark):
+    docs = spark.createDataFrame([(1, f"text {i % 300}") for i in range(1200)] + [(2, None), (2, ""), (3, "c")],
+                                 "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2) for i in (1, 2, 3)], "doc_id long, quality int")
+    every = X.C.labelled_sample(docs, labels, "quality", 10 ** 6, 10 ** 6, 1000, "t").collect()
+    assert len(every) == 302 and sorted(r.text for r in every if r.label == 0) == [""]
+    assert X.C.labelled_sample(docs, labels, "quality", 10 ** 6, 10 ** 6, 40, "t").count() == 40
