@@ -15,6 +15,7 @@ from pyspark.sql import Window
 from .. import config as C
 from ..fixtures import Fixtures
 from ..functions import text as T
+from ..operators import paragraph as PV
 from ..operators import tfidf as TF
 from ..operators.incremental import dense_index
 from ..session import cut_lineage, scratch_path
@@ -290,6 +291,13 @@ def q_word2vec_embed(spark, sf, vector_size: int = C.W2V_VECTOR_SIZE):
     return model.transform(docs).select("doc_id", "part", vector_to_array("v").alias("vec"))
 
 
+def q_paragraph_embed(spark, sf, size: int = C.W2V_VECTOR_SIZE):
+    """M6: paragraph vectors of every title and abstract, inferred with the model that was fitted on all of them."""
+    docs = lsa_docs(Fixtures(spark, sf)).select("doc_id", "part", T.tokens("text").alias("words"))
+    model = PV.fit(docs, size, C.W2V_MIN_COUNT, passes=C.W2V_PASSES)
+    return PV.infer(docs, model)
+
+
 def q_clean_nulls(spark, sf):
     """Null text -> '', nulls dropped from arrays."""
     p = paper_info(Fixtures(spark, sf))
@@ -343,6 +351,7 @@ QUERIES = {
     "lsa_corpus": q_lsa_corpus,
     "lsa_pretrain": q_lsa_pretrain,
     "word2vec_embed": q_word2vec_embed,
+    "paragraph_embed": q_paragraph_embed,
     "clean_nulls": q_clean_nulls,
     "paper_defaults": q_paper_defaults,
     "paper_normalise": q_paper_normalise,
