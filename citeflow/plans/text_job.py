@@ -15,6 +15,7 @@ from pyspark.sql import Window
 from .. import config as C
 from ..fixtures import Fixtures
 from ..functions import text as T
+from ..operators import lsa_blocks as LB
 from ..operators import paragraph as PV
 from ..operators import tfidf as TF
 from ..operators.incremental import dense_index
@@ -268,15 +269,14 @@ def q_lsa_corpus(spark, sf):
 
 
 def q_lsa_pretrain(spark, sf):
-    """M5: LSA (no pruning) on the interaction corpus, 100 dimensions."""
+    """M5: LSA (no pruning) on the interaction corpus, 100 dimensions; the matrices are tables of blocks."""
     fx = Fixtures(spark, sf)
     c = lsa_corpus(fx).select(F.col("idx").alias("doc"), "text")
-    n = c.count()
-    tf = TF.term_counts(c, ["doc"])
-    vocab = TF.fit_vocabulary(tf, n)
-    w = TF.weights(tf, vocab, ["doc"], vocab_bounded=False)
-    idx, v = TF.lsa_fit(w, vocab, ["doc"], C.LSA_COMPONENTS)
-    return TF.lsa_transform(w, idx, v, ["doc"], c, normalise=False)
+    tf = cut_lineage(TF.term_counts(c, ["doc"]))
+    vocab = TF.fit_vocabulary(tf, c.count())
+    lay = LB.lay_out(TF.weights(tf, vocab, ["doc"], vocab_bounded=False), ["doc"])
+    v, size = LB.fit(lay, C.LSA_COMPONENTS)
+    return LB.transform(lay, v, len(size), ["doc"], c, normalise=False)
 
 
 def q_word2vec_embed(spark, sf, vector_size: int = C.W2V_VECTOR_SIZE):
