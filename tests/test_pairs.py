@@ -87,3 +87,38 @@ def test_light_and_hot_weights_add_up(spark, block):
     cols = ["a", "b", "W", "score", "rk"]
     want = rows(P.pair_topk(m, 6, "inverse_size", True, hot=10**9), cols)
     assert rows(P.pair_topk(m, 6, "inverse_size", True, hot=8, block=block), cols) == want
+
+
+def _large(spark, data):
+    inc = spark.createDataFrame(data, "g long, m long")
+    size = inc.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    return inc.join(size, "g").withColumn("wg", F.lit(1.0) / F.col("n"))
+
+
+def test_a_group_in_many_blocks_makes_a_row_per_member(spark):
+    """The rows between tasks grow with the memberships, not with the square of a group's size."""
+    from citeflow.operators import pairs as P
+    heavy = _large(spark, [(g, (g * 37 + i * 101) % 4000) for g in range(50) for i in range(60)])
+    index, blocks, _ = P._numbered(heavy, None, 1, P.WORK)
+    assert blocks >= index.count() and P._sent(heavy, index, None, blocks).count() <= heavy.count()
+
+
+@pytest.mark.parametrize("work", [50, 2000])
+def test_members_with_tasks_of_their_own_and_cut_lists(spark, work, monkeypatch):
+    """Few members in very many groups, lists in chunks, few pairs at a time: the same pairs."""
+    from citeflow.operators import pairs as P
+    data = {(g, (g * i) % 23 + i) for g in range(200) for i in range(1, 18)} | {(500, m) for m in range(80)}
+    m = spark.createDataFrame(sorted(data), "g long, m long")
+    cols = ["a", "b", "W", "score", "rk"]
+    want = rows(P.pair_topk(m, 4, "one", True, hot=10**9), cols)
+    heavy, cut, whole = P._with_hot_groups, P._sent, P._block_best
+
+    def few_at_once(*args):
+        def best(key, met, light):
+            P.PAIRS_AT_ONCE = 40
+            return whole(*args)(key, met, light)
+        return best
+    monkeypatch.setattr(P, "_with_hot_groups", lambda *a: heavy(*a, work=work))
+    monkeypatch.setattr(P, "_sent", lambda *a: cut(*a, chunk=30))
+    monkeypatch.setattr(P, "_block_best", few_at_once)
+    assert rows(P.pair_topk(m, 4, "one", True, hot=5), cols) == want
