@@ -16,23 +16,22 @@ def nest_recall(flat: DataFrame) -> DataFrame:
 
     List order: followed, cooperation, similar (W9), then rank. An empty pool
     leaves its field null (omitted in JSON); users without rows never appear.
-    Two grouping levels, each a shuffle on the grouping key.
+    The rows are dealt by user once; both grouping levels work on a user's rows where they are.
     """
     lab = F.create_map(*[x for k, v in C.LABEL_ORDER.items() for x in (F.lit(k), F.lit(v))])
     paper = F.struct(*[F.col(c) for c in PAPER_FIELDS])
-    per_pool = (flat
-                .withColumn("o", F.struct(lab[F.col("label")].alias("lo"),
-                                          F.col("rank").alias("rk"), paper.alias("p")))
-                .groupBy("user_id", "followed_id", "name_of_followed_author",
-                         "chinese_name_of_followed_author", "pool")
-                .agg(F.transform(F.array_sort(F.collect_list("o")), lambda x: x["p"]).alias("lst")))
-    per_author = (per_pool
+
+    def papers(pool: str):
+        own = F.collect_list(F.when(F.col("pool") == pool, F.col("o")))
+        return F.when(F.size(own) > 0, F.transform(F.array_sort(own), lambda x: x["p"]))
+
+    per_author = (flat.repartition("user_id")
+                  .withColumn("o", F.struct(lab[F.col("label")].alias("lo"),
+                                            F.col("rank").alias("rk"), paper.alias("p")))
                   .groupBy("user_id", "followed_id", "name_of_followed_author",
                            "chinese_name_of_followed_author")
-                  .agg(F.first(F.when(F.col("pool") == C.POOL_HIGH, F.col("lst")), True)
-                       .alias("highly_cited_papers"),
-                       F.first(F.when(F.col("pool") == C.POOL_LATEST, F.col("lst")), True)
-                       .alias("latest_papers")))
+                  .agg(papers(C.POOL_HIGH).alias("highly_cited_papers"),
+                       papers(C.POOL_LATEST).alias("latest_papers")))
     followed = F.struct(
         F.col("followed_id").alias("id_of_followed_author"),
         "name_of_followed_author", "chinese_name_of_followed_author",

@@ -53,3 +53,20 @@ def test_a_focus_reads_its_own_papers_only(spark, sf_small):
     every = q_recall_user(spark, sf_small).where(F.col("user_id") == user).collect()
     assert sorted(map(str, one)) == sorted(map(str, every)) and one
     assert set(spark.sparkContext._jsc.getPersistentRDDs()) == before
+
+
+def test_nesting_shuffles_the_rows_once(spark):
+    from citeflow.sinks.nested import nest_recall
+    paper = {"paper_id": "long", "distance": "double", "new": "boolean", "n_citation": "long", "author_id": "long",
+             "author_name_en": "string", "author_name_zh": "string", "pv": "long", "zone": "array<string>"}
+    schema = ("user_id long, followed_id long, name_of_followed_author string, chinese_name_of_followed_author string, "
+              "pool string, label string, rank long, " + ", ".join(f"{c} {t}" for c, t in paper.items()))
+    row = lambda u, f, pool, label, rank, p: (u, f, "n", None, pool, label, rank, p, 0.5, False, 1, f, "n", "", 0, [])
+    flat = spark.createDataFrame([row(1, 7, "high", "similar_scholar", 1, 30), row(1, 7, "high", "followed_scholar", 2, 20),
+                                  row(1, 7, "high", "followed_scholar", 1, 10), row(1, 8, "latest", "followed_scholar", 1, 5)], schema)
+    nested = nest_recall(flat)
+    assert nested._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    got = nested.collect()[0]["followed"]
+    assert [f.id_of_followed_author for f in got] == [7, 8]
+    assert [p.paper_id for p in got[0].papers.highly_cited_papers] == [10, 20, 30] and got[0].papers.latest_papers is None
+    assert got[1].papers.highly_cited_papers is None and [p.paper_id for p in got[1].papers.latest_papers] == [5]
