@@ -32,6 +32,8 @@ from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 from ..functions.text import tokens
 from ..session import ship_package
 
+FEATURES_AT_ONCE = 200_000
+
 
 class Embedder:
     dim: int
@@ -56,20 +58,31 @@ class HashingEmbedder(Embedder):
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                lists = b.column(1)
-                row = np.repeat(np.arange(b.num_rows), lists.value_lengths().to_numpy())
-                coded = lists.flatten().dictionary_encode()
-                slot, sign = hashed_features(coded.dictionary.to_pylist(), dim, seed)
-                code = coded.indices.to_numpy()
-                out = np.zeros((b.num_rows, dim))
-                np.add.at(out, (row, slot[code]), sign[code] * b.column(2).flatten().to_numpy())
-                size = np.linalg.norm(out, axis=1, keepdims=True)
-                out /= np.where(size > 0, size, 1.0)
-                vec = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, dim), pa.int32()), pa.array(out.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([b.column(0), vec], names=[id_field.name, "vec"])
+                for part in feature_slices(b):
+                    lists = part.column(1)
+                    row = np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy())
+                    coded = lists.flatten().dictionary_encode()
+                    slot, sign = hashed_features(coded.dictionary.to_pylist(), dim, seed)
+                    code = coded.indices.to_numpy()
+                    out = np.zeros((part.num_rows, dim))
+                    np.add.at(out, (row, slot[code]), sign[code] * part.column(2).flatten().to_numpy())
+                    size = np.linalg.norm(out, axis=1, keepdims=True)
+                    out /= np.where(size > 0, size, 1.0)
+                    vec = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, dim), pa.int32()), pa.array(out.reshape(-1)))
+                    yield pa.RecordBatch.from_arrays([part.column(0), vec], names=[id_field.name, "vec"])
         return rows.mapInArrow(run, StructType([id_field, StructField("vec", ArrayType(DoubleType()))]))
 
 
+def feature_slices(batch: pa.RecordBatch, limit: int = FEATURES_AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """The batch in row slices of about ``limit`` features each (one row at least)."""
+    upto = np.cumsum(batch.column(1).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + limit, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def hashed_features(features: list[str], dim: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Slot and sign of each feature, from the md5 of ``seed:feature`` (which SQL engines have, too)."""
     digests = [hashlib.md5(f"{seed}:{f}".encode()).hexdigest() for f in features]

@@ -52,3 +52,11 @@ def test_hashing_adds_up_tokens_row_by_row(spark):
     want /= np.linalg.norm(want)
     assert any(np.allclose(r.vec, want) for r in got if r.id == 7)
     assert not any(r.vec != [0.0] * 16 for r in got if r.id > 7)
+
+
+def test_a_batch_is_encoded_some_features_at_a_time():
+    import pyarrow as pa
+    from citeflow.operators import embed as E
+    batch = pa.record_batch([pa.array(range(6)), pa.array([["a"] * 3, [], ["b"] * 9, ["c"], ["d"], ["e"]])], names=["id", "features"])
+    parts = [p.column(0).to_pylist() for p in E.feature_slices(batch, 4)]
+    assert parts == [[0, 1], [2], [3, 4, 5]]
