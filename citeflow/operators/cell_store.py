@@ -22,9 +22,10 @@ Folder of an index::
 * ``search_exact`` gives the true k nearest by the triangle inequality. The nearest cells
   that hold k vectors give every query a distance that its k-th neighbour can't exceed
   (its reach); then it meets only cells with distance to the centre - radius <= reach,
-  and in these only blocks' vectors whose ``far`` is within reach of the query's own
-  distance to the centre. Distances come from a matrix product; the bounds are widened by
-  more than its rounding error. Cosine works on unit vectors; dot products have no such
+  and in these only vectors whose ``far`` is within reach of the query's own
+  distance to the centre. Cells lie on shelves: a query is sent once to a shelf, with the
+  cells there that it meets, not once to every cell. Distances come from a matrix product;
+  the bounds are widened by more than its rounding error. Cosine works on unit vectors; dot products have no such
   bound and are refused.
 
 Rows with a null vector take no part. The centres are broadcast; more than
@@ -53,7 +54,8 @@ SAMPLE_PER_CELL = 64
 ROUNDS = 8                       # of k-means
 CENTRE_BYTES = 512 << 20
 ROWS_PER_FILE = 1 << 20
-PAIRS_AT_ONCE = 1 << 22          # distances to centres computed at once
+PAIRS_AT_ONCE = 1 << 20          # distances to centres computed at once
+HITS_AT_ONCE = 1 << 20           # hits of a shelf's cells before they are cut
 _VERSION = "version long, metric string, cells long, columns string, build string"
 
 
@@ -230,10 +232,13 @@ class CellStore:
         near = self._staged(K._block_join(first.select("qid", "vec", "cell"), rows.select("cid", "vec", "cell"), k, metric, exclude_self, block), "exact-near")
         kth = K.top_k(near, k, metric).where(F.col("rank") == k).select(F.col("qid").alias("id"), F.col("score").alias("kth"))
         bounded = queries.join(kth, F.col("qid") == F.col("id"), "left").select("qid", "vec", "kth")
-        more = self._staged(bounded.mapInArrow(_reached_cells(shared, metric, need), "qid long, vec array<double>, cell long, far double, reach double")
-                      .withColumnRenamed("far", "own"), "exact-more")
-        rest = K._block_join(more, rows, k, metric, exclude_self, block, keep=_within_reach)
-        return near.unionByName(rest), [first.select("qid", "cell"), more.select("qid", "cell")]
+        shelf, shelf_rows = _shelves(n, block)
+        more = self._staged(bounded.mapInArrow(_reached_cells(shared, shelf, metric, need), StructType(
+            [*queries.schema.fields, *StructType.fromDDL("cell long, cells array<long>, own array<double>, reach double").fields])), "exact-more")
+        places = self.spark.createDataFrame(list(zip(ids.tolist(), shelf.tolist())), "cell long, shelf long")
+        placed = rows.join(F.broadcast(places), "cell").select("cid", "vec", F.col("shelf").alias("cell"), F.col("cell").alias("part"), "far")
+        rest = K._block_join(more, placed, k, metric, exclude_self, shelf_rows, rank=_by_cell(metric, k, exclude_self))
+        return near.unionByName(rest), [first.select("qid", "cell"), more.select("qid", F.explode("cells").alias("cell"))]
 
     def pairs_met(self, passes: list[DataFrame]) -> int:
         """Pairs of a query and a vector that an exact search looks at, cell by cell."""
@@ -265,8 +270,14 @@ def _nearest_cells(shared, metric: str, need: int):
     return run
 
 
-def _reached_cells(shared, metric: str, need: int):
-    """For each query the cells, but for those of the first pass, that can hold one of its nearest."""
+def _shelves(n: np.ndarray, block: int) -> tuple[np.ndarray, int]:
+    """The shelf of every cell, cells in order, and about how many vectors a shelf has: those of a block (``_block_join``)."""
+    rows = min(K.SPREAD * block, max(block, int(n.sum()) // K.SPREAD))
+    return (np.cumsum(n) - n) // rows, rows
+
+
+def _reached_cells(shared, shelf: np.ndarray, metric: str, need: int):
+    """For each query and shelf the cells, but for those of the first pass, that can hold one of its nearest."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, c, radius, n = shared.value
         for b in batches:
@@ -287,16 +298,44 @@ def _reached_cells(shared, metric: str, need: int):
                 # wider than the rounding of d, far and radius
                 wide = reach[s:s + step] * (1 + 1e-9) + 2 * error
                 row, at = np.nonzero((d - radius[None, :] <= wide[:, None]) & (n > 0)[None, :] & ~seen)
-                own = b.slice(s, step).take(pa.array(row))
+                if not row.size:
+                    continue
+                start = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (shelf[at[1:]] != shelf[at[:-1]])])
+                own = b.slice(s, step).take(pa.array(row[start]))
+                offsets = pa.array(np.r_[start, row.size], pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [own.column(0), own.column(1).cast(pa.list_(pa.float64())), pa.array(ids[at]), pa.array(d[row, at]), pa.array(wide[row])],
-                    names=["qid", "vec", "cell", "far", "reach"])
+                    [own.column(0), own.column(1), pa.array(shelf[at[start]]), pa.ListArray.from_arrays(offsets, pa.array(ids[at])),
+                     pa.ListArray.from_arrays(offsets, pa.array(d[row, at])), pa.array(wide[row[start]])],
+                    names=["qid", "vec", "cell", "cells", "own", "reach"])
     return run
 
 
-def _within_reach(queries, rows):
+def _by_cell(metric: str, k: int, exclude_self: bool):
+    """The k best of a shelf for each query, from the cells that it meets there."""
+    def rank(queries, rows):
+        held = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if len(queries) and len(rows):
+            qid, q, reach = queries["qid"].to_numpy(np.int64), K._stack(queries["qvec"].values), queries["reach"].to_numpy(np.float64)
+            of = np.repeat(np.arange(len(qid)), queries["cells"].str.len().to_numpy(np.int64))
+            cells, own = np.concatenate(queries["cells"].to_numpy()), np.concatenate(queries["own"].to_numpy())
+            order = np.argsort(cells, kind="stable")
+            cells, own, of = cells[order], own[order], of[order]
+            cid, c, far = rows["cid"].to_numpy(np.int64), K._stack(rows["vec"].values), rows["far"].to_numpy(np.float64)
+            part = rows["part"].to_numpy(np.int64)
+            by = np.argsort(part, kind="stable")
+            for j in np.intersect1d(part, cells):
+                meet = slice(*np.searchsorted(cells, [j, j + 1]))
+                some = by[slice(*np.searchsorted(part, [j, j + 1], sorter=by))]
+                some = some[_within_reach(own[meet], reach[of[meet]], far[some])]
+                held.append(K.rank_block(metric, qid[of[meet]], q[of[meet]], cid[some], c[some], k, exclude_self))
+                if sum(x[0].size for x in held) > HITS_AT_ONCE:
+                    held = [K._best(*(np.concatenate(x) for x in zip(*held)), k, metric)]
+        return K._best(*(np.concatenate(x) for x in zip(*held)), k, metric)
+    return rank
+
+
+def _within_reach(own: np.ndarray, reach: np.ndarray, far: np.ndarray) -> np.ndarray:
     """Rows whose distance to the centre is within reach of that of some query."""
-    own, reach, far = (x.to_numpy(np.float64) for x in (queries["own"], queries["reach"], rows["far"]))
     order = np.argsort(own - reach)
     low, high = (own - reach)[order], np.maximum.accumulate((own + reach)[order])
     at = np.searchsorted(low, far, "right") - 1                 # the widest interval that begins before the row

@@ -16,7 +16,8 @@ Plans, chosen by the caller's arguments and never by a counted size:
 * both sides large, exact: a block join. Rows are dealt to blocks of about
   ``BLOCK`` by a hash of their id, every query block meets every corpus block,
   and a pair of blocks emits k rows per query. The work is that of an exact
-  search, the size of a group is a constant.
+  search. A row is sent to every block of the other side, so from ``SPREAD`` blocks
+  on it is the blocks that grow (to ``SPREAD * BLOCK`` rows), not their number.
 * both sides large, approximate: the same block join inside cells (trained
   centroids, ``nprobe`` per query) or inside LSH buckets (several sign bits per
   table); a crowded cell or bucket is split into blocks on both sides.
@@ -44,8 +45,10 @@ from ..session import ship_package
 
 SMALL = 100_000          # rows of a side declared small
 BLOCK = 2048             # rows of a block, on average
+SPREAD = 16              # blocks of a side before its blocks grow; how many times BLOCK they grow to
 SAMPLE_PER_CELL = 64     # training vectors per centroid
 ROWS_AT_ONCE = 256       # query rows scored together
+KEYS_AT_ONCE = 1 << 22   # query rows times corpus rows of them
 PAIRS_AT_ONCE = 1 << 18  # candidate pairs scored together
 
 _HITS = "qid long, cid long, score double"
@@ -111,8 +114,9 @@ def rank_block(metric: str, qids, q: np.ndarray, cids, c: np.ndarray, k: int, ex
     if len(qids) == 0 or len(cids) == 0:
         return none
     out = [none]
-    for s in range(0, len(qids), ROWS_AT_ONCE):
-        qi, qm = qids[s:s + ROWS_AT_ONCE], q[s:s + ROWS_AT_ONCE]
+    step = max(1, min(ROWS_AT_ONCE, KEYS_AT_ONCE // len(cids)))
+    for s in range(0, len(qids), step):
+        qi, qm = qids[s:s + step], q[s:s + step]
         key, error = _keys(metric, qm, c)
         if exclude_self:
             key[qi[:, None] == cids[None, :]] = np.inf
@@ -185,16 +189,18 @@ def _small_corpus(queries: DataFrame, corpus: DataFrame, k: int, metric: str, ex
 
 # ---- both sides large: blocks -----------------------------------------------
 def _block_join(q: DataFrame, c: DataFrame, k: int, metric: str, exclude_self: bool, block: int = BLOCK,
-               keep=None) -> DataFrame:
+               rank=None) -> DataFrame:
     """(qid, cid, score) of ``q(qid, vec, cell)`` against ``c(cid, vec, cell)`` of the same cell.
 
-    Both sides of a cell are split into blocks of about ``block`` rows; a group
-    is one pair of blocks and emits at most k rows per query. ``keep(queries, rows)``
-    says which rows of a block may matter to its queries (frames with all columns given).
+    Both sides of a cell are split into blocks of about ``block`` rows (more of a cell with
+    over ``SPREAD`` blocks); a group is one pair of blocks and emits at most k rows per query.
+    ``rank(queries, rows)`` scores a pair of blocks in another way than all with all (frames
+    with all columns given).
     """
     q_more, c_more = ([x for x in df.columns if x not in ("qid", "cid", "vec", "cell")] for df in (q, c))
-    blocks = lambda df, n: df.groupBy("cell").agg(
-        F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias(n))
+    rows = F.count(F.lit(1))
+    n_blocks = F.least(F.ceil(rows / F.lit(block)), F.greatest(F.lit(SPREAD), F.ceil(rows / F.lit(SPREAD * block))))
+    blocks = lambda df, n: df.groupBy("cell").agg(n_blocks.cast("int").alias(n))
     sizes = blocks(q, "qn").join(blocks(c, "cn"), "cell")
     deal = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -204,10 +210,11 @@ def _block_join(q: DataFrame, c: DataFrame, k: int, metric: str, exclude_self: b
            .select("cell", "qb", "cb", "cid", "vec", *c_more))
 
     def best(qdf: pd.DataFrame, cdf: pd.DataFrame) -> pd.DataFrame:
-        if keep is not None and len(qdf) and len(cdf):
-            cdf = cdf[keep(qdf, cdf)]
-        got = rank_block(metric, qdf["qid"].to_numpy(np.int64), _stack(qdf["qvec"].values),
-                         cdf["cid"].to_numpy(np.int64), _stack(cdf["vec"].values), k, exclude_self)
+        if rank is not None:
+            got = rank(qdf, cdf)
+        else:
+            got = rank_block(metric, qdf["qid"].to_numpy(np.int64), _stack(qdf["qvec"].values),
+                             cdf["cid"].to_numpy(np.int64), _stack(cdf["vec"].values), k, exclude_self)
         return pd.DataFrame(dict(zip(("qid", "cid", "score"), got)))
     return (qs.groupBy("qcell", "qb", "cb").cogroup(cs.groupBy("cell", "qb", "cb"))
               .applyInPandas(best, _HITS))

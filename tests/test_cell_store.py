@@ -120,3 +120,16 @@ def test_dot_products_are_refused_by_the_exact_search(spark, tmp_dir):
     assert store.search(queries(df), 3).count() == 90
     with pytest.raises(ValueError):
         store.search_exact(queries(df), 3)
+
+
+def test_a_query_is_sent_to_shelves_not_to_every_cell(spark, tmp_dir, monkeypatch):
+    """Vectors without clusters, of which every query reaches nearly all cells."""
+    x = np.random.default_rng(5).normal(size=(600, 16))
+    df = frame(spark, x)
+    store = CellStore(spark, f"{tmp_dir}/index")
+    store.build(df, "l2", n_cells=60)
+    sent, join = [], K._block_join
+    monkeypatch.setattr(K, "_block_join", lambda q, *a, **b: sent.append(q.count()) or join(q, *a, **b))
+    hits, passes = store._exact_hits(queries(df), 5, True, None, 64)
+    assert found(K.top_k(hits, 5, "l2")) == brute(x, x, 5, "l2", True)
+    assert passes[1].count() > 40 * len(x) and sent[1] <= 10 * len(x)

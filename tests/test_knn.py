@@ -130,3 +130,12 @@ def test_probing_recall(spark, vectors):
     got = by_query(K.knn(c.withColumnRenamed("cid", "qid"), c, 5, exclude_self=True, exact=False, n_cells=12, nprobe=4).collect())
     want = brute(vectors, vectors, 5, "l2", True)
     assert sum(len(set(got[i]) & set(want[i])) for i in want) >= 0.9 * 5 * len(want)
+
+
+def test_blocks_grow_where_they_would_be_many(spark):
+    """From SPREAD blocks of a side on a row isn't sent to more of them."""
+    from pyspark.sql import functions as F
+    rows = lambda n, key: spark.range(n).select(
+        F.col("id").alias(key), F.array(F.sin("id"), F.cos(F.col("id") * 7)).alias("vec"), F.lit(0).cast("long").alias("cell"))
+    got = K._block_join(rows(500, "qid"), rows(4000, "cid"), 2, "l2", True, 16)
+    assert got.count() == 500 * 2 * K.SPREAD
