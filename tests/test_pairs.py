@@ -122,3 +122,15 @@ def test_members_with_tasks_of_their_own_and_cut_lists(spark, work, monkeypatch)
     monkeypatch.setattr(P, "_sent", lambda *a: cut(*a, chunk=30))
     monkeypatch.setattr(P, "_block_best", few_at_once)
     assert rows(P.pair_topk(m, 4, "one", True, hot=5), cols) == want
+
+
+def test_light_groups_are_dealt_by_their_number(spark, monkeypatch):
+    """A task pairs about LIGHT memberships, however small Spark finds the partitions."""
+    from citeflow.operators import pairs as P
+    monkeypatch.setattr(P, "LIGHT", 20)
+    m = spark.createDataFrame([(g, (g * 7 + i) % 50) for g in range(100) for i in range(3)], "g long, m long")
+    got = P.pair_topk(m, 3)
+    assert "hashpartitioning(g" in (plan := got._jdf.queryExecution().executedPlan().toString()) and ", 15), REPARTITION_BY_NUM" in plan
+    monkeypatch.setattr(P, "LIGHT", 10**6)
+    cols = ["a", "b", "W", "rk"]
+    assert rows(got, cols) == rows(P.pair_topk(m, 3), cols)
