@@ -66,3 +66,13 @@ def test_paper_scan_quarantine_and_last_wins(spark, tmp_dir):
 def test_day_range_drops_last(spark):
     r = spark.range(1).select(P.day_range(dt.date(2024, 1, 1), dt.date(2024, 1, 3), drop_last=True).alias("d")).first()
     assert r["d"] == [dt.date(2024, 1, 1), dt.date(2024, 1, 2)]
+
+
+def test_paper_records_gather_the_lines_of_documents_only(spark, sf_small):
+    """Line items and orders without a document are left out before they are joined and gathered."""
+    from citeflow.fixtures import Fixtures
+    from citeflow.plans import text_job
+    papers = text_job.paper_info(Fixtures(spark, sf_small))
+    plan = papers._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftSemi") == 2
+    assert papers.count() == Fixtures(spark, sf_small).table("documents").count()
