@@ -279,34 +279,40 @@ def across(entries: DataFrame, links: DataFrame, sets: DataFrame, per_cent: int,
     Each round pairs a group (hub, edit) with ``first`` of its x (one per slot of a hash),
     the next with ``first`` times as many of those not yet taken, so a round's pairs grow
     with the rows of a group and not with their square while links still join its
-    components. Done when every x of a group with two components was taken.
+    components. After new links a group keeps only the rows that still have a partner:
+    x not yet taken and y of another component than one of them. Done when no x is left.
     """
-    comp = components(links)
-    taken, slots = None, first
-
-    def placed(comp: DataFrame) -> DataFrame:
-        """The entries of groups that have an x and two components."""
-        e = entries.join(comp, F.col("doc") == F.col("id"), "left").withColumn("comp", F.coalesce("component", "doc")).drop("id", "component")
-        two = e.groupBy("hub", "edit").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("is_x").alias("any_x"))
-        return C.scratch(e.join(two.where("lo <> hi and any_x").select("hub", "edit"), ["hub", "edit"], "left_semi"), "near-groups")
-    group = placed(comp)
+    slots, group = first, _open(entries, components(links))
     while True:
-        left = group.where("is_x")
-        if taken is not None:
-            left = left.join(taken, ["hub", "edit", "doc"], "left_anti")
-        x = (left.withColumn("slot", F.pmod(F.xxhash64("doc"), F.lit(slots))).groupBy("hub", "edit", "slot")
-                 .agg(F.min(F.struct("over", "doc", "size", "at", "comp")).alias("x")).drop("slot"))
+        x = (group.where("is_x").withColumn("slot", F.pmod(F.xxhash64("doc"), F.lit(slots))).groupBy("hub", "edit", "slot")
+                  .agg(F.min(F.struct("over", "doc", "size", "at", "comp")).alias("x")).drop("slot"))
         x = C.scratch(x, "near-taken")
         if x.isEmpty():
             return links
         pairs = (x.join(group.where("is_y"), ["hub", "edit"]).where(F.col("x.comp") != F.col("comp")).where(_reach(per_cent))
                   .select(F.least("x.doc", "doc").alias("a"), F.greatest("x.doc", "doc").alias("b")).distinct())
         new = C.scratch(verified(C.scratch(pairs, "near-pairs"), sets, per_cent), "near-links")
-        taken = x.select("hub", "edit", "x.doc") if taken is None else taken.unionByName(x.select("hub", "edit", "x.doc"))
+        done = x.select("hub", "edit", F.col("x.doc").alias("doc"), F.lit(True).alias("taken"))
+        group = (group.join(done, ["hub", "edit", "doc"], "left").withColumn("is_x", F.col("is_x") & F.col("taken").isNull()).drop("taken"))
         slots *= first
-        if not new.isEmpty():
+        if new.isEmpty():
+            group = C.scratch(group, "near-groups")
+        else:
             links = links.unionByName(new)
-            group = placed(components(links))
+            group = _open(group.drop("comp"), components(links))
+
+
+def _open(entries: DataFrame, comp: DataFrame) -> DataFrame:
+    """The entries with their component ``comp``, of which a group's x and y lie in two: those that another one of
+    the group can meet. Components only join, so what goes is not missed later."""
+    e = entries.join(comp, F.col("doc") == F.col("id"), "left").withColumn("comp", F.coalesce("component", "doc")).drop("id", "component")
+    of = lambda role, f, name: f(F.when(F.col(role), F.col("comp"))).alias(name)
+    two = e.groupBy("hub", "edit").agg(of("is_x", F.min, "x_lo"), of("is_x", F.max, "x_hi"), of("is_y", F.min, "y_lo"), of("is_y", F.max, "y_hi"))
+    two = two.where("x_lo is not null and y_lo is not null and least(x_lo, y_lo) <> greatest(x_hi, y_hi)")
+    e = e.join(two, ["hub", "edit"])
+    apart = lambda lo, hi: (F.col(lo) != F.col("comp")) | (F.col(hi) != F.col("comp"))
+    e = e.withColumn("is_x", F.col("is_x") & apart("y_lo", "y_hi")).withColumn("is_y", F.col("is_y") & apart("x_lo", "x_hi"))
+    return C.scratch(e.where("is_x or is_y").drop("x_lo", "x_hi", "y_lo", "y_hi"), "near-groups")
 
 
 # ---- union-find --------------------------------------------------------------------

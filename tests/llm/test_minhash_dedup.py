@@ -149,3 +149,14 @@ def test_a_large_group_with_shared_edits_makes_few_pairs(spark, monkeypatch):
     check(spark, rows)
     star, *rounds = made
     assert rounds and sum(rounds) < 20 * len(rows) < 0.2 * len(rows) ** 2
+
+
+def test_groups_keep_only_rows_that_still_have_a_partner(spark):
+    entry = lambda edit, doc, x, y: (0, edit, doc, 1, 1, 1, 1, x, y)
+    rows = [entry(1, 1, True, True), entry(1, 2, False, True), entry(1, 3, False, True), entry(1, 4, False, False),     # 3 is another component
+            entry(2, 1, True, True), entry(2, 2, True, True),                    # one component
+            entry(3, 1, False, True), entry(3, 3, False, True)]                  # no x left
+    e = spark.createDataFrame(rows, "hub long, edit long, doc long, weight long, over long, size long, at int, is_x boolean, is_y boolean")
+    comp = spark.createDataFrame([(2, 1)], "id long, component long")
+    got = sorted((r.edit, r.doc, r.comp, r.is_x, r.is_y) for r in X._open(e, comp).collect())
+    assert got == [(1, 1, 1, True, False), (1, 3, 3, False, True)]
