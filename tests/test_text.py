@@ -48,3 +48,12 @@ def test_topic_fallback_and_epoch(spark):
     rows = df.select(T.topic_or_unknown("t").alias("t"), T.text_to_epoch("ts").alias("e")).collect()
     assert rows[0]["t"] == "unknown" and rows[1]["t"] == "unknown"
     assert rows[0]["e"] == 978307210 and rows[1]["e"] is None
+
+
+def test_cleaning_is_one_pass_with_the_results_of_the_original_two(spark):
+    import re
+    rows = ["", " ", "a_b-c  d", "\t x\u00a0y\u2028z \r\n", "it's $x_1$ 5% \u00e9t\u00e9 \u4e2d\u6587 A9", "__", "Z$ $ $q"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "i long, t string").select("i", T.clean_text("t").alias("c"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 2
+    two = lambda t: re.sub(r"\s+", " ", re.sub(r"[^A-Za-z0-9'\s]", " ", re.sub(r"\$.*?\$", "", t), flags=re.ASCII), flags=re.ASCII)
+    assert {r.i: r.c for r in df.collect()} == {i: two(t) for i, t in enumerate(rows)}
