@@ -12,17 +12,17 @@ from . import pairs as P
 
 
 def coauthor_edges(authorship: DataFrame, top: int = C.COAUTHOR_TOP,
-                   focus: DataFrame | None = None, hot: int = P.DEFAULT_HOT) -> DataFrame:
+                   focus: DataFrame | None = None, hot: int = P.DEFAULT_HOT, once: bool = False) -> DataFrame:
     """Top collaborators per scholar -> (f, t, w, rk).
 
     ``w`` is the number of shared papers; the cut keeps ``top`` per ``f`` by
     ``w desc, t``. With ``focus`` only those scholars' edges are built.
     Papers with more than ``hot`` authors never emit all their pairs (see
-    :mod:`citeflow.operators.pairs`).
+    :mod:`citeflow.operators.pairs`). ``once``: no row of ``authorship`` is repeated.
     """
     m = authorship.select(F.col("paper_id").alias("g"), F.col("author_id").alias("m"))
     fm = focus.select(F.col("author_id").alias("m")) if focus is not None else None
-    top_pairs = P.pair_topk(m, top, group_weight="one", hot=hot, focus=fm)
+    top_pairs = P.pair_topk(m, top, group_weight="one", hot=hot, focus=fm, once=once)
     return top_pairs.select(F.col("a").alias("f"), F.col("b").alias("t"),
                             F.col("W").cast("bigint").alias("w"), "rk")
 

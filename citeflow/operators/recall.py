@@ -24,7 +24,7 @@ from pyspark.sql import Window
 
 from .. import config as C
 from ..functions.score import distance_from_score, score_int
-from ..session import cut_lineage
+from ..session import cut_lineage, written
 
 
 def rank_order():
@@ -106,7 +106,8 @@ def recall_lists(authorship: DataFrame, paper: DataFrame, pools: dict[str, DataF
     out = []
     for pool_name, pool in pools.items():
         n = sizes[pool_name]
-        per_scholar = top_per_scholar(scored(scholar_papers(authorship, pool), paper), n)
+        # at most n rows per scholar, read by every label: cut once
+        per_scholar = written(top_per_scholar(scored(scholar_papers(authorship, pool), paper), n), "cut-lists")
         own = per_scholar
         if focus is not None:
             own = own.join(focus.select(F.col("f").alias("author_id")), "author_id", "left_semi")

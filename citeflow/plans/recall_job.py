@@ -9,7 +9,7 @@ from .. import config as C
 from ..fixtures import Fixtures
 from ..functions.score import distance_from_score, score_int
 from ..operators import graph, recall
-from ..session import cut_lineage
+from ..session import cut_lineage, written
 from ..sinks.nested import nest_recall
 
 
@@ -31,24 +31,29 @@ def _flat(lists: DataFrame) -> DataFrame:
                         "n_citation", "author_id")
 
 
-def lists_for(fx: Fixtures, focus: DataFrame | None, labels=("followed", "cooperation", "similar")):
-    """Recall lists; with a focus only the papers of the scholars involved are aggregated.
+def lists_for(fx: Fixtures, focus: DataFrame | None, labels=("followed", "cooperation", "similar")) -> DataFrame:
+    """Recall lists; with a focus only the papers of the scholars involved are aggregated."""
+    return _lists_and_papers(fx, focus, labels)[0]
 
-    The paper aggregate is written once per job: both pools and the scores read it.
+
+def _lists_and_papers(fx: Fixtures, focus: DataFrame | None, labels=("followed", "cooperation", "similar")) -> tuple[DataFrame, DataFrame]:
+    """(recall lists, the papers they were made from).
+
+    Authorship and the paper aggregate are written once per job: the edges, both pools and the scores read them.
     """
-    authorship = fx.authorship()
-    co = graph.coauthor_edges(authorship, focus=focus) if "cooperation" in labels else None
+    authorship = written(fx.authorship(), "authorship")
+    co = graph.coauthor_edges(authorship, focus=focus, once=True) if "cooperation" in labels else None
     sim = graph.similar_edges(scholar_vectors(fx), focus=focus) if "similar" in labels else None
     edges = recall.edge_sets(co, sim, focus)
     ids = None
     if focus is not None:
-        authorship = cut_lineage(authorship.join(recall.needed(focus, edges), "author_id", "left_semi"))
+        authorship = written(authorship.join(recall.needed(focus, edges), "author_id", "left_semi"), "authorship")
         ids = authorship.select("paper_id").distinct()
-    paper = cut_lineage(fx.paper(ids))
+    paper = written(fx.paper(ids), "papers")
     lists = recall.recall_lists(authorship, paper, _pools(fx, paper), focus, edges)
     if "followed" not in labels:
         lists = lists.where(F.col("label") != C.LABEL_FOLLOWED)
-    return lists
+    return lists, paper
 
 
 # ---- named queries (spark, sf_dir) -> DataFrame -----------------------------
@@ -102,7 +107,7 @@ def q_author_index_latest(spark, sf):
 
 
 def q_coauthor_edges(spark, sf):
-    return graph.coauthor_edges(Fixtures(spark, sf).authorship())
+    return graph.coauthor_edges(Fixtures(spark, sf).authorship(), once=True)
 
 
 def q_similar_edges(spark, sf):
@@ -129,9 +134,10 @@ def q_recall_all(spark, sf):
 
 def _enriched(fx: Fixtures, focus: DataFrame | None) -> DataFrame:
     """The lists with their dimensions, which are aggregated for the recalled papers only."""
-    lists = cut_lineage(lists_for(fx, focus))
-    ids = cut_lineage(lists.select("paper_id").distinct())
-    out = recall.enrich(lists, fx.author(), fx.pool_newest(paper=fx.paper(ids)), fx.paper_pv(ids), fx.paper_zone(ids))
+    lists, paper = _lists_and_papers(fx, focus)
+    lists = written(lists, "lists")
+    ids = written(lists.select("paper_id").distinct(), "recalled")
+    out = recall.enrich(lists, fx.author(), fx.pool_newest(paper=paper), fx.paper_pv(ids), fx.paper_zone(ids))
     return out.withColumn("rank", F.col("rank").cast("bigint"))
 
 

@@ -134,3 +134,13 @@ def test_light_groups_are_dealt_by_their_number(spark, monkeypatch):
     monkeypatch.setattr(P, "LIGHT", 10**6)
     cols = ["a", "b", "W", "rk"]
     assert rows(got, cols) == rows(P.pair_topk(m, 3), cols)
+
+
+def test_light_pairs_are_summed_one_way_round(spark):
+    from citeflow.operators import pairs as P
+    m = spark.createDataFrame(sorted({(g, (g * 7 + i * i) % 50) for g in range(100) for i in range(4)}), "g long, m long")
+    every = m.select("m").distinct()
+    cols = ["a", "b", "W", "rk"]
+    got = P.pair_topk(m, 3, once=True)
+    assert "(a#" in (plan := got._jdf.queryExecution().optimizedPlan().toString()) and "Generate explode" in plan
+    assert rows(got, cols) == rows(P.pair_topk(m, 3, focus=every), cols) == rows(P.pair_topk(m.unionByName(m), 3), cols)

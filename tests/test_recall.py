@@ -70,3 +70,20 @@ def test_nesting_shuffles_the_rows_once(spark):
     assert [f.id_of_followed_author for f in got] == [7, 8]
     assert [p.paper_id for p in got[0].papers.highly_cited_papers] == [10, 20, 30] and got[0].papers.latest_papers is None
     assert got[1].papers.highly_cited_papers is None and [p.paper_id for p in got[1].papers.latest_papers] == [5]
+
+
+def test_authorship_is_read_once_for_all_labels(spark, tmp_dir):
+    """The cut lists of a pool are written once; the lists of every label read them, not authorship again."""
+    rows = [(p, a) for p in range(40) for a in (p % 7, (p + 1) % 7)]
+    spark.createDataFrame(rows, "paper_id long, author_id long").write.parquet(f"{tmp_dir}/authorship")
+    authorship = spark.read.parquet(f"{tmp_dir}/authorship")
+    paper = spark.createDataFrame([(p, None, p) for p in range(40)], "paper_id long, ts date, n_citation long")
+    edges = recall.edge_sets(spark.createDataFrame([(0, 1), (2, 3)], "f long, t long"), spark.createDataFrame([(0, 4)], "f long, t long"))
+    lists = recall.recall_lists(authorship, paper, {C.POOL_HIGH: paper.select("paper_id")}, edges=edges, sizes={C.POOL_HIGH: 3})
+    assert not any(tmp_dir in f for f in lists.inputFiles())
+    got = {}
+    for r in lists.orderBy("rank").collect():
+        got.setdefault((r["followed_id"], r["label"]), []).append(r["paper_id"])
+    best = lambda a: sorted((p for p, x in rows if x == a), reverse=True)[:3]
+    assert got == {**{(a, C.LABEL_FOLLOWED): best(a) for a in range(7)}, (0, C.LABEL_COOPERATION): best(1),
+                   (2, C.LABEL_COOPERATION): best(3), (0, C.LABEL_SIMILAR): best(4)}
