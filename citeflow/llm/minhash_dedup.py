@@ -20,7 +20,7 @@
   such pairs are found through the edits they share against the hub, with an exact
   bound (``edit_entries``), and checked too, in rounds: a group that shares an edit is
   paired with a few of its members, then with more, each time only across components
-  (``across``). No partner or candidate is capped.
+  (``across``); a member's round is fixed at the start. No partner or candidate is capped.
 * Texts behind candidate pairs are fetched by a bitmap of fixed size, hashed
   again, and joined to the pairs.
 
@@ -276,43 +276,44 @@ def _reach(per_cent: int):
 def across(entries: DataFrame, links: DataFrame, sets: DataFrame, per_cent: int, first: int = 16) -> DataFrame:
     """The links, with those between members of a family that lie in two components.
 
-    Each round pairs a group (hub, edit) with ``first`` of its x (one per slot of a hash),
-    the next with ``first`` times as many of those not yet taken, so a round's pairs grow
-    with the rows of a group and not with their square while links still join its
-    components. After new links a group keeps only the rows that still have a partner:
-    x not yet taken and y of another component than one of them. Done when no x is left.
+    Each x of a group (hub, edit) has its turn from the start, by a hash of its id: some ``first``
+    have the first one, ``first`` times as many the next. A round pairs the x whose turn it is,
+    so its pairs grow with the rows of a group and not with their square while links still join its
+    components. Only new links write the groups again, with the rows that still have a partner:
+    x with a later turn and y of another component than one of them. Done after the last turn.
     """
-    slots, group = first, _open(entries, components(links))
+    turn, group = 0, _open(entries, components(links), first)
     while True:
-        x = (group.where("is_x").withColumn("slot", F.pmod(F.xxhash64("doc"), F.lit(slots))).groupBy("hub", "edit", "slot")
-                  .agg(F.min(F.struct("over", "doc", "size", "at", "comp")).alias("x")).drop("slot"))
-        x = C.scratch(x, "near-taken")
-        if x.isEmpty():
+        turn = group.where("is_x").agg(F.min(F.when(F.col("turn") >= turn, F.col("turn")))).first()[0]
+        if turn is None:
             return links
+        x = group.where(F.col("is_x") & (F.col("turn") == turn)).select(
+            "hub", "edit", F.struct("over", "doc", "size", "at", "comp").alias("x"))
         pairs = (x.join(group.where("is_y"), ["hub", "edit"]).where(F.col("x.comp") != F.col("comp")).where(_reach(per_cent))
                   .select(F.least("x.doc", "doc").alias("a"), F.greatest("x.doc", "doc").alias("b")).distinct())
         new = C.scratch(verified(C.scratch(pairs, "near-pairs"), sets, per_cent), "near-links")
-        done = x.select("hub", "edit", F.col("x.doc").alias("doc"), F.lit(True).alias("taken"))
-        group = (group.join(done, ["hub", "edit", "doc"], "left").withColumn("is_x", F.col("is_x") & F.col("taken").isNull()).drop("taken"))
-        slots *= first
-        if new.isEmpty():
-            group = C.scratch(group, "near-groups")
-        else:
+        turn += 1
+        if not new.isEmpty():
             links = links.unionByName(new)
-            group = _open(group.drop("comp"), components(links))
+            group = _open(group.drop("comp").withColumn("is_x", F.col("is_x") & (F.col("turn") >= turn)), components(links), first)
 
 
-def _open(entries: DataFrame, comp: DataFrame) -> DataFrame:
+def _open(entries: DataFrame, comp: DataFrame, first: int = 16) -> DataFrame:
     """The entries with their component ``comp``, of which a group's x and y lie in two: those that another one of
-    the group can meet. Components only join, so what goes is not missed later."""
+    the group can meet. Components only join, so what goes is not missed later. An x gets its ``turn`` the first time:
+    its place among the x of its group by a hash (about), ``first`` for turn 0 and so many times more for each later one."""
     e = entries.join(comp, F.col("doc") == F.col("id"), "left").withColumn("comp", F.coalesce("component", "doc")).drop("id", "component")
     of = lambda role, f, name: f(F.when(F.col(role), F.col("comp"))).alias(name)
-    two = e.groupBy("hub", "edit").agg(of("is_x", F.min, "x_lo"), of("is_x", F.max, "x_hi"), of("is_y", F.min, "y_lo"), of("is_y", F.max, "y_hi"))
+    two = e.groupBy("hub", "edit").agg(of("is_x", F.min, "x_lo"), of("is_x", F.max, "x_hi"), of("is_y", F.min, "y_lo"), of("is_y", F.max, "y_hi"),
+                                       F.count_if("is_x").alias("n_x"))
     two = two.where("x_lo is not null and y_lo is not null and least(x_lo, y_lo) <> greatest(x_hi, y_hi)")
     e = e.join(two, ["hub", "edit"])
     apart = lambda lo, hi: (F.col(lo) != F.col("comp")) | (F.col(hi) != F.col("comp"))
     e = e.withColumn("is_x", F.col("is_x") & apart("y_lo", "y_hi")).withColumn("is_y", F.col("is_y") & apart("x_lo", "x_hi"))
-    return C.scratch(e.where("is_x or is_y").drop("x_lo", "x_hi", "y_lo", "y_hi"), "near-groups")
+    if "turn" not in e.columns:
+        place = F.pmod(F.xxhash64("doc"), F.lit(1 << 30)) / float(1 << 30) * F.col("n_x")
+        e = e.withColumn("turn", F.floor(F.log(float(first), F.greatest(place, F.lit(1.0)))).cast("int"))
+    return C.scratch(e.where("is_x or is_y").drop("x_lo", "x_hi", "y_lo", "y_hi", "n_x"), "near-groups")
 
 
 # ---- union-find --------------------------------------------------------------------

@@ -160,3 +160,28 @@ def test_groups_keep_only_rows_that_still_have_a_partner(spark):
     comp = spark.createDataFrame([(2, 1)], "id long, component long")
     got = sorted((r.edit, r.doc, r.comp, r.is_x, r.is_y) for r in X._open(e, comp).collect())
     assert got == [(1, 1, 1, True, False), (1, 3, 3, False, True)]
+
+
+def test_rounds_write_a_group_once_and_pair_every_x(spark, monkeypatch):
+    """Without new links the rows of a group are neither joined nor written again, however many rounds there are."""
+    n = 300
+    rows = [(0, 7, d, 1, 1, 10, 1, d % 2 == 0, True) for d in range(n)]
+    e = spark.createDataFrame(rows, "hub long, edit long, doc long, weight long, over long, size long, at int, is_x boolean, is_y boolean")
+    none = spark.createDataFrame([], "a long, b long")
+    written, met = [], []
+    scratch = X.C.scratch
+
+    def counted(df, name):
+        out = scratch(df, name)
+        written.append((name, out.count()))
+        return out
+
+    def unlinked(pairs, sets, per_cent):
+        met.append({tuple(r) for r in pairs.collect()})
+        return none
+    monkeypatch.setattr(X.C, "scratch", counted)
+    monkeypatch.setattr(X, "verified", unlinked)
+    assert X.across(e, none, none, 80).count() == 0
+    assert len(met) > 1 and len(met[0]) < 40 * n
+    assert set().union(*met) == {(a, b) for a in range(n) for b in range(a + 1, n) if a % 2 == 0 or b % 2 == 0}
+    assert sum(k for name, k in written if name in ("near-groups", "near-taken")) == n
