@@ -117,9 +117,27 @@ def give_back() -> None:
         pass
 
 
-def released(run):
-    """A batch function after which the worker, which lives on idle, gives free memory back to the system."""
+_kept: dict = {}
+
+
+def kept(key, make):
+    """What a worker, which outlives its tasks, keeps for the next ones: one thing at a time."""
+    if key not in _kept:
+        forget()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def forget() -> None:
+    _kept.clear()
+
+
+def released(run, keeps: bool = False):
+    """A batch function after which the worker, which lives on idle, gives free memory back to the system.
+    What tasks of another operator kept in it goes at the start, unless the function ``keeps`` things itself."""
     def inner(batches):
+        if not keeps:
+            forget()
         yield from run(batches)
         give_back()
     return inner

@@ -40,7 +40,7 @@ ORDER = 4
 SAMPLE = 400                # documents of a language to learn from, and as many to calibrate on
 MAX_LANGUAGES = 200         # bounds the sample: at most this many languages x 2 x SAMPLE rows, an error beyond
 Z = 6.0
-SLICE = 1 << 19             # bytes of text scored at once (about 60 bytes of arrays for each)
+SLICE = 1 << 18             # bytes of text scored at once (about 60 bytes of arrays for each)
 CERTAIN = 20                # characters of evidence that the score weighs
 UND = "und"
 _SPACE, _MARK = 0x20, 0

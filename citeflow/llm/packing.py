@@ -40,7 +40,7 @@ END = 1
 CACHE_WORDS = 350_000       # about 200 bytes each; an idle worker keeps them
 STAGE_CACHE_WORDS = 150_000
 MET = 1 << 21               # bytes that mark words met before
-BLOCK_BYTES = 4 << 20       # text tokenised at once: new words are encoded once per block
+BLOCK_BYTES = 2 << 20       # text tokenised at once: new words are encoded once per block
 WORD_END, RUN = "</w>", 2000     # the mark of a word's last id in the vocabulary; words per text
 _STOPS = frozenset(".,;:!?")
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, place long"
@@ -123,15 +123,9 @@ def _parts(word: str) -> int:
     return (1 + stop) if (word[:-1] if stop else word).isalpha() and word.lower()[:len(word) - stop].isalpha() else 0
 
 
-_known: dict[tuple[str, int], WordIds] = {}
-
-
 def word_ids(vocabulary: str, cache_words: int) -> WordIds:
     """The worker's own encoder."""
-    key = vocabulary, cache_words
-    if key not in _known:
-        _known[key] = WordIds(vocabulary, cache_words)
-    return _known[key]
+    return C.kept(("word ids", vocabulary, cache_words), lambda: WordIds(vocabulary, cache_words))
 
 
 def _pieces(vocabulary: str, capacity: int, end: int, cache_words: int = CACHE_WORDS):
@@ -243,7 +237,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACIT
     spark = docs.sparkSession
     C.prepared(spark)
     docs = C.pick(docs, doc_id="long", text="string")
-    pieces = C.scratch(docs.mapInArrow(C.released(_pieces(vocabulary or default_vocabulary(), capacity, end, cache_words)), PIECE_SCHEMA),
+    pieces = C.scratch(docs.mapInArrow(C.released(_pieces(vocabulary or default_vocabulary(), capacity, end, cache_words), keeps=True), PIECE_SCHEMA),
                        "pack-pieces")
     by_task = pieces.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n"))
     earlier = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)

@@ -95,3 +95,13 @@ def test_plan_places_every_piece_once(lengths):
         else:
             bins.append(n)
     assert len(used) <= len(bins) + 1
+
+
+def test_tasks_of_other_operators_free_the_encoder_of_a_worker():
+    X.word_ids(X.default_vocabulary(), 1000)
+    same = lambda batches: batches
+    list(X.C.released(same, keeps=True)([]))
+    assert X.word_ids(X.default_vocabulary(), 1000) is X.word_ids(X.default_vocabulary(), 1000)
+    assert len(X.C._kept) == 1
+    list(X.C.released(same)([]))
+    assert not X.C._kept
