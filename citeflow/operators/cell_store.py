@@ -316,6 +316,7 @@ def _by_cell(metric: str, k: int, exclude_self: bool):
         held = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         if len(queries) and len(rows):
             qid, q, reach = queries["qid"].to_numpy(np.int64), K._stack(queries["qvec"].values), queries["reach"].to_numpy(np.float64)
+            worst = reach ** 2 if metric == "l2" else 1.0 - reach ** 2 / 2      # the score at the end of the reach
             of = np.repeat(np.arange(len(qid)), queries["cells"].str.len().to_numpy(np.int64))
             cells, own = np.concatenate(queries["cells"].to_numpy()), np.concatenate(queries["own"].to_numpy())
             order = np.argsort(cells, kind="stable")
@@ -327,7 +328,7 @@ def _by_cell(metric: str, k: int, exclude_self: bool):
                 meet = slice(*np.searchsorted(cells, [j, j + 1]))
                 some = by[slice(*np.searchsorted(part, [j, j + 1], sorter=by))]
                 some = some[_within_reach(own[meet], reach[of[meet]], far[some])]
-                held.append(K.rank_block(metric, qid[of[meet]], q[of[meet]], cid[some], c[some], k, exclude_self))
+                held.append(K.rank_block(metric, qid[of[meet]], q[of[meet]], cid[some], c[some], k, exclude_self, worst[of[meet]]))
                 if sum(x[0].size for x in held) > HITS_AT_ONCE:
                     held = [K._best(*(np.concatenate(x) for x in zip(*held)), k, metric)]
         return K._best(*(np.concatenate(x) for x in zip(*held)), k, metric)

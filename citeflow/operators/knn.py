@@ -22,9 +22,10 @@ Plans, chosen by the caller's arguments and never by a counted size:
   centroids, ``nprobe`` per query) or inside LSH buckets (several sign bits per
   table); a crowded cell or bucket is split into blocks on both sides.
 
-Inside a block a matrix product gives keys with a proven rounding bound; every
-candidate within the bound of the k-th key is scored again on differences, left
-to right, so ties and large offsets come out right. No candidate is capped.
+Inside a block matrix products, a tile of rows at a time, give keys with a proven rounding
+bound, in single precision first; every candidate within the bound of the k-th key so far is
+scored again on differences, left to right, so ties and large offsets come out right. No
+candidate is capped.
 """
 
 from __future__ import annotations
@@ -48,7 +49,8 @@ BLOCK = 2048             # rows of a block, on average
 SPREAD = 16              # blocks of a side before its blocks grow; how many times BLOCK they grow to
 SAMPLE_PER_CELL = 64     # training vectors per centroid
 ROWS_AT_ONCE = 256       # query rows scored together
-KEYS_AT_ONCE = 1 << 22   # query rows times corpus rows of them
+ROWS_OF_TILE = 1024      # corpus rows that they meet at once
+MORE = 16                # rows in question, times k, before keys of a query are made in double precision
 PAIRS_AT_ONCE = 1 << 18  # candidate pairs scored together
 
 _HITS = "qid long, cid long, score double"
@@ -84,18 +86,40 @@ def _exact_scores(metric: str, q: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.divide(dots, size, out=np.zeros_like(dots), where=size > 0)
 
 
-def _keys(metric: str, q: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys that rise with the rank, and for each query a bound of their rounding error."""
-    d = q.shape[1]
-    unit = 16 * (d + 8) * np.finfo(np.float64).eps
-    if metric == "l2":
-        middle = c.mean(axis=0)
-        q, c = q - middle, c - middle            # one rounding per number, relative to the difference
-        q2, c2 = np.einsum("ij,ij->i", q, q), np.einsum("ij,ij->i", c, c)
-        return q2[:, None] - 2.0 * (q @ c.T) + c2[None, :], unit * (q2 + c2.max())
-    if metric == "cosine":
-        return -(_unit(q) @ _unit(c).T), np.full(len(q), unit)
-    return -(q @ c.T), unit * np.linalg.norm(q, axis=1) * np.linalg.norm(c, axis=1).max()
+class _Keys:
+    """Keys of queries against rows that rise with the rank, as one matrix product of numbers of ``kind``.
+
+    ``error``: for each query a bound of the rounding error of its keys. In single precision all numbers are taken
+    relative to the longest, so that none is too large or too small for it.
+    """
+
+    def __init__(self, metric: str, q: np.ndarray, c: np.ndarray, kind):
+        unit = (2 if kind is np.float32 else 16) * (q.shape[1] + 8) * np.finfo(kind).eps
+        self.metric, self.scale = metric, np.ones(len(q))
+        one = np.ones((len(q), 1))
+        if metric == "l2":
+            middle = c.mean(axis=0)
+            q, c = q - middle, c - middle            # one rounding per number, relative to the difference
+            q2, c2 = np.einsum("ij,ij->i", q, q), np.einsum("ij,ij->i", c, c)
+            size = max(q2.max(), c2.max()) if kind is np.float32 else 1.0
+            size = size if size > 0 else 1.0
+            self.scale, self.q2 = np.full(len(q), size), q2
+            a, b, self.error = np.hstack([q * (-2.0 / np.sqrt(size)), one]), np.hstack([c / np.sqrt(size), c2[:, None] / size]), unit * (q2 + c2.max()) / size
+        elif metric == "cosine":
+            a, b, self.error = -_unit(q), _unit(c), np.full(len(q), unit)
+        else:
+            far = np.linalg.norm(c, axis=1).max()
+            if kind is np.float32:
+                self.scale = np.linalg.norm(q, axis=1) * far
+                self.scale[self.scale == 0] = 1.0
+                a, b, self.error = -_unit(q), c / (far if far > 0 else 1.0), np.full(len(q), unit)
+            else:
+                a, b, self.error = -q, c, unit * np.linalg.norm(q, axis=1) * far
+        self.a, self.b = a.astype(kind), b.astype(kind)
+
+    def of(self, score: np.ndarray) -> np.ndarray:
+        """The keys of scores."""
+        return (score - self.q2) / self.scale if self.metric == "l2" else -score / self.scale
 
 
 def _best(qid, cid, score, k: int, metric: str):
@@ -108,26 +132,106 @@ def _best(qid, cid, score, k: int, metric: str):
     return qid[keep], cid[keep], score[keep]
 
 
-def rank_block(metric: str, qids, q: np.ndarray, cids, c: np.ndarray, k: int, exclude_self: bool):
-    """Exact top k of every query among the corpus rows given: (qid, cid, score) arrays."""
+def _pairs_of_ids(qids: np.ndarray, cids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of a query and a row with the same id, in order of the row."""
+    order = np.argsort(cids, kind="stable")
+    low, high = (np.searchsorted(cids, qids, side, sorter=order) for side in ("left", "right"))
+    n = high - low
+    row = np.repeat(np.arange(len(qids)), n)
+    col = order[np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+    by = np.argsort(col, kind="stable")
+    return row[by], col[by]
+
+
+def _upward(limit: np.ndarray, kind) -> np.ndarray:
+    """A column of the limits, rounded up to numbers of ``kind``."""
+    return np.nextafter(limit.astype(kind), np.array(np.inf, kind))[:, None]
+
+
+def _places(within: np.ndarray) -> np.ndarray:
+    """The places of the few true ones in a table of truth values, eight looked at together."""
+    flat = within.reshape(-1)
+    if flat.size % 8:
+        return np.flatnonzero(flat)
+    some = np.flatnonzero(flat.view(np.uint64))
+    row, at = np.nonzero(flat.reshape(-1, 8)[some])
+    return some[row] * 8 + at
+
+
+def _near(keys: _Keys, rows: slice, own: tuple[np.ndarray, np.ndarray], k: int, worst: np.ndarray, most: int):
+    """Places (query, row) of the pairs that can be among the k best of a query, whose key is not above ``worst``; None
+    if there are more than ``most``."""
+    a, b = keys.a[rows], keys.b
+    n, twice = len(a), 2 * keys.error[rows]
+    limit = worst + twice
+    held, seen, due = [], 0, 1
+    for tile, s in enumerate(range(0, len(b), ROWS_OF_TILE), 1):
+        key = a @ b[s:s + ROWS_OF_TILE].T
+        lo, hi = np.searchsorted(own[1], [s, s + ROWS_OF_TILE])
+        key[own[0][lo:hi], own[1][lo:hi] - s] = np.inf
+        within = key <= _upward(limit, key.dtype)
+        if np.count_nonzero(within) > 8 * k * n and key.shape[1] > k:
+            kth = np.partition(key, k - 1, axis=1)[:, k - 1]
+            limit = np.fmin(limit, kth + twice)
+            within = key <= _upward(limit, key.dtype)
+        r, c = np.divmod(_places(within), key.shape[1])
+        found = key[r, c]
+        there = np.isfinite(found)
+        held.append((r[there], c[there] + s, found[there]))
+        seen += there.sum()
+        # the k-th best so far, each time there are twice as many rows
+        if tile == due or s + ROWS_OF_TILE >= len(b):
+            due *= 2
+            r, c, found = (np.concatenate(x) for x in zip(*held))
+            order = np.lexsort((found, r))
+            r, c, found = r[order], c[order], found[order]
+            first, count = np.searchsorted(r, np.arange(n)), np.bincount(r, minlength=n)
+            full = np.flatnonzero(count >= k)
+            limit[full] = np.fmin(limit[full], found[first[full] + k - 1] + twice[full])
+            keep = found <= limit[r]
+            held = [(r[keep], c[keep], found[keep])]
+            seen = keep.sum()
+        if seen > most:
+            return None
+    return held[0][:2]
+
+
+def rank_block(metric: str, qids, q: np.ndarray, cids, c: np.ndarray, k: int, exclude_self: bool, worst: np.ndarray | None = None):
+    """Exact top k of every query among the corpus rows given: (qid, cid, score) arrays; with ``worst``, a score for every
+    query, rows that are worse may be left out.
+
+    Keys are made in single precision, or in double precision where its rounding leaves too many rows in question.
+    """
     none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
     if len(qids) == 0 or len(cids) == 0:
         return none
-    out = [none]
-    step = max(1, min(ROWS_AT_ONCE, KEYS_AT_ONCE // len(cids)))
-    for s in range(0, len(qids), step):
-        qi, qm = qids[s:s + step], q[s:s + step]
-        key, error = _keys(metric, qm, c)
-        if exclude_self:
-            key[qi[:, None] == cids[None, :]] = np.inf
-        m = min(k, key.shape[1])
-        kth = np.partition(key, m - 1, axis=1)[:, m - 1]
-        rows, cols = np.nonzero((key <= (kth + 2 * error)[:, None]) & np.isfinite(key))
-        held = [none]
-        for a in range(0, rows.size, PAIRS_AT_ONCE):
-            r, x = rows[a:a + PAIRS_AT_ONCE], cols[a:a + PAIRS_AT_ONCE]
-            held.append(_best(qi[r], cids[x], _exact_scores(metric, qm[r], c[x]), k, metric))
-        out.append(_best(*(np.concatenate(p) for p in zip(*held)), k, metric))
+    out, wide = [none], None
+    own = _pairs_of_ids(qids, cids) if exclude_self else (np.zeros(0, np.int64),) * 2
+    step = max(ROWS_AT_ONCE, min(16 * ROWS_AT_ONCE, ROWS_AT_ONCE * ROWS_OF_TILE // len(cids)))
+    with np.errstate(over="ignore", invalid="ignore"):
+        fast = _Keys(metric, q, c, np.float32)
+
+        def near(keys: _Keys, s: int, most: int):
+            rows = slice(s, s + step)
+            here = (own[0] >= s) & (own[0] < s + step)
+            limit = np.full(len(qids[rows]), np.inf)
+            if worst is not None:
+                reach = keys.of(worst)[rows]
+                limit = np.where(np.isnan(reach), np.inf, reach)
+            return _near(keys, rows, (own[0][here] - s, own[1][here]), k, limit, most)
+
+        for s in range(0, len(qids), step):
+            qi, qm = qids[s:s + step], q[s:s + step]
+            got = near(fast, s, MORE * max(k, 16) * len(qi)) if np.isfinite(fast.error[s:s + step]).all() else None
+            if got is None:
+                wide = wide or _Keys(metric, q, c, np.float64)
+                got = near(wide, s, len(qi) * len(cids))
+            rows, cols = got
+            held = [none]
+            for a in range(0, rows.size, PAIRS_AT_ONCE):
+                r, x = rows[a:a + PAIRS_AT_ONCE], cols[a:a + PAIRS_AT_ONCE]
+                held.append(_best(qi[r], cids[x], _exact_scores(metric, qm[r], c[x]), k, metric))
+            out.append(_best(*(np.concatenate(p) for p in zip(*held)), k, metric))
     return tuple(np.concatenate(p) for p in zip(*out))
 
 
