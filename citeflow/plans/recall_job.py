@@ -9,7 +9,7 @@ from .. import config as C
 from ..fixtures import Fixtures
 from ..functions.score import distance_from_score, score_int
 from ..operators import graph, recall
-from ..session import cut_lineage, written
+from ..session import cut_lineage, finished, written
 from ..sinks.nested import nest_recall
 
 
@@ -161,8 +161,10 @@ def recall_user_flat(fx: Fixtures, users: DataFrame | None = None) -> DataFrame:
     # the followed scholars of the users, read by several branches of the plan
     follows = cut_lineage(recall.followed_names(fx.follow().join(users, "user_id", "left_semi"), fx.author()))
     focus = follows.select(F.col("followed_id").alias("author_id")).distinct()
-    rows = _enriched(fx, focus)
-    return follows.join(rows, "followed_id")
+    rows = finished(fx.spark, lambda: _enriched(fx, focus), "enriched")
+    # a given number of partitions, which Spark doesn't merge: small sides, but a list for every follow
+    n = int(fx.spark.conf.get("spark.sql.shuffle.partitions"))
+    return follows.repartition(n, "followed_id").join(rows.repartition(n, "followed_id"), "followed_id")
 
 
 def q_recall_user(spark, sf):

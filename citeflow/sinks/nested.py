@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
+from ..session import shuffles_removed
 
 PAPER_FIELDS = ("paper_id", "distance", "label", "new", "n_citation", "author_id",
                 "author_name_en", "author_name_zh", "pv", "zone")
@@ -41,7 +42,14 @@ def nest_recall(flat: DataFrame) -> DataFrame:
             .agg(F.array_sort(F.collect_list(followed)).alias("followed")))
 
 
-def write_recall_json(nested: DataFrame, path: str) -> None:
-    """One JSON object per user ``{user_id: [...]}``; non-ASCII kept as is."""
+def write_recall_json(nested: DataFrame, path: str, slices: int = 1) -> None:
+    """One JSON object per user ``{user_id: [...]}``, in gzip files; non-ASCII kept as is.
+
+    The users are written in ``slices``, and the shuffle files of one go before the next.
+    """
     line = F.to_json(F.create_map(F.col("user_id").cast("string"), F.col("followed")))
-    nested.select(line.alias("value")).write.mode("overwrite").text(path)
+    with shuffles_removed(nested.sparkSession):
+        for i in range(slices):
+            some = nested if slices == 1 else nested.where(F.pmod(F.xxhash64("user_id"), F.lit(slices)) == i)
+            (some.select(line.alias("value")).write.mode("append" if i else "overwrite")
+                 .option("compression", "gzip").text(path))
